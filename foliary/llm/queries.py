@@ -6,8 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, packing
-from foliary.llm.common import table
+from foliary.llm import decontam, langid, packing, quality
+from foliary.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "_lang.lang_pred", "_lang.score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, sf_dir), score_col="score")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
