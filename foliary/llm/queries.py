@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, langid, packing, quality
-from foliary.llm.common import held_out, table
+from foliary.llm import decontam, jaccard_join, langid, packing, quality
+from foliary.llm.common import Scratch, held_out, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "_lang.lang_pred", "_lang.score")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.link(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), size=3, num=90, den=100)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str):
     return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0)
 
@@ -37,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
