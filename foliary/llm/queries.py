@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, jaccard_join, langid, packing, quality
+from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -32,6 +32,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mtree.top_k(table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, Scratch(spark, "op8"), k=5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.scan(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_scan.*")
@@ -42,8 +61,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": OP8_SQL}
