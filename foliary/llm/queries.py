@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality
+from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality, resharding
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -32,6 +32,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op7")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    old = resharding.lay_out(docs, scratch, "old", n_shards=12, n_blocks=64)
+    new = resharding.reshard(old, scratch, "new", 16)
+    text = F.coalesce("text", F.lit(""))
+    rows = new.select("doc_id", "shard", "block", "old_shard", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    found = resharding.numbered(rows, scratch, "rows", id_col="doc_id")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mtree.top_k(table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, Scratch(spark, "op8"), k=5, scale=256)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -61,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
