@@ -171,12 +171,16 @@ def fit(
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.where(keep(F.col("_id")))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    rates = {y: min(1.0, max_docs / 2 / n) for y, n in counts.items()}
     share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col("_y") == y, F.lit(min(1.0, max_docs / 2 / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    for y, rate_of in rates.items():
+        share = F.when(F.col("_y") == y, F.lit(rate_of)).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_000))
+    chosen = known.where(draw < share * 1_000_000)
     spread = F.pandas_udf(lambda s: s.map(lambda t: "\n".join(_spread(t, max_words, 64))), "string")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(chosen, "_id").select("_id", "_y", spread("_t").alias("_w")).collect()
+    # what no class would draw is left out before the texts are moved
+    drawn = docs.select(F.col(id_col).cast(known.schema["_id"].dataType).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(draw < max(rates.values(), default=0.0) * 1_000_000)
+    rows = drawn.select("_id", spread("_t").alias("_w")).join(chosen, "_id").select("_id", "_y", "_w").collect()
     rows.sort(key=lambda r: (r["_id"], r["_w"] or ""))
     return train([((r["_w"] or "").split("\n") if r["_w"] else [], r["_y"]) for r in rows], buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed)
 
