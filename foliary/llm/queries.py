@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality, resharding
+from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality, resharding, warc
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -22,6 +22,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "op3"), "archives")
+    whole = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("an archive that was just written is damaged: "), "error"))).otherwise(F.col("payload_digest"))
+    return warc.read(spark, path).select("page_id", "payload_bytes", whole.cast("string").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
 def quality_model(spark: SparkSession, sf_dir: str):
     return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0)
 
@@ -72,8 +89,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op5_quality": op5_quality, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op5_quality": op5_quality, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op8_exact_top_k": OP8_SQL}
