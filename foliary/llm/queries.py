@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, jaccard_join, langid, mtree, packing, quality, resharding, warc
+from foliary.llm import decontam, jaccard_join, langid, line_dedup, mtree, packing, quality, resharding, warc
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -49,6 +49,34 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(docs, Scratch(spark, "op6"), distance=1, min_chars=16)
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
+LINES_SQL = """
+parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM {documents}),
+lines AS (SELECT doc_id, i AS no, p[i] AS line FROM parts, unnest(range(1, len(p) + 1)) AS t(i)),
+firsts AS (SELECT line, min((doc_id, no)) AS first FROM lines WHERE length(line) >= 16 GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON abs(length(a.line) - length(b.line)) <= 1 AND a.first < b.first
+    AND (left(a.line, 6) = left(b.line, 6) OR right(a.line, 6) = right(b.line, 6))
+  WHERE EXISTS (SELECT 1 FROM range(0, length(a.line) + 1) AS t(k) WHERE left(a.line, k) = left(b.line, k) AND
+    (substr(a.line, k + 2) = substr(b.line, k + 2) OR substr(a.line, k + 1) = substr(b.line, k + 2) OR substr(a.line, k + 2) = substr(b.line, k + 1)))
+),
+judged AS (
+  SELECT l.*, length(l.line) >= 16 AND ((l.doc_id, l.no) <> f.first OR n.line IS NOT NULL) AS goes
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+),
+deduped AS (
+  SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+  FROM {documents} d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed, string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(goes, false)) AS kept FROM judged GROUP BY doc_id) g ON g.doc_id = d.doc_id
+)
+"""
+OP6_SQL = "WITH " + LINES_SQL.format(documents="documents") + "SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, text FROM deduped"
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
@@ -89,8 +117,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op5_quality": op5_quality, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL}
