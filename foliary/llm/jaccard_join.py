@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Scratch
+from foliary.llm.common import Scratch, bit_filter
 from foliary.llm.components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -183,8 +183,11 @@ def link(
     sets = scratch.stage(describe(source, size, num, den), "sets")
     classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("sig", "low")
-    edges = signed.join(shared, "sig").where("h1 <> low").select(F.col("low").alias("a"), F.col("h1").alias("b")).distinct()
+    shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high")
+    shared = scratch.stage(shared, "shared")  # two classes are an edge as they are; more are looked up
+    many = shared.where("c > 2").select("sig", "low")
+    looked_up = bit_filter(signed, F.col("sig"), many, "sig").join(many, "sig").where("h1 <> low")
+    edges = shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(looked_up.select("low", "h1")).distinct()
     coarse = components(edges, scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
@@ -209,7 +212,7 @@ def link(
         pairs = [(reps[p], reps[i]) for i, p in enumerate(place.tolist()) if p != i]
         return pa.table([pa.array([t.column("r")[0].as_py()] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
 
-    texts = source.join(dealt, source.id == dealt.rep).select("rep", "h1", "h2", "root", "r", "blk", "bi", "bj", "t")
+    texts = bit_filter(source, F.col("id"), dealt, "rep").join(dealt, F.col("id") == F.col("rep")).select("rep", "h1", "h2", "root", "r", "blk", "bi", "bj", "t")
     links = scratch.stage(texts.groupBy("root", "bi", "bj").applyInArrow(task, "r long, a long, b long"), "links")
     whole = links.where("r = 1").select(F.col("b").alias("rep"), F.col("a").alias("lead"))
     split = components(links.where("r > 1").select("a", "b"), scratch, "split")
