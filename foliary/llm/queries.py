@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import decontam, jaccard_join, langid, line_dedup, mtree, packing, quality, resharding, warc
+import corpus_pipeline
+from foliary.llm import decontam, jaccard_join, langid, line_dedup, mtree, packing, pii, quality, resharding, warc
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -39,6 +40,12 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymize(docs, "key of the standard query", Scratch(spark, "op4"))
+    return found.select("doc_id", F.col("_n_found").alias("n_found"), F.col("_kinds").alias("kinds"), "text")
+
+
 def quality_model(spark: SparkSession, sf_dir: str):
     return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0)
 
@@ -117,8 +124,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL}
+    known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**known, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL}
