@@ -104,3 +104,31 @@ def order_faults(events: DataFrame, run: str, order: str) -> DataFrame:
     marked = events.withColumn("_p", open_phase).withColumn("_s", started)
     fault = F.when(of_item & (F.col("_p") < 1), "outside a phase").when((kind == "ItemFinished") & (F.coalesce("_s", F.lit("")) != "ItemStarted"), "finish without start")
     return marked.withColumn("fault", fault).where("fault is not null").drop("_p", "_s")
+
+
+def event_text(kind: Column, label: Column, status: Column, reason: Column, seconds: Column) -> Column:
+    """The line that a log shows for an event; null for those it passes over."""
+    from foliary.functions.dates import duration_text
+
+    wait = duration_text(F.coalesce(seconds, F.lit(0.0)))
+    return (
+        F.when(kind == "PhaseStarted", F.concat(F.lit("started: "), label))
+        .when(kind == "PhaseFinished", F.concat(F.lit("finished: "), label))
+        .when((kind == "ItemFinished") & (status != "ok"), F.concat_ws(" ", status, label, F.when(reason.isNotNull(), F.concat(F.lit("("), reason, F.lit(")")))))
+        .when(kind == "RetryScheduled", F.concat(F.lit("retry in "), wait))
+        .when(kind == "OutageStarted", F.concat(F.lit("site down, next look in "), wait))
+        .when(kind == "OutageRecovered", F.concat(F.lit("site back after "), wait))
+        .when(kind == "RunFinished", F.concat(F.lit("run finished in "), wait))
+    )
+
+
+def final_elapsed(event_seconds: Column, model_seconds: Column) -> Column:
+    """The finishing event's own elapsed time, or the model's where it says 0."""
+    return F.coalesce(F.nullif(event_seconds, F.lit(0.0)), model_seconds)
+
+
+def done_at(rows: DataFrame, by: list[str], order: str, now: str, left: str, outage: str) -> DataFrame:
+    """When the run will be done, frozen at its last value while an outage is on."""
+    w = Window.partitionBy(*by).orderBy(order)
+    fresh = F.when(F.col(outage) == "none", F.col(now) + F.col(left))
+    return rows.withColumn("done_at", F.last(fresh, ignorenulls=True).over(w))

@@ -105,3 +105,16 @@ def selected(spark: SparkSession, root: str, explicit: list[str] | None = None,
     if missing := sorted(set(want) - set(there)):
         raise ValueError(f"no such run: {', '.join(missing)}")
     return [r for r in there if r in set(want)]
+
+
+def resume_lines(runs: DataFrame) -> DataFrame:
+    """What going on with a run has before it, in words."""
+    n = lambda c: F.format_number(F.col(c), 0)
+    todo = F.col("meta_pending") + F.col("download_pending") + F.col("download_error")
+    line = F.concat(n("download_done"), F.lit(" of "), n("total"), F.lit(" done, "), F.format_number(todo, 0), F.lit(" requests to go"))
+    return runs.select("run", todo.alias("requests"), line.alias("line"))
+
+
+def status(spark: SparkSession, root: str, run: str) -> dict:
+    """The seven counters of one run and its name."""
+    return {**ingest.record_counts(records(spark, root, [run])).first().asDict(), "run": run}
