@@ -17,6 +17,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     edges = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = scratch.stage(edges, f"{label}-e0")
     maps: list[DataFrame] = []
+    spent: list[str] = []
     while not left.isEmpty():
         k = len(maps)
         both = left.select(F.col("a").alias("node"), F.col("b").alias("p")).union(left.select("b", "a"))
@@ -25,6 +26,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         while True:
             up = hooked.select(F.col("node").alias("q"), F.col("p").alias("r"))
             jumped = scratch.stage(hooked.join(up, F.col("p") == F.col("q")).select("node", F.col("r").alias("p"), (F.col("r") != F.col("p")).alias("moved")), f"{label}-j{k}-{jump}")
+            spent.append(f"{label}-p{k}" if not jump else f"{label}-j{k}-{jump - 1}")
             jump += 1
             moved = not jumped.where("moved").isEmpty()
             hooked = jumped.select("node", "p")
@@ -34,6 +36,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         of = lambda side: hooked.select(F.col("node").alias(side), F.col("p").alias(f"r{side}"))
         merged = left.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         left = scratch.stage(merged, f"{label}-e{k + 1}")
+        scratch.drop(f"{label}-e{k}", *spent)
+        spent.clear()
     if not maps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = maps[0].select("node", F.col("p").alias("root"))

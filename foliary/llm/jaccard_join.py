@@ -3,10 +3,13 @@
 A document is the set of its distinct word shingles; two link when their Jaccard similarity reaches num / den.
 
 1. Documents with equal sets are one class; its least id stands for it.
-2. Sets that link differ in at most D shingles, where D follows from their sizes. Each size range deals shingles to more
-   than D parts by hash, so linked sets agree wholly on some part; the hash of a part is a signature. Ranges overlap
-   where sizes may link across them. A set with too few parts that hold anything adds its range's spare signature.
-3. Classes that share signatures form coarse components. Links lie within these, whatever else they hold.
+2. Shingles have one order, the frequent ones last. Sets that link share a shingle among the first n - ceil(t * n) + 1 of each
+   (the prefix filter, exact under any order), and have sizes in a common or adjacent size range; such a shingle with
+   its range is a signature. The order needs the frequent shingles only: those met often within an input partition are
+   counted over all of them, and the most frequent `ranked` of them are broadcast; all others come first, by hash.
+3. Classes that share a signature form coarse components. Of a signature of few classes, pairs count only if the parity
+   bitmaps of their sets differ in no more bits than their sizes let the sets differ (a bound that drops no link), so
+   passages that few documents share do not chain them; of one of many classes, all hang on its least.
 4. A coarse component is dealt to blocks of bounded size and each pair of blocks is one task, which indexes the
    shingles of one side and runs DivideSkip for each set of the other: short inverted lists are merged by a heap, the
    long ones probed by binary search, and sets that reach the overlap their sizes need are linked. Sets that earlier
@@ -75,22 +78,41 @@ class Ranges:
         k = int(np.searchsorted(self.starts_at, n, side="right")) - 1
         return [k, k - 1] if k and self.num * n < self.den * self.starts[k] and -(-self.num * n // self.den) < self.starts[k] else [k]
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        out = []
-        for k in self.of(len(h)) if len(h) else []:
-            d = self.differ(k)
-            if not d:
-                continue
-            parts = d + 2 + d // 8
-            part = (_mix(h + np.uint64(k)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(_mix(h[order] + _M2), first)
-            out.append(_mix(sums + _mix(part[first].astype(np.uint64) * np.uint64(4096) + np.uint64(k))))
-            if len(first) <= d:
-                out.append(_mix(np.array([k], np.uint64) + _M1))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    def signatures(self, h: np.ndarray, order: Order) -> np.ndarray:
+        ks = [k for k in self.of(len(h)) if self.differ(k)] if len(h) else []
+        if not ks:  # sets of these sizes link only if they are equal
+            return np.zeros(0, np.int64)
+        first = order.first(h, len(h) + self.num * len(h) // -self.den + 1)
+        return np.concatenate([_mix(first + _mix(np.array([k], np.uint64))) for k in ks]).view(np.int64)
+
+
+class Order:
+    """Shingles by frequency: `hashes` are the frequent ones, sorted, and `rank` their places, the most frequent last."""
+
+    def __init__(self, hashes: np.ndarray, rank: np.ndarray) -> None:
+        self.hashes, self.rank = hashes, rank
+
+    def first(self, h: np.ndarray, n: int) -> np.ndarray:
+        if not len(self.hashes):
+            return h[:n]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == h, self.rank[at], 0)
+        return h[np.argsort(place, kind="stable")[:n]]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Bit b is the parity of the shingles that fall on b; two sets differ in at least as many shingles as bits."""
+    size = 1 << max(6, int(len(h) - 1).bit_length()) if len(h) else 64
+    bits = np.bincount((_mix(h + _M1) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def may_link(n_a: int, a: bytes, n_b: int, b: bytes, num: int, den: int) -> bool:
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):  # sizes are powers of two, so the larger folds onto the smaller
+        y = np.bitwise_xor.reduce(np.unpackbits(y).reshape(-1, len(x) * 8), axis=0)
+        x = np.unpackbits(x)
+    return int(np.bitwise_count(x ^ y).sum()) <= (den - num) * (n_a + n_b) // (den + num)
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -98,9 +120,45 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def describe(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """id, n, h1, h2 (the set's digest) and sigs. A set's signatures are given once for each input partition at least."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def frequent(docs: DataFrame, size: int, often: int, ranked: int) -> Order:
+    """Counts shingles over distinct sets. At most `ranked` of them reach the driver."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+    def run(batches):
+        seen, held, n = set(), [], 0
+
+        def out():
+            found, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keep = counts >= often
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(counts[keep])], schema=schema)
+
+        for batch in batches:
+            for text in batch.column(1):
+                h = shingles(text.as_py(), size)
+                digest = _digest(h)
+                if digest in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(digest)
+                held.append(h)
+                n += len(h)
+                if n > 3_000_000:
+                    yield out()
+                    held, n = [], 0
+        yield out()
+
+    total = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(ranked)
+    rows = total.toPandas()
+    hashes, rank = rows.h.to_numpy(dtype=np.int64).view(np.uint64), np.arange(len(rows), 0, -1)
+    by = np.argsort(hashes)
+    return Order(hashes[by], rank[by])
+
+
+def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> DataFrame:
+    """id, n, h1, h2 (the set's digest), sigs and parity bits. A set's last two are given once for each input partition at least."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("bits", pa.binary())])
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         ranges, seen = Ranges(num, den), set()
@@ -111,12 +169,13 @@ def describe(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 digest = _digest(h)
                 if len(seen) > 200_000:
                     seen.clear()
-                rows.append((i, len(h), *digest, None if digest in seen else ranges.signatures(h)))
+                again = digest in seen
+                rows.append((i, len(h), *digest, None if again else ranges.signatures(h, shared.value), None if again else parity(h)))
                 seen.add(digest)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sigs array<long>")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sigs array<long>, bits binary")
 
 
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
@@ -175,19 +234,37 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int,
     return place
 
 
+def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps do not rule out a link."""
+    bitmaps = bit_filter(bitmaps, F.col("h1"), pairs.select("a").union(pairs.select("b")), "a").groupBy("h1", "n").agg(F.min("bits").alias("bits"))
+    of = lambda x: bitmaps.select(F.col("h1").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, *rest = (c.to_pylist() for c in batch.columns)
+            keep = [may_link(*x, num, den) for x in zip(*rest, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def link(
-    docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 1000,
+    docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 500, often: int = 3, ranked: int = 200_000, few: int = 12,
 ) -> DataFrame:
     """One row per row of docs: id, n (shingles) and component (the least id that links reach, its own included)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    sets = scratch.stage(describe(source, size, num, den), "sets")
+    sets = scratch.stage(describe(source, size, num, den, frequent(source, size, often, ranked)), "sets")
     classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high")
-    shared = scratch.stage(shared, "shared")  # two classes are an edge as they are; more are looked up
-    many = shared.where("c > 2").select("sig", "low")
-    looked_up = bit_filter(signed, F.col("sig"), many, "sig").join(many, "sig").where("h1 <> low")
-    edges = shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(looked_up.select("low", "h1")).distinct()
+    shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high").select("sig", "low", "c")
+    shared = scratch.stage(shared, "shared")
+    met = bit_filter(signed, F.col("sig"), shared, "sig").join(shared, "sig")
+    groups = met.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set("h1")).alias("m")).select("m").distinct()
+    couples = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = scratch.stage(groups.select(F.explode(couples).alias("p")).select("p.*").distinct(), "pairs")
+    near = _plausible(pairs, sets.where("bits is not null").select("h1", "n", "bits"), num, den)
+    edges = met.where((F.col("c") > few) & (F.col("h1") != F.col("low"))).select(F.col("low").alias("a"), F.col("h1").alias("b")).distinct().union(near)
     coarse = components(edges, scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
@@ -218,6 +295,7 @@ def link(
     split = components(links.where("r > 1").select("a", "b"), scratch, "split")
     lead = whole.union(split.select(F.col("node").alias("rep"), F.col("root").alias("lead")))
     named = scratch.stage(classes.join(lead, "rep", "left").select("h1", "h2", F.coalesce("lead", "rep").alias("component")), "named")
+    scratch.drop("classes", "shared", "pairs", "members", "dealt", "links")
     return sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
