@@ -15,6 +15,7 @@ id count once. Repeated document rows are judged each for itself.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +173,9 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int, max_word
 
 
 def scan(
-    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), max_words: int = 1_000_000,
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), max_words: int = 1_000_000, out: str = "_scan",
 ) -> DataFrame:
-    """The rows of docs, each with a struct column `_scan`: n_words, n_hit, n_items, items_sha256, contaminated.
+    """The rows of docs, each with a struct column `out`: n_words, n_hit, n_items, items_sha256, contaminated.
 
     contaminated: some word is hit, and hits are at least coverage[0] / coverage[1] of the words.
     """
@@ -183,26 +184,23 @@ def scan(
     num, den = coverage
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_scan", kind)])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(at):
-                words = words_of((text.as_py() or "").encode("utf-8", "surrogatepass"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found_of = []
+            for text in texts:
+                words = words_of(text.as_py() or b"")
                 hit, found = np.zeros(len(words), dtype=bool), set()
                 for chunk in chunks:
                     chunk.value.scan(words, hit, found)
                 n = int(hit.sum())
-                out.append((len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and den * n >= num * len(words)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            parts = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(parts, fields=list(arrow))], names=[*batch.schema.names, "_scan"])
+                found_of.append((len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and den * n >= num * len(words)))
+            cols = list(zip(*found_of, strict=True)) if found_of else [()] * 5
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, kind)(F.col(f"`{text_col}`").cast("binary")).alias(out))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that the coverage rule leaves, with their own columns and untouched texts."""
-    return scan(docs, items, **options).where("not _scan.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scan(docs, items, out="__scan", **options).where("not __scan.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])

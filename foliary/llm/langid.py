@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,15 +157,13 @@ def fit(
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows of docs with a struct column `_lang` of pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = Identifier(shared.value)
-        for batch in batches:
-            found = [judge(t.as_py()) for t in batch.column(at)]
+        for texts in batches:
+            found = [judge(t.as_py()) for t in texts]
             langs, scores = zip(*found, strict=True) if found else ((), ())
-            made = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "_lang"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang", kind)]))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, kind)(F.col(f"`{text_col}`").cast("string")).alias("_lang"))

@@ -13,6 +13,8 @@ are scored each for itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -188,17 +190,15 @@ def fit(
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """The rows of docs with a double column score_col, 0 to 1: how likely label 1 is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            scores = pa.array(scorer.score(batch.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_col])
+        for texts in batches:
+            yield pa.array(scorer.score(texts.to_pylist()), pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, T.DoubleType())(F.col(f"`{text_col}`").cast("string")).alias(score_col))
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.3, *, text_col: str = "text") -> DataFrame:
     """The documents that score at least the threshold, with their own columns."""
-    return score(docs, model, text_col=text_col).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, model, text_col=text_col, score_col="__quality").where(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
