@@ -134,9 +134,10 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
     text = F.col(text_col).cast("string")
     bare = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("t"))
     drops = scratch.stage(dropped_lines(bare, scratch, distance=distance, min_chars=min_chars), "drops")
-    drops = drops.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drops").alias("_drops"))
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(drops, (F.col("_hash") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    scratch.drop("distinct", "pairs", "sides", "texts", "removed", "notable")
+    drops = drops.select(F.col("doc").alias("__dedup_doc"), F.col("th").alias("__dedup_th"), F.col("drops").alias("__dedup_drops"))
+    joined = docs.withColumn("__dedup_hash", F.xxhash64(text)).join(drops, (F.col("__dedup_hash") == F.col("__dedup_th")) & F.col(id_col).eqNullSafe(F.col("__dedup_doc")), "left")
     parts = F.split(text, "\n")
-    kept = F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drops", i)), "\n"))
+    kept = F.when(F.col("__dedup_drops").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__dedup_drops", i)), "\n"))
     own = [F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("_n_removed"))
+    return joined.select(*own, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("__dedup_drops"), F.lit(0)).cast("long").alias("_n_removed"))
