@@ -37,20 +37,38 @@ SYLLABLES = {"latin": "ba ber bor cal dan del fer gar hol kes lan len mar mon no
 ENDINGS = {("latin", "f"): "", ("latin", "m"): "", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("greek", "f"): "ου", ("greek", "m"): "ος"}
 TITLES = {"m": "Mr Mister Herr Señor Monsieur Господин Κύριος".split(), "f": "Mrs Ms Miss Frau Señora Madame Госпожа Κυρία".split()}
 
-_NAMES = sorted({n for names in FIRST_NAMES.values() for n in names})
 _WORD = r"\p{Lu}[\p{L}'-]+"
+
+
+def _one_of(words) -> str:
+    """A pattern for any of the words where no letter comes before; it fails at most places on its first character."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[0], []).append(w[1:])
+    return r"[A-ZΆ-ΫА-Я]" + rf"(?<!\p{{L}}.)(?:" + "|".join(f"(?<={a})(?:{'|'.join(rest)})" for a, rest in by.items()) + ")"
+
+
+_NAME, _TITLE = _one_of(n for names in FIRST_NAMES.values() for n in names), _one_of(TITLES["m"] + TITLES["f"])
+_ASSIGNED = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\"?\s*[=:]\s*[\"']?)[^\s\"']{6,}",
+    "secret": rf"\b(?=[pstaPSTA]){_ASSIGNED}\b\"?\s*[=:]\s*[\"']?[^\s\"']{{6,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?:\b(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? (?:{_WORD} )?{_WORD})|(?:\b(?:{'|'.join(_NAMES)}) {_WORD})",
+    "person": rf"(?:{_TITLE}\.? (?:{_WORD} )?|{_NAME} ){_WORD}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_LEAD = {"secret": r"^(?i:(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\"?\s*[=:]\s*[\"']?)"}
+_LEAD = rf"^{_ASSIGNED}\"?\s*[=:]\s*[\"']?"
+_HEAD = _one_of([n for names in FIRST_NAMES.values() for n in names] + TITLES["m"] + TITLES["f"]) + r"\.? "
+
+
+def _quick(text: Column) -> Column:
+    """What every finding has: a digit or one of @ = :, the head of a key, or a title or first name. Few texts do, and to look costs little."""
+    heads = [text.contains(x) for x in ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")]
+    return reduce(lambda a, b: a | b, [text.rlike("[0-9@=:]"), *heads, text.rlike(_HEAD)])
 
 
 def _kind(raw: Column) -> Column:
@@ -73,10 +91,10 @@ def _parts(raw: Column, kind: Column) -> Column:
     """Array of (lead, raw, kind, norm): what is replaced in a finding, with the text before it that stays."""
     one = lambda lead, body, k, norm: F.struct(lead.alias("lead"), body.alias("raw"), k.alias("kind"), norm.alias("norm"))
     none = F.lit("")
-    lead = F.regexp_extract(raw, _LEAD["secret"], 0)
+    lead = F.regexp_extract(raw, _LEAD, 0)
     value = raw.substr(F.length(lead) + 1, F.length(raw))
     code = F.length(F.regexp_extract(raw, r"^\+(\d{1,3})[ (.-]", 1))
-    title = F.regexp_extract(raw, rf"^(?:{'|'.join(TITLES['m'] + TITLES['f'])})\.? ", 0)
+    title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.? ", 0)
     name = raw.substr(F.length(title) + 1, F.length(raw))
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     first = F.when(name.contains(" "), F.substring_index(name, " ", 1)).otherwise("")
@@ -190,6 +208,7 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 40
         # both forms of a surname try again together
         rest = now.join(again, ["grp", "norm"], "left").select("kind", "norm", "grp", F.when(F.col("again"), k).otherwise(F.col("attempt")).alias("attempt"))
         now = tried(rest, f"try-{k}")
+        scratch.drop(f"try-{k - 1}", f"again-{k}")
     else:
         raise RuntimeError(f"surrogates still collide after {attempts} tries")
     return now.select("kind", "norm", "sur")
@@ -198,16 +217,16 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 40
 def pseudonymize(docs: DataFrame, key: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with surrogates in their texts, and columns _n_found and _kinds (sorted, comma-joined)."""
     text = F.col(text_col).cast("string")
-    none = F.coalesce(~text.rlike(ANY), F.lit(True))
+    none = ~F.coalesce(F.when(_quick(text), text.rlike(ANY)), F.lit(False))
     plain = docs.where(none).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("_n_found"), F.lit("").alias("_kinds"))
-    hit = docs.where(~none).withColumn("_th", F.xxhash64(text)).withColumn("_key", F.col(id_col))
-    each = hit.select("_key", "_th", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pos", "found"))
-    each = each.withColumn("what", _kind(F.col("found"))).select("_key", "_th", "pos", "what", F.posexplode(_parts(F.col("found"), F.col("what"))).alias("sub", "p")).select("_key", "_th", "pos", "sub", "what", "p.*").distinct()
+    hit = docs.where(~none).withColumn("__pii_th", F.xxhash64(text)).withColumn("__pii_key", F.col(id_col))
+    each = hit.select("__pii_key", "__pii_th", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pos", "found"))
+    each = each.withColumn("what", _kind(F.col("found"))).select("__pii_key", "__pii_th", "pos", "what", F.posexplode(_parts(F.col("found"), F.col("what"))).alias("sub", "p")).select("__pii_key", "__pii_th", "pos", "sub", "what", "p.*").distinct()
     each = scratch.stage(each, "found")
     table = surrogates(each.select("kind", "norm").distinct(), key, scratch)
-    new = each.join(table, ["kind", "norm"]).select("_key", "_th", "pos", "sub", "what", F.concat("lead", rendered(F.col("raw"), F.col("kind"), F.col("sur"))).alias("out"))
-    whole = new.groupBy("_key", "_th").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "out"))).alias("parts"), F.array_join(F.sort_array(F.collect_set("what")), ",").alias("_kinds"))
-    joined = hit.alias("d").join(whole.alias("w"), (F.col("d._th") == F.col("w._th")) & F.col("d._key").eqNullSafe(F.col("w._key")))
+    new = each.join(table, ["kind", "norm"]).select("__pii_key", "__pii_th", "pos", "sub", "what", F.concat("lead", rendered(F.col("raw"), F.col("kind"), F.col("sur"))).alias("out"))
+    whole = new.groupBy("__pii_key", "__pii_th").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "out"))).alias("parts"), F.array_join(F.sort_array(F.collect_set("what")), ",").alias("_kinds"))
+    joined = hit.alias("d").join(whole.alias("w"), (F.col("d.__pii_th") == F.col("w.__pii_th")) & F.col("d.__pii_key").eqNullSafe(F.col("w.__pii_key")))
     gaps = F.split(text, ANY, -1)
     after = lambda i: F.array_join(F.transform(F.filter("w.parts", lambda p: p["pos"] == i), lambda p: p["out"]), "")
     made = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, after(i))), "")
