@@ -10,10 +10,11 @@ A document is the set of its distinct word shingles; two link when their Jaccard
 3. Classes that share a signature form coarse components. Of a signature of few classes, pairs count only if the parity
    bitmaps of their sets differ in no more bits than their sizes let the sets differ (a bound that drops no link), so
    passages that few documents share do not chain them; of one of many classes, all hang on its least.
-4. A coarse component is dealt to blocks of bounded size and each pair of blocks is one task, which indexes the
-   shingles of one side and runs DivideSkip for each set of the other: short inverted lists are merged by a heap, the
-   long ones probed by binary search, and sets that reach the overlap their sizes need are linked. Sets that earlier
-   links already join are passed over, so a group of near copies costs no quadratic number of probes or rows.
+4. A coarse component is dealt to blocks of bounded size. A task indexes the shingles of its sets and runs DivideSkip for
+   each of them: short inverted lists are merged by a heap, the long ones probed by binary search, and sets that reach the
+   overlap their sizes need are linked. What earlier links already join is passed over. First each block meets itself and
+   the first block. Then only sets outside the component's largest part so far can have links that are missing: these
+   meet all blocks. So a group of near copies, which the first block joins up, costs tasks in proportion to its size.
 5. Links of components of several blocks are joined up by connected components.
 
 All copies are in their class and no link between different sets is lost; what leaves a task is a spanning forest.
@@ -178,12 +179,12 @@ def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> Da
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sigs array<long>, bits binary")
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
-    """Least position in the component of each set. With cross, only sets of different sides are compared."""
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Least position in the component of each set. Equal labels are joined already; two sets of side 0 are not compared."""
     n_sets = len(sets)
     order = np.array(sorted(range(n_sets), key=lambda i: len(sets[i])), dtype=np.int64)
     sets = [sets[i] for i in order]
-    side = side[order]
+    side, label = side[order], label[order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(n_sets), sizes)
@@ -191,7 +192,8 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int,
     vocab, starts, counts = np.unique(tokens[by], return_index=True, return_counts=True)
     postings = owner[by]
     keys = np.repeat(np.arange(len(vocab)), counts) * n_sets + postings
-    root = np.arange(n_sets)
+    _, first, same = np.unique(label, return_index=True, return_inverse=True)
+    root = first[same]
     for q in range(n_sets):
         n = int(sizes[q])
         if not n:
@@ -209,8 +211,8 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int,
             run = run[: np.searchsorted(run, q)]
             if len(run):
                 run = run[(root[run] != root[q]) & (sizes[run] >= least)]
-                if cross:
-                    run = run[side[run] != side[q]]
+                if not side[q]:
+                    run = run[side[run] > 0]
                 if len(run):
                     runs.append(run.tolist())
         if not runs:
@@ -249,11 +251,36 @@ def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def _linked(source: DataFrame, dealt: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Runs the tasks (root, bi, bj) of dealt: r and the links a < b of a spanning forest of each task's sets."""
+    schema = pa.schema([("r", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def task(t: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list] = {}
+        for rep, h1, h2, side, label, text in zip(*(t.column(c).to_pylist() for c in ("rep", "h1", "h2", "side", "label", "t")), strict=True):
+            if (h1, h2) in found:
+                found[h1, h2][1] = max(found[h1, h2][1], side)
+                continue
+            h = shingles(text, size)
+            if _digest(h) == (h1, h2):  # a row of the same id may hold another text
+                found[h1, h2] = [rep, side, label, h]
+        rows = sorted(found.values(), key=lambda x: x[0])
+        if len(rows) < 2:
+            return schema.empty_table()
+        reps = [x[0] for x in rows]
+        place = divide_skip([x[3] for x in rows], np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), num, den)
+        pairs = [(reps[p], reps[i]) for i, p in enumerate(place.tolist()) if p != i]
+        return pa.table([pa.array([t.column("r")[0].as_py()] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
+
+    texts = bit_filter(source, F.col("id"), dealt, "rep").join(dealt, F.col("id") == F.col("rep")).select("rep", "h1", "h2", "root", "r", "bi", "bj", "side", "label", "t")
+    return texts.groupBy("root", "bi", "bj").applyInArrow(task, "r long, a long, b long")
+
+
 def link(
     docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 500, often: int = 3, ranked: int = 200_000, few: int = 12,
 ) -> DataFrame:
     """One row per row of docs: id, n (shingles) and component (the least id that links reach, its own included)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    source, lit0 = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), F.lit(0).cast("long")
     sets = scratch.stage(describe(source, size, num, den, frequent(source, size, often, ranked)), "sets")
     classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
@@ -268,34 +295,26 @@ def link(
     coarse = components(edges, scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
-    dealt = member.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("r")))
-    dealt = dealt.select("rep", "h1", "h2", "root", "r", "blk", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("o"))
-    dealt = dealt.select("rep", "h1", "h2", "root", "r", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
-    dealt = scratch.stage(dealt, "dealt")
-    schema = pa.schema([("r", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def task(t: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
-        for rep, h1, h2, blk, text in zip(*(t.column(c).to_pylist() for c in ("rep", "h1", "h2", "blk", "t")), strict=True):
-            h = shingles(text, size)
-            if _digest(h) == (h1, h2):  # a row of the same id may hold another text
-                found.setdefault((h1, h2), (rep, blk, h))
-        rows = sorted(found.values(), key=lambda x: x[0])
-        reps = [x[0] for x in rows]
-        if len(rows) < 2:
-            return schema.empty_table()
-        cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
-        place = divide_skip([x[2] for x in rows], np.array([x[1] for x in rows]), cross, num, den)
-        pairs = [(reps[p], reps[i]) for i, p in enumerate(place.tolist()) if p != i]
-        return pa.table([pa.array([t.column("r")[0].as_py()] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
-
-    texts = bit_filter(source, F.col("id"), dealt, "rep").join(dealt, F.col("id") == F.col("rep")).select("rep", "h1", "h2", "root", "r", "blk", "bi", "bj", "t")
-    links = scratch.stage(texts.groupBy("root", "bi", "bj").applyInArrow(task, "r long, a long, b long"), "links")
+    placed = scratch.stage(member.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("r"))), "placed")
+    own = placed.select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), F.col("rep").alias("label"))
+    pivots = placed.where("blk = 0 and r > 1").select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("r") - 1)).alias("bj"), F.lit(0).alias("side"), F.col("rep").alias("label"))
+    links = scratch.stage(_linked(source, scratch.stage(own.union(pivots), "dealt"), size, num, den), "links")
+    wide = placed.where("r > 1")
+    parts = components(links.where("r > 1").select("a", "b"), scratch, "parts").select(F.col("node").alias("rep"), F.col("root").alias("part"))
+    labelled = scratch.stage(wide.join(parts, "rep", "left").select(*wide.columns, F.coalesce("part", "rep").alias("label")), "labelled")
+    largest = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rest = labelled.join(largest, "root").where("label <> main")
+    chunks = rest.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("chunks"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    chunk = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks"))
+    asking = rest.join(chunks, "root").select("rep", "h1", "h2", "root", "r", chunk.alias("bi"), upto("r").alias("bj"), F.lit(1).alias("side"), "label")
+    asked = labelled.join(chunks, "root").select("rep", "h1", "h2", "root", "r", upto("chunks").alias("bi"), F.col("blk").alias("bj"), lit0.cast("int").alias("side"), "label")
+    more = scratch.stage(_linked(source, scratch.stage(asking.union(asked), "dealt-rest"), size, num, den), "links-rest")
     whole = links.where("r = 1").select(F.col("b").alias("rep"), F.col("a").alias("lead"))
-    split = components(links.where("r > 1").select("a", "b"), scratch, "split")
+    split = components(links.where("r > 1").union(more).select("a", "b"), scratch, "split")
     lead = whole.union(split.select(F.col("node").alias("rep"), F.col("root").alias("lead")))
     named = scratch.stage(classes.join(lead, "rep", "left").select("h1", "h2", F.coalesce("lead", "rep").alias("component")), "named")
-    scratch.drop("classes", "shared", "pairs", "members", "dealt", "links")
+    scratch.drop("classes", "shared", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest")
     return sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 

@@ -75,3 +75,21 @@ def test_edges_of_input(spark):
     kept = jaccard_join.keep_one(extra, Scratch(spark, "t"), size=3, num=90, den=100)
     assert kept.columns == extra.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 4, 9]
+
+
+def test_chains_and_large_groups_over_blocks(spark):
+    rng = random.Random(11)
+    rows, words = [], [f"w{k}" for k in range(70)]
+    for i in range(70):  # neighbours link, ends do not
+        words = words[:]
+        words[rng.randrange(70)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60):  # one group around a text, and some that only come near it
+        w = [f"v{k}" for k in range(80)]
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            w[rng.randrange(80)] = f"y{rng.randrange(3)}"
+        rows.append((1000 - i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, few in ((90, 12), (93, 2)):
+        got = jaccard_join.link(frame, Scratch(spark, "t"), size=2, num=num, den=100, block_docs=9, few=few)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 2, num, 100)
