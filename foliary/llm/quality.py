@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -194,7 +194,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: st
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for texts in batches:
-            yield pa.array(scorer.score(texts.to_pylist()), pa.float64())
+            parts = (texts.slice(i, 256).to_pylist() for i in range(0, len(texts), 256))  # few texts at a time as Python strings
+            yield pa.array([s for part in parts for s in scorer.score(part)], pa.float64())
 
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, T.DoubleType())(F.col(f"`{text_col}`").cast("string")).alias(score_col))
 
