@@ -59,8 +59,8 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
     return flow
 
 
-def transfers(blocks: dict[tuple[int, int], int], n_new: int, rounds: int = 20_000) -> dict[tuple[int, int], int]:
-    """The new shard of each block (old shard, block). Shards keep their number; moved bytes are as few as blocks allow."""
+def transfers(blocks: dict[tuple[int, int], int], n_new: int, rounds: int = 20_000, even: float = 0.001) -> dict[tuple[int, int], int]:
+    """The new shard of each block (old shard, block); loads differ by at most `even` of their mean, if blocks allow it."""
     n_old = max((s for s, _ in blocks), default=-1) + 1
     supply = [0] * n_old
     for (s, _), size in blocks.items():
@@ -71,16 +71,18 @@ def transfers(blocks: dict[tuple[int, int], int], n_new: int, rounds: int = 20_0
     home = {}
     for i in range(n_old):
         mine = sorted((b for b in blocks if b[0] == i), key=lambda b: (-blocks[b], b))
-        want = {j: f for j, f in enumerate(flow[i]) if f}
-        for b in mine:  # the largest blocks first, each to the flow with the most room left
-            j = max(want, key=lambda j: (want[j], j == i, -j)) if want else i % n_new
-            home[b] = j
-            if j in want:
-                want[j] -= blocks[b]
-    return _even_out(blocks, home, n_new, demand, rounds)
+        want = {j: f for j, f in enumerate(flow[i]) if f and j != i}
+        for b in mine:  # the largest blocks first, each to the outward flow with the most room, if it fits there
+            j = max(want, key=lambda j: (want[j], -j), default=i)
+            if i >= n_new or (j != i and want[j] >= blocks[b]):
+                home[b] = j % n_new
+                want[j] = want.get(j, 0) - blocks[b]
+            else:
+                home[b] = i
+    return _even_out(blocks, home, n_new, demand, rounds, even)
 
 
-def _even_out(blocks, home, n_new: int, demand: list[int], rounds: int) -> dict[tuple[int, int], int]:
+def _even_out(blocks, home, n_new: int, demand: list[int], rounds: int, even: float) -> dict[tuple[int, int], int]:
     """Moves or trades blocks between the fullest and the emptiest shard while that brings the two closer."""
     load = [-d for d in demand]
     of: list[set] = [set() for _ in range(n_new)]
@@ -90,6 +92,8 @@ def _even_out(blocks, home, n_new: int, demand: list[int], rounds: int) -> dict[
     for _ in range(rounds):
         hi, lo = max(range(n_new), key=lambda j: (load[j], -j)), min(range(n_new), key=lambda j: (load[j], j))
         gap = load[hi] - load[lo]
+        if gap <= even * sum(demand) / n_new:
+            break
         there = sorted((blocks[b], b) for b in of[lo])
         best = None
         for b in sorted(of[hi]):
