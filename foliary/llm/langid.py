@@ -145,7 +145,8 @@ def fit(
         return Model([], {})
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, docs_per_lang / n))])
     sample = known.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < rate[F.col("_l")] * 1_000_000)
-    partial = sample.select("_l", "_t").mapInArrow(lambda it: _counts(it, longest), "lang string, n int, gram string, count long")
+    sample = sample.select("_l", "_t").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a bounded sample, wherever its rows lie
+    partial = sample.mapInArrow(lambda it: _counts(it, longest), "lang string, n int, gram string, count long")
     summed = partial.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     by = Window.partitionBy("lang", "n")
     kept = summed.withColumn("total", F.sum("count").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("count"), "gram"))).where(F.col("r") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
