@@ -343,7 +343,7 @@ def listing_rows(spark, d):
         cell(F.when(c("o_orderkey") % 4 == 0, "none").otherwise(F.concat(lit('<a href="acc/'), "o_orderkey", lit('.pdf">PDF</a>')))), cell(lit("High\n Court")), cell(c("o_custkey").cast("string")), cell(lit("soon")), lit("</tr></table>"),
     )
     pages = read(spark, d, "orders").select(c("o_orderkey").alias("page"), row.alias("html"))
-    return markup.listing(pages, "https://h.example/").withColumn("court", F.regexp_replace("court", r"\s+", " "))
+    return markup.listing(pages, "https://h.example/", tasks=spark.sparkContext.defaultParallelism).withColumn("court", F.regexp_replace("court", r"\s+", " "))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
