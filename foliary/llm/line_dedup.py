@@ -12,6 +12,12 @@ direct: a chain of small edits does not join its ends.
    2 * distance + 1 diagonals, held in one integer, and stops counting beyond the distance.
 4. Documents are put together again from the lines that stay.
 
+With `per_chars`, two lines may differ by one edit in so many characters of the longer one, and by `distance` if that is more.
+Then steps 2 and 3 are others: of a line that may differ by k edits the q * k + 1 least q-grams by hash are its prefix, which
+holds k + 1 that do not overlap. One of those outlives the edits, so of two similar lines the one whose prefix ends first
+shares such a gram with the other's prefix, at places no more than the edits apart (the pivotal prefix filter, exact under any
+order). What is left of candidates between their common prefix and suffix goes to Spark's own banded distance.
+
 Null texts stay null; empty texts, and lines shorter than min_chars, stay as they are. Rows that repeat in id and text are one
 document that is stored twice and are treated alike. Null ids come before all others.
 """
@@ -84,6 +90,28 @@ def banded_distance(a: Column, b: Column, k: int) -> Column:
     return F.aggregate(F.when(F.length(b) > 0, F.split(b, "")).otherwise(F.array().cast("array<string>")), start, step, lambda s: s["d"])
 
 
+def allowed(length: Column, distance: int, per_chars: int) -> Column:
+    """Edits that a line of that length and one that is no longer may differ by."""
+    return F.greatest(F.lit(distance), F.floor(length / per_chars).cast("int"))
+
+
+def gram_keys(line: Column, length: Column, distance: int, per_chars: int, q: int) -> Column:
+    """Array of (key, own, pos): the prefix of q-grams; own marks those that do not overlap, from the left."""
+    most = F.greatest(F.lit(distance), F.floor(length / (per_chars - 1)).cast("int"))  # with a longer line, too
+    grams = F.transform(F.sequence(F.lit(0), length - q), lambda p: F.xxhash64(F.substr(line, p + 1, F.lit(q))))
+    bound = F.transform(F.array(grams), lambda g: F.struct(g.alias("g"), F.get(F.sort_array(g), most * q).alias("last")))[0]
+    start = F.struct(F.lit(-q).alias("end"), F.array().cast("array<struct<key:bigint,own:boolean,pos:int>>").alias("keys"))
+
+    def prefix(s: Column) -> Column:
+        return F.filter(F.transform(s["g"], lambda h, i: F.struct(h.alias("key"), i.alias("pos"))), lambda x: x["key"] <= s["last"])
+
+    def pick(s: Column, x: Column) -> Column:
+        free = x["pos"] - s["end"] >= q
+        return F.struct(F.when(free, x["pos"]).otherwise(s["end"]).alias("end"), F.concat(s["keys"], F.array(F.struct(x["key"].alias("key"), free.alias("own"), x["pos"].alias("pos")))).alias("keys"))
+
+    return F.transform(F.array(bound), lambda s: F.aggregate(prefix(s), start, pick, lambda a: a["keys"]))[0]
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, th, no, line of each line that is compared; docs has doc, th, t."""
     return docs.select("doc", "th", F.posexplode(F.split("t", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
@@ -93,16 +121,30 @@ def _id(line: str) -> tuple[Column, Column]:
     return F.xxhash64(F.col(line)).alias("id"), F.xxhash64(F.lit(7), F.col(line)).alias("id2")
 
 
-def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_chars: int = 16) -> DataFrame:
+def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_chars: int = 16, per_chars: int | None = None) -> DataFrame:
     """doc, th and `drops`, the positions of the lines that go; for documents that lose any. docs has doc, th, t."""
     lines = occurrences(docs, min_chars)
-    seen = lines.select(*_id("line"), F.struct("doc", "th", "no").alias("at"), F.length("line").alias("len"), substring_keys(F.col("line"), F.length("line"), distance).alias("keys"))
+    q = min(8, min_chars // (distance + 1), (per_chars - 1) // 2) if per_chars else 0
+    if per_chars and q < 1:
+        raise ValueError(f"lines of {min_chars} characters and an edit in {per_chars} leave no grams for {distance} edits")
+    keys = gram_keys(F.col("line"), F.length("line"), distance, per_chars, q) if per_chars else substring_keys(F.col("line"), F.length("line"), distance)
+    seen = lines.select(*_id("line"), F.struct("doc", "th", "no").alias("at"), F.length("line").alias("len"), keys.alias("keys"))
     distinct = scratch.stage(seen.groupBy("id", "id2").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.max("len").alias("len"), F.max("keys").alias("keys")), "distinct")
     keyed = distinct.select("id", "id2", F.explode("keys").alias("k")).select("id", "id2", "k.key", "k.own")
     x, y = keyed.where("own").select("key", F.col("id").alias("a"), F.col("id2").alias("a2")), keyed.select("key", "own", F.col("id").alias("b"), F.col("id2").alias("b2"))
+    if per_chars:
+        keyed = distinct.select("id", "id2", "len", F.explode("keys").alias("k")).select("id", "id2", "len", "k.key", "k.own", "k.pos")
+        x = keyed.where("own").select("key", F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("len").alias("len_a"), F.col("pos").alias("pos_a"))
+        y = keyed.select("key", "own", F.col("id").alias("b"), F.col("id2").alias("b2"), "len", "pos")
+        k = allowed(F.greatest("len", "len_a"), distance, per_chars)
+        close = (F.abs(F.col("len") - F.col("len_a")) <= k) & (F.abs(F.col("pos") - F.col("pos_a")) <= k)
     differ = (F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2"))
     once = ~F.col("own") | (F.struct("a", "a2") < F.struct("b", "b2"))
-    pairs = scratch.stage(x.join(y, "key").where(differ & once).select("a", "a2", "b", "b2").distinct(), "pairs")
+    met = x.join(y, "key").where(differ & once)
+    if per_chars:  # a pair that meets from both sides counts once
+        swap = F.struct("a", "a2") > F.struct("b", "b2")
+        met = met.where(close).select(*[F.when(swap, F.col(v)).otherwise(F.col(u)).alias(u) for u, v in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))])
+    pairs = scratch.stage(met.select("a", "a2", "b", "b2").distinct(), "pairs")
     sides = scratch.stage(pairs.select(F.col("a").alias("id"), F.col("a2").alias("id2")).union(pairs.select("b", "b2")).distinct().join(distinct.select("id", "id2", "first"), ["id", "id2"]), "sides")
     near = bit_filter(docs, F.col("doc"), sides.select(F.col("first.doc").alias("doc")), "doc")
     texts = occurrences(near, min_chars).select("doc", "th", "no", "line").join(sides.select("id", "id2", "first", F.col("first.th").alias("th"), F.col("first.no").alias("no")), ["th", "no"])
@@ -110,7 +152,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_c
     texts = scratch.stage(texts, "texts")
     of = lambda s: texts.select(F.col("id").alias(s), F.col("id2").alias(f"{s}2"), F.col("first").alias(f"first_{s}"), F.col("line").alias(f"line_{s}"))
     both = pairs.join(of("a"), ["a", "a2"]).join(of("b"), ["b", "b2"])
-    similar = both.where(within(F.col("line_a"), F.col("line_b"), distance))
+    similar = both.where(within(F.col("line_a"), F.col("line_b"), distance, per_chars))
     later = similar.select(F.when(F.col("first_a") < F.col("first_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2"))).alias("x")).select("x.*").distinct()
     removed = scratch.stage(later.withColumn("similar", F.lit(True)), "removed")
     notable = distinct.select("id", "id2", "first", "c").join(removed, ["id", "id2"], "left").where("c > 1 or similar").select("id", "id2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
@@ -119,21 +161,24 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_c
     return places.groupBy("doc", "th").agg(F.collect_set("no").alias("drops"))
 
 
-def within(a: Column, b: Column, distance: int) -> Column:
+def within(a: Column, b: Column, distance: int, per_chars: int | None = None) -> Column:
     """Whether a and b are within so many edits, by what is left between their common prefix and suffix."""
     longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
     cut = F.transform(F.array(F.struct(longer.alias("x"), shorter.alias("y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), common_prefix(s["x"], s["y"], lambda c, n: F.left(c, n)).alias("p")))
     cut = F.transform(cut, lambda s: F.struct(F.substring(s["x"], s["p"] + 1, F.length(s["x"])).alias("x"), F.substring(s["y"], s["p"] + 1, F.length(s["y"])).alias("y")))
     cut = F.transform(cut, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), common_prefix(s["x"], s["y"], lambda c, n: F.right(c, n)).alias("q")))
     cut = F.transform(cut, lambda s: F.struct(F.left(s["x"], F.length(s["x"]) - s["q"]).alias("x"), F.left(s["y"], F.length(s["y"]) - s["q"]).alias("y")))
+    if per_chars:
+        k = allowed(F.length(longer), distance, per_chars)
+        return F.transform(cut, lambda s: F.call_function("levenshtein", s["x"], s["y"], k) >= 0)[0]
     return F.transform(cut, lambda s: (F.length(s["x"]) - F.length(s["y"]) <= distance) & (banded_distance(s["x"], s["y"], distance) <= distance))[0]
 
 
-def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 1, min_chars: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 1, min_chars: int = 16, per_chars: int | None = None) -> DataFrame:
     """The rows of docs with their texts less the lines that go, and columns _n_lines and _n_removed."""
     text = F.col(text_col).cast("string")
     bare = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("t"))
-    drops = scratch.stage(dropped_lines(bare, scratch, distance=distance, min_chars=min_chars), "drops")
+    drops = scratch.stage(dropped_lines(bare, scratch, distance=distance, min_chars=min_chars, per_chars=per_chars), "drops")
     scratch.drop("distinct", "pairs", "sides", "texts", "removed", "notable")
     drops = drops.select(F.col("doc").alias("__dedup_doc"), F.col("th").alias("__dedup_th"), F.col("drops").alias("__dedup_drops"))
     joined = docs.withColumn("__dedup_hash", F.xxhash64(text)).join(drops, (F.col("__dedup_hash") == F.col("__dedup_th")) & F.col(id_col).eqNullSafe(F.col("__dedup_doc")), "left")

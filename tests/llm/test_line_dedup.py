@@ -74,3 +74,27 @@ def test_equals_brute_force(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup(frame, Scratch(spark, "t")).count() == 0
+
+
+def test_threshold_by_length(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([16, 25, 39, 41, 70, 130]))) for _ in range(12)]
+
+    def line():
+        s = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 7, 8])):
+            at, r = rng.randint(0, len(s)), rng.random()
+            s[at : at + (r < 0.6)] = [rng.choice("xyz")] if r > 0.3 else []
+        return "".join(s)
+
+    lines = [line() for _ in range(240)] + ["q" * 400, "q" * 419, "q" * 441]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    first = {}
+    for i, x in enumerate(lines):
+        if len(x) >= 16:
+            first.setdefault(x, i)
+    near = lambda a, b: abs(len(a) - len(b)) <= (k := max(1, max(len(a), len(b)) // 20)) and edits(a, b) <= k
+    want = {i for i, x in enumerate(lines) if x in first and (first[x] != i or any(first[a] < i and a != x and near(a, x) for a in first))}
+    got = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16, per_chars=20).where("_n_removed > 0").collect()}
+    one = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16).where("_n_removed > 0").collect()}
+    assert got == want and len(one) < len(want) < len(lines)
