@@ -3,7 +3,7 @@
 quality: documents that score under 0.3 go. line_dedup: lines that an equal or nearly equal line precedes go, and documents
 that lose all their text with them. near_duplicates: of documents that links of Jaccard similarity 0.8 on five-word shingles
 join, the one with the least id stays. decontamination: documents of which a twentieth or more lies in 13-word windows of
-benchmark items go. packing: what is left is cut and packed into sequences of 1024 ids.
+benchmark items go, and from the others the runs of 13 or more such words. packing: what is left is cut and packed into sequences of 1024 ids.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=13, coverage=(1, 20))
+    """n_chars follows the text."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars" if "n_chars" in docs.columns else None, window=13, coverage=(1, 20))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

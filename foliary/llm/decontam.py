@@ -2,12 +2,16 @@
 
 The words of all test items form one automaton. A document's words are streamed through it and the longest match
 ending at each word is tracked: a match of at least `window` words holds a window of some item, and an item of
-fewer words counts as one window. Words inside such matches are hit. Runs of words that cannot hold a window, by
+fewer words counts as one window. Words inside such matches are hit; a span is a run of hit words. Runs of words that cannot hold a window, by
 the items' word pairs, leave the automaton in its start state and are skipped in bulk.
 
 The automaton is built of at most `max_words` words at a time; more items make more automata, which documents pass
 one after another, so what is broadcast is bounded whatever the table of items.
 
+Decontamination has two limits. Documents that reach the coverage limit go. From the others, spans over the length limit are
+cut, from their first word's first byte to their last word's last, and what is left is searched again, since a cut can
+bring the halves of a passage together.
+
 Null and empty texts have no words. An empty table of items, or items without words, hit nothing. Items sharing an
 id count once. Repeated document rows are judged each for itself.
 """
@@ -15,6 +19,7 @@ id count once. Repeated document rows are judged each for itself.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, number of words) of each run of hit words."""
+    edges = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    begins = np.flatnonzero(edges == 1)
+    return list(zip(begins.tolist(), (np.flatnonzero(edges == -1) - begins).tolist(), strict=True))
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text less those spans; what separates them from their neighbours stays."""
+    at = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_FOLD))]
+    kept, end = [], 0
+    for first, n in spans:
+        kept.append(text[end : at[first][0]])
+        end = at[first + n - 1][1]
+    return b"".join([*kept, text[end:]])
+
+
 class Automaton:
     """Suffix automaton of many word sequences, with the items of each window."""
 
@@ -173,34 +195,65 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int, max_word
 
 
 def scan(
-    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), max_words: int = 1_000_000, out: str = "_scan",
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), max_words: int = 1_000_000,
+    spans: bool = False, max_span: int | None = None, out: str = "_scan",
 ) -> DataFrame:
     """The rows of docs, each with a struct column `out`: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    contaminated: some word is hit, and hits are at least coverage[0] / coverage[1] of the words.
+    contaminated: some word is hit, and hits are at least coverage[0] / coverage[1] of the words. With `spans` also
+    spans, an array of (first, n) in words, and cleaned, the text less all spans of more than max_span words (by default
+    window - 1) if there are any and the document is not contaminated, or else null.
     """
     sc = docs.sparkSession.sparkContext
     chunks = [sc.broadcast(a) for a in automata(items, item_id, item_text, window, max_words)]
     num, den = coverage
+    most = window - 1 if max_span is None else max_span
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
+    if spans:
+        arrow = pa.struct([*arrow, ("spans", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), ("cleaned", pa.string())])
+        kind = T.StructType([*kind, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("n", T.LongType())]))), T.StructField("cleaned", T.StringType())])
+
+    def hits(words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        hit, found = np.zeros(len(words), dtype=bool), set()
+        for chunk in chunks:
+            chunk.value.scan(words, hit, found)
+        return hit, found
+
+    def cleaned(text: bytes, hit: np.ndarray) -> str | None:
+        cut = None
+        while over := [x for x in spans_of(hit) if x[1] > most]:
+            cut = text = without_spans(text, over)
+            hit, _ = hits(words_of(text))
+        return cut if cut is None else cut.decode("utf-8", "replace")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found_of = []
             for text in texts:
-                words = words_of(text.as_py() or b"")
-                hit, found = np.zeros(len(words), dtype=bool), set()
-                for chunk in chunks:
-                    chunk.value.scan(words, hit, found)
+                raw = text.as_py() or b""
+                words = words_of(raw)
+                hit, found = hits(words)
                 n = int(hit.sum())
-                found_of.append((len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and den * n >= num * len(words)))
-            cols = list(zip(*found_of, strict=True)) if found_of else [()] * 5
+                bad = n > 0 and den * n >= num * len(words)
+                more = ([{"first": a, "n": b} for a, b in spans_of(hit)], cleaned(raw, hit) if n and not bad else None) if spans else ()
+                found_of.append((len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bad, *more))
+            cols = list(zip(*found_of, strict=True)) if found_of else [()] * len(arrow)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, kind)(F.col(f"`{text_col}`").cast("binary")).alias(out))
+    judge = F.arrow_udf(run, kind)
+    judge = judge.asNondeterministic() if spans else judge  # so that a filter on a field does not run it once more
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], judge(F.col(f"`{text_col}`").cast("binary")).alias(out))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that the coverage rule leaves, with their own columns and untouched texts."""
-    return scan(docs, items, out="__scan", **options).where("not __scan.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The documents that the coverage rule leaves, with their own columns and their texts less spans over the length limit.
+
+    length_col, if named, follows the texts that are cut.
+    """
+    left = scan(docs, items, text_col=text_col, spans=True, out="__scan", **options).where("not __scan.contaminated")
+    text = F.col("__scan.cleaned")
+    new = {text_col: text.cast(docs.schema[text_col].dataType)}
+    if length_col:
+        new[length_col] = F.length(text).cast(docs.schema[length_col].dataType)
+    return left.select(*[F.when(text.isNotNull(), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -63,3 +63,21 @@ def test_empty_tables_and_filter(spark):
     kept = decontam.decontaminate(docs, spark.createDataFrame([(1, "B")], "item_id long, text string"))
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
     assert decontam.scan(docs.where("false"), none).count() == 0
+
+
+def test_spans_below_the_coverage_rule(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    free = lambda n: " ".join(f"x{i}" for i in range(n))
+    part = " ".join(item.split()[4:20])
+    broken = " ".join(item.split()[:7]) + " " + part + " " + " ".join(item.split()[7:20])  # a cut joins its halves
+    docs = [(1, f"É, {free(900)} ({part})! é {free(5)}", 0), (2, part + free(20), 0), (3, free(50), 7), (4, f"{free(900)}\n{broken}\n{free(900)}", 0), (5, None, 7), (6, f"{free(900)} short item", 7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(1, item), (2, "short item")], "item_id long, text string")
+    first = decontam.scan(frame, bench, spans=True).where("doc_id = 1").select("_scan.*").first()
+    assert [tuple(x) for x in first.spans] == [(901, 16)]
+    got = {r.doc_id: r for r in decontam.decontaminate(frame, bench, length_col="n_chars").collect()}
+    assert sorted(got) == [1, 3, 4, 5, 6] and all(got[d].text == docs[d - 1][1] and got[d].n_chars == 7 for d in (3, 5, 6))
+    assert "w5" not in got[1].text and got[1].text.startswith("É, x0 ") and got[1].text.endswith(f" é {free(5)}") and got[1].n_chars == len(got[1].text)
+    assert decontam.scan(spark.createDataFrame([tuple(got[4])[:2]], "doc_id long, text string"), bench).select("_scan.n_hit").first().n_hit == 0
+    assert decontam.decontaminate(frame, bench, max_span=40, length_col="n_chars").where("doc_id = 1").first().text == docs[0][1]
+    assert "short item" not in decontam.decontaminate(frame, bench, max_span=0).where("doc_id = 6").first().text
