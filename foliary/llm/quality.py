@@ -66,7 +66,7 @@ def _pairs(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def document_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a document and their weights in its mean."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     distinct, at = np.unique(np.array(words, dtype=object), return_inverse=True)
     owner, bucket, hashes = word_features(distinct.tolist(), buckets)
     times = np.bincount(at, minlength=len(distinct))
@@ -74,10 +74,10 @@ def document_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.nd
     pairs = _pairs(hashes[at], buckets)
     bucket, weight = np.concatenate([bucket, pairs]), np.concatenate([weight, np.ones(len(pairs))])
     ids, where = np.unique(bucket, return_inverse=True)
-    return ids, (np.bincount(where, weights=weight) / (len(words) + len(pairs))).astype(np.float32)
+    return ids.astype(np.int32), (np.bincount(where, weights=weight) / (len(words) + len(pairs))).astype(np.float32)
 
 
-def train(samples: list[tuple[list[str], int]], *, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def train(samples: list[tuple[str | None, int]], *, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Class logits of each bucket, and of the empty document. Samples are visited in an order that the seed fixes."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -89,7 +89,7 @@ def train(samples: list[tuple[list[str], int]], *, buckets: int, dim: int, epoch
         share = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros((buckets, 2), np.float32), np.array([np.log(1 - share), np.log(share)], np.float32)
     weigh = counts.sum() / (2 * counts)
-    docs = [document_features(w, buckets) for w, _ in samples]
+    docs = [document_features((t or "").split(), buckets) for t, _ in samples]
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)).tolist():
@@ -152,23 +152,14 @@ class Scorer:
         return out
 
 
-def _spread(text: str | None, most: int, longest: int) -> list[str]:
-    """At most `most` words in runs of eight spread over the text, each cut to `longest` characters; training only."""
-    words = (text or "").split()
-    if len(words) > most:
-        starts = np.linspace(0, len(words) - 8, most // 8).astype(int).tolist()
-        words = [w for at in starts for w in words[at : at + 8]]
-    return [w[:longest] for w in words]
-
-
 def fit(
-    docs: DataFrame, labels: DataFrame, keep, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_words: int = 400, buckets: int = 1 << 17,
+    docs: DataFrame, labels: DataFrame, keep, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, buckets: int = 1 << 17,
     dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Learns from about max_docs labelled rows of docs (half of each class where there are so many) that `keep` admits.
 
     The sample is drawn by a hash of the id, at a rate that the counts of the classes fix, so it is the same each time.
-    A document with several labels takes its largest. Words beyond max_words of a sampled document are not learned from.
+    A document with several labels takes its largest. Sampled texts are learned from whole.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.where(keep(F.col("_id")))
@@ -179,12 +170,11 @@ def fit(
         share = F.when(F.col("_y") == y, F.lit(rate_of)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_000))
     chosen = known.where(draw < share * 1_000_000)
-    spread = F.pandas_udf(lambda s: s.map(lambda t: "\n".join(_spread(t, max_words, 64))), "string")
     # what no class would draw is left out before the texts are moved
     drawn = docs.select(F.col(id_col).cast(known.schema["_id"].dataType).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(draw < max(rates.values(), default=0.0) * 1_000_000)
-    rows = drawn.select("_id", spread("_t").alias("_w")).join(chosen, "_id").select("_id", "_y", "_w").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_w"] or ""))
-    return train([((r["_w"] or "").split("\n") if r["_w"] else [], r["_y"]) for r in rows], buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed)
+    rows = drawn.join(F.broadcast(chosen), "_id").select("_id", "_y", "_t").collect()
+    rows.sort(key=lambda r: (r["_id"], r["_t"] or ""))
+    return train([(r["_t"], r["_y"]) for r in rows], buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str = "text", score_col: str = "_score") -> DataFrame:

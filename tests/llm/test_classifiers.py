@@ -60,3 +60,14 @@ def test_quality_without_two_classes(spark):
     ones = spark.createDataFrame([(1, 1), (1, None), (None, 0)], "doc_id long, quality int")
     assert all(r._score > 0.99 for r in quality.score(docs, quality.fit(docs, ones, lambda c: F.lit(True))).collect())
     assert quality.keep_good(docs, quality.fit(docs, ones, lambda c: F.lit(True))).columns == ["doc_id", "text"]
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    texts = {i: " ".join([f"w{i}.{k}" for k in range(1000)] + ["x" * 80]) for i in range(20)}
+    docs = spark.createDataFrame([*texts.items(), (20, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, quality int")
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda samples, **options: seen.extend(samples) or train(samples, **options))
+    quality.fit(docs, labels, lambda c: F.lit(True))
+    words = lambda t: t.split() if isinstance(t, str) else list(t or ())
+    assert [(words(t), y) for t, y in seen] == [(words(texts.get(i)), i % 2) for i in range(21)]
