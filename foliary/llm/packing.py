@@ -42,34 +42,55 @@ def ids_of(text: str | None, enc, end_id: int) -> np.ndarray:
     return np.asarray(ids, dtype="<u4")
 
 
-def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, probe: int = 16) -> list[tuple[int, int, int, int, int]]:
+def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Deals runs of ids to the fewest sequences that can hold them: (item, start, length, sequence, offset).
 
-    Items go in descending cost, ties by position. Each takes the cheapest sequence with room for all of it, among
-    the `probe` cheapest; if none of them has that, it is cut to the room of the cheapest and its rest goes on.
+    Items go in descending cost, ties by position. Each takes the cheapest sequence with room for all of it; if none has
+    that, it is cut to the room of the cheapest and its rest goes on. Sequences lie in heaps by room, and a tree over
+    the rooms holds the least of each range.
     """
     n_seq = -(-sum(lengths) // capacity)
     room = [capacity] * n_seq
-    heap = [(0.0, s) for s in range(n_seq)]
+    size = 1 << capacity.bit_length()
+    none = (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    heaps[capacity] = [(0.0, s) for s in range(n_seq)]
+    least = [none] * (2 * size)
+
+    def renew(r: int) -> None:
+        i = size + r
+        least[i] = heaps[r][0] if heaps[r] else none
+        while i > 1:
+            i //= 2
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def cheapest(r: int) -> tuple[float, int]:
+        """Of the sequences with room for r ids or more."""
+        i = size + r
+        found = least[i]
+        while i > 1:
+            if i % 2 == 0:
+                found = min(found, least[i + 1])
+            i //= 2
+        return found
+
+    renew(capacity)
     out = []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[item]
         while left:
-            passed = []
-            while heap and len(passed) < probe and room[heap[0][1]] < left:
-                passed.append(heapq.heappop(heap))
-            if heap and room[heap[0][1]] >= left:
-                cost, s = heapq.heappop(heap)
-            else:
-                cost, s = passed.pop(0)
-            for x in passed:
-                heapq.heappush(heap, x)
+            cost, s = cheapest(left) if left <= capacity else none
+            if s < 0:
+                cost, s = least[1]
+            heapq.heappop(heaps[room[s]])
+            renew(room[s])
             take = min(left, room[s])
             out.append((item, start, take, s, capacity - room[s]))
             room[s] -= take
             start, left = start + take, left - take
             if room[s]:
-                heapq.heappush(heap, (cost + linear * take + quadratic * take * take, s))
+                heapq.heappush(heaps[room[s]], (cost + linear * take + quadratic * take * take, s))
+                renew(room[s])
     return out
 
 

@@ -54,3 +54,24 @@ def test_balance():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+
+
+def test_balance_takes_the_cheapest_with_room():
+    def naive(lengths, capacity, linear, quadratic):
+        n_seq = -(-sum(lengths) // capacity)
+        room, cost, out = [capacity] * n_seq, [0.0] * n_seq, []
+        for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            start, left = 0, lengths[item]
+            while left:
+                fit = [s for s in range(n_seq) if room[s] >= left] or [s for s in range(n_seq) if room[s]]
+                s = min(fit, key=lambda s: (cost[s], s))
+                take = min(left, room[s])
+                out.append((item, start, take, s, capacity - room[s]))
+                room[s], cost[s] = room[s] - take, cost[s] + linear * take + quadratic * take * take
+                start, left = start + take, left - take
+        return out
+
+    rng = random.Random(4)
+    for capacity, most, n in [(100, 100, 500), (100, 60, 700), (64, 64, 900), (7, 20, 200)]:
+        lengths = [rng.randint(1, most) for _ in range(n)]
+        assert packing.balance(lengths, capacity, 1.0, 1.0 / 64) == naive(lengths, capacity, 1.0, 1.0 / 64)
