@@ -188,10 +188,19 @@ def backfill_missing(spark, d):
     return read(spark, d, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
 
 
+def _downloads(spark, d, limit=None):
+    rows = read(spark, d, "orders").select(c("o_orderkey").alias("id"), lit("ok").alias("meta_status"), F.when(c("o_orderstatus") == "P", "pending").when(c("o_orderstatus") == "O", "error").otherwise("done").alias("download_status"), "o_orderstatus")
+    return ingest.download_queue(rows, limit).select(c("id").alias("o_orderkey"), "o_orderstatus")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderkey LIMIT 500")
 def work_queue(spark, d):
-    rows = read(spark, d, "orders").select(c("o_orderkey").alias("id"), lit("ok").alias("meta_status"), F.when(c("o_orderstatus") == "P", "pending").when(c("o_orderstatus") == "O", "error").otherwise("done").alias("download_status"), "o_orderstatus")
-    return ingest.download_queue(rows, 500).select(c("id").alias("o_orderkey"), "o_orderstatus")
+    return _downloads(spark, d, 500)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderkey")
+def work_queue_whole(spark, d):
+    return _downloads(spark, d)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
@@ -200,10 +209,19 @@ def metadata_queue(spark, d):
     return ingest.metadata_queue(rows).select(c("id").alias("o_orderkey"))
 
 
+def _due(spark, d):
+    rows = read(spark, d, "events").withColumn("stamp", F.when(c("event_id") % 7 != 0, c("ts")))
+    return ingest.revalidation_targets(rows, c("event_type") == "view", "stamp", lit("2024-01-10").cast("timestamp_ntz"), "event_id").select("event_id", "stamp")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS stamp FROM events WHERE event_type = 'view' AND (event_id % 7 = 0 OR ts < TIMESTAMP '2024-01-10') ORDER BY stamp NULLS FIRST, event_id LIMIT 200")
 def revalidate_targets(spark, d):
-    rows = read(spark, d, "events").withColumn("stamp", F.when(c("event_id") % 7 != 0, c("ts")))
-    return ingest.revalidation_targets(rows, c("event_type") == "view", "stamp", lit("2024-01-10").cast("timestamp_ntz"), "event_id").select("event_id", "stamp").limit(200)
+    return _due(spark, d).limit(200)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS stamp FROM events WHERE event_type = 'view' AND (event_id % 7 = 0 OR ts < TIMESTAMP '2024-01-10') ORDER BY stamp NULLS FIRST, event_id")
+def revalidate_targets_whole(spark, d):
+    return _due(spark, d)
 
 
 @query("""
