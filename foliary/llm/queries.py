@@ -59,7 +59,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup(docs, Scratch(spark, "op6"), distance=1, min_chars=16)
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return found.select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
 
 
 LINES_SQL = """

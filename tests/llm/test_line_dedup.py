@@ -95,6 +95,47 @@ def test_threshold_by_length(spark):
             first.setdefault(x, i)
     near = lambda a, b: abs(len(a) - len(b)) <= (k := max(1, max(len(a), len(b)) // 20)) and edits(a, b) <= k
     want = {i for i, x in enumerate(lines) if x in first and (first[x] != i or any(first[a] < i and a != x and near(a, x) for a in first))}
-    got = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16, per_chars=20).where("_n_removed > 0").collect()}
-    one = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16).where("_n_removed > 0").collect()}
+    got = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16, per_chars=20).where("_lines.n_removed > 0").collect()}
+    one = {r.doc_id for r in line_dedup.dedup(frame, Scratch(spark, "t"), min_chars=16).where("_lines.n_removed > 0").collect()}
     assert got == want and len(one) < len(want) < len(lines)
+
+
+def test_crowded_buckets(spark):
+    """Groups of near copies whose lines share segments: numbered lines, one-character variants, two edits apart."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    lines = [f"{base} item {n:04d}" for n in range(0, 400, 3)] + [f"{base[:30]}{chr(0x4E00 + n)}{base[31:]}" for n in range(50)]
+    lines += [base[:i] + base[i + 1 :] for i in range(0, 60, 2)] + [base[:i] + "ZZ" + base[i:] for i in range(0, 60, 3)] + [base]
+    lines += ["".join(base[k] if k not in (i, j) else "#" for k in range(60)) for i in range(0, 60, 7) for j in range(i, 60, 5)]
+    lines += ["".join(p) for p in __import__("itertools").product("ab", repeat=7)]
+    rng.shuffle(lines)
+    check(spark, list(enumerate(lines)), 1)
+    check(spark, list(enumerate(lines[::3])), 2)
+
+
+def test_candidates_follow_the_lines(spark):
+    """Twice the near copies make about twice the pairs, not four times."""
+    rng = random.Random(3)
+    made = []
+    for n in (300, 600):
+        base = [rng.choice("abcdefgh ") for _ in range(200)]
+        lines = []
+        for _ in range(n):
+            s = base[:]
+            for at in rng.sample(range(100), 6):
+                s[at] = rng.choice("ijklmnop")
+            lines.append("".join(s))
+        frame = spark.createDataFrame(list(enumerate(lines)), "doc long, t string").withColumn("th", F.xxhash64("t"))
+        scratch = Scratch(spark, "t")
+        line_dedup.dropped_lines(frame, scratch)
+        made.append(spark.read.parquet(scratch.path("pairs")).count())
+    assert made[1] <= 3 * max(made[0], n)
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "th", "doc", "drops", "t", "d", "of", "id", "_lines", "n_removed", "_n_removed"]
+    frame = spark.createDataFrame([(1, "a line of twenty letters\nx", *"abcdefghij"), (2, "a line of twenty letters", *"abcdefghij")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = line_dedup.dedup(frame, Scratch(spark, "t"), out="found")
+    assert got.columns == [*names, "found"]
+    assert [(r.doc_id, r.text, r.th, r.found.n_removed) for r in got.orderBy("doc_id").collect()] == [(1, "a line of twenty letters\nx", "a", 0), (2, "", "a", 1)]
+    assert [tuple(r._lines) for r in line_dedup.dedup(frame, Scratch(spark, "t")).orderBy("doc_id").collect()] == [(2, 0), (1, 1)]
