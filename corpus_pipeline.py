@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import decontam, jaccard_join, line_dedup, packing, quality
-from foliary.llm.common import Scratch, table
+from foliary.llm.common import Scratch, discarded, fresh, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def deduped_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text. Documents that were empty before, or null, stay."""
-    found = line_dedup.dedup(docs, Scratch(spark, "lines"), distance=1, min_chars=16)
-    left = found.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.select(*[F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    lines = fresh(docs, "_lines")
+    found = line_dedup.dedup(docs, Scratch(spark, "lines"), out=lines, distance=1, min_chars=16)
+    removed = F.col(f"{lines}.n_removed")
+    left = found.where((removed == 0) | F.col("text").rlike(r"\S"))
+    return left.select(*[F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    """A stage's table and what the stage itself has staged go as soon as the next stage's table is written."""
+    kept, docs, last = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        with discarded():
+            docs = kept.stage(stage(spark, docs, sf_dir), name)
+        if last:
+            kept.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
