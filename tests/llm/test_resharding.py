@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from foliary.llm import resharding
 from foliary.llm.common import Scratch
@@ -7,7 +8,7 @@ from foliary.llm.common import Scratch
 def run(spark, rows, n_old=5, n_new=8):
     frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, slot string")
     scratch = Scratch(spark, "t")
-    old = resharding.lay_out(frame.select("doc_id", "text"), scratch, "old", n_shards=n_old, n_blocks=32)
+    old = resharding.lay_out(frame.select("doc_id", "text"), scratch, "old", n_shards=n_old, n_blocks=32, n_new=n_new)
     new = resharding.reshard(old, scratch, "new", n_new)
     return resharding.numbered(new.selectExpr("doc_id", "text", "shard", "block", "old_shard"), scratch, "rows", id_col="doc_id", unit_rows=30).collect()
 
@@ -56,3 +57,38 @@ def test_group_larger_than_a_shard_is_cut(spark):
     for r in got:
         load[r.shard] = load.get(r.shard, 0) + len(r.text) + 1
     assert len(got) == 1800 and len(load) == 8 and max(load.values()) < 1.2 * min(load.values())
+
+
+def test_small_tables_keep_equal_texts_together(spark):
+    rows = [(2 * i + k, f"text number {i}") for i in range(10) for k in range(2)]
+    where = {}
+    for r in run(spark, rows, 12, 16):
+        where.setdefault(r.text, set()).add(r.shard)
+    assert len(where) == 10 and all(len(s) == 1 for s in where.values())
+
+
+def test_moves_hardly_more_than_the_flow():
+    for seed in range(4):
+        rng = random.Random(seed)
+        blocks = {(s, b): int(rng.lognormvariate(10, 0.5)) for s in range(12) for b in range(64)}
+        supply = [sum(v for (x, _), v in blocks.items() if x == s) for s in range(12)]
+        even = sum(supply) / 16
+        home = resharding.transfers(blocks, 16)
+        load = [sum(v for b, v in blocks.items() if home[b] == j) for j in range(16)]
+        least = sum(max(0, x - even) for x in supply)
+        assert sum(v for b, v in blocks.items() if home[b] != b[0]) < 1.03 * least and max(load) - min(load) <= 0.0011 * even
+
+
+def test_query(spark):
+    from foliary.llm import queries
+
+    got = queries.op7_resharding(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    where, slots = {}, {}
+    for r in got:
+        data = docs[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None) and 0 <= r.shard < 16
+        where.setdefault(data, set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
