@@ -81,3 +81,30 @@ def test_spans_below_the_coverage_rule(spark):
     assert decontam.scan(spark.createDataFrame([tuple(got[4])[:2]], "doc_id long, text string"), bench).select("_scan.n_hit").first().n_hit == 0
     assert decontam.decontaminate(frame, bench, max_span=40, length_col="n_chars").where("doc_id = 1").first().text == docs[0][1]
     assert "short item" not in decontam.decontaminate(frame, bench, max_span=0).where("doc_id = 6").first().text
+
+
+def test_spans_of_several_automata(spark):
+    """Items in automata of their own give what one automaton gives, cuts that bring halves together included."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(30))) for i in range(12)] + [(20, "w1 w2")]
+    docs = []
+    for d in range(40):
+        a, b = (rng.choice(items)[1].split() for _ in range(2))
+        free = [f"x{rng.randint(0, 50)}" for _ in range(rng.randint(300, 800))]
+        docs.append((d, " ".join([*free, *a[:8], *b[5:20], *a[8:], *free, *b[: rng.randint(0, 14)]]), "k"))
+    docs += [(90, None, "k"), (91, "", "k"), (92, items[0][1], "k")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string, hits string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontam.decontaminate(frame, bench, max_words=n, window=6).collect()), key=str) for n in (10**6, 50))
+    assert one == many and {r[0] for r in one} >= {90, 91} and 92 not in {r[0] for r in one}
+    cut = {r[0]: r[1] for r in one}
+    assert sum(cut[d] != t for d, t, _ in docs if d in cut) > 20
+    left = brute([(d, t) for d, t in cut.items() if t], [x for x in items if x[0] != 20], 6)
+    assert all(r[2] == 0 for r in left)
+
+
+def test_searchers_are_arrays():
+    built = decontam.Automaton(5)
+    rng = random.Random(1)
+    built.add("1", " ".join(str(rng.randint(0, 50)) for _ in range(4000)).encode())
+    done = built.finish()
+    assert not hasattr(done, "next") and done.keys.nbytes + done.to.nbytes + done.link.nbytes + done.length.nbytes < 4000 * 100
