@@ -11,7 +11,8 @@ corrupt member, a length that is not met, a digest that differs. What follows a
 
 A null payload is empty. A null id has no header and reads back as null; it is never what others refer to. Rows that
 share the least id of a group are all responses. Null addresses have no header; others are percent-encoded where a
-header cannot hold them. An empty table makes archives without records.
+header cannot hold them, and may be of any length. An empty table makes archives without records. Files are closed when their
+members reach `file_bytes`, so that a reader's task holds little more than that, however large pages are.
 """
 
 from __future__ import annotations
@@ -58,25 +59,34 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def write(
-    pages: DataFrame, scratch: Scratch, label: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, level: int = 3, records_per_file: int = 20_000, date: str = "1970-01-01T00:00:00Z",
+    pages: DataFrame, scratch: Scratch, label: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, level: int = 3, file_bytes: int = 1 << 26, date: str = "1970-01-01T00:00:00Z",
 ) -> str:
-    """Writes the archives and returns their folder. Only digests are shuffled unless equal payloads are very many."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("p")).withColumn("digest", F.sha2("p", 256))
-    equal = rows.where(F.octet_length("p") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "first")
-    rows = rows.join(scratch.stage(equal, f"{label}-equal"), "digest", "left")
-    rows = rows.select("id", "url", "p", "digest", F.when(F.col("id").isNull() | (F.col("id") > F.col("first")), F.col("first")).alias("refers_to"))
+    """Writes the archives and returns their folder. Equal payloads are found by digests alone; payloads meet only their own id's revisits."""
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("p")).withColumn("digest", F.sha2("p", 256))
+    digests = scratch.stage(rows.where(F.octet_length("p") >= least).select("id", "digest"), f"{label}-digests")
+    equal = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "first")
+    equal = scratch.stage(equal, f"{label}-equal")
+    revisits = scratch.stage(digests.join(equal, "digest").where("id is null or id > first").select("id", "digest", "first").distinct(), f"{label}-revisits")
+    of = revisits.select(F.col("id").alias("of"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
+    rows = rows.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left").select("id", "url", "p", "digest", "refers_to")
 
     def run(batches):
+        volume, size = 0, 0
         for batch in batches:
-            members = []
+            members, volumes = [], []
             for page_id, url, p, digest, refers_to in zip(*batch.columns, strict=True):
                 record = record_bytes(page_id.as_py(), url.as_py(), p.as_py(), digest.as_py(), refers_to.as_py(), date)
                 members.append(_member(record, level)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+                volumes.append(volume)
+                size += len(members[-1]) + 1
+                if size >= file_bytes:
+                    volume, size = volume + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(volumes, pa.int32())], names=["member", "volume"])
 
     path = scratch.path(label)
-    made = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    made.write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    made = rows.mapInArrow(run, "member binary, volume int").select(F.col("member").cast("string").alias("value"), "volume")
+    made.write.mode("overwrite").option("lineSep", "\0").partitionBy("volume").text(path)
+    scratch.drop(f"{label}-digests", f"{label}-equal", f"{label}-revisits")
     return path
 
 
@@ -99,13 +109,11 @@ class _Stream:
         self.held += self.z.decompress(fed, CHUNK)
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
         """Bytes up to the mark and with it; None if the member holds no more bytes at all."""
         seen = 0
         while (k := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
-            if seen > most:
-                raise ValueError("a header is too long")
             if not self._more():
                 if self.held:
                     raise ValueError("a header has no end")
@@ -227,4 +235,4 @@ def read(spark, path: str, with_payload: bool = False) -> DataFrame:
                         rows, held = [], 0
                 yield batch_of(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)

@@ -33,12 +33,12 @@ def test_round_trip(spark):
     rows += [(400, None, None), (401, "", ""), (402, "u", "y" * 99), (403, "u", "y" * 99), (404, "a\nb c\0", "z\0\r\n\r\n" * 50), (None, "n", "é" * 60), (405, "big", "q" * 300_000), (7, "again", "é" * 21), (406, "W", "WARC/1.1\r\n\r\n" * 20), (406, "W", "WARC/1.1\r\n\r\n" * 20)]
     frame = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     scratch = Scratch(spark, "t")
-    path = warc.write(frame, scratch, "a", records_per_file=50)
+    path = warc.write(frame, scratch, "a", file_bytes=3000)
     got = warc.read(spark, path, with_payload=True).collect()
     assert all(r.error is None for r in got)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
     assert sorted(bytes(r.payload) for r in got if r.record_type == "response" and r.page_id != 406)[-1] == b"\xc3\xa9" * 207
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()]
     assert len(files) > 3
     for f in files:  # ordinary gzip tools read the archives
         gzip.decompress(open(f.removeprefix("file:"), "rb").read())
@@ -79,3 +79,25 @@ def test_any_cut_is_noticed(cut):
     data = one(bytes(range(256)) * 3)
     found = list(warc.records(data[:cut]))
     assert len(data) > 400 and (not found if cut == 0 else found[-1][6] is not None)
+
+
+def test_long_addresses_and_files_by_bytes(spark):
+    import random
+
+    rng = random.Random(1)
+    noise = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    rows = [(1, "http://h/" + "p" * 1_200_000, "é" * 90), (2, "http://h/" + "é" * 300_000, "é" * 90), *((10 + i, None, noise(20_000)) for i in range(12))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write(frame, Scratch(spark, "t"), "a", file_bytes=100_000)
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert all(r.error is None for r in got.values()) and len(got) == 14 and got[2].refers_to == 1 and got[1].url == rows[0][1]
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert len(sizes) > 4 and max(sizes) < 200_000
+
+
+def test_query(spark):
+    from foliary.llm import queries
+
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = queries.op3_warc(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
