@@ -11,8 +11,9 @@ A document is the set of its distinct word shingles; two link when their Jaccard
    bitmaps of their sets differ in no more bits than their sizes let the sets differ (a bound that drops no link), so
    passages that few documents share do not chain them; of one of many classes, all hang on its least.
 4. A coarse component is dealt to blocks of bounded size. A task indexes the shingles of its sets and runs DivideSkip for
-   each of them: short inverted lists are merged by a heap, the long ones probed by binary search, and sets that reach the
-   overlap their sizes need are linked. What earlier links already join is passed over. First each block meets itself and
+   each of them: of the overlap T that a link needs, L = T / (mu * log2(longest list) + 1) longest lists are set aside. The
+   others are merged by a heap for sets that occur T - L times, and lists skip over what cannot; the long lists are probed by
+   binary search, and sets that reach the overlap their sizes need are linked. What earlier links already join is passed over. First each block meets itself and
    the first block. Then only sets outside the component's largest part so far can have links that are missing: these
    meet all blocks. So a group of near copies, which the first block joins up, costs tasks in proportion to its size.
 5. Links of components of several blocks are joined up by connected components.
@@ -26,12 +27,13 @@ has another id.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.llm.common import Scratch, bit_filter
@@ -157,29 +159,58 @@ def frequent(docs: DataFrame, size: int, often: int, ranked: int) -> Order:
 
 
 def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> DataFrame:
-    """id, n, h1, h2 (the set's digest), sigs and parity bits. A set's last two are given once for each input partition at least."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("bits", pa.binary())])
+    """id, th, n, h1, h2 (the set's digest), sigs and parity bits; docs has id, t, th. A set's last two are given once for each input partition at least."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("bits", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         ranges, seen = Ranges(num, den), set()
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h = shingles(text.as_py(), size)
                 digest = _digest(h)
                 if len(seen) > 200_000:
                     seen.clear()
                 again = digest in seen
-                rows.append((i, len(h), *digest, None if again else ranges.signatures(h, shared.value), None if again else parity(h)))
+                rows.append((i, th, len(h), *digest, None if again else ranges.signatures(h, shared.value), None if again else parity(h)))
                 seen.add(digest)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sigs array<long>, bits binary")
-
-
-def divide_skip(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    return docs.mapInArrow(run, "id long, th long, n long, h1 long, h2 long, sigs array<long>, bits binary")
+
+
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, number of lists) of the values that are in at least so many of the sorted lists.
+
+    Where the heap's top is in too few, as many more heads as could not make up the number without the next are taken off,
+    and their lists go on from the first value that is not less than the next top.
+    """
+    found, at = [], [0] * len(lists)
+    heap = [(run[0], k) for k, run in enumerate(lists) if run]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            found.append((top, len(popped)))
+            upto = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            upto = heap[0][0]
+        for k in popped:
+            at[k] = bisect.bisect_left(lists[k], upto, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
+    return found
+
+
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int, mu: float = 0.01) -> np.ndarray:
     """Least position in the component of each set. Equal labels are joined already; two sets of side 0 are not compared."""
     n_sets = len(sets)
     order = np.array(sorted(range(n_sets), key=lambda i: len(sets[i])), dtype=np.int64)
@@ -200,27 +231,19 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num
             continue
         least = -(-num * n // den)
         lists = np.searchsorted(vocab, sets[q])
-        length = counts[lists]
-        ranked = lists[np.argsort(length, kind="stable")]
+        ranked = lists[np.argsort(counts[lists], kind="stable")]
         need = -(-num * (n + least) // (den + num))
-        n_long = max(0, need - 1)
+        n_long = min(need - 1, int(need / (mu * np.log2(max(2, counts[ranked[-1]])) + 1)))
         short, long = ranked[: n - n_long], ranked[n - n_long :]
-        runs = []
-        for t in short.tolist():
-            run = postings[starts[t] : starts[t] + counts[t]]
-            run = run[: np.searchsorted(run, q)]
-            if len(run):
-                run = run[(root[run] != root[q]) & (sizes[run] >= least)]
-                if not side[q]:
-                    run = run[side[run] > 0]
-                if len(run):
-                    runs.append(run.tolist())
-        if not runs:
+        # what the short lists hold of sets that come before, reach the size and are not joined to this one yet
+        length = counts[short]
+        of = np.repeat(np.arange(len(short)), length)
+        run = postings[np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + starts[short][of]]
+        open_ = (run < q) & (root[run] != root[q]) & (sizes[run] >= least) & ((side[q] > 0) | (side[run] > 0))
+        of, run = of[open_], run[open_]
+        if len(run) < need - n_long:
             continue
-        met: dict[int, int] = {}
-        for d in heapq.merge(*runs):
-            met[d] = met.get(d, 0) + 1
-        for d, overlap in met.items():
+        for d, overlap in merge_skip([x.tolist() for x in np.split(run, np.flatnonzero(np.diff(of)) + 1)], need - n_long):
             if root[d] == root[q]:
                 continue
             probe = long * n_sets + d
@@ -252,7 +275,7 @@ def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> Data
 
 
 def _linked(source: DataFrame, dealt: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Runs the tasks (root, bi, bj) of dealt: r and the links a < b of a spanning forest of each task's sets."""
+    """Runs the tasks (root, bi, bj) of dealt: r and the links (a, b), by h1, of a spanning forest of each task's sets."""
     schema = pa.schema([("r", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def task(t: pa.Table) -> pa.Table:
@@ -264,23 +287,26 @@ def _linked(source: DataFrame, dealt: DataFrame, size: int, num: int, den: int)
             h = shingles(text, size)
             if _digest(h) == (h1, h2):  # a row of the same id may hold another text
                 found[h1, h2] = [rep, side, label, h]
-        rows = sorted(found.values(), key=lambda x: x[0])
+        rows = sorted((x[0], h1, x) for (h1, _), x in found.items())
         if len(rows) < 2:
             return schema.empty_table()
-        reps = [x[0] for x in rows]
+        nodes, rows = [x[1] for x in rows], [x[2] for x in rows]
         place = divide_skip([x[3] for x in rows], np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), num, den)
-        pairs = [(reps[p], reps[i]) for i, p in enumerate(place.tolist()) if p != i]
+        pairs = [(nodes[p], nodes[i]) for i, p in enumerate(place.tolist()) if p != i]
         return pa.table([pa.array([t.column("r")[0].as_py()] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
 
     texts = bit_filter(source, F.col("id"), dealt, "rep").join(dealt, F.col("id") == F.col("rep")).select("rep", "h1", "h2", "root", "r", "bi", "bj", "side", "label", "t")
-    return texts.groupBy("root", "bi", "bj").applyInArrow(task, "r long, a long, b long")
+    # a task's rows are few bytes and much work, so the planner must not put many of them together
+    spark = source.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(20_000, dealt.count() // 200))
+    return texts.repartition(tasks, "root", "bi", "bj").groupBy("root", "bi", "bj").applyInArrow(task, "r long, a long, b long")
 
 
 def link(
     docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 500, often: int = 3, ranked: int = 200_000, few: int = 12,
 ) -> DataFrame:
-    """One row per row of docs: id, n (shingles) and component (the least id that links reach, its own included)."""
-    source, lit0 = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), F.lit(0).cast("long")
+    """One row per row of docs: id, th (a hash of the text), n (shingles), grp (which no other component has) and component (the least id that links reach, its own included)."""
+    source, lit0 = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t")), F.lit(0).cast("long")
     sets = scratch.stage(describe(source, size, num, den, frequent(source, size, often, ranked)), "sets")
     classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
@@ -296,12 +322,12 @@ def link(
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
     placed = scratch.stage(member.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("r"))), "placed")
-    own = placed.select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), F.col("rep").alias("label"))
-    pivots = placed.where("blk = 0 and r > 1").select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("r") - 1)).alias("bj"), F.lit(0).alias("side"), F.col("rep").alias("label"))
+    own = placed.select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), F.col("h1").alias("label"))
+    pivots = placed.where("blk = 0 and r > 1").select("rep", "h1", "h2", "root", "r", lit0.alias("bi"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("r") - 1)).alias("bj"), F.lit(0).alias("side"), F.col("h1").alias("label"))
     links = scratch.stage(_linked(source, scratch.stage(own.union(pivots), "dealt"), size, num, den), "links")
     wide = placed.where("r > 1")
-    parts = components(links.where("r > 1").select("a", "b"), scratch, "parts").select(F.col("node").alias("rep"), F.col("root").alias("part"))
-    labelled = scratch.stage(wide.join(parts, "rep", "left").select(*wide.columns, F.coalesce("part", "rep").alias("label")), "labelled")
+    parts = components(links.where("r > 1").select("a", "b"), scratch, "parts").select(F.col("node").alias("h1"), F.col("root").alias("part"))
+    labelled = scratch.stage(wide.join(parts, "h1", "left").select(*wide.columns, F.coalesce("part", "h1").alias("label")), "labelled")
     largest = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     rest = labelled.join(largest, "root").where("label <> main")
     chunks = rest.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("chunks"))
@@ -310,18 +336,33 @@ def link(
     asking = rest.join(chunks, "root").select("rep", "h1", "h2", "root", "r", chunk.alias("bi"), upto("r").alias("bj"), F.lit(1).alias("side"), "label")
     asked = labelled.join(chunks, "root").select("rep", "h1", "h2", "root", "r", upto("chunks").alias("bi"), F.col("blk").alias("bj"), lit0.cast("int").alias("side"), "label")
     more = scratch.stage(_linked(source, scratch.stage(asking.union(asked), "dealt-rest"), size, num, den), "links-rest")
-    whole = links.where("r = 1").select(F.col("b").alias("rep"), F.col("a").alias("lead"))
+    whole = links.where("r = 1").select(F.col("b").alias("h1"), F.col("a").alias("lead"))
     split = components(links.where("r > 1").union(more).select("a", "b"), scratch, "split")
-    lead = whole.union(split.select(F.col("node").alias("rep"), F.col("root").alias("lead")))
-    named = scratch.stage(classes.join(lead, "rep", "left").select("h1", "h2", F.coalesce("lead", "rep").alias("component")), "named")
-    scratch.drop("classes", "shared", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest")
-    return sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    lead = whole.union(split.select(F.col("node").alias("h1"), F.col("root").alias("lead")))
+    grouped = scratch.stage(classes.join(lead, "h1", "left").select("h1", "h2", "rep", F.coalesce("lead", "h1").alias("grp")), "grouped")
+    named = scratch.stage(grouped.join(grouped.groupBy("grp").agg(F.min("rep").alias("component")), "grp").select("h1", "h2", "grp", "component"), "named")
+    scratch.drop("classes", "shared", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest", "grouped")
+    return sets.select("id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "th", "n", "grp", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that a row of a lesser id links to; of repeated rows of one id, one stays. Rows without an id stay."""
-    found = scratch.stage(link(docs, scratch, id_col=id_col, text_col=text_col, **options), "found")
-    gone = scratch.stage(found.where("n > 0 and id <> component").select("id").distinct(), "gone")
-    kept = docs.join(gone, docs[id_col] == gone.id, "left_anti")
-    again = found.where("id is not null").groupBy("id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    """The rows of docs without those that link to one before them, in the order of id, then of the text's hash.
+
+    Of each group of links the first (id, text) stays, so rows of one id that hold unrelated texts all stay. Of rows that are
+    equal in id and text, the first by their other columns stays. Rows without an id stay, and link nothing away.
+    """
+    found = scratch.stage(link(docs, scratch, id_col=id_col, text_col=text_col, **options).where("id is not null"), "found")
+    lead = found.where("n > 0").groupBy("grp").agg(F.min(F.struct("id", "th")).alias("lead"))
+    gone = found.where("n > 0").join(lead, "grp").where((F.col("id") != F.col("lead.id")) | (F.col("th") != F.col("lead.th"))).select("id", "th").distinct()
+    gone = scratch.stage(gone, "gone")
+    again = scratch.stage(found.groupBy("id", "th").count().where("count > 1").select("id", "th"), "again")
+    scratch.drop("found", "sets", "named")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"))
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    kept = rows.join(gone, ["id", "th"], "left_anti")
+    if again.isEmpty():
+        return kept.select(*own)
+    once = kept.join(again, ["id", "th"], "left_anti").select("d")
+    first = Window.partitionBy("id", "th").orderBy(F.to_json("d"))
+    repeated = kept.join(again, ["id", "th"], "left_semi").withColumn("at", F.row_number().over(first)).where("at = 1").select("d")
+    return once.union(repeated).select(*own)

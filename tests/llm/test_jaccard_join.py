@@ -55,14 +55,14 @@ def test_equals_brute_force(spark, size, num, den, block_docs):
     rows += [(5001, None), (5002, ""), (5003, " \t\n"), (5004, "A b C"), (5005, "a B c"), (5006, "é É"), (5007, "x " * 4000), (5008, rows[0][1]), (5009, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = jaccard_join.link(frame, Scratch(spark, "t"), size=size, num=num, den=den, block_docs=block_docs)
-    assert sorted(map(tuple, got.collect())) == brute(rows, size, num, den)
+    assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, size, num, den)
 
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = jaccard_join.link(docs, Scratch(spark, "t"))
-    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 90, 100)
+    assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 3, 90, 100)
 
 
 def test_edges_of_input(spark):
@@ -92,4 +92,43 @@ def test_chains_and_large_groups_over_blocks(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for num, few in ((90, 12), (93, 2)):
         got = jaccard_join.link(frame, Scratch(spark, "t"), size=2, num=num, den=100, block_docs=9, few=few)
-        assert sorted(map(tuple, got.collect())) == brute(rows, 2, num, 100)
+        assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 2, num, 100)
+
+
+def test_merge_skip_equals_counting():
+    rng = random.Random(8)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randint(0, 25))) for _ in range(rng.randint(0, 12))]
+        for least in range(1, 8):
+            counts = {v: sum(v in x for x in lists) for v in range(40)}
+            assert jaccard_join.merge_skip(lists, least) == sorted((v, c) for v, c in counts.items() if c >= least)
+
+
+def test_divide_skip_sets_lists_aside(monkeypatch):
+    """Thresholds over 1 come up, and lists are skipped in, whatever mu."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.choice(10**6, 300, replace=False)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < rate, rng.choice(10**6, 300), base).astype(np.uint64)) for rate in rng.choice([0.01, 0.03, 0.05, 0.3], 60)]
+    seen, real = [], jaccard_join.merge_skip
+    monkeypatch.setattr(jaccard_join, "merge_skip", lambda lists, least: seen.append(least) or real(lists, least))
+    places = [jaccard_join.divide_skip(sets, np.ones(60, int), np.arange(60), 90, 100, mu=mu).tolist() for mu in (0.0, 0.01, 0.2)]
+    assert places[0] == places[1] == places[2] and len(set(places[0])) > 1 and max(seen) > 20
+    assert all(len(np.intersect1d(sets[i], sets[p])) for i, p in enumerate(places[0]))
+
+
+def test_keep_one_of_an_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f g", "p"), (1, "z y x w v u t", "q"), (2, "A b c d e f g", "r"), (3, "z y x w v u t", "s"), (3, "k l m n o p q", "t"), (3, "k l m n o p q", "a"), (4, "", "u"), (4, "", "u"), (None, "k l m n o p q", "v")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    kept = jaccard_join.keep_one(frame, Scratch(spark, "t"), size=3, num=90, den=100)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e f g", "p"), (1, "z y x w v u t", "q"), (3, "k l m n o p q", "a"), (4, "", "u"), (None, "k l m n o p q", "v")], key=str)
+
+
+def test_query(spark):
+    from foliary.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = queries.op2_ngram_jaccard_join(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, got.collect())) == brute(rows, 3, 90, 100)
