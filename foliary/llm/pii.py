@@ -1,18 +1,23 @@
 """Personal data and secrets, replaced by keyed surrogates of the same type (operator 4); DataFrame functions only.
 
-Patterns find e-mail and IPv4 addresses, phone and card numbers, social security numbers, access keys, assigned secrets and
-persons (by title or first name). Each finding gets a surrogate from a keyed hash of its normal form:
+Patterns find e-mail and IPv4 addresses, phone and card numbers (with a valid check digit), social security numbers, access
+keys, assigned secrets and persons: by title, by a listed first name, or by words that announce a name, initials between
+first name and surname included. Each finding gets a surrogate from a keyed hash of its normal form:
 
 - numbers keep their separators and length, phones their country code, cards their first digit and a valid check digit;
 - addresses keep their layout and top-level domain; keys and secrets keep prefix, alphabet and case of each character;
 - persons' first names are drawn by gender and script, surnames are built in the script, with the gender's ending.
 
-The normal form leaves out layout, so the same number, address or name has one surrogate everywhere (coreference). Distinct
-normal forms are checked against each other: where two share a surrogate, or a surrogate is itself a found value, all but
-the first try again with another hash, and name forms grow longer with each try, until none collide (distinctness).
+The normal form leaves out layout, so the same number, address or name has one surrogate everywhere (coreference). Where a
+document names a person, its other mentions of that surname or first name, capitalised or in capitals, and of the whole name
+in any case, take the same surrogates. Distinct normal forms are checked against each other: where two share a surrogate, or a
+surrogate is itself a found value, all but the first try again with another hash; names, secrets and mail addresses grow
+longer with the tries, so that there is room for any number of them, until none collide (distinctness). Formats that cannot
+grow (social security numbers, cards, phones, IPv4) have room as long as a table does not use up nearly all their numbers.
 
 Only distinct findings are shuffled, and of the documents those that have any. Null texts stay null and empty texts empty,
-with no findings. Rows that repeat get the same result. An empty table gives no rows.
+with no findings. Rows that repeat get the same result. An empty table gives no rows. Columns of the documents may have any
+names; one named as a result column is replaced by it. First names that are neither listed nor announced are not found.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from foliary.llm.common import Scratch
 
 # Common first names by script and gender, surname syllables and gendered surname endings by script.
 FIRST_NAMES = {
-    ("latin", "f"): "Alice Anna Barbara Carla Clara Diana Elena Emma Eva Helen Ines Irene Julia Karen Laura Linda Lucia Maria Marta Nina Olivia Paula Rosa Sara Sofia Susan Teresa Vera".split(),
-    ("latin", "m"): "Adam Andrew Anton Carlos Daniel David Edward Felix Frank George Henry Hugo Ivan James John Jorge Karl Louis Marco Martin Michael Oscar Paul Pedro Peter Robert Thomas Victor".split(),
+    ("latin", "f"): "Aisha Alice Amina Ana Anna Barbara Carla Carmen Clara Diana Elena Emma Eva Fatima Hannah Helen Ines Ingrid Irene Jennifer Julia Karen Laura Leila Linda Lucia Margaret Maria Marta Mary Mei Nina Olivia Patricia Paula Priya Rosa Sara Sarah Sofia Susan Teresa Vera Yuki".split(),
+    ("latin", "m"): "Adam Ahmed Ali Andrew Anton Carlos Charles Daniel David Edward Felix Frank George Hans Henry Hiroshi Hugo Ivan James Jean John Jorge José Juan Karl Kenji Louis Marco Martin Michael Mohammed Omar Oscar Paul Pedro Peter Pierre Raj Richard Robert Thomas Victor Wei William".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Лариса Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Максим Николай Олег Павел Сергей Юрий".split(),
     ("greek", "f"): "Άννα Βασιλική Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
@@ -37,7 +42,13 @@ SYLLABLES = {"latin": "ba ber bor cal dan del fer gar hol kes lan len mar mon no
 ENDINGS = {("latin", "f"): "", ("latin", "m"): "", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("greek", "f"): "ου", ("greek", "m"): "ος"}
 TITLES = {"m": "Mr Mister Herr Señor Monsieur Господин Κύριος".split(), "f": "Mrs Ms Miss Frau Señora Madame Госпожа Κυρία".split()}
 
-_WORD = r"\p{Lu}[\p{L}'-]+"
+# Words after which a name is no person, and words that announce one.
+PLACES = "Street St Avenue Ave Road Rd Boulevard Square Lane Platz Straße Strasse School University College Airport Station Park Hospital Foundation Award Prize Church Bridge County".split()
+CUES = ["[Mm]y name is", "[Ss]igned by", "[Nn]ame:", "[Cc]ontact:"]
+
+_WORD = r"\p{Lu}(?:\p{L}|['’-]\p{L}{2})++"
+_INITIALS = r"(?:\p{Lu}\.? ){0,2}"
+_LAST = rf"(?!(?:{'|'.join(PLACES)})\b){_WORD}(?! (?:{'|'.join(PLACES)})\b)"
 
 
 def _one_of(words) -> str:
@@ -48,7 +59,9 @@ def _one_of(words) -> str:
     return r"[A-ZΆ-ΫА-Я]" + rf"(?<!\p{{L}}.)(?:" + "|".join(f"(?<={a})(?:{'|'.join(rest)})" for a, rest in by.items()) + ")"
 
 
-_NAME, _TITLE = _one_of(n for names in FIRST_NAMES.values() for n in names), _one_of(TITLES["m"] + TITLES["f"])
+_LISTED = [n for names in FIRST_NAMES.values() for n in names]
+_NAME, _TITLE = _one_of(_LISTED + [n.upper() for n in _LISTED]), _one_of(TITLES["m"] + TITLES["f"])
+_CUE = rf"(?=\p{{Lu}})(?<=\b(?:{'|'.join(CUES)}) )"
 _ASSIGNED = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}",
@@ -58,11 +71,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?:{_TITLE}\.? (?:{_WORD} )?|{_NAME} ){_WORD}",
+    "person": rf"(?:{_TITLE}\.? (?:{_WORD} {_INITIALS})?{_LAST}|{_NAME} {_INITIALS}{_LAST}|{_CUE}{_WORD} {_INITIALS}{_LAST})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LEAD = rf"^{_ASSIGNED}\"?\s*[=:]\s*[\"']?"
-_HEAD = _one_of([n for names in FIRST_NAMES.values() for n in names] + TITLES["m"] + TITLES["f"]) + r"\.? "
+_HEAD = _one_of(_LISTED + [n.upper() for n in _LISTED] + TITLES["m"] + TITLES["f"]) + r"\.? |(?:" + "|".join(CUES) + r") \p{Lu}"
 
 
 def _quick(text: Column) -> Column:
@@ -72,8 +85,10 @@ def _quick(text: Column) -> Column:
 
 
 def _kind(raw: Column) -> Column:
-    out = F.lit("person")
-    for kind, p in reversed([x for x in PATTERNS.items() if x[0] != "person"]):
+    """The kind of a finding. What stood before it is not seen here, so an announced name is told by its form."""
+    out = F.lit("mention")
+    for kind, p in reversed(PATTERNS.items()):
+        p = p.replace(_CUE, "") if kind == "person" else p
         out = F.when(raw.rlike(f"^(?:{p})$"), kind).otherwise(out)
     return out
 
@@ -87,34 +102,67 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _parts(raw: Column, kind: Column) -> Column:
-    """Array of (lead, raw, kind, norm): what is replaced in a finding, with the text before it that stays."""
-    one = lambda lead, body, k, norm: F.struct(lead.alias("lead"), body.alias("raw"), k.alias("kind"), norm.alias("norm"))
-    none = F.lit("")
-    lead = F.regexp_extract(raw, _LEAD, 0)
-    value = raw.substr(F.length(lead) + 1, F.length(raw))
-    code = F.length(F.regexp_extract(raw, r"^\+(\d{1,3})[ (.-]", 1))
+_PART = "struct<lead:string,raw:string,kind:string,norm:string>"
+
+
+def _one(lead: Column, body: Column, kind: Column, norm: Column) -> Column:
+    return F.struct(lead.alias("lead"), body.alias("raw"), kind.alias("kind"), norm.alias("norm")).cast(_PART)
+
+
+def _person(raw: Column, key: str) -> Column:
+    """Array of the parts of a person's mention: first name, if there is one, and surname. Initials become others."""
     title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.? ", 0)
     name = raw.substr(F.length(title) + 1, F.length(raw))
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     first = F.when(name.contains(" "), F.substring_index(name, " ", 1)).otherwise("")
     last = F.substring_index(name, " ", -1)
+    middle = F.filter(F.split(name.substr(F.length(first) + 1, F.length(name) - F.length(first) - F.length(last)), " "), lambda x: x != "")
     women = [n for (_, g), names in FIRST_NAMES.items() if g == "f" for n in names]
-    gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})"), "f").when(F.length(title) > 0, "m").when(first.isin(women), "f").otherwise("m")
+    gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})"), "f").when(F.length(title) > 0, "m").when(F.initcap(first).isin(women), "f").otherwise("m")
+    letter = lambda x: F.char(F.lit(65) + F.conv(F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("initial"), x, F.lower(last)), 256), 1, 2), 16, 10).cast("int") % 26)
+    initials = F.array_join(F.transform(middle, lambda x: F.concat(letter(x), F.substring(x, 2, 1), F.lit(" "))), "")
     # a surname with the other gender's ending is the same family's
-    bare = F.lower(F.when(script == "cyrillic", F.regexp_replace(last, "(ов|ова|ев|ева|ин|ина)$", "")).otherwise(last))
-    surname = lambda lead: one(lead, last, F.concat_ws(":", F.lit("last"), gender, script), bare)
-    person = F.when(F.length(first) > 0, F.array(one(title, first, F.concat_ws(":", F.lit("first"), gender, script), F.lower(first)), surname(F.lit(" ")))).otherwise(F.array(surname(title)))
+    bare = F.lower(F.when(script == "cyrillic", F.regexp_replace(last, "(?i)(ов|ова|ев|ева|ин|ина)$", "")).otherwise(last))
+    surname = lambda lead: _one(lead, last, F.concat_ws(":", F.lit("last"), gender, script), bare)
+    both = F.array(_one(title, first, F.concat_ws(":", F.lit("first"), gender, script), F.lower(first)), surname(F.concat(F.lit(" "), initials)))
+    return F.when(F.length(first) > 0, both).otherwise(F.array(surname(title)))
+
+
+def _parts(raw: Column, kind: Column, names: Column, key: str) -> Column:
+    """Array of (lead, raw, kind, norm): what is replaced in a finding, with the text before it that stays. No kind: all stays."""
+    none, null = F.lit(""), F.lit(None).cast("string")
+    lead = F.regexp_extract(raw, _LEAD, 0)
+    value = raw.substr(F.length(lead) + 1, F.length(raw))
+    code = F.length(F.regexp_extract(raw, r"^\+(\d{1,3})[ (.-]", 1))
+    known = lambda word: F.filter(names, lambda n: F.lower(n["raw"]) == F.lower(word))
+    again = F.transform(F.split(raw, " "), lambda word, i: _let(F.get(known(word), F.lit(0)), lambda n: _one(F.when(i > 0, " ").otherwise(""), word, n["kind"], n["norm"])))
     return (
-        F.when(kind == "person", person)
-        .when(kind == "secret", F.array(one(lead, value, kind, value)))
-        .when(kind == "email", F.array(one(none, raw, kind, F.lower(raw))))
-        .when(kind == "phone", F.array(one(none, raw, F.concat(F.lit("phone:"), code.cast("string")), _digits(raw))))
-        .when(kind.isin("card", "ssn"), F.array(one(none, raw, kind, _digits(raw))))
-        .otherwise(F.array(one(none, raw, kind, raw)))
+        F.when(kind == "person", _person(raw, key))
+        .when(kind == "mention", again)
+        .when(kind == "secret", F.array(_one(lead, value, kind, value)))
+        .when(kind == "email", F.array(_one(none, raw, kind, F.lower(raw))))
+        .when(kind == "phone", F.array(_one(none, raw, F.concat(F.lit("phone:"), code.cast("string")), _digits(raw))))
+        .when((kind == "card") & (_luhn(_digits(raw)) != 0), F.array(_one(raw, none, null, null)))
+        .when(kind.isin("card", "ssn"), F.array(_one(none, raw, kind, _digits(raw))))
+        .otherwise(F.array(_one(none, raw, kind, raw)))
     )
 
 
+def _names(text: Column, key: str) -> Column:
+    """The parts (raw, kind, norm) of the persons that a text names."""
+    each = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"(?:{PATTERNS['person']})"), F.lit(0)), lambda p: _person(p, key)))
+    return F.array_distinct(F.transform(each, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), x["norm"].alias("norm"))))
+
+
+def _pattern(names: Column) -> Column:
+    """ANY, and the mentions of a document's persons."""
+    low = F.transform(names, lambda n: F.lower(n["raw"]))
+    words = F.flatten(F.transform(names, lambda n: F.array(n["raw"], F.initcap(F.lower(n["raw"])), F.upper(n["raw"]))))
+    any_of = F.array_join(F.array_distinct(words), "|")
+    whole = F.concat(F.lit("(?i:(?:"), F.array_join(low, "|"), F.lit(") (?:"), F.array_join(low, "|"), F.lit("))"))
+    return F.when(F.size(names) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}'’-])(?:"), whole, F.lit("|"), any_of, F.lit(r")(?![\p{L}-])"))).otherwise(F.lit(ANY))
+
+
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """Hex digits of 64 bytes that only the key's holder can tell from the value; gender does not enter a surname's."""
     about = F.when(kind.startswith("last:"), F.concat(F.lit("last:"), F.substring_index(kind, ":", -1))).otherwise(kind)
@@ -159,7 +207,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
     size = F.length(norm)
     keep = F.when(kind.startswith("phone:"), F.substring_index(kind, ":", -1).cast("int")).when(kind == "card", 1).when((kind == "key") & norm.startswith("AKIA"), 4).when((kind == "key") & norm.startswith("gh"), 4).when(kind == "key", 3).otherwise(0)
     upto = F.when(kind == "email", size - F.length(F.substring_index(norm, ".", -1))).otherwise(size)
-    plain = _scrambled(norm, s, keep, upto)
+    longer = F.when(kind.isin("secret", "email") & (attempt > 3), F.lower(F.substring(F.reverse(s), F.lit(1), F.least(attempt - 3, F.lit(32))))).otherwise("")
+    plain = F.concat(longer, _scrambled(norm, s, keep, upto))
     card = _let(plain, lambda p: F.when(_luhn(norm) == 0, F.concat(p.substr(F.lit(1), size - 1), F.pmod(p.substr(size, F.lit(1)).cast("int") - _luhn(p), F.lit(10)).cast("string"))).otherwise(p))
     octet = lambda i: _byte(s, i).cast("string")
     ip = F.concat_ws(".", (F.pmod(_byte(s, 0), F.lit(223)) + 1).cast("string"), octet(1), octet(2), octet(3))
@@ -179,11 +228,11 @@ def rendered(raw: Column, kind: Column, sur: Column) -> Column:
     digits = lambda i: F.length(_digits(raw.substr(F.lit(1), i)))
     number = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), sur.substr((digits(i) + 1).cast("int"), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(raw, ""), lambda c, i: _let(sur.substr((i + 1).cast("int"), F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
-    shout = F.when(raw == F.upper(raw), F.upper(sur)).otherwise(sur)
+    shout = F.when(raw == F.upper(raw), F.upper(sur)).when(raw == F.lower(raw), F.lower(sur)).otherwise(sur)
     return F.when(kind.startswith("phone:") | kind.isin("card", "ssn"), number).when(kind == "email", cased).when(kind.startswith("first:") | kind.startswith("last:"), shout).otherwise(sur)
 
 
-def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 40) -> DataFrame:
+def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 200) -> DataFrame:
     """kind, norm, sur for distinct (kind, norm); no two norms of a group share a surrogate, and none is a found value.
 
     Groups are kinds without the gender, so a surname has one stem for both; its two forms do not collide with each other.
@@ -214,22 +263,25 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 40
     return now.select("kind", "norm", "sur")
 
 
-def pseudonymize(docs: DataFrame, key: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with surrogates in their texts, and columns _n_found and _kinds (sorted, comma-joined)."""
-    text = F.col(text_col).cast("string")
+def pseudonymize(docs: DataFrame, key: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", n_col: str = "_n_found", kinds_col: str = "_kinds") -> DataFrame:
+    """The rows of docs with surrogates in their texts, and columns n_col (findings) and kinds_col (sorted, comma-joined)."""
+    text = F.col(f"`{text_col}`").cast("string")
+    own = [c for c in docs.columns if c not in (n_col, kinds_col)]
     none = ~F.coalesce(F.when(_quick(text), text.rlike(ANY)), F.lit(False))
-    plain = docs.where(none).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("_n_found"), F.lit("").alias("_kinds"))
-    hit = docs.where(~none).withColumn("__pii_th", F.xxhash64(text)).withColumn("__pii_key", F.col(id_col))
-    each = hit.select("__pii_key", "__pii_th", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pos", "found"))
-    each = each.withColumn("what", _kind(F.col("found"))).select("__pii_key", "__pii_th", "pos", "what", F.posexplode(_parts(F.col("found"), F.col("what"))).alias("sub", "p")).select("__pii_key", "__pii_th", "pos", "sub", "what", "p.*").distinct()
-    each = scratch.stage(each, "found")
-    table = surrogates(each.select("kind", "norm").distinct(), key, scratch)
-    new = each.join(table, ["kind", "norm"]).select("__pii_key", "__pii_th", "pos", "sub", "what", F.concat("lead", rendered(F.col("raw"), F.col("kind"), F.col("sur"))).alias("out"))
-    whole = new.groupBy("__pii_key", "__pii_th").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "out"))).alias("parts"), F.array_join(F.sort_array(F.collect_set("what")), ",").alias("_kinds"))
-    joined = hit.alias("d").join(whole.alias("w"), (F.col("d.__pii_th") == F.col("w.__pii_th")) & F.col("d.__pii_key").eqNullSafe(F.col("w.__pii_key")))
-    gaps = F.split(text, ANY, -1)
-    after = lambda i: F.array_join(F.transform(F.filter("w.parts", lambda p: p["pos"] == i), lambda p: p["out"]), "")
+    plain = docs.where(none).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own], F.lit(0).cast("long").alias(n_col), F.lit("").alias(kinds_col))
+    hit = docs.where(~none).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    hit = hit.withColumn("names", _names(F.col("t"), key)).withColumn("pattern", _pattern(F.col("names")))
+    each = hit.select("id", "th", "names", F.posexplode(F.regexp_extract_all("t", F.col("pattern"), F.lit(0))).alias("pos", "found")).withColumn("what", _kind(F.col("found")))
+    each = each.select("id", "th", "pos", F.when(F.col("what") == "mention", "person").otherwise(F.col("what")).alias("what"), F.posexplode(_parts(F.col("found"), F.col("what"), F.col("names"), key)).alias("sub", "p"))
+    each = scratch.stage(each.select("id", "th", "pos", "sub", "what", "p.*").distinct(), "found")
+    table = surrogates(each.where("kind is not null").select("kind", "norm").distinct(), key, scratch)
+    new = each.join(table, ["kind", "norm"], "left").select("id", "th", "pos", "sub", F.when(F.col("kind").isNotNull(), F.col("what")).alias("what"), F.concat("lead", F.when(F.col("kind").isNotNull(), rendered(F.col("raw"), F.col("kind"), F.col("sur"))).otherwise(F.col("raw"))).alias("out"))
+    whole = new.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "out", "what"))).alias("parts"), F.array_join(F.sort_array(F.collect_set("what")), ",").alias("kinds"))
+    whole = whole.withColumnsRenamed({"id": "of", "th": "of_th"})
+    joined = hit.select("d", "id", "th", "t", "pattern").join(whole, (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
+    gaps = F.split("t", F.col("pattern"), -1)
+    after = lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["out"]), "")
     made = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, after(i))), "")
-    n = F.size(F.array_distinct(F.transform("w.parts", lambda p: p["pos"]))).cast("long")
-    done = joined.select(*[made.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns], n.alias("_n_found"), F.col("w._kinds"))
-    return reduce(DataFrame.unionByName, [plain.withColumn(text_col, text), done])
+    n = F.size(F.array_distinct(F.transform(F.filter("parts", lambda p: p["what"].isNotNull()), lambda p: p["pos"]))).cast("long")
+    done = joined.select(*[made.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in own], n.alias(n_col), F.col("kinds").alias(kinds_col))
+    return plain.unionByName(done)

