@@ -6,7 +6,7 @@ costs linear * n + quadratic * n * n. Everything happens within an input partiti
 of ids, so nothing is shuffled and memory does not follow the input.
 
 Null text counts as the empty text, whose document is the end id alone. Repeated rows are packed each for itself.
-An empty table gives no pieces.
+Texts of any length and kind are encoded whole. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -20,26 +20,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks_path: str, special: str, special_id: int):
-    """Byte-level BPE over the vocabulary that the tokenizer's JSON file holds too; ids are the same, five times as fast."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """Ids of texts as the named tokenizer file gives them, special strings matched.
+
+    With the same vocabulary as ranks they come five times as fast from another library. That one gives up on some texts,
+    such as a million line ends on end; those go to the tokenizer itself.
+    """
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id})
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, special: str, special_id: int) -> None:
+        from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.fast = None
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
 
-def ids_of(text: str | None, enc, end_id: int) -> np.ndarray:
-    """Ids of the whole text, the end id after them. Special strings in a text are matched, as tokenizers does."""
-    ids = enc.encode(text, allowed_special="all") if text else []
-    ids.append(end_id)
-    return np.asarray(ids, dtype="<u4")
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id})
+
+    def __call__(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self.fast:
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern ran out of stack
+                pass
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, ranks_path: str | None, special: str, special_id: int) -> Encoder:
+    return Encoder(tokenizer_path, ranks_path, special, special_id)
 
 
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -130,25 +149,28 @@ class _Group:
 
 
 def pack(
-    docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, special: str = "<|endoftext|>",
+    docs: DataFrame, tokenizer_path: str, *, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, special: str = "<|endoftext|>",
     special_id: int = 50256, linear: float = 1.0, quadratic: float = 1.0 / 1024, group_tokens: int = 4_000_000, with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece. Columns: SCHEMA, and with `with_ids` the ids themselves."""
+    """One row per piece. Columns: SCHEMA, and with `with_ids` the ids themselves.
+
+    tokenizer_path names a file of `tokenizers`; ranks_path the same vocabulary as ranks, if there is one. Both lie on every executor.
+    """
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
 
     def run(batches):
-        enc = encoder(ranks_path, special, special_id)
+        enc = encoder(tokenizer_path, ranks_path, special, special_id)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         arrow = pa.schema([(n, pa.int64()) for n in names] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
         sequence = TaskContext.get().partitionId() << 40
         group = _Group(capacity, linear, quadratic, with_ids)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sequence = group.add(doc_id, ids_of(text.as_py(), enc, end_id), sequence)
+                sequence = group.add(doc_id, np.asarray([*enc(text.as_py()), end_id], dtype="<u4"), sequence)
                 if group.tokens >= group_tokens:
                     out, sequence = group.close(sequence, arrow)
                     yield out
         out, sequence = group.close(sequence, arrow)
         yield out
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)

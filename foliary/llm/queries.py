@@ -42,8 +42,8 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.pseudonymize(docs, "key of the standard query", Scratch(spark, "op4"))
-    return found.select("doc_id", F.col("_n_found").alias("n_found"), F.col("_kinds").alias("kinds"), "text")
+    found = pii.pseudonymize(docs, "key of the standard query", Scratch(spark, "op4"), n_col="n_found", kinds_col="kinds")
+    return found.select("doc_id", "n_found", "kinds", "text")
 
 
 def quality_model(spark: SparkSession, sf_dir: str):
@@ -120,7 +120,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def queries():

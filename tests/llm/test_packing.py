@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from foliary.llm import packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_every_id_once(spark):
@@ -15,7 +16,7 @@ def test_every_id_once(spark):
     rows = [(i, " ".join(rng.choice(["the", "quick ", "naïve", "été\n", "  x", "42", "don't", "　", "\x1c"]) for _ in range(rng.choice([0, 1, 30, 400, 3000])))) for i in range(150)]
     rows += [(200, None), (201, ""), (202, "a <|endoftext|> b"), (3, rows[3][1]), (203, "é" * 5000), (None, "no id")]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int").repartition(2)
-    got = packing.pack(frame, RANKS, capacity=256, group_tokens=20_000, with_ids=True).collect()
+    got = packing.pack(frame, FILE, ranks_path=RANKS, capacity=256, group_tokens=20_000, with_ids=True).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((str(d), tok.encode(t or "", add_special_tokens=False).ids + [0]) for d, t in rows)
     pieces = {}
@@ -53,7 +54,7 @@ def test_balance():
 
 
 def test_empty(spark):
-    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
 
 
 def test_balance_takes_the_cheapest_with_room():
@@ -75,3 +76,18 @@ def test_balance_takes_the_cheapest_with_room():
     for capacity, most, n in [(100, 100, 500), (100, 60, 700), (64, 64, 900), (7, 20, 200)]:
         lengths = [rng.randint(1, most) for _ in range(n)]
         assert packing.balance(lengths, capacity, 1.0, 1.0 / 64) == naive(lengths, capacity, 1.0, 1.0 / 64)
+
+
+def test_ids_of_any_text():
+    enc, tok = packing.Encoder(FILE, RANKS, "<|endoftext|>", 50256), Tokenizer.from_file(FILE)
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " \n" * 300_000 + "b", "x" * 200_000, "é" * 50_000, "<|endoftext|>" * 3 + " ", "1234567" * 9, "\u3000\x00 \u200b", ""):
+        assert enc(text) == tok.encode(text, add_special_tokens=False).ids
+    plain = packing.Encoder(FILE, None, "<|endoftext|>", 50256)
+    assert plain("a <|endoftext|> b") == enc("a <|endoftext|> b")
+
+
+def test_very_long_white_space(spark):
+    frame = spark.createDataFrame([(1, " " * 1_000_000), (2, "after")], "doc_id long, text string")
+    want = len(Tokenizer.from_file(FILE).encode(" " * 1_000_000, add_special_tokens=False).ids) + 1
+    got = packing.pack(frame, FILE, ranks_path=RANKS).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {1: want, 2: len(Tokenizer.from_file(FILE).encode("after").ids) + 1}
