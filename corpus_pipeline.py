@@ -41,7 +41,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024)
 
 
 STAGES = [("quality", good_quality), ("line_dedup", deduped_lines), ("near_duplicates", one_of_near_duplicates), ("decontamination", without_benchmarks), ("packing", packed)]
