@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliary import schema
 from foliary.functions import names, transfer
 from foliary.operators import ingest, merge, versions
-from foliary.sources import markup
+from foliary.sources import markup, runs
+from foliary.staging import Scratch
 
 
 def last_responses(responses: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def list_pages(responses: DataFrame, base: str) -> DataFrame:
 def resolve_metadata(records: DataFrame, responses: DataFrame, base: str) -> DataFrame:
     """Outcomes of the metadata queue: ok with a file name, error without a citation, deferred where the page says nothing of the document.
 
-    A page whose grid is empty is the shell of a site that is down, as is a response worth a retry: the record stays pending.
+    Names that the records use already are not given again. A page whose grid is empty is the shell of a site that is down, as is a response worth a retry: the record stays pending.
     """
     queue = ingest.metadata_queue(records)
     last = last_responses(responses).select("url", "status", F.col("body").cast("string").alias("html"))
@@ -36,7 +38,8 @@ def resolve_metadata(records: DataFrame, responses: DataFrame, base: str) -> Dat
     outcome = F.when(down, "deferred").when(F.col("status") >= 400, "error").when(citation.isNull(), "error").when(slug.isNull(), "error").otherwise("ok")
     reason = F.when(outcome != "error", F.lit(None).cast("string")).when(F.col("status") >= 400, F.concat(F.lit("status "), "status")).when(citation.isNull(), "no neutral citation").otherwise("unknown form of citation")
     judged = seen.select("id", outcome.alias("outcome"), reason.alias("error_reason"), citation.alias("neutral_citation"), F.to_json("meta").alias("meta_json"), F.when(outcome == "ok", names.file_stem(citation, F.col("judge"))).alias("stem"))
-    named = merge.file_names(judged.where("outcome = 'ok'"), F.col("stem"), ["id"]).drop("stem")
+    taken = records.where("filename is not null").select("filename")
+    named = merge.file_names(judged.where("outcome = 'ok'"), F.col("stem"), ["id"], taken=taken).drop("stem")
     rest = judged.where("outcome <> 'ok'").drop("stem").withColumn("filename", F.lit(None).cast("string"))
     return named.unionByName(rest)
 
@@ -60,6 +63,16 @@ def downloads(records: DataFrame, responses: DataFrame, limit: int | None = None
     return got.select("id", F.when(verdict == "ok", "done").otherwise("error").alias("download_status"), F.when(verdict != "ok", verdict).alias("error_reason"), F.when(verdict == "ok", F.sha2("body", 256)).alias("sha256"), F.when(verdict == "ok", F.octet_length("body").cast("bigint")).alias("bytes"), "etag", "last_modified")
 
 
+def after_downloads(records: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The records with the outcomes of downloads entered; a failure keeps what was known of an earlier file."""
+    o = outcomes.select(F.col("id").alias("_id"), F.col("download_status").alias("_s"), F.col("error_reason").alias("_e"), F.col("sha256").alias("_sha"), F.col("bytes").alias("_n"), F.col("etag").alias("_t"), F.col("last_modified").alias("_m"))
+    joined = records.join(o, records.id == F.col("_id"), "left")
+    some, ok = F.col("_id").isNotNull(), F.col("_s") == "done"
+    values = {"download_status": F.when(some, F.col("_s")).otherwise(F.col("download_status")), "error_reason": F.when(some, F.col("_e")).otherwise(F.col("error_reason")), "pdf_retrieved_at": F.when(ok, now).otherwise(F.col("pdf_retrieved_at"))}
+    values |= {c: F.when(ok, F.col(v)).otherwise(F.col(c)) for c, v in (("sha256", "_sha"), ("bytes", "_n"), ("http_etag", "_t"), ("http_last_modified", "_m"))}
+    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in records.columns])
+
+
 def requeued(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with failed metadata pending again, without their reason but with what was known; and how many those are."""
     failed = F.col("meta_status") == "error"
@@ -94,3 +107,86 @@ def revalidate(records: DataFrame, history: DataFrame, responses: DataFrame, liv
 def error_log(outcomes: DataFrame, phase: str, now: Column) -> DataFrame:
     """Rows for an append-only table of errors."""
     return outcomes.where("error_reason is not null").select(now.alias("at"), F.lit(phase).alias("phase"), "id", "error_reason")
+
+
+def listed(records: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
+    """The records with the new rows of listing pages, pending; what is known keeps its progress. New ids go on from the highest."""
+    fresh = ingest.new_rows(pages, records, "pdf_url", ["page", "title"])
+    top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    # the rank by position stands for an autoincrement; new rows of one visit are few beside the records
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("page", "pdf_url"))
+    numbered = fresh.drop("id").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + place)
+    new = numbered.withColumn("meta_status", F.lit("pending")).withColumn("download_status", F.lit("pending")).withColumn("listed_at", now)
+    return records.unionByName(schema.conform(new, schema.RECORD))
+
+
+def _checked(records: DataFrame) -> DataFrame:
+    return schema.conform(records, schema.RECORD)
+
+
+def fetch(
+    spark, courts: list[str] | None, responses: DataFrame, base: str, now: str, *, records: DataFrame | None = None, catalog: DataFrame | None = None, list_only: bool = False, retry_skipped: bool = False, limit: int | None = None,
+) -> DataFrame:
+    """The records of a crawl over recorded responses: a new one of `courts`, or one that goes on with `records`.
+
+    Options that do not go together are errors, and so is a new crawl of courts that a complete run has (by the catalog).
+    """
+    resume = records is not None
+    if courts and resume:
+        raise ValueError("courts begin a new run; they do not go with records to resume")
+    if not courts and not resume:
+        raise ValueError("neither courts nor records to resume are given")
+    if courts and retry_skipped:
+        raise ValueError("a new run has skipped nothing that could be tried again")
+    if list_only and resume:
+        raise ValueError("listing alone begins a new run; it does not go with records to resume")
+    if list_only and limit is not None:
+        raise ValueError("a limit is on downloads, of which listing alone has none")
+    if courts and catalog is not None:
+        done = runs.canonical(runs.matching(catalog, courts)).select("run").first()
+        if done:
+            raise ValueError(f"the complete run {done.run} has these courts")
+    at = F.lit(now)
+    state = _checked(records) if resume else spark.createDataFrame([], schema.RECORD)
+    if not resume:
+        state = listed(state, list_pages(responses, base), at)
+        if list_only:
+            return state
+    if retry_skipped:
+        state = requeued(state)[0]
+    state = after_metadata(state, resolve_metadata(state, responses, base), at)
+    return after_downloads(state, downloads(state, responses, limit), at)
+
+
+def update(
+    records: DataFrame, history: DataFrame, responses: DataFrame, base: str, now: str, *, run: str, live: DataFrame | None = None, revalidate_all: bool = False, retry_skipped: bool = False, limit: int | None = None,
+) -> tuple[dict, DataFrame, DataFrame]:
+    """What a later visit finds, over recorded responses: ({new, requeued, revisions, errors, run}, records, history).
+
+    Records that are there before the visit are looked at again only with revalidate_all (the function `revalidate`); those that
+    this visit itself fetches need no second look. Tables are staged between the steps, as each is read several times.
+    """
+    spark = records.sparkSession
+    scratch = Scratch(spark, "update")
+    before = scratch.stage(_checked(records), "before")
+    n_before = before.count()
+    if not n_before:
+        raise ValueError(f"{run} has no listing to update; fetch it first")
+    state = scratch.stage(listed(before, list_pages(responses, base), F.lit(now)), "listed")
+    counts = {"new": state.count() - n_before, "requeued": 0}
+    if retry_skipped:
+        state, n = requeued(state)
+        counts["requeued"] = n.first().n
+    state = scratch.stage(after_metadata(state, resolve_metadata(state, responses, base), F.lit(now)), "meta")
+    state = scratch.stage(after_downloads(state, downloads(state, responses, limit), F.lit(now)), "done")
+    known = schema.conform(history, schema.VERSION)
+    seen = versions.superseded_count(known).first().n
+    if revalidate_all:
+        live = live if live is not None else spark.createDataFrame([], "filename string, live_sha string")
+        older = state.where(F.col("pdf_retrieved_at").isNull() | (F.col("pdf_retrieved_at") < now))
+        _, after, old = revalidate(older, known, responses, live, now, None, limit)
+        known = scratch.stage(after, "history")
+        state = scratch.stage(old.unionByName(state.where(F.col("pdf_retrieved_at") >= now)), "state")
+    revisions = versions.superseded_count(known).first().n - seen
+    errors = state.where("download_status = 'error'").count()
+    return {**counts, "revisions": revisions, "errors": errors, "run": run}, state, known

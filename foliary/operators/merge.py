@@ -13,13 +13,15 @@ def _stamp(c: str) -> Column:
 
 
 def latest_wins(rows: DataFrame, ident: str, recency: list[str], tie: list[str]) -> DataFrame:
-    """The latest row of each identity by the recency columns; the first by `tie` among equals, null counting as oldest.
+    """The latest row of each identity by the recency columns; among equals the first by `tie`, which are numbers.
 
-    Also first_seen: the identity's least tie values over all of its rows, the key of a stable order.
+    A null stamp is as old as an empty one. Also first_seen: the identity's least tie values over all of its rows, the key
+    of a stable order. Rows are combined before they are shuffled, so an identity with very many rows is no hot key.
     """
-    per = Window.partitionBy(ident)
-    order = per.orderBy(*[F.col(c).desc_nulls_last() for c in recency], *tie)
-    return rows.withColumn("first_seen", F.min(F.struct(*tie)).over(per)).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    text = {f.name for f in rows.schema if f.dataType.typeName() == "string"}
+    order = F.struct(*[(_stamp(c) if c in text else F.col(c)).alias(f"r{k}") for k, c in enumerate(recency)], *[(-F.col(c)).alias(f"t{k}") for k, c in enumerate(tie)])
+    best = rows.groupBy(ident).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order).alias("_best"), F.min(F.struct(*tie)).alias("first_seen"))
+    return best.select("_best.*", "first_seen")
 
 
 def merged_order(winners: DataFrame) -> list[Column]:
@@ -48,6 +50,11 @@ def first_seen_union(rows: DataFrame, by: list[str], values: str, order: list[Co
     return once.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(values))
 
 
+def first_known(rows: DataFrame, by: list[str], value: str, order: list[Column]) -> DataFrame:
+    """Of each group the first value that is not null."""
+    return rows.groupBy(*by).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
+
+
 def suffixed(rows: DataFrame, stem: Column, order: list, shape, out: str) -> DataFrame:
     """Names made unique: the nth row of a stem (n > 1) takes shape(stem, n)."""
     n = F.row_number().over(Window.partitionBy("_stem").orderBy(*order))
@@ -55,16 +62,22 @@ def suffixed(rows: DataFrame, stem: Column, order: list, shape, out: str) -> Dat
     return rows.withColumn(out, F.when(F.col("_k") > 1, shape(F.col("_stem"), F.col("_k"))).otherwise(F.col("_stem"))).drop("_stem", "_k")
 
 
-def file_names(rows: DataFrame, stem: Column, order: list, out: str = "filename") -> DataFrame:
-    """stem.pdf, stem_2.pdf, ..."""
-    named = suffixed(rows, stem, order, lambda s, n: F.concat(s, F.lit("_"), n.cast("string")), out)
-    return named.withColumn(out, F.concat(F.col(out), F.lit(".pdf")))
+def file_names(rows: DataFrame, stem: Column, order: list[str], out: str = "filename", taken: DataFrame | None = None) -> DataFrame:
+    """stem.pdf, or the first of stem_2.pdf, stem_3.pdf, ... that no row before has and that is not in `taken` (a column of names).
+
+    A null stem has no name.
+    """
+    rows = rows.withColumn("_name", F.concat(stem, F.lit(".pdf")))
+    some = rows.where("_name is not null")
+    shape = lambda s, n: F.concat(F.substring(s, F.lit(1), F.length(s) - 4), F.lit("_"), n.cast("string"), F.lit(".pdf"))
+    made = resolve_clashes(suffixed(some, F.col("_name"), order, shape, out), "_name", out, order, "_", taken)
+    return made.unionByName(rows.where("_name is null").withColumn(out, F.lit(None).cast("string"))).drop("_name")
 
 
 def bag_names(rows: DataFrame, name: Column, order: list, out: str = "bag_name") -> DataFrame:
     """name.ext, name__2.ext, ...: the suffix goes before the first dot.
 
-    A made name may be another's own. Such stems are few; their names are dealt again one after the other.
+    A made name may be another's own: resolve_clashes deals the names of such stems again.
     """
     def shape(s: Column, n: Column) -> Column:
         head = F.substring_index(s, ".", 1)
@@ -73,37 +86,48 @@ def bag_names(rows: DataFrame, name: Column, order: list, out: str = "bag_name")
     return suffixed(rows, name, order, shape, out)
 
 
-def clashing(named: DataFrame, name: Column, out: str) -> DataFrame:
-    """Made names that are not unique: they need a sequential pass."""
-    return named.groupBy(out).agg(F.count("*").alias("n"), F.max(name).alias("_x")).where("n > 1").select(out, "n")
+def clashing(named: DataFrame, out: str, taken: DataFrame | None = None) -> DataFrame:
+    """Made names that are not unique, or taken: they need a sequential pass."""
+    twice = named.groupBy(out).count().where("count > 1").select(out)
+    if taken is None:
+        return twice
+    return twice.union(named.select(out).join(taken.toDF(out), out, "left_semi")).distinct()
 
 
-def resolve_clashes(named: DataFrame, name: str, out: str, order: list[str]) -> DataFrame:
-    """Deals the names of whole families (a name up to its first '__' or dot) that hold a clash again, in order.
+def resolve_clashes(named: DataFrame, name: str, out: str, order: list[str], mark: str = "__", taken: DataFrame | None = None) -> DataFrame:
+    """Deals the names of whole families (a name's part before its first dot, without numbers after `mark`) that hold a clash again, in order.
 
-    Families without one are untouched; the others go through one sequential pass each.
+    Families without one are untouched; the others go through one sequential pass each, which holds names and places alone.
     """
-    family = F.substring_index(F.substring_index(F.col(name), ".", 1), "__", 1)
-    marked = named.withColumn("_f", family)
-    bad = marked.join(clashing(named, F.col(name), out).select(out), out).select("_f").distinct()
-
-    def deal(pdf):
-        taken: set[str] = set()
-        made = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for s in pdf[name]:
+    def family(c: str) -> Column:
+        return F.regexp_replace(F.substring_index(F.col(c), ".", 1), f"({mark}[0-9]+)+$", "")
+
+    used = None if taken is None else taken.toDF("used").where("used is not null").distinct()
+    marked = named.withColumn("_f", family(name)).withColumn("_row", F.struct(*order))
+    bad = clashing(marked.select(out), out, used).select(family(out).alias("_f")).distinct()
+    places = marked.join(bad, "_f", "left_semi").select("_f", "_row", F.col(name).alias("_own"))
+
+    def deal(mine, theirs):
+        seen = set(theirs["used"])
+        made, after = [], {}
+        mine = mine.sort_values("_key", kind="stable")
+        for s in mine["_own"]:
             head, dot, tail = s.partition(".")
-            new, k = s, 1
-            while new in taken:
+            new, k = s, after.get(s, 1)
+            while new in seen:
                 k += 1
-                new = f"{head}__{k}{dot}{tail}"
-            taken.add(new)
+                new = f"{head}{mark}{k}{dot}{tail}"
+            after[s] = k
+            seen.add(new)
             made.append(new)
-        pdf[out] = made
-        return pdf
-
-    fixed = marked.join(bad, "_f", "left_semi").groupBy("_f").applyInPandas(deal, marked.schema)
-    return marked.join(bad, "_f", "left_anti").unionByName(fixed).drop("_f")
+        return mine.assign(_new=made)[["_f", "_at", "_new"]]
+
+    # places in the order are numbers, so that the pass sorts whatever the order's columns hold
+    numbered = places.withColumn("_key", F.row_number().over(Window.partitionBy("_f").orderBy("_row"))).withColumn("_at", F.xxhash64("_row"))
+    others = (used if used is not None else named.sparkSession.createDataFrame([], "used string")).withColumn("_f", family("used")).join(bad, "_f", "left_semi")
+    dealt = numbered.select("_f", "_at", "_key", "_own").groupBy("_f").cogroup(others.groupBy("_f")).applyInPandas(deal, "_f string, _at bigint, _new string")
+    joined = marked.withColumn("_at", F.xxhash64("_row")).join(dealt, ["_f", "_at"], "left")
+    return joined.select(*[F.coalesce("_new", out).alias(c) if c == out else F.col(f"`{c}`") for c in named.columns])
 
 
 def coverage(rows: DataFrame, date: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from test_markup import listing_html
 
@@ -68,9 +69,35 @@ def test_revalidation(spark):
 
 
 def test_event_lines(spark):
-    rows = spark.createDataFrame([("PhaseStarted", "metadata", None, None, None), ("ItemFinished", "x", "error", "boom", None), ("ItemFinished", "x", "ok", None, None), ("OutageStarted", None, None, None, 60.0)], "k string, l string, s string, r string, n double").coalesce(1)
+    rows = spark.createDataFrame([("PhaseStarted", "metadata", None, None, None), ("ItemFinished", "x", "error", "boom", None), ("ItemFinished", "x", "ok", None, None), ("OutageProbing", None, None, None, 60.0)], "k string, l string, s string, r string, n double").coalesce(1)
     got = [r[0] for r in rows.select(progress.event_text(F.col("k"), F.col("l"), F.col("s"), F.col("r"), F.col("n"))).collect()]
     assert got == ["started: metadata", "error x (boom)", None, "site down, next look in 1m"]
-    eta = spark.createDataFrame([(1, 1, 10.0, 60.0, "none"), (1, 2, 20.0, 55.0, "paused"), (1, 3, 30.0, 40.0, "none")], "u int, i int, now double, left double, o string")
+    eta = spark.createDataFrame([(1, 1, 10.0, 60.0, ""), (1, 2, 20.0, 55.0, "paused"), (1, 3, 30.0, 40.0, "")], "u int, i int, now double, left double, o string")
     assert [r.done_at for r in progress.done_at(eta, ["u"], "i", "now", "left", "o").orderBy("i").collect()] == [70.0, 70.0, 70.0]
     assert [r[0] for r in spark.createDataFrame([(0.0, 5.0), (3.0, 5.0)], "a double, b double").coalesce(1).select(progress.final_elapsed(F.col("a"), F.col("b"))).collect()] == [5.0, 3.0]
+
+
+def test_names_in_use_are_not_given_again(spark):
+    old = {"id": 90, "view_url": "z", "filename": "2026_IESC_1_Dunne-J.pdf", "meta_status": "ok"}
+    rec = make(spark, *[{"id": i, "view_url": f"v{i}"} for i in range(2)], old)
+    out = crawl.resolve_metadata(rec, responses(spark, [(f"v{i}", 1, 200, page("[2026] IESC 1")) for i in range(2)]), "https://h")
+    assert sorted(r.filename for r in out.collect()) == ["2026_IESC_1_Dunne-J_2.pdf", "2026_IESC_1_Dunne-J_3.pdf"]
+
+
+def test_fetch_guards_and_update(spark):
+    none = responses(spark, [])
+    rec = make(spark, {"id": 1, "pdf_url": "p1"})
+    for options, said in [(dict(courts=["a"], records=rec), "resume"), (dict(courts=None), "neither"), (dict(courts=["a"], retry_skipped=True), "skipped"), (dict(courts=None, records=rec, list_only=True), "listing alone"), (dict(courts=["a"], list_only=True, limit=3), "limit")]:
+        with pytest.raises(ValueError, match=said):
+            crawl.fetch(spark, responses=none, base="https://h", now="t", **options)
+    done = spark.createDataFrame([("r1", ["a"], True, False)], "run string, courts array<string>, catalog_complete boolean, truncated boolean")
+    with pytest.raises(ValueError, match="r1"):
+        crawl.fetch(spark, ["a"], none, "https://h", "t", catalog=done)
+    seen = responses(spark, [("https://h/?page=0", 1, 200, listing_html(3))])
+    listed = crawl.fetch(spark, ["a"], seen, "https://h", "t", list_only=True, catalog=done.where("run = ''"))
+    assert listed.count() > 0 and {r.meta_status for r in listed.collect()} == {"pending"}
+    with pytest.raises(ValueError, match="no listing"):
+        crawl.update(rec.where("false"), spark.createDataFrame([], schema.VERSION), none, "https://h", "t", run="r")
+    failed = make(spark, {"id": 1, "pdf_url": "p1", "meta_status": "error", "error_reason": "x"})
+    told, state, _ = crawl.update(failed, spark.createDataFrame([], schema.VERSION), seen, "https://h", "t", run="r", retry_skipped=True)
+    assert told["requeued"] == 1 and told["new"] == listed.count() and told["revisions"] == 0 and state.count() == 1 + listed.count()

@@ -24,8 +24,6 @@ def test_merge_equals_a_plain_restatement(spark):
         if r[5]:
             shas.setdefault(ident, {})[r[5]] = r[9]
     frame = merge.identity(spark.createDataFrame(rows, cols))
-    for x in ("pdf_retrieved_at", "meta_retrieved_at", "listed_at"):
-        frame = frame.withColumn(x, F.coalesce(x, F.lit("")))
     won = merge.latest_wins(frame, "ident", ["pdf_retrieved_at", "meta_retrieved_at", "listed_at"], ["run_ord", "id"])
     got = [(r.ident, r.run_ord, r.id) for r in won.orderBy(*merge.merged_order(won)).collect()]
     order = sorted(best, key=lambda i: (best[i][1][4] or "", best[i][1][2] or "", seen[i]))
@@ -57,13 +55,39 @@ def plain_names(names):
 def test_bag_names_with_clashes(spark):
     rng = random.Random(3)
     for _ in range(4):
-        names = sorted(rng.choice(["a.pdf", "a__2.pdf", "a__3.pdf", "b.v1.pdf", "b__2.v1.pdf", "c"]) for _ in range(rng.randint(3, 12)))
+        names = [rng.choice(["a.pdf", "a__2.pdf", "a__3.pdf", "b.v1.pdf", "b__2.v1.pdf", "c"]) for _ in range(rng.randint(3, 14))]
         frame = spark.createDataFrame(list(enumerate(names)), "ident int, filename string")
-        made = merge.resolve_clashes(merge.bag_names(frame, F.col("filename"), ["ident"]), "filename", "bag_name", ["filename", "ident"])
-        got = [r.bag_name for r in made.orderBy("ident").collect()]
-        assert len(set(got)) == len(got)
-        if len(set(plain_names(names))) == len(names) and not [n for n in names if "__" in n]:
-            assert got == plain_names(names)
+        made = merge.resolve_clashes(merge.bag_names(frame, F.col("filename"), ["ident"]), "filename", "bag_name", ["ident"])
+        assert [r.bag_name for r in made.orderBy("ident").collect()] == plain_names(names)
+
+
+def plain_files(stems, taken):
+    taken, out = set(taken), []
+    for s in stems:
+        new, k = f"{s}.pdf", 1
+        while new in taken:
+            k += 1
+            new = f"{s}_{k}.pdf"
+        taken.add(new)
+        out.append(new)
+    return out
+
+
+def test_file_names_with_clashes_and_names_in_use(spark):
+    rng = random.Random(5)
+    for taken in ([], ["a.pdf", "a_3.pdf", "c_2.pdf", "zz.pdf"]):
+        for stems in (["a", "a", "a_2"], ["a_2", "a", "a"], *([rng.choice(["a", "a_2", "a_2_2", "b", "c"]) for _ in range(12)] for _ in range(3))):
+            frame = spark.createDataFrame(list(enumerate(stems)) + [(99, None)], "id int, stem string")
+            used = spark.createDataFrame([(t,) for t in taken], "filename string") if taken else None
+            got = merge.file_names(frame, F.col("stem"), ["id"], taken=used).orderBy("id").collect()
+            assert [r.filename for r in got] == [*plain_files(stems, taken), None]
+
+
+def test_first_known_and_spacing(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "c"), (2, 1, None)], "g int, n int, v string")
+    assert {r.g: r.v for r in merge.first_known(rows, ["g"], "v", [F.col("n")]).collect()} == {1: "b", 2: None}
+    calls = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 9.0), (2, 1.0)], "u int, t double")
+    assert [(r.t, r.gap) for r in progress.spacing(calls, ["u"], "t", 5.0).collect()] == [(9.0, 4.0)]
 
 
 def test_ingest(spark):
@@ -122,7 +146,7 @@ def test_outages_and_schedule(spark):
 def test_eta(spark):
     one = spark.range(1)
     at = lambda n, s: one.select(progress.eta(F.lit(100), F.lit(n), progress.pace(F.lit(5.0), F.lit(2.0), F.lit(n), F.lit(s)), F.lit(False))).first()[0]
-    assert at(90, 0.0) == 60.0 and at(20, 60.0) == 80 * 4.5 and at(120, 10.0) == 0
+    assert at(90, 0.0) == 10 * 3.0 and at(19, 0.0) == 81 * 6.0 and at(20, 60.0) == 80 * 4.5 and at(120, 10.0) == 0
     assert one.select(progress.eta(F.lit(0), F.lit(1), F.lit(1.0), F.lit(False))).first()[0] is None
 
 
