@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def probe_schedule(limit: int = GIVE_UP_SECONDS) -> list[tuple[int, int]]:
 def pace(delay: Column, jitter: Column, requests: Column, elapsed: Column) -> Column:
     """Seconds a request: the configured floor, half and half with what is observed once there is enough of it."""
     floor = delay + jitter / 2
-    return F.when((requests >= BLEND_AFTER) & (elapsed > 0), (floor + elapsed / requests) / 2).otherwise(floor)
+    return F.when(requests >= BLEND_AFTER, (floor + elapsed / requests) / 2).otherwise(floor)
 
 
 def eta(estimated: Column, requests: Column, pace_seconds: Column, finished: Column) -> Column:
@@ -43,30 +43,77 @@ def rate_per_minute(requests: Column, elapsed: Column) -> Column:
     return F.when((requests > 0) & (elapsed > 0), requests * 60.0 / elapsed)
 
 
+#: What an event may hold. event_type names the event; phases are those of RunStarted, in their order; until is on mono's clock.
+EVENT = (
+    "run string, seq bigint, mono double, event_type string, phase string, phases array<string>, items bigint, label string, status string, reason string, seconds double, until double, "
+    "est_total_requests bigint, down_seconds double, probe_in_seconds double, incomplete boolean"
+)
+# How an item may end, as events say it, and the counters of it.
+OUTCOMES = {"ok": "ok", "skipped_no_citation": "skipped", "error": "error", "deferred": "deferred"}
+# The states of an outage by the event that begins them.
+OUTAGE_STATES = {"OutagePaused": "paused", "OutageProbing": "probing", "OutageRecovered": "", "OutageGaveUp": "gave_up"}
+
+
+def events_of(rows: DataFrame, run: str = "run", order: str = "seq") -> DataFrame:
+    """Rows with all columns that an event may have; what they lack is null, other columns stay."""
+    have = set(rows.columns)
+    kinds = dict(x.split(" ", 1) for x in EVENT.split(", "))
+    return rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in have and c not in ("run", "seq")})
+
+
 def fold(events: DataFrame, run: str, order: str) -> DataFrame:
-    """One row per run: outcomes, requests, retries, phase and last label, as the events leave them."""
-    kind, status = F.col("event_type"), F.col("status")
-    done = kind == "ItemFinished"
-    phase = Window.partitionBy(run).orderBy(order)
-    marked = events.withColumn("_phase", F.sum(F.when(kind == "PhaseStarted", 1).otherwise(0)).over(phase))
-    latest = F.max("_phase").over(Window.partitionBy(run))
-    marked = marked.withColumn("_now", F.col("_phase") == latest)
-    last = lambda value, when: F.max_by(value, F.when(when, F.col(order)))
-    return marked.groupBy(run).agg(
-        *[F.count_if(done & (status == s)).alias(s) for s in ("ok", "skipped", "error", "deferred")],
+    """One row per run: outcomes, requests, retries, phase, label, wait and outage, as the events leave them.
+
+    Two aggregations that combine before they shuffle, so a run with very many events is not sorted in one task.
+    """
+    rows = events_of(events, run, order)
+    kind, at = F.col("event_type"), F.col(order)
+    begun = rows.groupBy(run).agg(
+        F.max_by("phases", F.when(kind == "RunStarted", at)).alias("_phases"),
+        F.max(F.when(kind == "PhaseStarted", at)).alias("_phase_at"),
+        F.max_by("phase", F.when(kind == "PhaseStarted", at)).alias("phase_name"),
+        F.max_by("items", F.when(kind == "PhaseStarted", at)).alias("phase_items"),
+    )
+    rows = rows.join(begun.select(F.col(run).alias("_run"), "_phases", "_phase_at"), F.col(run).eqNullSafe(F.col("_run")))
+    listed = F.coalesce(F.array_position("_phases", F.col("phase")), F.lit(0))
+    last_listed = rows.where((kind == "PhaseStarted") & (listed > 0)).groupBy(run).agg(F.max(order).alias("_listed_at"), F.max_by(listed, at).alias("_index"))
+    rows = rows.join(last_listed.select(F.col(run).alias("_run2"), "_listed_at", "_index"), F.col(run).eqNullSafe(F.col("_run2")), "left")
+    done, now = kind == "ItemFinished", F.col("_phase_at").isNull() | (at > F.col("_phase_at"))
+    last = lambda value, when: F.max_by(value, F.when(when, at))
+    waits = kind.isin("ItemFinished", "WaitStarted", "RequestStarted", "RunFinished")
+    state = F.lit("")
+    for name, value in OUTAGE_STATES.items():
+        state = F.when(kind == name, value).otherwise(state)
+    probing = F.when(kind == "OutageRecovered", F.lit(0.0))
+    out = rows.groupBy(run).agg(
+        *[F.count_if(done & (F.col("status") == said)).alias(name) for said, name in OUTCOMES.items()],
         F.count_if(kind == "RequestStarted").alias("requests_done"),
         F.count_if(kind == "RetryScheduled").alias("retry"),
-        F.max("_phase").alias("phase_index"),
-        F.count_if(done & F.col("_now")).alias("phase_done"),
-        last(F.col("phase"), kind == "PhaseStarted").alias("phase_name"),
-        last(F.col("items"), kind == "PhaseStarted").alias("phase_items"),
-        last(F.col("label"), kind == "ItemStarted").alias("current_label"),
-        last(F.when(kind == "OutageStarted", "paused").when(kind == "OutageProbing", "probing").otherwise("none"), kind.isin("OutageStarted", "OutageProbing", "OutageRecovered")).alias("outage_state"),
+        (F.coalesce(F.max("_index"), F.lit(0)) + F.count_if((kind == "PhaseStarted") & (F.col("_listed_at").isNull() | (at > F.col("_listed_at"))))).alias("phase_index"),
+        F.coalesce(F.nullif(F.max(F.coalesce(F.size("_phases"), F.lit(0))), F.lit(0)), F.lit(None)).cast("bigint").alias("_known"),
+        F.count_if(done & now).alias("phase_done"),
+        F.coalesce(last(F.col("label"), (kind == "ItemStarted") & now), F.lit("")).alias("current_label"),
+        last(F.when(kind == "WaitStarted", F.col("reason")), waits).alias("wait_reason"),
+        last(F.when(kind == "WaitStarted", F.col("until")), waits).alias("wait_until"),
+        F.coalesce(last(kind == "RequestStarted", waits), F.lit(False)).alias("requesting"),
+        F.coalesce(last(state, kind.isin(list(OUTAGE_STATES))), F.lit("")).alias("outage_state"),
+        F.coalesce(last(F.coalesce(probing, F.col("down_seconds")), kind.isin("OutageProbing", "OutageRecovered", "OutageGaveUp")), F.lit(0.0)).alias("outage_down"),
+        F.coalesce(last(F.coalesce(probing, F.col("probe_in_seconds")), kind.isin("OutageProbing", "OutageRecovered")), F.lit(0.0)).alias("outage_probe_in"),
         F.coalesce(F.bool_or(kind == "Cancelled"), F.lit(False)).alias("cancelled"),
         F.coalesce(F.bool_or(kind == "RunFinished"), F.lit(False)).alias("finished"),
-        F.max(F.when(kind == "RunStarted", F.col("est_total_requests"))).alias("est_total_requests"),
-        (F.max("mono") - F.min(F.when(kind == "RunStarted", F.col("mono")))).alias("elapsed_seconds"),
+        F.coalesce(last(F.col("incomplete"), kind == "RunFinished"), F.lit(False)).alias("incomplete"),
+        F.coalesce(last(F.col("est_total_requests"), kind == "RunStarted"), F.lit(0)).alias("est_total_requests"),
+        (F.max("mono") - F.min("mono")).alias("elapsed_seconds"),
     )
+    names = begun.select(F.col(run).alias("_run"), F.coalesce("phase_name", F.lit("")).alias("phase_name"), F.coalesce("phase_items", F.lit(0)).alias("phase_items"))
+    out = out.join(names, F.col(run).eqNullSafe(F.col("_run"))).withColumn("phase_total", F.coalesce("_known", "phase_index"))
+    return out.drop("_run", "_known")
+
+
+def spacing(requests: DataFrame, by: list[str], at: str, floor: float) -> DataFrame:
+    """Requests that came sooner after the one before than a rate gate of `floor` seconds lets through; the first is free."""
+    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy(at))
+    return requests.withColumn("gap", gap).where(F.col("gap") < floor)
 
 
 def milestones(rows: DataFrame, by: list[str], order: list, counted: Column, every: int = MILESTONE) -> DataFrame:
@@ -77,20 +124,28 @@ def milestones(rows: DataFrame, by: list[str], order: list, counted: Column, eve
 
 
 def throttled(rows: DataFrame, by: list[str], order: str, seconds: str, every: int, at_least: float) -> DataFrame:
-    """Rows that a throttle lets through: every nth since the last one, or the first after so many seconds."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, since, last = [], 0, None
-        for t in pdf[seconds]:
-            since += 1
-            emit = last is None or since >= every or t - last >= at_least
-            keep.append(emit)
-            if emit:
-                since, last = 0, t
-        return pdf[keep]
-
-    return rows.groupBy(*by).applyInPandas(walk, rows.schema)
+    """Rows that a throttle lets through: every nth since the last one, or the first after so many seconds.
+
+    Groups are sorted by Spark and stream through one pass that holds a batch and two numbers, however long they are.
+    """
+    key = F.struct(*by)
+    dealt = rows.withColumn("_g", key).repartition(*by).sortWithinPartitions(*by, order)
+
+    def walk(batches):
+        group, since, last = None, 0, None
+        for batch in batches:
+            keep = []
+            for g, t in zip(batch.column("_g").to_pylist(), batch.column(seconds).to_pylist(), strict=True):
+                if g != group:
+                    group, since, last = g, 0, None
+                since += 1
+                emit = last is None or since >= every or t - last >= at_least
+                keep.append(emit)
+                if emit:
+                    since, last = 0, t
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["_g"])
+
+    return dealt.mapInArrow(walk, rows.schema)
 
 
 def order_faults(events: DataFrame, run: str, order: str) -> DataFrame:
@@ -116,19 +171,36 @@ def event_text(kind: Column, label: Column, status: Column, reason: Column, seco
         .when(kind == "PhaseFinished", F.concat(F.lit("finished: "), label))
         .when((kind == "ItemFinished") & (status != "ok"), F.concat_ws(" ", status, label, F.when(reason.isNotNull(), F.concat(F.lit("("), reason, F.lit(")")))))
         .when(kind == "RetryScheduled", F.concat(F.lit("retry in "), wait))
-        .when(kind == "OutageStarted", F.concat(F.lit("site down, next look in "), wait))
+        .when(kind == "OutagePaused", F.lit("site down, paused"))
+        .when(kind == "OutageProbing", F.concat(F.lit("site down, next look in "), wait))
+        .when(kind == "OutageGaveUp", F.concat(F.lit("given up after "), wait))
+        .when(kind == "Cancelled", F.lit("stopping after the current item"))
         .when(kind == "OutageRecovered", F.concat(F.lit("site back after "), wait))
         .when(kind == "RunFinished", F.concat(F.lit("run finished in "), wait))
     )
 
 
+def countdown_text(reason: Column, until: Column, now: Column) -> Column:
+    """What is being waited for and how long still, to a tenth of a second; null without a wait."""
+    left = F.format_number(F.greatest(until - now, F.lit(0.0)), 1)
+    name = F.when(reason == "politeness", "next request").when(reason == "retry_backoff", "next try").when(reason == "outage_probe", "next look at the site").otherwise(reason)
+    return F.when(reason.isNotNull() & until.isNotNull(), F.concat(name, F.lit(" in "), left, F.lit("s")))
+
+
+def eta_text(seconds: Column) -> Column:
+    """Time left in words; an ellipsis while it is unknown."""
+    from foliary.functions.dates import duration_text
+
+    return F.coalesce(F.concat(F.lit("~"), duration_text(seconds), F.lit(" left")), F.lit("…"))
+
+
 def final_elapsed(event_seconds: Column, model_seconds: Column) -> Column:
     """The finishing event's own elapsed time, or the model's where it says 0."""
     return F.coalesce(F.nullif(event_seconds, F.lit(0.0)), model_seconds)
 
 
 def done_at(rows: DataFrame, by: list[str], order: str, now: str, left: str, outage: str) -> DataFrame:
-    """When the run will be done, frozen at its last value while an outage is on."""
+    """When the run will be done, frozen at its last value while an outage is on (paused or probing)."""
     w = Window.partitionBy(*by).orderBy(order)
-    fresh = F.when(F.col(outage) == "none", F.col(now) + F.col(left))
+    fresh = F.when(~F.coalesce(F.col(outage), F.lit("")).isin("paused", "probing"), F.col(now) + F.col(left))
     return rows.withColumn("done_at", F.last(fresh, ignorenulls=True).over(w))
