@@ -5,26 +5,33 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
-import tempfile
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary import schema
+from foliary import files, schema
 from foliary.functions import text
+from foliary.functions.names import is_safe_name
 from foliary.operators import merge, versions
 from foliary.sources import runs
+from foliary.staging import Scratch, discarded
 
 FORMATS = ("csv", "json", "parquet")
+RIGHTS_NOTE = "Documents may hold personal data or be under reporting restrictions; check before passing them on."
 # Archive formats and what else they are called.
-ARCHIVES = {"zip": "zip", "tar": "tar", "tar.gz": "gztar", "tgz": "gztar", "tar.bz2": "bztar", "tbz2": "bztar", "tar.xz": "xztar", "txz": "xztar"}
-_SUFFIX = {"zip": ".zip", "tar": ".tar", "gztar": ".tar.gz", "bztar": ".tar.bz2", "xztar": ".tar.xz"}
+ARCHIVES = {"zip": "zip", "tar": "tar", "tar.gz": "gztar", "tgz": "gztar", "tar.bz2": "bztar", "tbz2": "bztar", "tar.xz": "xztar", "txz": "xztar", "gztar": "gztar", "bztar": "bztar", "xztar": "xztar"}
 
 
 def derived(records: DataFrame) -> DataFrame:
     """The published columns of raw records; the records themselves stay as they are."""
+    return _derived(records, [])
+
+
+def _derived(records: DataFrame, more: list) -> DataFrame:
     c, members = F.col, text.panel(F.col("composition"))
     status, result = text.blank_to_null(c("status_field")), text.blank_to_null(c("result"))
     flags = F.filter(F.array(text.drift_flag(status, schema.STATUS_VOCABULARY, "status"), text.drift_flag(result, schema.RESULT_VOCABULARY, "result")), lambda x: x.isNotNull())
@@ -32,18 +39,15 @@ def derived(records: DataFrame) -> DataFrame:
         "authoring_judge": F.coalesce("judge", F.lit("")), "panel": F.array_join(members, "; "), "panel_count": F.size(members).cast("long"), "status": status, "result": result,
         "status_in_vocab": text.in_vocabulary(status, schema.STATUS_VOCABULARY), "result_in_vocab": text.in_vocabulary(result, schema.RESULT_VOCABULARY), "vocab_flags": F.array_join(flags, "; "),
     }
-    return records.select(*[(made[f.name] if f.name in made else c(f.name)).alias(f.name) for f in schema.EXPORT_FIELDS])
+    return records.select(*[(made[f.name] if f.name in made else c(f.name)).alias(f.name) for f in schema.EXPORT_FIELDS], *more)
 
 
 def nested(records: DataFrame) -> DataFrame:
-    """As derived, with the panel and flags as arrays and the detail page's fields and links."""
-    members = text.panel(F.col("composition"))
+    """As derived, with the panel as an array and, where there is a detail page, its fields and links."""
     meta = F.from_json(text.blank_to_null(F.col("meta_json")), schema.META_JSON)
-    extra = {"panel": members, "metadata_fields": meta["fields"], "supplementary": meta["supplementary"]}
-    flat = derived(records.withColumn("_meta", meta))
-    keyed = records.select("document_uuid", "pdf_url", *[v.alias(f"_{k}") for k, v in extra.items()])
-    joined = flat.drop("panel").join(keyed.dropDuplicates(["document_uuid", "pdf_url"]), ["document_uuid", "pdf_url"], "left")
-    return joined.select("*").withColumnsRenamed({f"_{k}": k for k in extra})
+    more = [text.panel(F.col("composition")).alias("_panel"), meta["fields"].alias("metadata_fields"), meta["supplementary"].alias("supplementary")]
+    flat = _derived(records, more)
+    return flat.select(*[F.col("_panel").alias("panel") if f.name == "panel" else F.col(f.name) for f in schema.EXPORT_FIELDS], "metadata_fields", "supplementary")
 
 
 def checked_formats(formats: list[str]) -> list[str]:
@@ -60,77 +64,91 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, in as many files as there are tasks."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def json_document(rows: DataFrame, path: str) -> int:
-    """One indented JSON array in one local file, written row by row."""
-    n = 0
-    with _replacing(path) as f:
-        f.write("[")
-        for row in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            item = json.dumps(json.loads(row.j), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            f.write((",\n  " if n else "\n  ") + item)
-            n += 1
-        f.write("\n]\n" if n else "]\n")
-    return n
-
-
-class _replacing:
-    """A text file that takes its place only when it is whole."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def __enter__(self):
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-        fd, self.part = tempfile.mkstemp(dir=os.path.dirname(self.path) or ".")
-        self.file = os.fdopen(fd, "w", encoding="utf-8")
-        return self.file
-
-    def __exit__(self, kind, *_):
-        self.file.flush()
-        os.fsync(self.file.fileno())
-        self.file.close()
-        (os.unlink if kind else lambda p: os.replace(p, self.path))(self.part)
-
-
-def write_text(path: str, value: str) -> None:
-    with _replacing(path) as f:
-        f.write(value)
+def json_document(rows: DataFrame, path: str) -> None:
+    """One indented JSON array in one file, in the order of the rows; a task streams them through."""
+
+    def shown(batches):
+        first = True
+        for batch in batches:
+            lines = []
+            for j in batch.column(0).to_pylist():
+                item = json.dumps(json.loads(j), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+                lines.append(("[\n  " if first else "  ") + item + ",")
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    def closed(batches):
+        held = None
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([held])], names=["value"])
+                held = line
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if held is None else held[:-1] + "\n]"], pa.string())], names=["value"])
+
+    one = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).coalesce(1)
+    files.put_lines(one.mapInArrow(shown, "value string").mapInArrow(closed, "value string"), path)
+    if not files.size(rows.sparkSession, path):  # a table without partitions has no task
+        files.put_text(rows.sparkSession, path, "[]\n")
+
+
+def resource(formats: list[str]) -> tuple[str, str, str]:
+    """path, format and media type of the first of csv, json, parquet that was written."""
+    kind = next((f for f in FORMATS if f in formats), "csv")
+    return f"documents.{kind}", kind, {"csv": "text/csv", "json": "application/json", "parquet": "application/vnd.apache.parquet"}[kind]
 
 
 def descriptor(rows: DataFrame, formats: list[str], base_url: str | None = None, courts: list[str] | None = None, extra: dict | None = None) -> dict:
-    """The package's descriptor; its resource is the first of csv, json, parquet that was written."""
-    kind = next((f for f in FORMATS if f in formats), "csv")
-    media = {"csv": "text/csv", "json": "application/json", "parquet": "application/vnd.apache.parquet"}[kind]
+    """The package's descriptor. Keys of extra take the place of its own."""
+    path, kind, media = resource(formats)
     cover = merge.coverage(rows, "date_delivered").first()
     return {
-        "name": "documents", "title": "Documents", "profile": "tabular-data-package", "created": datetime.now(UTC).isoformat(), "derive_version": schema.DERIVE_VERSION, "courts": courts or [],
+        "name": "documents", "title": "Documents", "profile": "tabular-data-package", "created": _now(), "tool": {"name": "foliary", "version": schema.VERSION_OF_TOOL}, "schema_version": schema.SCHEMA_VERSION,
+        "derive_version": schema.DERIVE_VERSION, "courts": courts or [],
         "coverage": {"record_count": cover.record_count, "date_delivered_min": cover.date_min, "date_delivered_max": cover.date_max},
+        "licenses": [{"title": "As the source states", "path": base_url}] if base_url else [], "rights_note": RIGHTS_NOTE,
         "sources": [{"title": "Source", "path": base_url}] if base_url else [],
-        "resources": [{"name": "documents", "path": f"documents.{kind}", "profile": "tabular-data-resource", "format": kind, "mediatype": media, "encoding": "utf-8", "schema": schema.table_schema()}],
+        "resources": [{"name": "documents", "path": path, "profile": "tabular-data-resource", "format": kind, "mediatype": media, "encoding": "utf-8", "schema": schema.table_schema()}],
     } | (extra or {})
 
 
+def _now() -> str:
+    return datetime.now(UTC).isoformat()
+
+
+def _json(value) -> str:
+    return json.dumps(value, indent=2, ensure_ascii=False, default=str)
+
+
 def write_package(records: DataFrame, out: str, formats: list[str], **about) -> dict:
-    """Tables in each format, the descriptor and the dictionary under a local folder `out`; one pass over the records feeds all."""
+    """Tables in each format, the descriptor and the dictionary under the folder `out`.
+
+    Formats are checked before anything is read. The records are staged once, in their order, and each format is written
+    from there; what they were read from is read once.
+    """
     formats = checked_formats(formats)
-    rows = derived(records).persist()
-    try:
+    spark = records.sparkSession
+    with discarded(), files.plain(spark, out):
+        staged = Scratch(spark, "package")
+        ordered = records.withColumn("_at", F.monotonically_increasing_id())
+        kept = staged.stage(ordered, "records").orderBy("_at").drop("_at")
+        rows = derived(kept)
         for f in formats:
             path = f"{out}/documents.{f}"
             if f == "csv":
                 write_csv(rows, path)
             elif f == "json":
-                write_json(nested(records), path)
+                json_document(nested(kept), path)
             else:
                 rows.write.mode("overwrite").parquet(path)
-        write_text(f"{out}/datapackage.json", json.dumps(descriptor(rows, formats, **about), indent=2, ensure_ascii=False))
-        write_text(f"{out}/dictionary.md", schema.dictionary())
-        return {"record_count": rows.count(), "out_dir": out, "files": sorted(os.listdir(out)), "formats": formats}
-    finally:
-        rows.unpersist()
+        told = descriptor(rows, formats, **about)
+        files.put_text(spark, f"{out}/datapackage.json", _json(told))
+        files.put_text(spark, f"{out}/dictionary.md", schema.dictionary())
+    return {"record_count": told["coverage"]["record_count"], "out_dir": out, "files": files.names(spark, out), "formats": formats}
 
 
 def export(spark: SparkSession, root: str, run: str, out: str, formats: list[str]) -> dict:
@@ -139,28 +157,34 @@ def export(spark: SparkSession, root: str, run: str, out: str, formats: list[str
     return write_package(runs.records(spark, root, [run]).orderBy("id"), out, formats, base_url=told and told.base_url, courts=told and told.courts)
 
 
-def fixity(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def fixity(found: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, sha256 and length of each file, by path."""
-    return files.select(path, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("length")).orderBy(path)
+    return found.select(path, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("length")).orderBy(path)
 
 
 def payload_oxum(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.concat(F.coalesce(F.sum("length"), F.lit(0)).cast("string"), F.lit("."), F.count("*").cast("string")).alias("oxum"))
 
 
-def write_bag(spark: SparkSession, bag: str) -> dict:
-    """Declaration, payload manifest, info and tag manifest over bag/data, written last."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{bag}/data")
-    local = F.regexp_replace(F.expr("path"), "^file:/*", "/")
-    made = fixity(files.select(F.substring(local, len(os.path.abspath(bag)) + 2, 10_000).alias("path"), "content"))
-    manifest = [f"{r.sha256}  {r.path}" for r in made.toLocalIterator()]
-    oxum = payload_oxum(made).first().oxum
-    tags = {"bagit.txt": "BagIt-Version: 1.0\nTag-File-Character-Encoding: UTF-8\n", "manifest-sha256.txt": "\n".join(manifest) + "\n", "bag-info.txt": f"Payload-Oxum: {oxum}\n"}
-    for name, value in tags.items():
-        write_text(f"{bag}/{name}", value)
-    sums = [f"{hashlib.sha256(v.encode()).hexdigest()}  {n}" for n, v in sorted(tags.items())]
-    write_text(f"{bag}/tagmanifest-sha256.txt", "\n".join(sums) + "\n")
-    return {"files": len(manifest), "oxum": oxum}
+def _below(path: Column, folder: str) -> Column:
+    """A file's path from the folder's last component on, without it."""
+    return F.regexp_extract(path, rf"^.*?/{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/(data/.*)$", 1)
+
+
+def write_bag(spark: SparkSession, bag: str, about: dict[str, str] | None = None) -> dict:
+    """Declaration, payload manifest, info and tag manifest over bag/data, written last. Tasks hash the files and write the manifest."""
+    with discarded():
+        found = files.content(spark, f"{bag}/data")
+        made = Scratch(spark, "bag").stage(fixity(found.select(_below(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), bag).alias("path"), "content")), "fixity").orderBy("path")
+        files.put_lines(made.select(F.concat("sha256", F.lit("  "), "path").alias("value")), f"{bag}/manifest-sha256.txt")
+        oxum = payload_oxum(made).first().oxum
+    info = {"Source-Organization": "foliary", "Bagging-Date": datetime.now(UTC).date().isoformat(), "Bag-Software-Agent": f"foliary {schema.VERSION_OF_TOOL}", "External-Description": "Documents corpus"} | (about or {}) | {"Payload-Oxum": oxum}
+    files.put_text(spark, f"{bag}/bagit.txt", "BagIt-Version: 1.0\nTag-File-Character-Encoding: UTF-8\n")
+    files.put_text(spark, f"{bag}/bag-info.txt", "".join(f"{k}: {v}\n" for k, v in info.items()))
+    tags = ["bag-info.txt", "bagit.txt", "manifest-sha256.txt"]
+    sums = spark.read.format("binaryFile").load([f"{bag}/{t}" for t in tags]).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    files.put_text(spark, f"{bag}/tagmanifest-sha256.txt", "".join(f"{r.sha256}  {r.path}\n" for r in sums))
+    return {"files": int(oxum.split(".")[1]), "oxum": oxum}
 
 
 def archive_format(name: str) -> str:
@@ -170,70 +194,84 @@ def archive_format(name: str) -> str:
     return ARCHIVES[key]
 
 
-def archive(bag: str, kind: str) -> str:
-    """The bag as one archive beside it, with a .sha256 file."""
-    kind = archive_format(kind)
+def archive(bag: str, kind: str) -> tuple[str, str]:
+    """The bag, in a local folder, as one archive beside it with a .sha256 file; its path and digest."""
+    kind, bag = archive_format(kind), bag.removeprefix("file://")
+    if "://" in bag:
+        raise ValueError(f"archives are made of local folders only: {bag}")
     made = shutil.make_archive(bag, kind, os.path.dirname(os.path.abspath(bag)), os.path.basename(bag))
     digest = hashlib.sha256()
     with open(made, "rb") as f:
         while chunk := f.read(1 << 16):
             digest.update(chunk)
-    write_text(f"{made}.sha256", f"{digest.hexdigest()}  {os.path.basename(made)}\n")
-    return made
+    with open(f"{made}.sha256", "w") as f:
+        f.write(f"{digest.hexdigest()}  {os.path.basename(made)}\n")
+    return made, digest.hexdigest()
 
 
 def merged(records: DataFrame) -> DataFrame:
-    """The latest row of each document over all runs, with the names their files take in a bag."""
+    """The latest row of each document over all runs, in order, with the names that the files of downloaded ones take in a bag."""
     rows = merge.identity(records)
     winners = merge.latest_wins(rows, "ident", ["pdf_retrieved_at", "meta_retrieved_at", "listed_at"], ["run_ord", "id"])
-    named = winners.where(text.blank_to_null(F.col("filename")).isNotNull())
-    named = merge.resolve_clashes(merge.bag_names(named, F.col("filename"), [F.col("ident")]), "filename", "bag_name", ["ident"])
+    order = [x.alias(f"_o{k}") for k, x in enumerate(merge.merged_order(winners))]
+    named = winners.where((F.col("download_status") == "done") & text.blank_to_null(F.col("filename")).isNotNull()).select("ident", "filename", *order)
+    keys = [f"_o{k}" for k in range(len(order))]
+    named = merge.resolve_clashes(merge.bag_names(named, F.col("filename"), keys), "filename", "bag_name", keys)
     return winners.join(named.select("ident", "bag_name"), "ident", "left").orderBy(*merge.merged_order(winners))
 
 
+def revision_scan(pairs: DataFrame, scan: list[str], sample: int) -> DataFrame:
+    """A bounded sample of revisions: the first in the order of the scan, then by citation, document and time."""
+    return pairs.orderBy(*scan).limit(sample).orderBy(F.coalesce("neutral_citation", F.lit("")), F.coalesce("document_uuid", F.lit("")), F.coalesce("fetched_at", F.lit("")))
+
+
 def corpus(spark: SparkSession, root: str, out: str, formats: list[str], explicit: list[str] | None = None, archive_as: str | None = None, sample: int = 1000) -> dict:
-    """One deduplicated package of many runs: tables, conflicts, revisions, snapshot, the files and their fixity."""
+    """One deduplicated package of many runs: tables, conflicts, revisions, snapshot, the files and their fixity.
+
+    Files that are wanted but missing, unsafe or not what their name says are left out and named in the result.
+    """
     formats = checked_formats(formats)
     if archive_as:
         archive_format(archive_as)
-    chosen = runs.selected(spark, root, explicit)
-    records = runs.records(spark, root, chosen)
-    winners = merged(records)
-    conflicts = merge.content_conflicts(merge.identity(records), ["ident"], "sha256", "run", "run_ord").orderBy("ident")
-    history = None
-    for k, run in enumerate(sorted(chosen)):
-        one = runs.history(spark, root, run).withColumn("run_ord", F.lit(k))
-        history = one if history is None else history.unionByName(one)
-    if os.path.isdir(f"{out}/data"):
-        shutil.rmtree(f"{out}/data")
-    result = write_package(winners.drop("filename").withColumnRenamed("bag_name", "filename"), f"{out}/data", formats)
-    n_revisions, changed, gaps = 0, [], 0
-    if history is not None:
-        pairs = merge.revisions(merge.identity(history), ["run_ord", "record_id"], ["fetched_at", "id"], ["ident"], "sha256", ["neutral_citation", "document_uuid", "fetched_at"])
-        n_revisions = pairs.count()
-        changed = [r.asDict() for r in pairs.orderBy("ident", "fetched_at").limit(sample).collect()]
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load([f"{root}/{r}" for r in chosen])
-        by_name = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-        good, missing = versions.verified_and_gaps(versions.archived_names(history), by_name)
-        gaps = missing.count()
-        _copy(good.join(by_name, "name"), f"{out}/data/versions")
-        # a winner's file comes from the run that won
-        wanted = winners.where("bag_name is not null").select("run", "filename", "bag_name").where(text.csv_safe(F.col("filename")).isNotNull())
-        located = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_extract("path", rf"{os.path.basename(root)}/([^/]+)/", 1).alias("run"), "content")
-        copied = wanted.join(located, ["run", "filename"])
-        _copy(copied.select(F.col("bag_name").alias("name"), "content"), f"{out}/data/files")
-        gaps += wanted.join(located, ["run", "filename"], "left_anti").count()
-    told = runs.manifests(spark, root).where(F.col("run").isin(chosen))
-    verdict = merge_verdict(told)
-    listed = [r.asDict() for r in conflicts.limit(sample).collect()]
-    snapshot = {"derive_version": schema.DERIVE_VERSION, "runs": chosen, "listing": verdict, "conflicts": listed, "revisions": {"total": n_revisions, "sample": changed, "truncated": n_revisions > sample}}
-    write_text(f"{out}/data/snapshot.json", json.dumps(snapshot, indent=2, ensure_ascii=False, default=str))
-    cover = merge.coverage(winners, "date_delivered").first()
-    write_text(f"{out}/data/dataset.jsonld", json.dumps({"@context": "https://schema.org/", "@type": "Dataset", "name": "Documents", "temporalCoverage": f"{cover.date_min}/{cover.date_max}" if cover.date_min else None}, indent=2))
-    write_text(f"{out}/data/datasheet.md", f"# Datasheet\n\n{cover.record_count} documents of {len(chosen)} runs, delivered {cover.date_min} to {cover.date_max}.\n")
-    bag = write_bag(spark, out)
-    made = archive(out, archive_as) if archive_as else None
-    return {"record_count": result["record_count"], "out_dir": out, "runs": len(chosen), "conflicts": conflicts.count(), "revisions": n_revisions, "gaps": gaps, "oxum": bag["oxum"], "archive": made}
+    chosen = sorted(runs.selected(spark, root, explicit))
+    if not chosen:
+        raise ValueError("there are no runs to merge")
+    files.delete(spark, f"{out}/data")
+    with discarded(), files.plain(spark, out):
+        scratch = Scratch(spark, "corpus")
+        records = runs.records(spark, root, chosen)
+        winners = scratch.stage(merged(records).withColumn("_at", F.monotonically_increasing_id()), "winners").orderBy("_at")
+        conflicts = scratch.stage(merge.content_conflicts(merge.identity(records), ["ident"], "sha256", "run", "run_ord"), "conflicts").orderBy("ident")
+        history = runs.history(spark, root, chosen)
+        scan = ["run_ord", "record_id", "fetched_at", "id"]
+        pairs = scratch.stage(merge.revisions(merge.identity(history), scan[:2], scan[2:], ["ident"], "sha256", ["neutral_citation", "document_uuid", *scan]), "pairs")
+        n_revisions, n_conflicts = pairs.count(), conflicts.count()
+        entries = [r.asDict() for r in revision_scan(pairs, scan, sample).drop("run_ord", "record_id", "id").collect()]
+        listed = [{"ident": r.ident, "sha256s": r.shas, "runs": r.runs} for r in conflicts.limit(sample).collect()]
+        verdict = merge_verdict(runs.manifests(spark, root).where(F.col("run").isin(chosen)))
+        by_run = {r.run: r.asDict() for r in runs.sources(spark, root, chosen).collect()}
+        snapshot = {
+            "created": _now(), "tool_version": schema.VERSION_OF_TOOL, "schema_version": schema.SCHEMA_VERSION, "derive_version": schema.DERIVE_VERSION, "source_runs": chosen, "listing": verdict | {"sources": by_run},
+            "record_count": winners.count(), "conflict_count": n_conflicts, "conflicts": listed, "conflicts_truncated": n_conflicts > sample,
+            "revisions": {"count": n_revisions, "truncated": n_revisions > len(entries), "entries": entries},
+        }
+        told = runs.manifests(spark, root).where(F.col("run").isin(chosen)).select(F.lit(0).alias("all"), "run", "manifest.base_url", "manifest.courts")
+        base = merge.first_known(told, ["all"], "base_url", [F.col("run")]).first()
+        courts = merge.first_seen_union(told.where("courts is not null"), ["all"], "courts", [F.col("run")]).first()
+        package = winners.withColumn("filename", F.coalesce("bag_name", "filename"))
+        result = write_package(package, f"{out}/data", formats, base_url=base and base.base_url, courts=courts.courts if courts else [], extra={"snapshot": snapshot})
+        missing = _copy_current(spark, root, out, winners, chosen)
+        unverified = _copy_superseded(spark, root, out, history, chosen)
+        cover = merge.coverage(winners, "date_delivered").first()
+        files.put_text(spark, f"{out}/data/snapshot.json", _json(snapshot))
+        files.put_text(spark, f"{out}/data/dataset.jsonld", _json(dataset(cover, formats, base and base.base_url)))
+        files.put_text(spark, f"{out}/data/datasheet.md", datasheet(cover, chosen, n_conflicts, missing, unverified))
+        bag = write_bag(spark, out)
+    made, digest = archive(out, archive_as) if archive_as else (None, None)
+    return {
+        "record_count": result["record_count"], "run_count": len(chosen), "out_dir": out, "conflicts": n_conflicts, "revisions": n_revisions, "missing_files": missing, "unverified_versions": unverified,
+        "oxum": bag["oxum"], "archive": made, "archive_sha256": digest,
+    }
 
 
 def merge_verdict(manifests: DataFrame) -> dict:
@@ -242,10 +280,82 @@ def merge_verdict(manifests: DataFrame) -> dict:
     return snapshot_verdict(manifests.select("manifest.listing.complete", "manifest.listing.truncated")).first().asDict()
 
 
-def _copy(files: DataFrame, to: str) -> None:
-    """Writes (name, content) rows to a local folder, one at a time; unsafe names are not written."""
-    os.makedirs(to, exist_ok=True)
-    for row in files.toLocalIterator():
-        if row.name and not row.name.startswith(".") and os.path.basename(row.name) == row.name and "\\" not in row.name:
-            with open(os.path.join(to, row.name), "wb") as f:
-                f.write(row.content)
+def _run_files(spark: SparkSession, root: str, chosen: list[str]) -> DataFrame:
+    """path, name, run, content of the document files of runs; old marks superseded ones."""
+    found = files.content(spark, [f"{root}/{r}" for r in chosen], "*.pdf")
+    where = F.regexp_extract("path", rf"/{re.escape(root.rstrip('/').rsplit('/', 1)[-1])}/([^/]+)/", 1)
+    return found.withColumn("run", where).withColumn("old", F.element_at(F.split("path", "/"), -2) == "versions")
+
+
+def wanted_files(winners: DataFrame, there: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is to be copied (path, bag_name), and the names of what is wanted but unsafe or not there. there: run, name, path."""
+    wanted = winners.where("bag_name is not null").select("run", F.col("filename").alias("name"), "bag_name", (is_safe_name(F.col("filename")) & is_safe_name(F.col("bag_name"))).alias("safe"))
+    met = wanted.where("safe").join(there.select("run", "name", "path"), ["run", "name"])
+    lost = wanted.where("safe").join(there, ["run", "name"], "left_anti").select("name").union(wanted.where("not safe").select("name"))
+    return met.select("path", "bag_name"), lost
+
+
+def _copy_current(spark: SparkSession, root: str, out: str, winners: DataFrame, chosen: list[str]) -> list[str]:
+    """A winner's file comes from the run that won."""
+    there = _run_files(spark, root, chosen).where("not old").select("run", "name", "path")
+    copied, lost = wanted_files(winners, there)
+    _copy_to(spark, f"{out}/data/files", copied)
+    return sorted(r.name for r in lost.collect())
+
+
+def _copy_superseded(spark: SparkSession, root: str, out: str, history: DataFrame, chosen: list[str]) -> list[str]:
+    there = _run_files(spark, root, chosen).where("old")
+    safe = is_safe_name(F.col("name"))
+    names = versions.archived_names(history)
+    good, gaps = versions.verified_and_gaps(names.where(safe), there.select("name", "content"))
+    own = there.where(F.sha2("content", 256) == F.substring_index("name", ".", 1)).groupBy("name").agg(F.min("path").alias("path"))
+    _copy_to(spark, f"{out}/data/versions", good.join(own, "name").select("path", "name"))
+    return sorted(r.name for r in gaps.union(names.where(~safe)).collect())
+
+
+def _copy_to(spark: SparkSession, folder: str, pairs: DataFrame) -> None:
+    """pairs: path and name. Bytes go from store to store; of the table only names pass through the driver."""
+    fs, p = files.at(spark, folder)
+    fs.mkdirs(p)
+    batch = []
+    for row in pairs.toLocalIterator():
+        batch.append((row[0], f"{folder}/{row[1]}"))
+        if len(batch) == 1000:
+            files.copy(spark, batch)
+            batch = []
+    files.copy(spark, batch)
+
+
+def dataset(cover, formats: list[str], base_url: str | None) -> dict:
+    """The package as schema.org has it."""
+    path, _, media = resource(formats)
+    return {
+        "@context": "https://schema.org/", "@type": "Dataset", "name": "Documents", "description": "Records and files of documents from an archive of collection runs.", "creator": {"@type": "SoftwareApplication", "name": "foliary"},
+        "license": base_url, "isAccessibleForFree": True, "temporalCoverage": f"{cover.date_min}/{cover.date_max}" if cover.date_min and cover.date_max else None,
+        "variableMeasured": [{"@type": "PropertyValue", "name": f.name, "description": f.title} for f in schema.EXPORT_FIELDS], "distribution": [{"@type": "DataDownload", "encodingFormat": media, "contentUrl": path}],
+    }
+
+
+def datasheet(cover, chosen: list[str], n_conflicts: int, missing: list[str], unverified: list[str]) -> str:
+    span = f", delivered {cover.date_min} to {cover.date_max}" if cover.date_min else ""
+    return f"""# Datasheet
+
+Made by foliary {schema.VERSION_OF_TOOL} on {_now()}.
+
+## What it holds
+
+- {cover.record_count} documents{span}, one row each; of several fetches the latest.
+- Runs: {', '.join(chosen)}.
+- Documents whose fetches differ in content: {n_conflicts} (listed in snapshot.json).
+- Files wanted but not there, or not safe to name: {len(missing)}.
+- Superseded files that are missing or differ from their digest: {len(unverified)}.
+
+## How it was made
+
+Dates are ISO 8601. Panels, statuses and results are derived from what was served, as datapackage.json describes; what was
+served is kept beside them. manifest-sha256.txt verifies every file.
+
+## Rights
+
+{RIGHTS_NOTE}
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Columns of the archive's relations and of a manifest, their types and order.
 _RECORD_DDL = """
 id bigint, page bigint, title string, court string, judge string, date_delivered string, date_uploaded string, view_url string, pdf_url string,
 collection_uuid string, document_uuid string, neutral_citation string, record_number string, status_field string, result string, composition string,
@@ -33,6 +34,8 @@ MANIFEST = (
     "listing struct<complete:boolean,truncated:boolean,max_pages:bigint,pages_fetched:bigint,pages_available:bigint>"
 )
 DERIVE_VERSION = 1
+SCHEMA_VERSION = 1
+VERSION_OF_TOOL = "0.2.0"
 
 # The label vocabularies.
 STATUS_VOCABULARY = ["Approved", "Unapproved"]
@@ -65,9 +68,9 @@ EXPORT_FIELDS = [
     Field("date_uploaded", "date", "Day of publication.", "%Y-%m-%d"),
     Field("record_number", "string", "Number in the court's records."),
     Field("status", "string", "Status as served."),
-    Field("status_in_vocab", "boolean", "False if the status is not a known one."),
+    Field("status_in_vocab", "boolean", "Whether the status is in the list of known ones, or missing."),
     Field("result", "string", "Result as served."),
-    Field("result_in_vocab", "boolean", "False if the result is not a known one."),
+    Field("result_in_vocab", "boolean", "Whether the result is in the list of known ones, or missing."),
     Field("vocab_flags", "string", "What is not in a vocabulary, in words."),
     Field("view_url", "string", "Page about the document.", "uri"),
     Field("pdf_url", "string", "The document's own address.", "uri"),
@@ -78,9 +81,9 @@ EXPORT_FIELDS = [
     Field("http_content_length", "integer", "Content-Length as served."),
     Field("http_last_modified", "string", "Last-Modified as served."),
     Field("http_etag", "string", "ETag as served."),
-    Field("listed_at", "datetime", "When it was first listed (UTC)."),
-    Field("meta_retrieved_at", "datetime", "When its page was read (UTC)."),
-    Field("pdf_retrieved_at", "datetime", "When the file was fetched and verified (UTC)."),
+    Field("listed_at", "datetime", "Time of the first listing that showed it, UTC."),
+    Field("meta_retrieved_at", "datetime", "Time of the page visit that gave the details, UTC."),
+    Field("pdf_retrieved_at", "datetime", "Time at which the stored file came in, UTC."),
     Field("meta_status", "string", "pending, ok or error."),
     Field("download_status", "string", "pending, done or error."),
 ]

@@ -5,55 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary import schema
+from foliary import files, schema
 from foliary.operators import ingest
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def names(spark: SparkSession, root: str) -> list[str]:
     """Folders of root that hold records, newest name first; none if root is missing."""
-    if not _exists(spark, root):
+    if not files.exists(spark, root):
         return []
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    return sorted((s.getPath().getName() for s in found if s.isDirectory() and _exists(spark, f"{root}/{s.getPath().getName()}/records.parquet")), reverse=True)
+    return [n for n in reversed(files.names(spark, root)) if files.exists(spark, f"{root}/{n}/records.parquet")]
 
 
 def latest(spark: SparkSession, root: str) -> str | None:
     return next(iter(names(spark, root)), None)
 
 
+def _named(rows: DataFrame, chosen: list[str]) -> DataFrame:
+    """Rows with run and run_ord (0 for the oldest) by the file they come from."""
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+    ords = F.create_map(*[F.lit(x) for k, r in enumerate(chosen) for x in (r, k)])
+    return rows.select("*", F.url_decode(run).alias("run")).withColumn("run_ord", ords[F.col("run")])
+
+
 def records(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
-    """All runs' records with run and run_ord (0 for the oldest); columns that an older run lacks are null."""
+    """All runs' records with run and run_ord; columns that an older run lacks are null. One scan, however many runs there are."""
     chosen = sorted(names(spark, root) if runs is None else runs)
-    out = None
-    for k, run in enumerate(chosen):
-        path = f"{root}/{run}/records.parquet"
-        if not _exists(spark, path):
-            raise FileNotFoundError(path)
-        one = schema.conform(spark.read.parquet(path), schema.RECORD).withColumn("run", F.lit(run)).withColumn("run_ord", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema.RECORD.add("run", "string").add("run_ord", "int")) if out is None else out
+    paths = [f"{root}/{run}/records.parquet" for run in chosen]
+    if missing := [p for p in paths if not files.exists(spark, p)]:
+        raise FileNotFoundError(missing[0])
+    if not paths:
+        return spark.createDataFrame([], schema.RECORD.add("run", "string").add("run_ord", "int"))
+    return _named(spark.read.schema(schema.RECORD).parquet(*paths), chosen)
+
 
+def history(spark: SparkSession, root: str, run: str | list[str]) -> DataFrame:
+    """Versions of a run, by record and time, or of several with run and run_ord, in no order.
 
-def history(spark: SparkSession, root: str, run: str) -> DataFrame:
-    """A run's versions by record and time; none if it has no such table, corrupt files are passed over."""
-    path = f"{root}/{run}/versions.parquet"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema.VERSION)
-    rows = spark.read.option("ignoreCorruptFiles", "true").schema(schema.VERSION).parquet(path)
-    return rows.orderBy("record_id", "fetched_at", "id")
+    None where a run has no such table. Of a damaged file what comes before the damage is kept, and the rest passed over.
+    """
+    chosen = [run] if isinstance(run, str) else sorted(run)
+    paths = [p for r in chosen if files.exists(spark, p := f"{root}/{r}/versions.parquet")]
+    if not paths:
+        none = spark.createDataFrame([], schema.VERSION)
+        return none if isinstance(run, str) else none.withColumn("run", F.lit("")).withColumn("run_ord", F.lit(0))
+    rows = spark.read.option("ignoreCorruptFiles", "true").schema(schema.VERSION).parquet(*paths)
+    return rows.orderBy("record_id", "fetched_at", "id") if isinstance(run, str) else _named(rows, chosen)
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """run and its manifest; a missing, broken or non-object manifest is a row of nulls."""
     runs = names(spark, root)
     listed = spark.createDataFrame([(r,) for r in runs], "run string")
-    paths = [f"{root}/{r}/manifest.json" for r in runs if _exists(spark, f"{root}/{r}/manifest.json")]
+    paths = [f"{root}/{r}/manifest.json" for r in runs if files.exists(spark, f"{root}/{r}/manifest.json")]
     if not paths:
         return listed.withColumn("manifest", F.lit(None).cast(f"struct<{_typed(schema.MANIFEST)}>"))
     text = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), F.from_json("value", schema.MANIFEST).alias("manifest"))
@@ -80,9 +83,37 @@ def run_config(spark: SparkSession, root: str, run: str) -> dict:
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """Runs with their counters, both notions of completeness, and what their manifests say."""
     counts = ingest.complete(ingest.record_counts(records(spark, root), ["run"]))
-    told = manifests(spark, root).select("run", "manifest.created", "manifest.courts", "manifest.listing.complete", "manifest.listing.truncated", "manifest.listing.pages_fetched", "manifest.listing.pages_available")
+    listing = "manifest.listing"
+    told = manifests(spark, root).select("run", "manifest.created", "manifest.courts", f"{listing}.complete", f"{listing}.truncated", f"{listing}.pages_fetched", f"{listing}.pages_available")
     pages = F.when(F.col("pages_fetched").isNull(), "unverified").when(F.col("truncated"), F.concat("pages_fetched", F.lit(" of "), "pages_available", F.lit(" pages"))).otherwise(F.concat("pages_fetched", F.lit(" pages")))
-    return counts.join(told, "run", "left").withColumn("pages_text", pages).orderBy(F.desc("run"))
+    # a run whose table holds no rows is one, too
+    return told.join(counts, "run", "left").na.fill(0, [x for x in counts.columns if x != "run"]).na.fill(False, ["catalog_complete"]).withColumn("pages_text", pages).orderBy(F.desc("run"))
+
+
+def listing(runs: DataFrame, root: str) -> DataFrame:
+    """The catalog as `runs` prints it: thirteen columns, newest run first. A listing counts only if it was verified."""
+    verified = F.coalesce(F.col("complete"), F.lit(False))
+    return runs.select(
+        F.col("run").alias("name"), F.coalesce("courts", F.array().cast("array<string>")).alias("courts"), "created", "total", F.col("download_done").alias("done"), F.col("errors").alias("error"),
+        F.lit(True).alias("readable"), F.col("catalog_complete").alias("complete"), verified.alias("listing_verified"), (verified & F.coalesce("truncated", F.lit(False))).alias("listing_truncated"),
+        F.when(verified, F.col("pages_fetched")).alias("pages_fetched"), F.when(verified, F.col("pages_available")).alias("pages_available"), F.concat(F.lit(f"{root}/"), "run").alias("path"),
+    ).orderBy(F.desc("name"))
+
+
+def summaries(listed: DataFrame) -> DataFrame:
+    """name and one line about each run of a listing."""
+    span = F.when(F.col("pages_fetched").isNotNull() & F.col("pages_available").isNotNull(), F.format_string(" at %d of %d pages", "pages_fetched", "pages_available")).otherwise("")
+    parts = F.array_compact(F.array(F.format_string("%d/%d downloaded", "done", "total"), F.when(F.col("error") > 0, F.format_string("%d error(s)", "error")), F.when(F.col("listing_truncated"), "listing truncated")))
+    said = F.when(F.col("complete") & F.col("listing_truncated"), F.concat(F.lit("downloads complete; listing truncated"), span)).when(F.col("complete"), F.format_string("complete, %d PDFs", "total")).otherwise(F.array_join(parts, ", "))
+    return listed.select("name", F.concat(F.col("name"), F.lit("  ("), said, F.lit(")")).alias("summary"))
+
+
+def sources(spark: SparkSession, root: str, chosen: list[str]) -> DataFrame:
+    """Of each run what is known of its listing: verified, and only then truncated and the counts of pages."""
+    told = manifests(spark, root).where(F.col("run").isin(chosen)).select("run", "manifest.listing.*")
+    verified = F.coalesce(F.col("complete"), F.lit(False))
+    when = lambda c: F.when(verified, c)
+    return told.select("run", verified.alias("verified"), when(F.coalesce("truncated", F.lit(False))).alias("truncated"), when(F.col("pages_fetched")).alias("pages_fetched"), when(F.col("pages_available")).alias("pages_available")).orderBy("run")
 
 
 def matching(runs: DataFrame, courts: list[str]) -> DataFrame:
@@ -107,6 +138,11 @@ def selected(spark: SparkSession, root: str, explicit: list[str] | None = None,
     return [r for r in there if r in set(want)]
 
 
+def fresh_requests(pages: int, results: int | None, first_rows: int, downloads: bool = True) -> int:
+    """Requests of a new crawl: each page of the listing, and for each result its page and its file."""
+    return pages + (2 * (first_rows if results is None else results) if downloads else 0)
+
+
 def resume_lines(runs: DataFrame) -> DataFrame:
     """What going on with a run has before it, in words."""
     n = lambda c: F.format_number(F.col(c), 0)

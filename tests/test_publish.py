@@ -5,7 +5,7 @@ import subprocess
 
 import pytest
 
-from foliary import publish, schema
+from foliary import publish, schema, store
 from foliary.sources import runs
 
 
@@ -60,12 +60,14 @@ def test_export(spark, root, tmp_path):
     rows = spark.read.csv(f"{out}/documents.csv", header=True, escape='"').collect()
     assert rows[0].title == "'=T" and rows[0].panel == "A; B" and rows[0].panel_count == "2" and rows[0].status_in_vocab == "false"
     assert rows[0].vocab_flags == "status not in controlled vocabulary: 'Draft'"
-    item = json.loads(spark.read.text(f"{out}/documents.json").first().value)
+    item = json.load(open(f"{out}/documents.json"))[0]
     assert item["panel"] == ["A", "B"] and item["metadata_fields"] == {"Court": "x"} and item["http_etag"] is None
     about = json.load(open(f"{out}/datapackage.json"))
     assert about["resources"][0]["format"] == "csv" and about["coverage"]["date_delivered_max"] == "2026-01-02" and len(about["resources"][0]["schema"]["fields"]) == 30
-    n = publish.json_document(publish.nested(runs.records(spark, root)), f"{tmp_path}/one.json")
-    assert n == 3 == len(json.load(open(f"{tmp_path}/one.json")))
+    publish.json_document(publish.nested(runs.records(spark, root)), f"{tmp_path}/one.json")
+    assert len(json.load(open(f"{tmp_path}/one.json"))) == 3
+    publish.json_document(publish.nested(runs.records(spark, root).where("false")), f"{tmp_path}/none.json")
+    assert json.load(open(f"{tmp_path}/none.json")) == []
     with pytest.raises(ValueError, match="unknown formats"):
         publish.export(spark, root, "x", out, ["xml"])
 
@@ -73,7 +75,7 @@ def test_export(spark, root, tmp_path):
 def test_corpus(spark, root, tmp_path):
     out = f"{tmp_path}/bag"
     got = publish.corpus(spark, root, out, ["parquet"], archive_as=".TGZ")
-    assert (got["record_count"], got["runs"], got["conflicts"], got["revisions"]) == (2, 2, 1, 1)
+    assert (got["record_count"], got["run_count"], got["conflicts"], got["revisions"], got["missing_files"], got["unverified_versions"]) == (2, 2, 1, 1, [], [])
     names = sorted(r.filename for r in spark.read.parquet(f"{out}/data/documents.parquet").collect())
     assert names == ["a.pdf", "a__2.pdf"]
     check = subprocess.run(["sha256sum", "-c", "manifest-sha256.txt"], cwd=out, capture_output=True, text=True)
@@ -82,7 +84,35 @@ def test_corpus(spark, root, tmp_path):
     assert len(os.listdir(f"{out}/data/versions")) == 1 and open(f"{out}/data/files/a.pdf", "rb").read() == b"%PDF-new"
     assert os.path.exists(got["archive"] + ".sha256") and got["archive"].endswith(".tar.gz")
     snapshot = json.load(open(f"{out}/data/snapshot.json"))
-    assert snapshot["listing"] == {"all_verified": False, "any_truncated": False} and snapshot["revisions"]["total"] == 1
+    assert {k: snapshot["listing"][k] for k in ("all_verified", "any_truncated")} == {"all_verified": False, "any_truncated": False} and snapshot["revisions"]["count"] == 1
+    assert snapshot["listing"]["sources"]["20260101T000000Z__a"]["pages_fetched"] == 2 and snapshot["conflict_count"] == 1
+    with pytest.raises(ValueError, match="no runs"):
+        publish.corpus(spark, f"{tmp_path}/nothing", out, ["csv"])
+    os.unlink(f"{root}/20260101T000000Z__a/pdfs/a.pdf")
+    with open(next(iter(__import__("glob").glob(f"{root}/20260201T000000Z__a/pdfs/versions/*.pdf"))), "wb") as f:
+        f.write(b"damaged")
+    again = publish.corpus(spark, root, out, ["csv"])
+    assert again["missing_files"] == ["a.pdf"] and len(again["unverified_versions"]) == 1 and not os.listdir(f"{out}/data/versions")
+
+
+def test_record_without_uuid_keeps_what_is_nested(spark):
+    rows = schema.conform(spark.createDataFrame([(1, None, "A;B", '{"fields":{"Court":"x"},"supplementary":[]}')], "id bigint, document_uuid string, composition string, meta_json string"), schema.RECORD)
+    got = publish.nested(rows).first()
+    assert got.panel == ["A", "B"] and got.metadata_fields == {"Court": "x"}
+
+
+def test_store(spark, tmp_path):
+    folder = f"file://{tmp_path}/files"
+    bodies = lambda *rows: spark.createDataFrame([(n, b, None, None) for n, b in rows], "filename string, body binary, content_length string, content_encoding string")
+    assert store.publish(spark, folder, bodies(("a.pdf", b"%PDF-1"), ("b.pdf", b"<html>"), ("../c.pdf", b"%PDF-1"))) == 1
+    assert [r.filename for r in store.live(spark, folder).collect()] == ["a.pdf"]
+    old = hashlib.sha256(b"%PDF-1").hexdigest()
+    changed = spark.createDataFrame([("a.pdf", "supersede", old)], "filename string, action string, old_sha string")
+    assert store.keep_superseded(spark, folder, changed) == 1 and store.keep_superseded(spark, folder, changed) == 0
+    open(f"{tmp_path}/files/x.123.part", "w").close()
+    assert store.publish(spark, folder, bodies(("a.pdf", b"%PDF-2"))) == 1
+    assert sorted(os.listdir(f"{tmp_path}/files")) == sorted(os.listdir(f"{tmp_path}/files")) and not [n for n in os.listdir(f"{tmp_path}/files") if n.endswith(".part")]
+    assert os.listdir(f"{tmp_path}/files/versions")[0] in (f"{old}.pdf", f".{old}.pdf.crc") and open(f"{tmp_path}/files/a.pdf", "rb").read() == b"%PDF-2"
 
 
 def test_archive_names():
