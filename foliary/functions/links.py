@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -32,15 +33,26 @@ def without_fragment(c: Column) -> Column:
     return F.replace(F.substring_index(c, "#", 1), F.lit(" "), F.lit("%20"))
 
 
+def resolver(base: str) -> Callable[[str], str]:
+    """href against base as RFC 3986 has it, without fragment, spaces encoded."""
+
+    def resolved(href: str) -> str:
+        bare = href.partition("#")[0]
+        return (bare if bare.startswith(("http://", "https://")) else urljoin(base, bare)).replace(" ", "%20")
+
+    return resolved
+
+
 def absolute(base: str, href: Column) -> Column:
-    """href against base as RFC 3986 has it, without fragment, spaces encoded; absolute addresses need no Python."""
+    """The same as a column; absolute addresses need no Python."""
+    of = resolver(base)
 
     @F.pandas_udf(StringType())
     def joined(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else urljoin(base, x))
+        return s.map(lambda x: None if x is None else of(x))
 
-    bare = F.substring_index(href, "#", 1)
-    return F.replace(F.when(bare.rlike("^https?://"), bare).otherwise(joined(bare)), F.lit(" "), F.lit("%20"))
+    bare = without_fragment(href)
+    return F.when(bare.rlike("^https?://"), bare).otherwise(joined(bare))
 
 
 def uuids_in_path(url: Column) -> tuple[Column, Column]:
@@ -59,10 +71,11 @@ def page_number(url: Column) -> Column:
     return F.regexp_extract(url, r"[?&]page=(\d+)", 1).try_cast("bigint")
 
 
-def last_page(total: Column, first_page_rows: Column, pager: Column) -> Column:
-    """The last page's index (from 0) by the count of results, or by the pager if that goes further."""
+def last_page(total: Column, first_page_rows: Column, pager: Column, max_pages: int | None = None) -> Column:
+    """The last page's index (from 0) by the count of results, or by the pager if that goes further; at most max_pages pages."""
     by_count = F.when(first_page_rows > 0, F.ceil(total / first_page_rows) - 1)
-    return F.greatest(F.coalesce(by_count, F.lit(0)), F.coalesce(pager, F.lit(0)))
+    last = F.greatest(F.coalesce(by_count, F.lit(0)), F.coalesce(pager, F.lit(0)))
+    return last if max_pages is None else F.least(last, F.lit(max_pages - 1))
 
 
 def encoded(c: Column) -> Column:
@@ -73,6 +86,13 @@ def encoded(c: Column) -> Column:
     return out
 
 
+def known_court_tokens(token: Column) -> Column:
+    """As court_tokens, but an unknown token is an error that lists the known ones."""
+    out = court_tokens(token)
+    known = ", ".join([*COURTS, *COURT_GROUPS])
+    return F.when(out.isNull() & token.isNotNull(), F.raise_error(F.concat(F.lit("unknown court "), token, F.lit(f"; known are {known}"))).cast("array<string>")).otherwise(out)
+
+
 def facet_query(courts: Column, doc_type: str = "Judgment") -> Column:
     """The search text for an array of court names; repeated facets are united by the site."""
     facets = F.transform(courts, lambda x: F.concat(F.lit('"filter:alfresco_Court.'), x, F.lit('"')))
@@ -90,3 +110,10 @@ def court_tokens(token: Column) -> Column:
     for group, members in COURT_GROUPS.items():
         out = F.when(F.lower(trimmed(token)) == group, F.array(*map(F.lit, members))).otherwise(out)
     return out
+
+
+def known_court_tokens(token: Column) -> Column:
+    """As court_tokens, but an unknown token is an error that lists the known ones."""
+    out = court_tokens(token)
+    known = ", ".join([*COURTS, *COURT_GROUPS])
+    return F.when(out.isNull() & token.isNotNull(), F.raise_error(F.concat(F.lit("unknown court "), token, F.lit(f"; known are {known}"))).cast("array<string>")).otherwise(out)

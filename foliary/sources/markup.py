@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,18 +90,22 @@ def _href(cell: Node) -> str | None:
     return next((a.attrs["href"] for a in cell.walk("a") if a.attrs.get("href")), None)
 
 
+def rows_of(root: Node) -> list[dict]:
+    """Data rows of a listing: those with six cells, a page and a document link."""
+    rows = []
+    table = next(root.walk("table", "alfresco-table"), None)
+    for tr in table.walk("tr") if table else ():
+        cells = list(tr.walk("td"))
+        if len(cells) >= 6 and (view := _href(cells[1])) and (doc := _href(cells[2])):
+            rows.append({"title": cells[1].text(), "court": cells[3].text(), "judge": cells[4].text(), "delivered": cells[0].text(), "uploaded": cells[5].text(), "view": view, "pdf": doc})
+    return rows
+
+
 def listing_of(html: str | None) -> dict:
-    """Data rows (six cells, a page and a document link), the text that states the count, and the pager's links."""
+    """The number of data rows, the text that states the count, and the pager's links."""
     root = tree(html)
-    rows = []
-    for table in root.walk("table", "alfresco-table"):
-        for tr in table.walk("tr"):
-            cells = list(tr.walk("td"))
-            if len(cells) >= 6 and (view := _href(cells[1])) and (doc := _href(cells[2])):
-                rows.append({"title": cells[1].text(), "court": cells[3].text(), "judge": cells[4].text(), "delivered": cells[0].text(), "uploaded": cells[5].text(), "view": view, "pdf": doc})
-        break
     pager = [a.attrs["href"] for div in root.walk("div", "search-pager") for a in div.walk("a") if "href" in a.attrs]
-    return {"rows": rows, "text": root.text(), "pager": pager}
+    return {"rows": len(rows_of(root)), "text": root.text(), "pager": pager}
 
 
 def detail_of(html: str | None) -> dict:
@@ -124,7 +129,7 @@ def fields_of(html: str | None) -> dict:
 
 _STR = T.StringType()
 _ROW = T.StructType([T.StructField(n, _STR) for n in ("title", "court", "judge", "delivered", "uploaded", "view", "pdf")])
-_LISTING = T.StructType([T.StructField("rows", T.ArrayType(_ROW)), T.StructField("text", _STR), T.StructField("pager", T.ArrayType(_STR))])
+_LISTING = T.StructType([T.StructField("rows", T.IntegerType()), T.StructField("text", _STR), T.StructField("pager", T.ArrayType(_STR))])
 _DETAIL = T.StructType([T.StructField("fields", T.MapType(_STR, _STR)), T.StructField("links", T.ArrayType(T.StructType([T.StructField("label", _STR), T.StructField("href", _STR)])))])
 _FIELDS = T.StructType([T.StructField("title", _STR), T.StructField("h1", _STR), T.StructField("lang", _STR), T.StructField("links", T.ArrayType(_STR))])
 
@@ -139,18 +144,25 @@ def _parser(of, schema):
 def listing(pages: DataFrame, base: str, html: str = "html", page: str = "page", tasks: int | None = None) -> DataFrame:
     """One row per data row of listing pages. Few large files parse faster when the pages are dealt to more tasks first."""
     pages = pages.select(page, html) if tasks is None else pages.select(page, html).repartition(tasks)
-    parsed = pages.select(page, _parser(listing_of, _LISTING)(html).alias("p")).select(page, F.inline("p.rows"))
-    with_urls = parsed.withColumn("view_url", links.absolute(base, F.col("view"))).withColumn("pdf_url", links.absolute(base, F.col("pdf")))
-    doc, coll = links.uuids_in_path(F.col("view_url"))
+    absolute, kind = links.resolver(base), pa.list_(pa.struct([(f.name, pa.string()) for f in _ROW]))
+
+    def parse(texts: pa.Array) -> pa.Array:
+        found = [rows_of(tree(t.as_py())) for t in texts]
+        for row in (r for rows in found for r in rows):
+            row["view"], row["pdf"] = absolute(row["view"]), absolute(row["pdf"])
+        return pa.array(found, kind)
+
+    parsed = pages.select(page, F.inline(F.arrow_udf(parse, T.ArrayType(_ROW))(html)))
+    doc, coll = links.uuids_in_path(F.col("view"))
     iso = lambda c: dates.day_first(F.col(c)).cast("string")
-    return with_urls.select(page, "title", "court", "judge", iso("delivered").alias("date_delivered"), iso("uploaded").alias("date_uploaded"), "view_url", "pdf_url", coll.alias("collection_uuid"), doc.alias("document_uuid"))
+    return parsed.select(page, "title", "court", "judge", iso("delivered").alias("date_delivered"), iso("uploaded").alias("date_uploaded"), F.col("view").alias("view_url"), F.col("pdf").alias("pdf_url"), coll.alias("collection_uuid"), doc.alias("document_uuid"))
 
 
 def listing_summary(pages: DataFrame, html: str = "html", page: str = "page") -> DataFrame:
     """Of each listing page: its rows, the stated count and the last page its pager reaches (0 without one)."""
     parsed = pages.select(page, _parser(listing_of, _LISTING)(html).alias("p"))
     numbers = F.transform("p.pager", links.page_number)
-    return parsed.select(page, F.size("p.rows").alias("rows"), links.result_count(F.col("p.text")).alias("result_count"), F.coalesce(F.array_max(numbers), F.lit(0)).alias("last_page"))
+    return parsed.select(page, F.col("p.rows").alias("rows"), links.result_count(F.col("p.text")).alias("result_count"), F.coalesce(F.array_max(numbers), F.lit(0)).alias("last_page"))
 
 
 def details(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
