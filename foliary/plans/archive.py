@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliary import schema
 from foliary.functions import dates, links, names, text, transfer
 from foliary.operators import ingest, merge, progress, versions
 from foliary.sources import markup
@@ -104,8 +105,9 @@ def latest_wins(spark, d):
 
 @query(f"SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type, first_seen) AS INTEGER) AS place FROM ({_WIN}) WHERE n = 1")
 def merged_order(spark, d):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type", c("first_seen.event_id")))
-    return _winners(spark, d).select("user_id", "event_type", "event_id", place.alias("place"))
+    won = _winners(spark, d).withColumn("neutral_citation", c("event_type")).withColumn("document_uuid", lit(None).cast("string"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*merge.merged_order(won)))
+    return won.select("user_id", "event_type", "event_id", place.alias("place"))
 
 
 @query("""
@@ -140,7 +142,8 @@ def revision_totals(spark, d):
 
 @query(_REV + "SELECT user_id, old_sha, new_sha, event_id FROM f WHERE n = 1 ORDER BY user_id, event_id LIMIT 1000")
 def revision_sample(spark, d):
-    return _revisions(spark, d).orderBy("user_id", "event_id").limit(1000).orderBy("old_sha", "new_sha")
+    """The cap is in the order of the scan; publish.revision_scan sorts what it leaves, and corpus_revision_sample calls it."""
+    return _revisions(spark, d).orderBy("user_id", "event_id").limit(1000)
 
 
 @query("""
@@ -168,10 +171,11 @@ def bag_name_collision(spark, d):
 # ---- ingest and queues
 
 
-@query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS sha, coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS doc_id FROM documents GROUP BY 1")
 def upsert_ignore(spark, d):
     rows = read(spark, d, "documents").select(F.sha2("text", 256).alias("sha"), "doc_id")
-    return rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    known = ingest.first_of(rows.where("doc_id % 2 = 0"), "sha", ["doc_id"])
+    return ingest.upsert_ignore(known, rows.where("doc_id % 2 = 1"), "sha", ["doc_id"])
 
 
 @query("""
@@ -182,10 +186,12 @@ def incremental_new(spark, d):
     return ingest.new_rows(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0").select("sha").distinct(), "sha", ["doc_id"]).select("sha", "doc_id")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey)")
+@query("SELECT o_orderkey AS record_id, md5(o_orderpriority) AS sha256, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END AS BIGINT) AS bytes, '2024' AS fetched_at FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
 def backfill_missing(spark, d):
-    lines = read(spark, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"))
-    return read(spark, d, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    orders = read(spark, d, "orders")
+    made = orders.select(c("o_orderkey").alias("id"), F.when(c("o_orderstatus") == "F", "done").otherwise("error").alias("download_status"), F.md5("o_orderpriority").alias("sha256"), F.when(c("o_orderkey") % 2 != 0, c("o_custkey")).alias("bytes"), lit("2024").alias("pdf_retrieved_at"))
+    history = schema.conform(orders.where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("record_id")), schema.VERSION)
+    return versions.backfill(schema.conform(made, schema.RECORD), history).select("record_id", "sha256", "bytes", "fetched_at")
 
 
 def _downloads(spark, d, limit=None):
@@ -349,8 +355,8 @@ _LINKS = "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"'
 
 @query(f"SELECT page_id, split_part(href, '#', 1) AS href, CAST(min(pos) AS INTEGER) - 1 AS pos FROM ({_LINKS}) GROUP BY ALL")
 def page_links(spark, d):
-    each = read(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", lit('<a href="([^"]*)"'), lit(1))).alias("pos", "href"))
-    return each.groupBy("page_id", F.substring_index("href", "#", 1).alias("href")).agg(F.min("pos").alias("pos"))
+    each = read(spark, d, "pages").select("page_id", F.posexplode(markup.page_fields("html")["links"]).alias("pos", "href"))
+    return each.groupBy("page_id", links.without_fragment(c("href")).alias("href")).agg(F.min("pos").alias("pos"))
 
 
 @query()
@@ -377,7 +383,12 @@ def listing_rows(spark, d):
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, d):
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    from foliary import publish
+
+    meta = F.concat(lit('{"fields":'), "props", lit(',"supplementary":[]}'))
+    raw = read(spark, d, "events").select(c("event_id").alias("id"), c("event_id").cast("string").alias("document_uuid"), meta.alias("meta_json"))
+    made = publish.nested(schema.conform(raw, schema.RECORD))
+    return made.select(c("document_uuid").cast("bigint").alias("event_id"), c("metadata_fields")["k"].cast("bigint").alias("k"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' ELSE '' END || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS cell FROM customer")
@@ -387,7 +398,9 @@ def csv_safe(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS length FROM documents")
 def fixity_manifest(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("length"))
+    from foliary.publish import fixity
+
+    return fixity(read(spark, d, "documents").select("doc_id", c("text").cast("binary").alias("content")), "doc_id")
 
 
 @query("SELECT CAST(sum(strlen(text)) AS VARCHAR) || '.' || CAST(count(*) AS VARCHAR) AS oxum FROM documents")
@@ -418,15 +431,13 @@ def retry_class(spark, d):
 
 
 @query("""
-WITH x AS (SELECT n_name, r_name, n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey), t(pos, token) AS (VALUES (0, 'asia'), (1, 'FRANCE'), (2, ' Europe '), (3, 'nowhere'), (4, 'china')),
-e AS (SELECT n_name, min((pos, n_nationkey)) AS first FROM t JOIN x ON upper(trim(token)) IN (upper(r_name), upper(n_name)) GROUP BY n_name)
-SELECT n_name, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS place FROM e""")
+WITH a AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ['HIGH'] WHEN 1 THEN ['SUPREME', 'COURT_OF_APPEAL', 'HIGH'] ELSE ['CIRCUIT'] END AS courts FROM orders),
+t AS (SELECT o_custkey, o_orderkey, unnest(courts) AS court, generate_subscripts(courts, 1) AS pos FROM a), f AS (SELECT o_custkey, court, min((o_orderkey, pos)) AS first FROM t GROUP BY ALL)
+SELECT o_custkey, array_to_string(list(court ORDER BY first), ',') AS courts FROM f GROUP BY o_custkey""")
 def facet_union(spark, d):
-    members = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), c("n_regionkey") == c("r_regionkey"))
-    alias = members.select(F.upper("r_name").alias("key"), "n_name", "n_nationkey").union(members.select(F.upper("n_name"), "n_name", "n_nationkey"))
-    tokens = spark.createDataFrame(list(enumerate(["asia", "FRANCE", " Europe ", "nowhere", "china"])), "pos int, token string")
-    found = tokens.withColumn("key", F.upper(text.trimmed(c("token")))).join(alias, "key").groupBy("n_name").agg(F.min(F.struct("pos", "n_nationkey")).alias("at"))
-    return found.select("n_name", F.row_number().over(Window.orderBy("at")).alias("place"))
+    k = c("o_orderkey") % 3
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", links.court_tokens(F.when(k == 0, "high").when(k == 1, " Superior ").otherwise("Circuit")).alias("courts"))
+    return merge.first_seen_union(rows, ["o_custkey"], "courts", [c("o_orderkey")]).select("o_custkey", F.array_join("courts", ",").alias("courts"))
 
 
 @query("SELECT o_orderkey, '%22%20type%3AJudgment%22%20AND%20%22filter%3Aalfresco_radio.title%22%20AND%20%22filter%3Aalfresco_Court.' || replace(o_orderpriority, ' ', '%20') || '%22' AS q FROM orders")
@@ -436,7 +447,7 @@ def facet_queries(spark, d):
 
 @query("SELECT o_orderkey, least(greatest(CAST(ceil((o_orderkey % 977) / (1 + o_orderkey % 9)) - 1 AS BIGINT), o_orderkey % 13, 0), 49) AS last FROM orders")
 def page_math(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", F.least(links.last_page(c("o_orderkey") % 977, 1 + c("o_orderkey") % 9, c("o_orderkey") % 13), lit(49)).alias("last"))
+    return read(spark, d, "orders").select("o_orderkey", links.last_page(c("o_orderkey") % 977, 1 + c("o_orderkey") % 9, c("o_orderkey") % 13, max_pages=50).alias("last"))
 
 
 # ---- progress
@@ -472,7 +483,7 @@ _KINDS = {"view": "RequestStarted", "click": "ItemStarted", "purchase": "ItemFin
 @query("""
 WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), p AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS phase FROM e), l AS (SELECT *, max(phase) OVER (PARTITION BY user_id) AS last FROM p)
 SELECT user_id, count(*) FILTER (event_type = 'purchase' AND event_id % 3 = 0) AS ok, count(*) FILTER (event_type = 'purchase' AND event_id % 3 <> 0) AS error, count(*) FILTER (event_type = 'view') AS requests_done, count(*) FILTER (event_type = 'error') AS retry,
- CAST(max(phase) AS BIGINT) AS phase_index, count(*) FILTER (event_type = 'purchase' AND phase = last) AS phase_done, arg_max(CAST(event_id AS VARCHAR), seq) FILTER (event_type = 'click') AS current_label FROM l GROUP BY user_id""")
+ CAST(max(phase) AS BIGINT) AS phase_index, count(*) FILTER (event_type = 'purchase' AND phase = last) AS phase_done, coalesce(arg_max(CAST(event_id AS VARCHAR), seq) FILTER (event_type = 'click' AND phase = last), '') AS current_label FROM l GROUP BY user_id""")
 def event_fold(spark, d):
     rows = read(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     kind = F.create_map(*[lit(x) for kv in _KINDS.items() for x in kv])[c("event_type")]
@@ -530,7 +541,7 @@ def identities(spark, d):
 @query("""
 SELECT o_orderkey, 'A; B' AS panel, 2::BIGINT AS panel_count, o_orderstatus IN ('O') AS status_in_vocab, CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'status not in controlled vocabulary: ''' || CASE o_orderstatus WHEN 'F' THEN 'Final' ELSE 'Part' END || '''' END AS vocab_flags FROM orders""")
 def export_columns(spark, d):
-    from foliary import publish, schema
+    from foliary import publish
 
     status = F.when(c("o_orderstatus") == "O", "approved.").when(c("o_orderstatus") == "F", "Final").otherwise("Part")
     raw = read(spark, d, "orders").select(c("o_orderkey").alias("id"), lit(" A ;; B ").alias("composition"), status.alias("status_field"), lit("").alias("result"), c("o_orderkey").cast("string").alias("document_uuid"))

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from foliary.plans import archive
+from foliary.plans import archive, catalog
+
+assert catalog  # its queries are registered beside the archive's
 
 DIR = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
