@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliary.llm.common import Scratch
+
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
 FLUSH = 300_000
@@ -214,7 +216,9 @@ def fit(
     length only, if they are given.
     """
     known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), F.col(f"`{lang_col}`").cast("string").alias("_l")).where("_l is not null and _t is not null")
-    sizes = known.groupBy("_l").count()
+    # staged, so that the planner knows how small they are and does not move the documents by their language
+    scratch = Scratch(docs.sparkSession, "languages")
+    sizes = scratch.stage(known.groupBy("_l").count(), "sizes")
     n_langs = sizes.count()
     if not n_langs:
         return Model(*(np.zeros(0, np.int64) for _ in range(4)), [], longest)
@@ -231,6 +235,7 @@ def fit(
         most = F.when(F.col("n") == 0, words_per_lang or 1 << 60).otherwise(grams_per_lang or 1 << 60)
         summed = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "hash"))).where(F.col("r") <= most).drop("r")
     found = summed.toArrow()
+    scratch.close()
     langs = sorted(x for x in found.column("lang").unique().to_pylist())
     at = {lang: k for k, lang in enumerate(langs)}
     coded = found.column("lang").combine_chunks().dictionary_encode()
