@@ -15,7 +15,7 @@ surrogate is itself a found value, all but the first try again with another hash
 longer with the tries, so that there is room for any number of them, until none collide (distinctness). Formats that cannot
 grow (social security numbers, cards, phones, IPv4) have room as long as a table does not use up nearly all their numbers.
 
-Only distinct findings are shuffled, and of the documents those that have any. Null texts stay null and empty texts empty,
+Only distinct findings are shuffled, and of the documents those that may have any. Null texts stay null and empty texts empty,
 with no findings. Rows that repeat get the same result. An empty table gives no rows. Columns of the documents may have any
 names; one named as a result column is replaced by it. First names that are neither listed nor announced are not found.
 """
@@ -269,8 +269,9 @@ def pseudonymize(docs: DataFrame, key: str, scratch: Scratch, *, id_col: str = "
     own = [c for c in docs.columns if c not in (n_col, kinds_col)]
     none = ~F.coalesce(F.when(_quick(text), text.rlike(ANY)), F.lit(False))
     plain = docs.where(none).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own], F.lit(0).cast("long").alias(n_col), F.lit("").alias(kinds_col))
-    hit = docs.where(~none).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    hit = hit.withColumn("names", _names(F.col("t"), key)).withColumn("pattern", _pattern(F.col("names")))
+    # the patterns pass all texts twice: here, to set apart the documents with findings, and when the others are read for the result
+    hit = docs.where(~none).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), _names(text, key).alias("names"))
+    hit = scratch.stage(hit, "hit").withColumn("t", F.col(f"d.`{text_col}`").cast("string")).withColumn("pattern", _pattern(F.col("names")))
     each = hit.select("id", "th", "names", F.posexplode(F.regexp_extract_all("t", F.col("pattern"), F.lit(0))).alias("pos", "found")).withColumn("what", _kind(F.col("found")))
     each = each.select("id", "th", "pos", F.when(F.col("what") == "mention", "person").otherwise(F.col("what")).alias("what"), F.posexplode(_parts(F.col("found"), F.col("what"), F.col("names"), key)).alias("sub", "p"))
     each = scratch.stage(each.select("id", "th", "pos", "sub", "what", "p.*").distinct(), "found")
