@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.staging import Scratch, discarded, shared_dir
 
-__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "shared_dir", "table"]
+__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "portions", "shared_dir", "table"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -35,3 +38,16 @@ def bit_filter(rows: DataFrame, key, wanted: DataFrame, wanted_key: str) -> Data
     bits = wanted.groupBy(word(h).alias("_word")).agg(F.bit_or(bit(h)).alias("_bits"))
     mine = F.xxhash64(key)
     return rows.withColumn("_h", mine).join(F.broadcast(bits), word(F.col("_h")) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).drop("_h", "_word", "_bits")
+
+
+def portions(texts: pa.Array, rows: int = 256, chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts as Python strings, few at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if len(held) == rows or size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliary.llm.common import Scratch
+from foliary.llm.common import Scratch, portions
 
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -167,19 +167,6 @@ class Identifier:
         return out
 
 
-def portions(texts: pa.Array, rows: int = 256, chars: int = 1_000_000) -> Iterator[list[str | None]]:
-    """The texts as Python strings, few at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text.as_py())
-        size += len(held[-1] or "")
-        if len(held) == rows or size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _counts(batches, longest: int):
     """Partial counts of words (n = 0) and n-grams, by their hashes."""
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("hash", pa.int64()), ("count", pa.int64())])

@@ -8,7 +8,7 @@ Since the output is linear before the softmax, scoring needs a table of class lo
 
 Null and empty texts have no words and get the score of the bias alone. Rows without a label take no part in
 training; without two classes to learn from, every score is the share of label 1 (0.5 without any). Repeated rows
-are scored each for itself.
+are scored each for itself. Columns of the documents may have any names; one named as the result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliary.llm.common import fresh, portions
+
 CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -184,12 +186,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: st
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for texts in batches:
-            parts = (texts.slice(i, 256).to_pylist() for i in range(0, len(texts), 256))  # few texts at a time as Python strings
-            yield pa.array([s for part in parts for s in scorer.score(part)], pa.float64())
+            yield pa.array([s for part in portions(texts) for s in scorer.score(part)], pa.float64())
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.arrow_udf(run, T.DoubleType())(F.col(f"`{text_col}`").cast("string")).alias(score_col))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col], F.arrow_udf(run, T.DoubleType())(F.col(f"`{text_col}`").cast("string")).alias(score_col))
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.3, *, text_col: str = "text") -> DataFrame:
     """The documents that score at least the threshold, with their own columns."""
-    return score(docs, model, text_col=text_col, score_col="__quality").where(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = fresh(docs, "quality")
+    return score(docs, model, text_col=text_col, score_col=found).where(F.col(found) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
