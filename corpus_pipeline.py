@@ -4,6 +4,12 @@ quality: documents that score under 0.3 go. line_dedup: lines that an equal or n
 that lose all their text with them. near_duplicates: of documents that links of Jaccard similarity 0.8 on five-word shingles
 join, the one with the least id stays. decontamination: documents of which a twentieth or more lies in 13-word windows of
 benchmark items go, and from the others the runs of 13 or more such words. packing: what is left is cut and packed into sequences of 1024 ids.
+
+Null and empty texts score as the classifier's bias, have no lines, link with nothing, hold no benchmark and are packed as the end
+id alone. Texts are worked on whole, however long. Rows that repeat in id and text are one document; rows of one id that hold
+other texts are documents of their own, and of linked ones the first by (id, hash of the text) stays. Rows without an id stay
+and link nothing away. Ties go by id, then by hash, so results do not depend on the order of rows. An empty table gives no rows;
+without labels every text scores 0.5, without benchmark items nothing is cut. Columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -32,15 +38,17 @@ def deduped_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of fewer than five words are one shingle. Rows without an id stay."""
     return jaccard_join.keep_one(docs, Scratch(spark, "near"), size=5, num=80, den=100)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
+    """n_chars follows the text. Null texts stay null."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars" if "n_chars" in docs.columns else None, window=13, coverage=(1, 20))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece; other columns of documents are not carried on."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024)
 
 
