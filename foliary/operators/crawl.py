@@ -110,12 +110,14 @@ def error_log(outcomes: DataFrame, phase: str, now: Column) -> DataFrame:
 
 
 def listed(records: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
-    """The records with the new rows of listing pages, pending; what is known keeps its progress. New ids go on from the highest."""
-    fresh = ingest.new_rows(pages, records, "pdf_url", ["page", "title"])
+    """The records with the new rows of listing pages, pending; what is known keeps its progress. New ids go on from the highest, by page and address."""
+    fresh = ingest.new_rows(pages, records, "pdf_url", ["page", "title"]).drop("id")
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # the rank by position stands for an autoincrement; new rows of one visit are few beside the records
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("page", "pdf_url"))
-    numbered = fresh.drop("id").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + place)
+    # rows are numbered within their page, and only the pages' counts in one sequence
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = fresh.groupBy(F.col("page").alias("_p")).count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_p", "_first")
+    place = F.row_number().over(Window.partitionBy("page").orderBy("pdf_url"))
+    numbered = fresh.withColumn("_place", place).join(first, F.col("page").eqNullSafe(F.col("_p"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_first") + F.col("_place"))
     new = numbered.withColumn("meta_status", F.lit("pending")).withColumn("download_status", F.lit("pending")).withColumn("listed_at", now)
     return records.unionByName(schema.conform(new, schema.RECORD))
 

@@ -74,6 +74,8 @@ def _root(spark: SparkSession, d: str) -> str:
             schema.conform(history.where(c("k") == n), schema.VERSION).write.parquet(f"{root}/{run}/versions.parquet")
         told = {"tool": "t", "created": f"2024-0{n + 1}-01", "base_url": f"https://h{n}", "courts": ["B", "A"] if n == 2 else ["A"], "query": "q", "listing": listing[n]}
         files.put_text(spark, f"{root}/{run}/manifest.json", json.dumps(told, indent=1) if n != 1 else "[1")
+        for k in range(0, 50, 2):  # the files of even names are there
+            files.put_text(spark, f"{root}/{run}/pdfs/f{k}.pdf", f"%PDF-{run}-{k}")
     return root
 
 
@@ -230,6 +232,33 @@ def corpus_missing_files(spark, d):
     return publish.wanted_files(winners, there)[1]
 
 
+_COUNTS = f"""
+, m AS (SELECT {_BAG} AS bag_name, run, filename FROM b), s AS (SELECT {_IDENT} AS ident FROM r WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT sha256) > 1), v AS ({VERSIONS}),
+p AS (SELECT *, lag(sha256) OVER (PARTITION BY k, record_id ORDER BY fetched_at, id) AS old_sha FROM v), q AS (SELECT DISTINCT document_uuid, old_sha, sha256 FROM p WHERE old_sha IS NOT NULL)"""
+
+
+@query(_BEST + _COUNTS + """ SELECT (SELECT count(*) FROM b) AS record_count, CAST(3 AS BIGINT) AS run_count, (SELECT count(*) FROM s) AS conflicts, (SELECT count(*) FROM q) AS revisions,
+ (SELECT count(*) FROM m WHERE bag_name IS NOT NULL AND CAST(regexp_extract(filename, '(\\d+)', 1) AS INTEGER) % 2 = 1) AS missing_files, (SELECT count(DISTINCT filename) FROM v WHERE superseded_at IS NOT NULL) AS unverified_versions,
+ (SELECT count(*) FROM m WHERE bag_name IS NOT NULL AND CAST(regexp_extract(filename, '(\\d+)', 1) AS INTEGER) % 2 = 0) AS copied, (SELECT count(*) FROM s) AS told_conflicts, 'B,A' AS courts""".replace("'B,A'", "'A,B'"))
+def corpus_result(spark, d):
+    """The whole merge of the runs into a bag: what it returns, and what the bag holds."""
+    out = Scratch(spark, "corpus").path("bag")
+    got = publish.corpus(spark, _root(spark, d), out, ["csv"])
+    told = json.loads(spark.read.text(f"{out}/data/datapackage.json", wholetext=True).first().value)
+    counts = {k: got[k] if isinstance(got[k], int) else len(got[k]) for k in ("record_count", "run_count", "conflicts", "revisions", "missing_files", "unverified_versions")}
+    counts |= {"copied": len(files.names(spark, f"{out}/data/files")), "told_conflicts": told["snapshot"]["conflict_count"]}
+    return spark.createDataFrame([(*counts.values(), ",".join(told["courts"]))], ", ".join(f"{k} bigint" for k in counts) + ", courts string")
+
+
+@query(_BEST + f", t AS (SELECT {_BAG} AS bag_name, run, filename FROM b) SELECT 'data/files/' || bag_name AS path, sha256('%PDF-' || run || '-' || regexp_extract(filename, '(\\d+)', 1)) AS sha256 FROM t WHERE bag_name IS NOT NULL AND CAST(regexp_extract(filename, '(\\d+)', 1) AS INTEGER) % 2 = 0")
+def corpus_manifest(spark, d):
+    """The fixity that a bag states of its document files."""
+    out = Scratch(spark, "corpus").path("bag")
+    publish.corpus(spark, _root(spark, d), out, ["parquet"])
+    lines = spark.read.text(f"{out}/manifest-sha256.txt").where("value like '%  data/files/%'")
+    return lines.select(F.split("value", "  ")[1].alias("path"), F.split("value", "  ")[0].alias("sha256"))
+
+
 # ---- packages
 
 

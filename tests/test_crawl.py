@@ -95,7 +95,7 @@ def test_fetch_guards_and_update(spark):
         crawl.fetch(spark, ["a"], none, "https://h", "t", catalog=done)
     seen = responses(spark, [("https://h/?page=0", 1, 200, listing_html(3))])
     listed = crawl.fetch(spark, ["a"], seen, "https://h", "t", list_only=True, catalog=done.where("run = ''"))
-    assert listed.count() > 0 and {r.meta_status for r in listed.collect()} == {"pending"}
+    assert listed.count() > 0 and {r.meta_status for r in listed.collect()} == {"pending"} and sorted(r.id for r in listed.collect()) == list(range(1, listed.count() + 1))
     with pytest.raises(ValueError, match="no listing"):
         crawl.update(rec.where("false"), spark.createDataFrame([], schema.VERSION), none, "https://h", "t", run="r")
     failed = make(spark, {"id": 1, "pdf_url": "p1", "meta_status": "error", "error_reason": "x"})
