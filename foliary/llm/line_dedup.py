@@ -240,9 +240,18 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_c
     similar = both.where(within(F.col("line_a"), F.col("line_b"), distance, per_chars))
     later = similar.select(F.when(F.col("first_a") < F.col("first_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2"))).alias("x")).select("x.*").distinct()
     removed = scratch.stage(later.withColumn("similar", F.lit(True)), "removed")
-    notable = distinct.select("id", "id2", "first", "c").join(removed, ["id", "id2"], "left").where("c > 1 or similar").select("id", "id2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
+    notable = distinct.select("id", "id2", "first", "c").join(removed, ["id", "id2"], "left").where("c > 1 or similar").select("id", "id2", "first", "c", F.coalesce("similar", F.lit(False)).alias("similar"))
     notable = scratch.stage(notable, "notable")
-    places = lines.select(*_id("line"), "doc", "th", "no").join(notable, ["id", "id2"]).where(F.col("similar") | ~F.struct("doc", "th", "no").eqNullSafe(F.col("first")))
+    # lines that make up a ten-thousandth of all or more are at most ten thousand: these are broadcast, so that no join has a hot key
+    total = distinct.agg(F.sum("c")).first()[0] or 0
+    common = notable.where(F.col("c") * 10_000 >= total)
+    common = F.broadcast(common.select(F.col("id").alias("cid"), F.col("id2").alias("cid2"), F.col("similar").alias("csimilar"), F.col("first").alias("cfirst")))
+    rare = notable.where(F.col("c") * 10_000 < total).select(F.col("id").alias("rid"), F.col("id2").alias("rid2"), F.col("similar").alias("rsimilar"), F.col("first").alias("rfirst"))
+    marked = lines.select(*_id("line"), "doc", "th", "no").join(common, (F.col("id") == F.col("cid")) & (F.col("id2") == F.col("cid2")), "left")
+    spread = F.when(F.col("cid").isNotNull(), F.xxhash64("doc", "th", "no")).otherwise(F.col("id2"))  # a common line needs no partner any more
+    met = marked.join(rare, (F.col("id") == F.col("rid")) & (spread == F.col("rid2")), "left").where("cid is not null or rid is not null")
+    similar, first = F.coalesce("csimilar", "rsimilar"), F.coalesce("cfirst", "rfirst")
+    places = met.where(similar | ~F.struct("doc", "th", "no").eqNullSafe(first))
     return places.groupBy("doc", "th").agg(F.collect_set("no").alias("drops"))
 
 
