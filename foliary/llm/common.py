@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliary.staging import Scratch, discarded, shared_dir
 
-__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "portions", "shared_dir", "table"]
+__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "portions", "shared_dir", "table", "tidy"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -51,3 +54,18 @@ def portions(texts: pa.Array, rows: int = 256, chars: int = 1_000_000) -> Iterat
             held, size = [], 0
     if held:
         yield held
+
+
+def tidy(run):
+    """A task's generator that gives freed memory back to the system at its end: Python workers outlive tasks, and what they keep adds up."""
+
+    @wraps(run)
+    def whole(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # other systems' libraries lack it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole

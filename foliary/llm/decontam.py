@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliary.llm.common import Scratch, fresh
+from foliary.llm.common import Scratch, fresh, tidy
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 _FOLD = bytes((c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20) for c in range(256))
@@ -276,6 +276,7 @@ def _judge(chunk, last: bool, num: int, den: int, most: int, spans: bool, alone:
         more = (runs, cleaned(raw, hit) if n and not bad else None) if spans else ()
         return (len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bad, *more)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
             texts, before = rows.field("text"), rows.field("hits")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Scratch, bit_filter
+from foliary.llm.common import Scratch, bit_filter, tidy
 from foliary.llm.components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -127,6 +127,7 @@ def frequent(docs: DataFrame, size: int, often: int, ranked: int) -> Order:
     """Counts shingles over distinct sets. At most `ranked` of them reach the driver."""
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
+    @tidy
     def run(batches):
         seen, held, n = set(), [], 0
 
@@ -163,6 +164,7 @@ def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> Da
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("bits", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
+    @tidy
     def run(batches):
         ranges, seen = Ranges(num, den), set()
         for batch in batches:
@@ -264,6 +266,7 @@ def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> Data
     bitmaps = bit_filter(bitmaps, F.col("h1"), pairs.select("a").union(pairs.select("b")), "a").groupBy("h1", "n").agg(F.min("bits").alias("bits"))
     of = lambda x: bitmaps.select(F.col("h1").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             a, b, *rest = (c.to_pylist() for c in batch.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliary.llm.common import Scratch, portions
+from foliary.llm.common import Scratch, portions, tidy
 
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -236,6 +236,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = Identifier(shared.value)
         for texts in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Scratch
+from foliary.llm.common import Scratch, tidy
 
 MARGIN = 1e-6
 
@@ -259,6 +259,7 @@ def top_k(
     space = Space({r["dim"]: r["top"] for r in sizes}, {d: np.array(v, dtype=np.int64) for d, v in drawn.items()})
     pivots = spark.sparkContext.broadcast(space)
 
+    @tidy
     def place(batches):
         for batch in batches:
             ids, dims = batch.column("id"), batch.column("dim").to_numpy()

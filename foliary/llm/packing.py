@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm.common import tidy
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -158,6 +160,7 @@ def pack(
     """
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
 
+    @tidy
     def run(batches):
         enc = encoder(tokenizer_path, ranks_path, special, special_id)
         names = [x.split()[0] for x in SCHEMA.split(", ")]

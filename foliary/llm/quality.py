@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliary.llm.common import fresh, portions
+from foliary.llm.common import fresh, portions, tidy
 
 CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: st
     """The rows of docs with a double column score_col, 0 to 1: how likely label 1 is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for texts in batches:
