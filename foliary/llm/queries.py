@@ -23,6 +23,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+#: A-Z become a-z, and no other letter changes.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLDED}, '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 90 * (len(x.s) + len(y.s) - n)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT q.b, r.root FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) q ON q.a = r.doc_id)
+SELECT w.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN s ON s.doc_id = w.doc_id JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = w.doc_id
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "op3"), "archives")
     whole = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("an archive that was just written is damaged: "), "error"))).otherwise(F.col("payload_digest"))
@@ -119,6 +135,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_scan.*")
 
 
+_WORDS = f"regexp_extract_all({_FOLDED}, '{_WORD}')"
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+k AS (SELECT DISTINCT item, m, win FROM (SELECT item, least(len(w), 13) AS m, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS win FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: struct_pack(i := i, win := array_to_string(w[i:i + m - 1], ' ')))) AS o FROM d, (SELECT DISTINCT m FROM k) WHERE len(w) >= m),
+h AS (SELECT doc_id, x.m, o.i AS i, item FROM x JOIN k ON k.m = x.m AND k.win = o.win),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -129,4 +159,4 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {**known, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL}
+    return {**known, "op2_ngram_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL, "op9_decontamination": OP9_SQL}
