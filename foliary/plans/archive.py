@@ -369,7 +369,7 @@ _CELLS = "'<td>' || strftime(o_orderdate, '%d/%m/%Y') || '</td>'"
 
 
 @query("""
-SELECT o_orderkey AS page, o_orderpriority AS title, 'High Court' AS court, CAST(o_custkey AS VARCHAR) AS judge, strftime(o_orderdate, '%Y-%m-%d') AS date_delivered, NULL AS date_uploaded,
+SELECT o_orderkey AS page, o_orderpriority AS title, 'High Court' AS court, CAST(o_custkey AS VARCHAR) AS judge, strftime(o_orderdate, '%Y-%m-%d') AS date_delivered, CAST(NULL AS VARCHAR) AS date_uploaded,
  'https://h.example/view/' || o_orderkey || '%20a' AS view_url, 'https://h.example/acc/' || o_orderkey || '.pdf' AS pdf_url, '' AS collection_uuid, '' AS document_uuid FROM orders WHERE o_orderkey % 4 <> 0""")
 def listing_rows(spark, d):
     cell = lambda *x: F.concat(lit("<td>"), *x, lit("</td>"))
@@ -526,7 +526,7 @@ def run_names(spark, d):
     return read(spark, d, "orders").select("o_orderkey", dates.run_name(c("o_orderdate"), F.array("o_orderstatus", "o_orderpriority")).alias("name"))
 
 
-@query("SELECT c_mktsegment AS segment, CAST(sum(2 * n) AS BIGINT) AS requests, CAST(sum(2 * n) AS BIGINT) * 6.0 AS seconds FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, CAST(sum(2 * n) AS BIGINT) AS requests, CAST(CAST(sum(2 * n) AS BIGINT) * 6.0 AS DOUBLE) AS seconds FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1")
 def request_estimates(spark, d):
     n = read(spark, d, "customer").groupBy(c("c_mktsegment").alias("segment")).agg((F.count("*") * 2).alias("requests"))
     return n.withColumn("seconds", dates.estimate_seconds(c("requests"), 5.0, 2.0))

@@ -603,7 +603,7 @@ def spacing_faults(spark, d):
     return progress.spacing(rows, ["user_id"], "at", 3_600_000_000).select("user_id", "event_id", "gap")
 
 
-@query("WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type <> 'error' THEN event_id * 2.0 END AS fresh FROM events) SELECT user_id, event_id, last_value(fresh IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done_at FROM e")
+@query("WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type <> 'error' THEN event_id * 2.0 END AS fresh FROM events) SELECT user_id, event_id, CAST(last_value(fresh IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS done_at FROM e")
 def frozen_finish(spark, d):
     rows = read(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"), c("event_id").cast("double").alias("now"), c("event_id").cast("double").alias("left"), F.when(c("event_type") == "error", "paused").otherwise("").alias("outage"))
     return progress.done_at(rows, ["user_id"], "at", "now", "left", "outage").select("user_id", "event_id", "done_at")
