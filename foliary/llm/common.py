@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliary.staging import Scratch, discarded, shared_dir
 
-__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "portions", "shared_dir", "table", "tidy"]
+__all__ = ["Scratch", "bit_filter", "discarded", "fresh", "held_out", "portions", "shared_dir", "spread_join", "table", "tidy"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -43,6 +43,17 @@ def bit_filter(rows: DataFrame, key, wanted: DataFrame, wanted_key: str) -> Data
     return rows.withColumn("_h", mine).join(F.broadcast(bits), word(F.col("_h")) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).drop("_h", "_word", "_bits")
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """rows joined to keys (one row per key, with the number of rows that have it), without a hot key.
+
+    Keys that hold a ten-thousandth of the counted rows or more are at most ten thousand: these are broadcast, the others
+    joined as the planner sees fit. rows are read twice, so they should be cheap to read.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    common, rare = keys.where(F.col(count) * 10_000 >= total), keys.where(F.col(count) * 10_000 < total)
+    return rows.join(F.broadcast(common), key).unionByName(rows.join(F.broadcast(common.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rare, key))
+
+
 def portions(texts: pa.Array, rows: int = 256, chars: int = 1_000_000) -> Iterator[list[str | None]]:
     """The texts as Python strings, few at a time."""
     held, size = [], 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Scratch
+from foliary.llm.common import Scratch, spread_join
 
 CHUNK = 1 << 16
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, error string"
@@ -64,9 +64,9 @@ def write(
     """Writes the archives and returns their folder. Equal payloads are found by digests alone; payloads meet only their own id's revisits."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("p")).withColumn("digest", F.sha2("p", 256))
     digests = scratch.stage(rows.where(F.octet_length("p") >= least).select("id", "digest"), f"{label}-digests")
-    equal = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "first")
+    equal = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
     equal = scratch.stage(equal, f"{label}-equal")
-    revisits = scratch.stage(digests.join(equal, "digest").where("id is null or id > first").select("id", "digest", "first").distinct(), f"{label}-revisits")
+    revisits = scratch.stage(spread_join(digests, equal, "digest", "c").where("id is null or id > first").select("id", "digest", "first").distinct(), f"{label}-revisits")
     of = revisits.select(F.col("id").alias("of"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
     rows = rows.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left").select("id", "url", "p", "digest", "refers_to")
 
