@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Scratch, bit_filter, tidy
+from foliary.llm.common import Scratch, bit_filter, spread_join, tidy
 from foliary.llm.components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -311,16 +311,17 @@ def link(
     """One row per row of docs: id, th (a hash of the text), n (shingles), grp (which no other component has) and component (the least id that links reach, its own included)."""
     source, lit0 = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t")), F.lit(0).cast("long")
     sets = scratch.stage(describe(source, size, num, den, frequent(source, size, often, ranked)), "sets")
-    classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high").select("sig", "low", "c")
     shared = scratch.stage(shared, "shared")
-    met = bit_filter(signed, F.col("sig"), shared, "sig").join(shared, "sig")
-    groups = met.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set("h1")).alias("m")).select("m").distinct()
+    scarce, common = shared.where(F.col("c") <= few), shared.where(F.col("c") > few)
+    groups = bit_filter(signed, F.col("sig"), scarce, "sig").join(scarce, "sig").groupBy("sig").agg(F.array_sort(F.collect_set("h1")).alias("m")).select("m").distinct()
     couples = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = scratch.stage(groups.select(F.explode(couples).alias("p")).select("p.*").distinct(), "pairs")
     near = _plausible(pairs, sets.where("bits is not null").select("h1", "n", "bits"), num, den)
-    edges = met.where((F.col("c") > few) & (F.col("h1") != F.col("low"))).select(F.col("low").alias("a"), F.col("h1").alias("b")).distinct().union(near)
+    hung = scratch.stage(bit_filter(signed, F.col("sig"), common, "sig"), "hung")
+    edges = spread_join(hung, common, "sig", "c").where(F.col("h1") != F.col("low")).select(F.col("low").alias("a"), F.col("h1").alias("b")).distinct().union(near)
     coarse = components(edges, scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
@@ -342,10 +343,13 @@ def link(
     whole = links.where("r = 1").select(F.col("b").alias("h1"), F.col("a").alias("lead"))
     split = components(links.where("r > 1").union(more).select("a", "b"), scratch, "split")
     lead = whole.union(split.select(F.col("node").alias("h1"), F.col("root").alias("lead")))
-    grouped = scratch.stage(classes.join(lead, "h1", "left").select("h1", "h2", "rep", F.coalesce("lead", "h1").alias("grp")), "grouped")
-    named = scratch.stage(grouped.join(grouped.groupBy("grp").agg(F.min("rep").alias("component")), "grp").select("h1", "h2", "grp", "component"), "named")
-    scratch.drop("classes", "shared", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest", "grouped")
-    return sets.select("id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "th", "n", "grp", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    grouped = scratch.stage(classes.join(lead, "h1", "left").select("h1", "h2", "rep", "copies", F.coalesce("lead", "h1").alias("grp")), "grouped")
+    least = scratch.stage(grouped.groupBy("grp").agg(F.min("rep").alias("component"), F.count("*").alias("classes")), "least")
+    named = scratch.stage(spread_join(grouped, least, "grp", "classes").select("h1", "h2", "grp", "component", "copies"), "named")
+    scratch.drop("classes", "shared", "pairs", "hung", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest", "grouped", "least")
+    rows = sets.select("id", "th", "n", "h1", "h2")
+    lone = rows.where("n = 0").select("id", "th", "n", F.lit(None).cast("long").alias("grp"), F.col("id").alias("component"))
+    return spread_join(rows.where("n > 0"), named, ["h1", "h2"], "copies").select("id", "th", "n", "grp", "component").unionByName(lone)
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -355,11 +359,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_
     equal in id and text, the first by their other columns stays. Rows without an id stay, and link nothing away.
     """
     found = scratch.stage(link(docs, scratch, id_col=id_col, text_col=text_col, **options).where("id is not null"), "found")
-    lead = found.where("n > 0").groupBy("grp").agg(F.min(F.struct("id", "th")).alias("lead"))
-    gone = found.where("n > 0").join(lead, "grp").where((F.col("id") != F.col("lead.id")) | (F.col("th") != F.col("lead.th"))).select("id", "th").distinct()
+    lead = scratch.stage(found.where("n > 0").groupBy("grp").agg(F.min(F.struct("id", "th")).alias("lead"), F.count("*").alias("c")), "lead")
+    gone = spread_join(found.where("n > 0"), lead, "grp", "c").where((F.col("id") != F.col("lead.id")) | (F.col("th") != F.col("lead.th"))).select("id", "th").distinct()
     gone = scratch.stage(gone, "gone")
     again = scratch.stage(found.groupBy("id", "th").count().where("count > 1").select("id", "th"), "again")
-    scratch.drop("found", "sets", "named")
+    scratch.drop("found", "sets", "named", "lead")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"))
     own = [F.col(f"d.`{c}`") for c in docs.columns]
     kept = rows.join(gone, ["id", "th"], "left_anti")
