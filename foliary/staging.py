@@ -48,8 +48,11 @@ class Scratch:
         return f"{self.root}/{label}"
 
     def stage(self, df: DataFrame, label: str) -> DataFrame:
-        """Writes df and returns the table read back; its size on disk is then known to the planner."""
-        df.write.mode("overwrite").parquet(self.path(label))
+        """Writes df and returns the table read back; its size on disk is then known to the planner.
+
+        zstd, because the default codec holds pages in direct buffers, which executors keep beside their heap until it is collected.
+        """
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:
