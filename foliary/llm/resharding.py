@@ -196,7 +196,7 @@ def lay_out(docs: DataFrame, scratch: Scratch, label: str, *, id_col: str = "doc
         number = F.when(h == r["h"], 1 + k * n_new + piece).otherwise(number)
     placed = docs.withColumn("shard", shard).withColumn("block", (block + number * n_blocks).cast("int"))
     placed = placed.hint("rebalance", "shard", "block")
-    placed.write.mode("overwrite").partitionBy("shard", "block").parquet(scratch.path(label))
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("shard", "block").parquet(scratch.path(label))
     return spark.read.schema(placed.schema).parquet(scratch.path(label))
 
 
@@ -211,7 +211,7 @@ def reshard(old: DataFrame, scratch: Scratch, label: str, n_new: int, *, text_co
     plan = F.create_map(*[F.lit(x) for (s, b), j in sorted(moved.items()) for x in (s * 1_000_000 + b, j)])
     to = plan[F.col("shard") * 1_000_000 + F.col("block")]
     rewritten = old.where(to.isNotNull()).withColumn("old_shard", F.col("shard")).withColumn("shard", to.cast("int"))
-    rewritten.hint("rebalance", "shard", "block").write.mode("overwrite").partitionBy("shard", "block").parquet(scratch.path(label))
+    rewritten.hint("rebalance", "shard", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("shard", "block").parquet(scratch.path(label))
     stay = old.where(to.isNull()).withColumn("old_shard", F.col("shard"))
     return stay.unionByName(spark.read.schema(rewritten.schema).parquet(scratch.path(label)))
 
