@@ -249,7 +249,8 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, distance: int = 1, min_c
     rare = notable.where(F.col("c") * 10_000 < total).select(F.col("id").alias("rid"), F.col("id2").alias("rid2"), F.col("similar").alias("rsimilar"), F.col("first").alias("rfirst"))
     marked = lines.select(*_id("line"), "doc", "th", "no").join(common, (F.col("id") == F.col("cid")) & (F.col("id2") == F.col("cid2")), "left")
     spread = F.when(F.col("cid").isNotNull(), F.xxhash64("doc", "th", "no")).otherwise(F.col("id2"))  # a common line needs no partner any more
-    met = marked.join(rare, (F.col("id") == F.col("rid")) & (spread == F.col("rid2")), "left").where("cid is not null or rid is not null")
+    # merged at every size: what is spread by hash is not to depend on whether the rare lines happen to fit a broadcast
+    met = marked.join(rare.hint("merge"), (F.col("id") == F.col("rid")) & (spread == F.col("rid2")), "left").where("cid is not null or rid is not null")
     similar, first = F.coalesce("csimilar", "rsimilar"), F.coalesce("cfirst", "rfirst")
     places = met.where(similar | ~F.struct("doc", "th", "no").eqNullSafe(first))
     return places.groupBy("doc", "th").agg(F.collect_set("no").alias("drops"))
