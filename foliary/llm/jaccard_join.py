@@ -147,7 +147,7 @@ def frequent(docs: DataFrame, size: int, often: int, ranked: int) -> Order:
                 seen.add(digest)
                 held.append(h)
                 n += len(h)
-                if n > 1_500_000:
+                if n > 3_000_000:
                     yield out()
                     held, n = [], 0
         yield out()
@@ -167,7 +167,7 @@ def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> Da
     @tidy
     def run(batches):
         ranges, seen = Ranges(num, den), set()
-        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
+        for batch in batches:
             rows = []
             for i, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h = shingles(text.as_py(), size)
