@@ -30,8 +30,6 @@ the documents may have any names; one named as the result column is replaced by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,7 +182,9 @@ def _segment_pairs(docs: DataFrame, distinct: DataFrame, scratch: Scratch, dista
     entries = F.array(*[F.struct(F.col(f"key_{k}").alias("key"), F.lit(less == off == 0).alias("own"), F.lit(k).alias("way")) for k, (less, _, off) in enumerate(ways)])
     met = scratch.stage(_shared(distinct.select("id", "id2", "first", F.explode(entries).alias("k")).select("k.*", "id", "id2", "first")), "met")
     texts = scratch.stage(_texts(docs, met.select("id", "id2", "first").distinct(), min_chars), "texts")
-    pairs = [_bucket_pairs(met, few)]
+    # each round's pairs are written at once, so that no plan holds all rounds
+    keep = lambda found: found.write.mode("append").parquet(scratch.path("candidates"))
+    keep(_bucket_pairs(met, few))
     less, rest = F.lit(0), F.lit("")
     for k, (d, i, off) in enumerate(ways):
         less = F.when(F.col("way") == k, d).otherwise(less)
@@ -193,15 +193,15 @@ def _segment_pairs(docs: DataFrame, distinct: DataFrame, scratch: Scratch, dista
     rows = scratch.stage(crowded.select("key", "own", less.alias("less"), "id", "id2", "first", rest.alias("rest")), "crowded-0")
     level = 0
     while not rows.isEmpty():
-        pairs.append(_leader_pairs(rows, distance))
+        keep(_leader_pairs(rows, distance))
         kids = scratch.stage(_cut_again(rows, distance), f"kids-{level}")
         met = scratch.stage(_shared(kids), f"met-{level}")
         scratch.drop(f"kids-{level}")
-        pairs.append(_bucket_pairs(met, few))
+        keep(_bucket_pairs(met, few))
         level += 1
         rows = scratch.stage(met.where(F.col("c") > few).drop("c"), f"crowded-{level}")
-    found = scratch.stage(reduce(DataFrame.union, pairs).distinct(), "pairs")
-    scratch.drop("met", *(f"{x}-{n}" for n in range(level + 1) for x in ("met", "crowded")))
+    found = scratch.stage(scratch.spark.read.schema("a bigint, a2 bigint, b bigint, b2 bigint").parquet(scratch.path("candidates")).distinct(), "pairs")
+    scratch.drop("met", "candidates", *(f"{x}-{n}" for n in range(level + 1) for x in ("met", "crowded")))
     return found, texts
 
 
