@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliary.llm import decontam, jaccard_join, langid, line_dedup, mtree, packing, pii, quality, resharding, warc
+from foliary.llm import decontam, divergence, dual_tree, jaccard_join, langid, line_dedup, line_rules, mtree, packing, pii, quality, resharding, warc
 from foliary.llm.common import Scratch, held_out, table
 
 
@@ -153,10 +153,58 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLDED}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang, v, total FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS BIGINT) AS p, CAST(1 + (1000000000 * (n_lang + 1)) // (total + v) AS BIGINT) AS q FROM m),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM s WHERE n > 0 AND p > q
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return dual_tree.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), lambda c: c % 100 == 0, Scratch(spark, "op12"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5
+), r AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_rules.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op13"))
+    return line_rules.judge(docs, field).select("doc_id", *[f"_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")])
+
+
 def queries():
-    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
+    return {"op1_language_id": op1_language_id, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_resharding": op7_resharding, "op8_exact_top_k": op8_exact_top_k, "op9_decontamination": op9_decontamination, "op10_packing": op10_packing, "op11_source_divergence": op11_source_divergence, "op12_hard_negatives": op12_hard_negatives, "op13_quality_rules": op13_quality_rules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {**known, "op2_ngram_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {**known, "op2_ngram_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_top_k": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_hard_negatives": OP12_SQL}
