@@ -50,8 +50,45 @@ EVENT = (
 )
 # How an item may end, as events say it, and the counters of it.
 OUTCOMES = {"ok": "ok", "skipped_no_citation": "skipped", "error": "error", "deferred": "deferred"}
-# The states of an outage by the event that begins them.
-OUTAGE_STATES = {"OutagePaused": "paused", "OutageProbing": "probing", "OutageRecovered": "", "OutageGaveUp": "gave_up"}
+#: What each event does to its run: a column is set to a value ("is"), takes a field of the event or else a value ("of"), or counts up ("plus").
+#: The batch fold and the live one are both made from this table.
+_IDLE = {"requesting": ("is", False), "wait_reason": ("is", None), "wait_until": ("is", None)}
+TRANSITIONS = {
+    "RunStarted": {"est_total_requests": ("of", "est_total_requests", 0)},
+    "PhaseStarted": {"phase_name": ("of", "phase", ""), "phase_items": ("of", "items", 0), "phase_done": ("is", 0), "current_label": ("is", "")},
+    "ItemStarted": {"current_label": ("of", "label", "")},
+    "ItemFinished": {**_IDLE, "phase_done": ("plus", 1)},
+    "RequestStarted": {**_IDLE, "requesting": ("is", True), "requests_done": ("plus", 1)},
+    "WaitStarted": {"requesting": ("is", False), "wait_reason": ("of", "reason", None), "wait_until": ("of", "until", None)},
+    "RetryScheduled": {"retry": ("plus", 1)},
+    "OutagePaused": {"outage_state": ("is", "paused")},
+    "OutageProbing": {"outage_state": ("is", "probing"), "outage_down": ("of", "down_seconds", 0.0), "outage_probe_in": ("of", "probe_in_seconds", 0.0)},
+    "OutageRecovered": {"outage_state": ("is", ""), "outage_down": ("is", 0.0), "outage_probe_in": ("is", 0.0)},
+    "OutageGaveUp": {"outage_state": ("is", "gave_up"), "outage_down": ("of", "down_seconds", 0.0)},
+    "Cancelled": {"cancelled": ("is", True)},
+    "RunFinished": {**_IDLE, "finished": ("is", True), "incomplete": ("of", "incomplete", False)},
+}
+#: The columns of a run's state that the table sets, with their types and first values.
+REGISTERS = {
+    "phase_name": ("string", ""), "phase_items": ("bigint", 0), "current_label": ("string", ""), "wait_reason": ("string", None), "wait_until": ("double", None), "requesting": ("boolean", False), "outage_state": ("string", ""),
+    "outage_down": ("double", 0.0), "outage_probe_in": ("double", 0.0), "cancelled": ("boolean", False), "finished": ("boolean", False), "incomplete": ("boolean", False), "est_total_requests": ("bigint", 0),
+}
+COUNTERS = ("requests_done", "retry")
+
+
+def _register(column: str, order: Column) -> Column:
+    """The value of a column after the last event that touches it."""
+    kind, (of, first) = F.col("event_type"), REGISTERS[column]
+    touching = {event: does[column] for event, does in TRANSITIONS.items() if column in does}
+    value = F.lit(None).cast(of)
+    for event, (how, x, *other) in touching.items():
+        value = F.when(kind == event, F.lit(x).cast(of) if how == "is" else F.coalesce(F.col(x).cast(of), F.lit(other[0]).cast(of))).otherwise(value)
+    return F.coalesce(F.max_by(F.struct(value.alias("value")), F.when(kind.isin(list(touching)), order))["value"], F.lit(first).cast(of)).alias(column)
+
+
+def _counter(column: str, only: Column | None = None) -> Column:
+    counted = F.col("event_type").isin([event for event, does in TRANSITIONS.items() if does.get(column, ("",))[0] == "plus"])
+    return F.count_if(counted if only is None else counted & only).alias(column)
 
 
 def events_of(rows: DataFrame, run: str = "run", order: str = "seq") -> DataFrame:
@@ -71,43 +108,22 @@ def fold(events: DataFrame, run: str, order: str) -> DataFrame:
     begun = rows.groupBy(run).agg(
         F.max_by("phases", F.when(kind == "RunStarted", at)).alias("_phases"),
         F.max(F.when(kind == "PhaseStarted", at)).alias("_phase_at"),
-        F.max_by("phase", F.when(kind == "PhaseStarted", at)).alias("phase_name"),
-        F.max_by("items", F.when(kind == "PhaseStarted", at)).alias("phase_items"),
     )
     rows = rows.join(begun.select(F.col(run).alias("_run"), "_phases", "_phase_at"), F.col(run).eqNullSafe(F.col("_run")))
     listed = F.coalesce(F.array_position("_phases", F.col("phase")), F.lit(0))
     last_listed = rows.where((kind == "PhaseStarted") & (listed > 0)).groupBy(run).agg(F.max(order).alias("_listed_at"), F.max_by(listed, at).alias("_index"))
     rows = rows.join(last_listed.select(F.col(run).alias("_run2"), "_listed_at", "_index"), F.col(run).eqNullSafe(F.col("_run2")), "left")
-    done, now = kind == "ItemFinished", F.col("_phase_at").isNull() | (at > F.col("_phase_at"))
-    last = lambda value, when: F.max_by(value, F.when(when, at))
-    waits = kind.isin("ItemFinished", "WaitStarted", "RequestStarted", "RunFinished")
-    state = F.lit("")
-    for name, value in OUTAGE_STATES.items():
-        state = F.when(kind == name, value).otherwise(state)
-    probing = F.when(kind == "OutageRecovered", F.lit(0.0))
+    now = F.col("_phase_at").isNull() | (at > F.col("_phase_at"))
     out = rows.groupBy(run).agg(
-        *[F.count_if(done & (F.col("status") == said)).alias(name) for said, name in OUTCOMES.items()],
-        F.count_if(kind == "RequestStarted").alias("requests_done"),
-        F.count_if(kind == "RetryScheduled").alias("retry"),
+        *[F.count_if((kind == "ItemFinished") & (F.col("status") == said)).alias(name) for said, name in OUTCOMES.items()],
+        *[_counter(c) for c in COUNTERS],
+        _counter("phase_done", now),
+        *[_register(c, at) for c in REGISTERS],
         (F.coalesce(F.max("_index"), F.lit(0)) + F.count_if((kind == "PhaseStarted") & (F.col("_listed_at").isNull() | (at > F.col("_listed_at"))))).alias("phase_index"),
         F.coalesce(F.nullif(F.max(F.coalesce(F.size("_phases"), F.lit(0))), F.lit(0)), F.lit(None)).cast("bigint").alias("_known"),
-        F.count_if(done & now).alias("phase_done"),
-        F.coalesce(last(F.col("label"), (kind == "ItemStarted") & now), F.lit("")).alias("current_label"),
-        last(F.when(kind == "WaitStarted", F.col("reason")), waits).alias("wait_reason"),
-        last(F.when(kind == "WaitStarted", F.col("until")), waits).alias("wait_until"),
-        F.coalesce(last(kind == "RequestStarted", waits), F.lit(False)).alias("requesting"),
-        F.coalesce(last(state, kind.isin(list(OUTAGE_STATES))), F.lit("")).alias("outage_state"),
-        F.coalesce(last(F.coalesce(probing, F.col("down_seconds")), kind.isin("OutageProbing", "OutageRecovered", "OutageGaveUp")), F.lit(0.0)).alias("outage_down"),
-        F.coalesce(last(F.coalesce(probing, F.col("probe_in_seconds")), kind.isin("OutageProbing", "OutageRecovered")), F.lit(0.0)).alias("outage_probe_in"),
-        F.coalesce(F.bool_or(kind == "Cancelled"), F.lit(False)).alias("cancelled"),
-        F.coalesce(F.bool_or(kind == "RunFinished"), F.lit(False)).alias("finished"),
-        F.coalesce(last(F.col("incomplete"), kind == "RunFinished"), F.lit(False)).alias("incomplete"),
-        F.coalesce(last(F.col("est_total_requests"), kind == "RunStarted"), F.lit(0)).alias("est_total_requests"),
         (F.max("mono") - F.min("mono")).alias("elapsed_seconds"),
     )
-    names = begun.select(F.col(run).alias("_run"), F.coalesce("phase_name", F.lit("")).alias("phase_name"), F.coalesce("phase_items", F.lit(0)).alias("phase_items"))
-    out = out.join(names, F.col(run).eqNullSafe(F.col("_run"))).withColumn("phase_total", F.coalesce("_known", "phase_index"))
-    return out.drop("_run", "_known")
+    return out.withColumn("phase_total", F.coalesce("_known", "phase_index")).drop("_known")
 
 
 def spacing(requests: DataFrame, by: list[str], at: str, floor: float) -> DataFrame:
