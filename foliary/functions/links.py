@@ -86,13 +86,6 @@ def encoded(c: Column) -> Column:
     return out
 
 
-def known_court_tokens(token: Column) -> Column:
-    """As court_tokens, but an unknown token is an error that lists the known ones."""
-    out = court_tokens(token)
-    known = ", ".join([*COURTS, *COURT_GROUPS])
-    return F.when(out.isNull() & token.isNotNull(), F.raise_error(F.concat(F.lit("unknown court "), token, F.lit(f"; known are {known}"))).cast("array<string>")).otherwise(out)
-
-
 def facet_query(courts: Column, doc_type: str = "Judgment") -> Column:
     """The search text for an array of court names; repeated facets are united by the site."""
     facets = F.transform(courts, lambda x: F.concat(F.lit('"filter:alfresco_Court.'), x, F.lit('"')))

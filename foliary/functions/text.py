@@ -32,11 +32,24 @@ def in_vocabulary(c: Column, vocabulary: list[str]) -> Column:
     return c.isNull() | label_key(c).isin(known)
 
 
+def _escaped(c: Column) -> Column:
+    """Control, format, unassigned and separating characters but the plain space as their hexadecimal codes."""
+    hidden = r"[\p{C}\p{Z}&&[^ ]]"
+
+    def shown(x: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(x)))
+        wide = lambda mark, n: F.concat(F.lit(mark), F.lpad(code, n, "0"))
+        return F.when(~x.rlike(hidden), x).when(F.length(code) < 3, wide("\\x", 2)).when(F.length(code) < 5, wide("\\u", 4)).otherwise(wide("\\U", 8))
+
+    return F.when(c.rlike(hidden), F.array_join(F.transform(F.split(c, ""), shown), "")).otherwise(c)
+
+
 def drift_flag(c: Column, vocabulary: list[str], label: str) -> Column:
     """Null for members; else a warning with the value quoted, in double quotes only if it has a single one and no double."""
     plain = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         plain = F.replace(plain, F.lit(char), F.lit(shown))
+    plain = _escaped(plain)
     double = F.concat(F.lit('"'), plain, F.lit('"'))
     single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
     quoted = F.when(c.contains("'") & ~c.contains('"'), double).otherwise(single)

@@ -24,7 +24,7 @@ def list_pages(responses: DataFrame, base: str) -> DataFrame:
     return ingest.first_of(markup.listing(pages, base), "pdf_url", ["page", "title"])
 
 
-def resolve_metadata(records: DataFrame, responses: DataFrame, base: str) -> DataFrame:
+def resolve_metadata(records: DataFrame, responses: DataFrame, base: str, scratch: Scratch | None = None) -> DataFrame:
     """Outcomes of the metadata queue: ok with a file name, error without a citation, deferred where the page says nothing of the document.
 
     Names that the records use already are not given again. A page whose grid is empty is the shell of a site that is down, as is a response worth a retry: the record stays pending.
@@ -38,6 +38,7 @@ def resolve_metadata(records: DataFrame, responses: DataFrame, base: str) -> Dat
     outcome = F.when(down, "deferred").when(F.col("status") >= 400, "error").when(citation.isNull(), "error").when(slug.isNull(), "error").otherwise("ok")
     reason = F.when(outcome != "error", F.lit(None).cast("string")).when(F.col("status") >= 400, F.concat(F.lit("status "), "status")).when(citation.isNull(), "no neutral citation").otherwise("unknown form of citation")
     judged = seen.select("id", outcome.alias("outcome"), reason.alias("error_reason"), citation.alias("neutral_citation"), F.to_json("meta").alias("meta_json"), F.when(outcome == "ok", names.file_stem(citation, F.col("judge"))).alias("stem"))
+    judged = scratch.stage(judged, "judged") if scratch else judged  # read in each pass over the names
     taken = records.where("filename is not null").select("filename")
     named = merge.file_names(judged.where("outcome = 'ok'"), F.col("stem"), ["id"], taken=taken).drop("stem")
     rest = judged.where("outcome <> 'ok'").drop("stem").withColumn("filename", F.lit(None).cast("string"))
@@ -148,7 +149,7 @@ def fetch(
         done = runs.canonical(runs.matching(catalog, courts)).select("run").first()
         if done:
             raise ValueError(f"the complete run {done.run} has these courts")
-    at = F.lit(now)
+    at, scratch = F.lit(now), Scratch(spark, "fetch")
     state = _checked(records) if resume else spark.createDataFrame([], schema.RECORD)
     if not resume:
         state = listed(state, list_pages(responses, base), at)
@@ -156,10 +157,15 @@ def fetch(
             return state
     if retry_skipped:
         state = requeued(state)[0]
-    state = after_metadata(state, resolve_metadata(state, responses, base), at)
+    state = _resolved(scratch, scratch.stage(state, "listed"), responses, base, at)
     return after_downloads(state, downloads(state, responses, limit), at)
 
 
+def _resolved(scratch: Scratch, state: DataFrame, responses: DataFrame, base: str, at: Column) -> DataFrame:
+    """The records after their metadata. Outcomes are staged: pages are parsed once, though their names are dealt in several passes."""
+    return scratch.stage(after_metadata(state, scratch.stage(resolve_metadata(state, responses, base, scratch), "outcomes"), at), "resolved")
+
+
 def update(
     records: DataFrame, history: DataFrame, responses: DataFrame, base: str, now: str, *, run: str, live: DataFrame | None = None, revalidate_all: bool = False, retry_skipped: bool = False, limit: int | None = None,
 ) -> tuple[dict, DataFrame, DataFrame]:
@@ -179,7 +185,7 @@ def update(
     if retry_skipped:
         state, n = requeued(state)
         counts["requeued"] = n.first().n
-    state = scratch.stage(after_metadata(state, resolve_metadata(state, responses, base), F.lit(now)), "meta")
+    state = _resolved(scratch, scratch.stage(state, "queued"), responses, base, F.lit(now))
     state = scratch.stage(after_downloads(state, downloads(state, responses, limit), F.lit(now)), "done")
     known = schema.conform(history, schema.VERSION)
     seen = versions.superseded_count(known).first().n

@@ -35,12 +35,17 @@ def content_conflicts(rows: DataFrame, ident: list[str], sha: str, run: str, run
     return last.groupBy(*ident).agg(F.sort_array(F.collect_set(sha)).alias("shas"), F.sort_array(F.collect_set("_run")).alias("runs")).where(F.size("shas") > 1)
 
 
-def revisions(history: DataFrame, part: list[str], order: list[str], ident: list[str], sha: str, keep: list[str]) -> DataFrame:
-    """Pairs of consecutive versions; a pair of contents counts once for an identity, where it is first seen."""
+def revisions(history: DataFrame, part: list[str], order: list[str], ident: list[str], sha: str, keep: list[str], newer: list[str] = ()) -> DataFrame:
+    """Pairs of consecutive versions; a pair of contents counts once for an identity, where it is first seen.
+
+    Identity and the columns to keep are the older version's, whose document it was; columns of `newer` are the newer one's, as new_<column>.
+    """
     w = Window.partitionBy(*part).orderBy(*order)
-    pairs = history.withColumn("old_sha", F.lag(sha).over(w)).where(F.col("old_sha").isNotNull()).withColumnRenamed(sha, "new_sha")
+    cells = list(dict.fromkeys([*ident, *keep, *part, *order]))
+    rows = history.select(F.lag(F.struct(*cells, F.col(sha).alias("old_sha"))).over(w).alias("_old"), F.col(sha).alias("new_sha"), *[F.col(c).alias(f"new_{c}") for c in newer])
+    pairs = rows.where("_old.old_sha is not null").select("_old.*", "new_sha", *[f"new_{c}" for c in newer])
     first = Window.partitionBy(*ident, "old_sha", "new_sha").orderBy(*part, *order)
-    return pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*dict.fromkeys([*ident, "old_sha", "new_sha", *keep]))
+    return pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*dict.fromkeys([*ident, "old_sha", "new_sha", *keep, *[f"new_{c}" for c in newer]]))
 
 
 def first_seen_union(rows: DataFrame, by: list[str], values: str, order: list[Column]) -> DataFrame:
@@ -103,9 +108,12 @@ def resolve_clashes(named: DataFrame, name: str, out: str, order: list[str], mar
         return F.regexp_replace(F.substring_index(F.col(c), ".", 1), f"({mark}[0-9]+)+$", "")
 
     used = None if taken is None else taken.toDF("used").where("used is not null").distinct()
-    marked = named.withColumn("_f", family(name)).withColumn("_row", F.struct(*order))
+    marked = named.withColumn("_f", family(name)).withColumn("_row", F.struct(*order)).withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in named.columns]))
     bad = clashing(marked.select(out), out, used).select(family(out).alias("_f")).distinct()
-    places = marked.join(bad, "_f", "left_semi").select("_f", "_row", F.col(name).alias("_own"))
+    # rows of equal place are told apart by all that they hold; rows that are equal in all may take each other's names
+    place = F.row_number().over(Window.partitionBy("_f").orderBy("_row", *[F.col(f"_all.`{c}`") for c in named.columns]))
+    numbered = marked.join(bad, "_f", "left_semi").withColumn("_key", place).drop("_row", "_all")
+    fine = marked.join(bad, "_f", "left_anti").drop("_f", "_row", "_all")
 
     def deal(mine, theirs):
         seen = set(theirs["used"])
@@ -120,14 +128,12 @@ def resolve_clashes(named: DataFrame, name: str, out: str, order: list[str], mar
             after[s] = k
             seen.add(new)
             made.append(new)
-        return mine.assign(_new=made)[["_f", "_at", "_new"]]
+        return mine.assign(_new=made)[["_f", "_key", "_new"]]
 
-    # places in the order are numbers, so that the pass sorts whatever the order's columns hold
-    numbered = places.withColumn("_key", F.row_number().over(Window.partitionBy("_f").orderBy("_row"))).withColumn("_at", F.xxhash64("_row"))
     others = (used if used is not None else named.sparkSession.createDataFrame([], "used string")).withColumn("_f", family("used")).join(bad, "_f", "left_semi")
-    dealt = numbered.select("_f", "_at", "_key", "_own").groupBy("_f").cogroup(others.groupBy("_f")).applyInPandas(deal, "_f string, _at bigint, _new string")
-    joined = marked.withColumn("_at", F.xxhash64("_row")).join(dealt, ["_f", "_at"], "left")
-    return joined.select(*[F.coalesce("_new", out).alias(c) if c == out else F.col(f"`{c}`") for c in named.columns])
+    dealt = numbered.select("_f", "_key", F.col(name).alias("_own")).groupBy("_f").cogroup(others.groupBy("_f")).applyInPandas(deal, "_f string, _key int, _new string")
+    again = numbered.join(dealt, ["_f", "_key"]).select(*[F.col("_new").alias(c) if c == out else F.col(f"`{c}`") for c in named.columns])
+    return fine.unionByName(again)
 
 
 def coverage(rows: DataFrame, date: str) -> DataFrame:

@@ -59,7 +59,8 @@ def archived_names(history: DataFrame) -> DataFrame:
 def verified_and_gaps(names: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Archived files whose content has the digest that is their name, and names that no run can show verified.
 
-    files: name, content (binary).
+    files: name, and sha256 or else content (binary).
     """
-    good = files.join(names, "name", "left_semi").where(F.sha2("content", 256) == F.substring_index("name", ".", 1)).select("name").distinct()
+    digest = F.col("sha256") if "sha256" in files.columns else F.sha2("content", 256)
+    good = files.join(names, "name", "left_semi").where(digest == F.substring_index("name", ".", 1)).select("name").distinct()
     return good, names.join(good, "name", "left_anti")

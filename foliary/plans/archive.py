@@ -266,23 +266,18 @@ def archived_names(spark, d):
     return versions.archived_names(rows)
 
 
-def _judged(docs, wanted):
+def _judged(docs):
     """Of the wanted documents, whether the archive has them; every fourth file is missing. Names are a digest and the id."""
     t = F.coalesce("text", lit(""))
     named = docs.select("doc_id", F.concat(F.sha2(t, 256), lit("."), "doc_id").alias("name"), t.cast("binary").alias("content"))
-    good, gaps = versions.verified_and_gaps(named.where(wanted).select("name"), named.where("doc_id % 4 <> 0").select("name", "content"))
+    good, gaps = versions.verified_and_gaps(named.select("name"), named.where("doc_id % 4 <> 0").select("name", "content"))
     both = good.select("name", lit(True).alias("verified")).union(gaps.select("name", lit(False)))
     return both.select(F.substring_index("name", ".", -1).alias("name"), "verified")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS name, doc_id % 4 <> 0 AS verified FROM documents WHERE doc_id % 2 = 0")
-def archive_gaps(spark, d):
-    return _judged(read(spark, d, "documents"), c("doc_id") % 2 == 0)
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS name, doc_id % 4 <> 0 AS verified FROM documents")
 def archive_gaps_whole(spark, d):
-    return _judged(read(spark, d, "documents"), lit(True))
+    return _judged(read(spark, d, "documents"))
 
 
 # ---- scalar functions
@@ -463,13 +458,19 @@ def outage_islands(spark, d):
 _PACE = "SELECT user_id, count(*) AS n, CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) AS s FROM events GROUP BY user_id"
 
 
-@query(f"SELECT user_id, round(CASE WHEN 3 * n <= 0 THEN NULL ELSE (200 - n) * CASE WHEN n >= 20 AND s > 0 THEN (6.0 + s / n) / 2 ELSE 6.0 END END, 3) AS eta FROM ({_PACE}) WHERE n < 200")
+@query(f"SELECT user_id, round(CASE WHEN 3 * n <= 0 THEN NULL ELSE greatest(200 - n, 0) * CASE WHEN n >= 20 THEN (6.0 + s / n) / 2 ELSE 6.0 END END, 3) AS eta FROM ({_PACE})")
 def eta(spark, d):
-    per = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6).alias("s")).where("n < 200")
+    per = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6).alias("s"))
     pace = progress.pace(lit(5.0), lit(2.0), c("n"), c("s"))
     return per.select("user_id", F.round(progress.eta(lit(200), c("n"), pace, lit(False)), 3).alias("eta"))
 
 
+@query(f"SELECT user_id, round(CASE WHEN s > 0 THEN n * 60.0 / s END, 6) AS rate FROM ({_PACE})")
+def request_rate(spark, d):
+    per = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6).alias("s"))
+    return per.select("user_id", F.round(progress.rate_per_minute(c("n"), c("s")), 6).alias("rate"))
+
+
 @query("""
 WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round_even(l_quantity * l_partkey / 8, 0) AS BIGINT) AS n FROM lineitem), m AS (SELECT *, n // 60 AS m, n % 60 AS r FROM s)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN n < 60 THEN n || 's' WHEN m < 60 THEN m || 'm' || CASE WHEN r >= 30 THEN ' ' || r || 's' ELSE '' END ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS shown FROM m""")

@@ -50,7 +50,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 VERSIONS = """
 SELECT o_orderkey * 2 AS id, o_orderkey AS record_id, o_orderkey % 3 AS k, 'u' || o_custkey AS document_uuid, md5(o_orderpriority) AS sha256, '2024-01-01' AS fetched_at, CASE WHEN o_orderstatus = 'F' THEN '2024-02-01' END AS superseded_at,
  CASE WHEN o_orderstatus = 'F' THEN 'versions/' || md5(o_orderpriority) || '.pdf' ELSE 'f.pdf' END AS filename FROM orders WHERE o_orderkey % 3 <> 1
-UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, o_orderkey % 3, 'u' || o_custkey, md5(o_orderstatus || o_orderpriority), '2024-02-01', NULL, 'f.pdf' FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderstatus = 'F'"""
+UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, o_orderkey % 3, CASE WHEN o_orderkey % 7 = 0 THEN 'w' ELSE 'u' END || o_custkey, md5(o_orderstatus || o_orderpriority), '2024-02-01', NULL, 'f.pdf' FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderstatus = 'F'"""
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     k, done, u = c("o_orderkey"), c("o_orderstatus") == "F", F.concat(lit("u"), "o_custkey")
     old = F.md5("o_orderpriority")
     first = rows.select((k * 2).alias("id"), k.alias("record_id"), (k % 3).alias("k"), u.alias("document_uuid"), old.alias("sha256"), lit("2024-01-01").alias("fetched_at"), F.when(done, "2024-02-01").alias("superseded_at"), F.when(done, F.concat(lit("versions/"), old, lit(".pdf"))).otherwise("f.pdf").alias("filename"))
-    second = rows.where(done).select((k * 2 + 1).alias("id"), k.alias("record_id"), (k % 3).alias("k"), u.alias("document_uuid"), F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("sha256"), lit("2024-02-01").alias("fetched_at"), lit(None).cast("string").alias("superseded_at"), lit("f.pdf").alias("filename"))
+    second = rows.where(done).select((k * 2 + 1).alias("id"), k.alias("record_id"), (k % 3).alias("k"), F.concat(F.when(k % 7 == 0, "w").otherwise("u"), "o_custkey").alias("document_uuid"), F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("sha256"), lit("2024-02-01").alias("fetched_at"), lit(None).cast("string").alias("superseded_at"), lit("f.pdf").alias("filename"))
     return first.union(second)
 
 
@@ -149,10 +149,11 @@ def run_status(spark, d):
     return spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} {'string' if k == 'run' else 'bigint'}" for k in told))
 
 
-@query(_R + """, n AS (SELECT run, count(*) AS total, count(*) FILTER (download_status = 'done') AS done, count(*) FILTER (meta_status = 'pending') + count(*) FILTER (download_status IN ('pending', 'error')) AS todo FROM r GROUP BY run)
-SELECT run, todo AS requests, format('{:,}', done) || ' of ' || format('{:,}', total) || ' done, ' || format('{:,}', todo) || ' requests to go' AS line FROM n""")
+@query(_R + """, n AS (SELECT run, count(*) AS total, count(*) FILTER (meta_status = 'ok') AS ok, count(*) FILTER (meta_status = 'pending') AS todo, count(*) FILTER (meta_status = 'error') AS skipped, count(*) FILTER (download_status = 'done') AS done, count(*) FILTER (download_status = 'error') AS again FROM r GROUP BY run),
+l AS (SELECT run, todo = 0 AND done >= ok AS complete, array_to_string([x FOR x IN [CASE WHEN todo > 0 THEN format('{:,}', todo) || ' to fetch' END, CASE WHEN skipped > 0 THEN format('{:,}', skipped) || ' skipped' END] IF x IS NOT NULL], ', ') AS extra, * FROM n)
+SELECT run, complete, CASE WHEN complete THEN 'Nothing left to do: this run is complete.' ELSE 'Metadata:  ' || format('{:,}', ok) || '/' || format('{:,}', total) || ' resolved' || CASE WHEN extra <> '' THEN ' (' || extra || ')' ELSE '' END || '.|Downloads: ' || format('{:,}', done) || '/' || format('{:,}', ok) || ' PDFs done' || CASE WHEN again > 0 THEN ' (' || format('{:,}', again) || ' to retry)' ELSE '' END || '.' END AS lines FROM l""")
 def resume_lines(spark, d):
-    return runs.resume_lines(runs.catalog(spark, _root(spark, d)))
+    return runs.resume_lines(runs.catalog(spark, _root(spark, d))).withColumn("lines", F.array_join("lines", "|"))
 
 
 @query(f"SELECT count(*) FILTER (superseded_at IS NOT NULL) AS n FROM ({VERSIONS})")
@@ -167,8 +168,9 @@ def run_sources(spark, d):
 
 @query("SELECT n AS results, CAST(n // 10 + CASE WHEN n % 2 = 0 THEN 2 * n ELSE 2 * 3 END AS BIGINT) AS requests FROM (SELECT DISTINCT CAST(o_orderkey % 100 AS BIGINT) AS n FROM orders)")
 def fresh_requests(spark, d):
-    rows = [r[0] for r in read(spark, d, "orders").select((c("o_orderkey") % 100).alias("n")).distinct().collect()]
-    return spark.createDataFrame([(n, runs.fresh_requests(n // 10, n if n % 2 == 0 else None, 3)) for n in rows], "results bigint, requests bigint")
+    rows = read(spark, d, "orders").select((c("o_orderkey") % 100).alias("n")).distinct()
+    told = runs.fresh_requests(F.floor(c("n") / 10), F.when(c("n") % 2 == 0, c("n")), lit(3))
+    return rows.select(c("n").cast("bigint").alias("results"), told.cast("bigint").alias("requests"))
 
 
 # ---- the merged corpus
@@ -190,14 +192,13 @@ def corpus_conflicts(spark, d):
     return found.select("ident", F.array_join("shas", ",").alias("shas"), F.array_join("runs", ",").alias("runs"))
 
 
-_PAIRS = f"""WITH v AS ({VERSIONS}), p AS (SELECT *, lag(sha256) OVER (PARTITION BY k, record_id ORDER BY fetched_at, id) AS old_sha FROM v),
-f AS (SELECT document_uuid AS ident, old_sha, sha256 AS new_sha, k, record_id, fetched_at, id, row_number() OVER (PARTITION BY document_uuid, old_sha, sha256 ORDER BY k, record_id, fetched_at, id) AS n FROM p WHERE old_sha IS NOT NULL)"""
+_PAIRS = f"""WITH v AS ({VERSIONS}), o AS (SELECT *, lag(sha256) OVER w AS old_sha, lag(document_uuid) OVER w AS was, lag(id) OVER w AS old_id, lag(fetched_at) OVER w AS old_at, lag(superseded_at) OVER w AS detected, lag(filename) OVER w AS old_name FROM v WINDOW w AS (PARTITION BY k, record_id ORDER BY fetched_at, id)),
+p AS (SELECT * REPLACE (was AS document_uuid, old_id AS id, old_at AS fetched_at) FROM o WHERE old_sha IS NOT NULL),
+f AS (SELECT detected, old_name, document_uuid AS ident, old_sha, sha256 AS new_sha, k, record_id, fetched_at, id, row_number() OVER (PARTITION BY document_uuid, old_sha, sha256 ORDER BY k, record_id, fetched_at, id) AS n FROM p WHERE old_sha IS NOT NULL)"""
 
 
 def _pairs(spark, d):
-    scan = ["run_ord", "record_id", "fetched_at", "id"]
-    history = merge.identity(runs.history(spark, _root(spark, d), RUNS))
-    return merge.revisions(history, scan[:2], scan[2:], ["ident"], "sha256", ["neutral_citation", "document_uuid", *scan]), scan
+    return publish.revision_pairs(runs.history(spark, _root(spark, d), RUNS)), publish.SCAN
 
 
 @query(_PAIRS + "SELECT ident, old_sha, new_sha, record_id FROM f WHERE n = 1")
@@ -211,6 +212,13 @@ def corpus_revision_sample(spark, d):
     return publish.revision_scan(pairs, scan, 1000).select("ident", "old_sha", "new_sha", "record_id")
 
 
+@query(_PAIRS + """ SELECT ident AS document_uuid, old_sha AS old_sha256, fetched_at AS old_fetched_at, old_name AS old_filename, new_sha AS new_sha256, detected AS detected_at, CASE k WHEN 0 THEN '20240101T000000Z__a' ELSE '20240301T000000Z__b-a' END AS run
+FROM (SELECT * FROM f WHERE n = 1 ORDER BY k, record_id, fetched_at, id LIMIT 1000)""")
+def corpus_revision_entries(spark, d):
+    """What a snapshot says of each revision; the limit is the snapshot's."""
+    return publish.revision_entries(_pairs(spark, d)[0], 1000).select("document_uuid", "old_sha256", "old_fetched_at", "old_filename", "new_sha256", "detected_at", "run")
+
+
 @query("SELECT 'B,A' AS courts, 'https://h0' AS base_url")
 def corpus_sources(spark, d):
     told = runs.manifests(spark, _root(spark, d)).select(lit(0).alias("all"), "run", "manifest.base_url", "manifest.courts")
@@ -234,7 +242,7 @@ def corpus_missing_files(spark, d):
 
 _COUNTS = f"""
 , m AS (SELECT {_BAG} AS bag_name, run, filename FROM b), s AS (SELECT {_IDENT} AS ident FROM r WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT sha256) > 1), v AS ({VERSIONS}),
-p AS (SELECT *, lag(sha256) OVER (PARTITION BY k, record_id ORDER BY fetched_at, id) AS old_sha FROM v), q AS (SELECT DISTINCT document_uuid, old_sha, sha256 FROM p WHERE old_sha IS NOT NULL)"""
+p AS (SELECT sha256, lag(document_uuid) OVER w AS document_uuid, lag(sha256) OVER w AS old_sha FROM v WINDOW w AS (PARTITION BY k, record_id ORDER BY fetched_at, id)), q AS (SELECT DISTINCT document_uuid, old_sha, sha256 FROM p WHERE old_sha IS NOT NULL)"""
 
 
 @query(_BEST + _COUNTS + """ SELECT (SELECT count(*) FROM b) AS record_count, CAST(3 AS BIGINT) AS run_count, (SELECT count(*) FROM s) AS conflicts, (SELECT count(*) FROM q) AS revisions,
@@ -246,7 +254,7 @@ def corpus_result(spark, d):
     got = publish.corpus(spark, _root(spark, d), out, ["csv"])
     told = json.loads(spark.read.text(f"{out}/data/datapackage.json", wholetext=True).first().value)
     counts = {k: got[k] if isinstance(got[k], int) else len(got[k]) for k in ("record_count", "run_count", "conflicts", "revisions", "missing_files", "unverified_versions")}
-    counts |= {"copied": len(files.names(spark, f"{out}/data/files")), "told_conflicts": told["snapshot"]["conflict_count"]}
+    counts |= {"copied": len(files.names(spark, f"{out}/data/files")), "told_conflicts": spark.read.schema("document_uuid string").option("multiLine", "true").json(f"{out}/data/conflicts.json").count()}
     return spark.createDataFrame([(*counts.values(), ",".join(told["courts"]))], ", ".join(f"{k} bigint" for k in counts) + ", courts string")
 
 
@@ -278,10 +286,10 @@ def package_csv(spark, d):
     return rows.select(*[F.coalesce(x, lit("")).alias(x) for x in shown])
 
 
-@query(_R + "SELECT document_uuid, title, CASE WHEN k = 1 THEN '' ELSE 'A|B' END AS panel, CASE WHEN meta_json <> '' THEN json_extract_string(meta_json, '$.fields.Court') END AS field, sha256 FROM r WHERE k < 2")
+@query(_R + "SELECT document_uuid, title, CASE WHEN k = 1 THEN '' ELSE 'A|B' END AS panel, CASE WHEN meta_json <> '' THEN json_extract_string(meta_json, '$.fields.Court') END AS field, sha256 FROM r")
 def package_json(spark, d):
     path = Scratch(spark, "json").path("documents.json")
-    publish.json_document(publish.nested(runs.records(spark, _root(spark, d), RUNS[:2])).orderBy("document_uuid"), path)
+    publish.json_document(publish.nested(runs.records(spark, _root(spark, d))).orderBy("document_uuid"), path)
     kind = "document_uuid string, title string, panel array<string>, metadata_fields map<string,string>, sha256 string"
     return spark.read.schema(kind).option("multiLine", "true").json(path).select("document_uuid", "title", F.array_join("panel", "|").alias("panel"), c("metadata_fields")["Court"].alias("field"), "sha256")
 
@@ -379,6 +387,29 @@ def detail_fields(spark, d):
     return seen.select("id", "meta.neutral_citation", c("meta.fields")["Court:"].alias("court"), F.array_join(label, "|").alias("supplementary"))
 
 
+@query("""SELECT o_orderkey AS id, 'A https://h.example/view/acc/alfresco/' || o_orderkey || '/a.pdf|B https://cdn.example/acc/alfresco/' || o_orderkey || '/b.pdf|C https://h.example/acc/alfresco/' || o_orderkey || '/c.pdf|q https://h.example/view/p/acc/alfresco/q/' || o_orderkey AS supplementary FROM orders""")
+def detail_links(spark, d):
+    """Links that go up, name another host, come again in other words, or begin at the page's own folder."""
+    key = c("o_orderkey").cast("string")
+    form = "<a href='../acc/alfresco/{0}/a.pdf'>A</a><a href='//cdn.example/acc/alfresco/{0}/b.pdf#x'>B</a><a href='../../acc/alfresco/{0}/c.pdf'>C</a><a href='/view/acc/alfresco/{0}/a.pdf'>again</a><a href='./acc/alfresco/q/{0}'></a><a href='../p/acc/alfresco/q/{0}'>too</a><a href='/acc/alfresco'>no</a>"
+    pages = read(spark, d, "orders").select(c("o_orderkey").alias("id"), _fill(form.replace("acc/alfresco'>no", "other'>no"), key).alias("html"))
+    seen = markup.details(pages, "https://h.example/view/p/q")
+    return seen.select("id", F.array_join(F.transform("meta.supplementary", lambda x: F.concat(x["label"], lit(" "), x["url"])), "|").alias("supplementary"))
+
+
+@query("SELECT 'p' || page_id || '.pdf' AS filename, sha256(encode('%PDF-' || html)) AS sha256, CAST(octet_length(encode('%PDF-' || html)) AS BIGINT) AS length, page_id % 3 = 0 AS superseded FROM pages WHERE html IS NOT NULL")
+def store_files(spark, d):
+    """Bodies that tasks publish, and the files that then lie there; a third of them are superseded and kept under their digests."""
+    folder = Scratch(spark, "store").path("files")
+    nothing = lit(None).cast("string")
+    bodies = read(spark, d, "pages").where("html is not null").select("page_id", F.concat(lit("p"), "page_id", lit(".pdf")).alias("filename"), F.concat(lit("%PDF-"), "html").cast("binary").alias("body"), nothing.alias("content_length"), nothing.alias("content_encoding"))
+    store.publish(spark, folder, bodies)
+    store.keep_superseded(spark, folder, bodies.select("filename", F.when(c("page_id") % 3 == 0, "supersede").otherwise("keep").alias("action"), nothing.alias("old_sha")))
+    there = files.digests(files.listing(spark, folder)).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("old", c("path").contains("/versions/"))
+    kept = there.where("old").select(F.substring_index("name", ".", 1).alias("sha256"), c("sha256").alias("real")).where("sha256 = real").select("sha256", lit(True).alias("superseded"))
+    return there.where("not old").join(kept, "sha256", "left").select(c("name").alias("filename"), "sha256", "length", F.coalesce("superseded", lit(False)).alias("superseded"))
+
+
 _PENDING = "SELECT *, o_orderkey % 8 AS m FROM orders WHERE o_orderstatus = 'P'"
 
 
@@ -487,24 +518,25 @@ def crawl_rechecked_records(spark, d):
     return _revalidated(spark, d)[2].select("id", "sha256", "last_revalidated_at")
 
 
-@query("SELECT CAST(o_custkey % 7 AS BIGINT) AS page, count(*) AS rows, CAST(1234 + o_custkey % 7 AS BIGINT) AS result_count, CAST(CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE 9 END AS BIGINT) AS last_page FROM orders WHERE o_orderkey % 20 = 0 GROUP BY o_custkey % 7")
+@query("SELECT CAST(o_custkey % 7 AS BIGINT) AS page, count(*) AS rows, CAST(1234 + o_custkey % 7 AS BIGINT) AS result_count, CAST(CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE 9 END AS BIGINT) AS last_page FROM orders GROUP BY o_custkey % 7")
 def listing_summary(spark, d):
     row = F.concat(lit("<tr><td>01/02/2024</td><td><a href='/view/"), "o_orderkey", lit("'>t</a></td><td><a href='/acc/"), "o_orderkey", lit(".pdf'>d</a></td><td>c</td><td>j</td><td></td></tr>"))
-    pages = read(spark, d, "orders").where("o_orderkey % 20 = 0").groupBy((c("o_custkey") % 7).alias("page")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    pages = read(spark, d, "orders").groupBy((c("o_custkey") % 7).alias("page")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
     pager = F.when(c("page") == 0, "").otherwise("<div class='search-pager'><a href='/s?page=3'>3</a><a href='/s?page=9'>last</a></div>")
     html = F.concat(lit("<p>1,"), (c("page") + 234).cast("string"), lit(" results</p><table class='alfresco-table'>"), "rows", lit("</table>"), pager)
     return markup.listing_summary(pages.select("page", html.alias("html"))).select("page", c("rows").cast("bigint").alias("rows"), "result_count", c("last_page").cast("bigint").alias("last_page"))
 
 
 def _visit(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A listing of the orders by fives, one page for each; answers to their pages and files."""
-    orders = read(spark, d, "orders").where("o_orderkey % 5 = 0")
+    """A listing of the orders, one page for each; answers to their pages and files."""
+    orders = read(spark, d, "orders")
     key = c("o_orderkey").cast("string")
     row = F.concat(lit("<table class='alfresco-table'><tr><td>01/02/2024</td><td><a href='/view/"), key, lit("'>t</a></td><td><a href='/acc/"), key, lit(".pdf'>d</a></td><td>c</td><td>Dunne J.</td><td></td></tr></table>"))
     detail = F.when(c("o_orderkey") % 3 == 0, _fill(_DETAIL, lit("odd"), key)).otherwise(_fill(_DETAIL, F.concat(lit("[2024] IESC "), key), key))
     base = "https://h.example"
     of = lambda url, body: orders.select(url.alias("url"), lit(1).alias("attempt"), lit(200).alias("status"), body.cast("binary").alias("body"), *[lit(None).cast("string").alias(x) for x in ("content_length", "content_encoding", "etag", "last_modified")])
     answers = of(F.concat(lit(f"{base}/search?page="), key), row).union(of(F.concat(lit(f"{base}/view/"), key), detail)).union(of(F.concat(lit(f"{base}/acc/"), key, lit(".pdf")), F.concat(F.when(c("o_orderkey") % 7 == 0, "<html>").otherwise("%PDF-"), key)))
+    answers = answers.repartition(32, "url")  # few large files parse faster when their pages are dealt to more tasks
     known = schema.conform(orders.where("o_orderkey % 4 = 0").select(c("o_orderkey").alias("id"), F.concat(lit(f"{base}/acc/"), key, lit(".pdf")).alias("pdf_url"), lit("ok").alias("meta_status"), lit("done").alias("download_status"), F.concat(lit("f"), key).alias("filename"),
         F.sha2(F.concat(lit("%PDF-"), F.when(c("o_orderkey") % 8 == 0, key).otherwise("old")), 256).alias("sha256"), lit("2023").alias("pdf_retrieved_at"), lit("2023").alias("listed_at")), schema.RECORD)
     return answers, known
@@ -513,14 +545,14 @@ def _visit(spark, d) -> tuple[DataFrame, DataFrame]:
 _STATE = "CASE WHEN o_orderkey % 3 = 0 THEN 'error' ELSE 'ok' END AS meta_status, CASE WHEN o_orderkey % 3 = 0 THEN 'pending' WHEN o_orderkey % 7 = 0 THEN 'error' ELSE 'done' END AS download_status"
 
 
-@query(f"SELECT 'https://h.example/acc/' || o_orderkey || '.pdf' AS pdf_url, {_STATE}, CASE WHEN o_orderkey % 3 <> 0 THEN '2024_IESC_' || o_orderkey || '_Dunne-J.pdf' END AS filename, '2024' AS listed_at FROM orders WHERE o_orderkey % 5 = 0")
+@query(f"SELECT 'https://h.example/acc/' || o_orderkey || '.pdf' AS pdf_url, {_STATE}, CASE WHEN o_orderkey % 3 <> 0 THEN '2024_IESC_' || o_orderkey || '_Dunne-J.pdf' END AS filename, '2024' AS listed_at FROM orders")
 def fetch_new(spark, d):
     answers, _ = _visit(spark, d)
     catalog = runs.catalog(spark, _root(spark, d))
     return crawl.fetch(spark, ["C"], answers, "https://h.example", "2024", catalog=catalog).select("pdf_url", "meta_status", "download_status", "filename", "listed_at")
 
 
-@query("""WITH p AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0), n AS (SELECT * FROM p WHERE o_orderkey % 4 <> 0), k AS (SELECT * FROM p WHERE o_orderkey % 4 = 0)
+@query("""WITH p AS (SELECT * FROM orders), n AS (SELECT * FROM p WHERE o_orderkey % 4 <> 0), k AS (SELECT * FROM p WHERE o_orderkey % 4 = 0)
 SELECT (SELECT count(*) FROM n) AS new, CAST(0 AS BIGINT) AS requeued, (SELECT count(*) FROM k WHERE o_orderkey % 8 <> 0 AND o_orderkey % 7 <> 0) AS revisions, (SELECT count(*) FROM n WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0) AS errors, 'r' AS run""")
 def update_run(spark, d):
     answers, known = _visit(spark, d)

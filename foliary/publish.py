@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary import files, schema
+from foliary import files, schema, store
 from foliary.functions import text
 from foliary.functions.names import is_safe_name
 from foliary.operators import merge, versions
@@ -174,8 +174,12 @@ def _below(path: Column, folder: str) -> Column:
 def write_bag(spark: SparkSession, bag: str, about: dict[str, str] | None = None) -> dict:
     """Declaration, payload manifest, info and tag manifest over bag/data, written last. Tasks hash the files and write the manifest."""
     with discarded():
-        found = files.content(spark, f"{bag}/data")
-        made = Scratch(spark, "bag").stage(fixity(found.select(_below(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), bag).alias("path"), "content")), "fixity").orderBy("path")
+        decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+        if files.in_tasks(bag):
+            found = files.digests(files.listing(spark, f"{bag}/data")).select(_below(decoded("path"), bag).alias("path"), "sha256", "length")
+        else:
+            found = fixity(files.content(spark, f"{bag}/data").select(_below(decoded("path"), bag).alias("path"), "content"))
+        made = Scratch(spark, "bag").stage(found, "fixity").orderBy("path")
         files.put_lines(made.select(F.concat("sha256", F.lit("  "), "path").alias("value")), f"{bag}/manifest-sha256.txt")
         oxum = payload_oxum(made).first().oxum
     info = {"Source-Organization": "foliary", "Bagging-Date": datetime.now(UTC).date().isoformat(), "Bag-Software-Agent": f"foliary {schema.VERSION_OF_TOOL}", "External-Description": "Documents corpus"} | (about or {}) | {"Payload-Oxum": oxum}
@@ -220,15 +224,33 @@ def merged(records: DataFrame) -> DataFrame:
     return winners.join(named.select("ident", "bag_name"), "ident", "left").orderBy(*merge.merged_order(winners))
 
 
+#: What an entry says of the older version, by the name that the snapshot has for it, and of the newer one.
+OLDER = {"document_uuid": "document_uuid", "pdf_url": "pdf_url", "neutral_citation": "neutral_citation", "old_sha256": "old_sha", "old_bytes": "bytes", "old_fetched_at": "fetched_at", "old_filename": "filename"}
+NEWER = {"new_sha256": "new_sha", "new_bytes": "new_bytes", "detected_at": "superseded_at", "run": "run"}
+SCAN = ["run_ord", "record_id", "fetched_at", "id"]
+
+
+def revision_pairs(history: DataFrame) -> DataFrame:
+    """Every revision in the versions of runs, with what an entry says of it and the columns of the scan."""
+    told = [c for c in (*OLDER.values(), *NEWER.values()) if c not in ("old_sha", "new_sha", "new_bytes")]
+    return merge.revisions(merge.identity(history), SCAN[:2], SCAN[2:], ["ident"], "sha256", [*told, *SCAN], ["bytes"])
+
+
 def revision_scan(pairs: DataFrame, scan: list[str], sample: int) -> DataFrame:
-    """A bounded sample of revisions: the first in the order of the scan, then by citation, document and time."""
-    return pairs.orderBy(*scan).limit(sample).orderBy(F.coalesce("neutral_citation", F.lit("")), F.coalesce("document_uuid", F.lit("")), F.coalesce("fetched_at", F.lit("")))
+    """A bounded sample of revisions: the first in the order of the scan, then by citation, document and when they were detected."""
+    return pairs.orderBy(*scan).limit(sample).orderBy(*[F.coalesce(c, F.lit("")) for c in ("neutral_citation", "document_uuid", "superseded_at")])
+
+
+def revision_entries(pairs: DataFrame, sample: int) -> DataFrame:
+    """The sample as the snapshot lists it."""
+    return revision_scan(pairs, SCAN, sample).select(*[F.col(c).alias(name) for name, c in (OLDER | NEWER).items()])
 
 
 def corpus(spark: SparkSession, root: str, out: str, formats: list[str], explicit: list[str] | None = None, archive_as: str | None = None, sample: int = 1000) -> dict:
     """One deduplicated package of many runs: tables, conflicts, revisions, snapshot, the files and their fixity.
 
-    Files that are wanted but missing, unsafe or not what their name says are left out and named in the result.
+    Files that are wanted but missing, unsafe or not what their name says are left out; the result counts them, and data/missing-files.txt
+    and data/unverified-versions.txt name them. data/conflicts.json holds every conflict, the snapshot the first `sample`.
     """
     formats = checked_formats(formats)
     if archive_as:
@@ -243,16 +265,17 @@ def corpus(spark: SparkSession, root: str, out: str, formats: list[str], explici
         winners = scratch.stage(merged(records).withColumn("_at", F.monotonically_increasing_id()), "winners").orderBy("_at")
         conflicts = scratch.stage(merge.content_conflicts(merge.identity(records), ["ident"], "sha256", "run", "run_ord"), "conflicts").orderBy("ident")
         history = runs.history(spark, root, chosen)
-        scan = ["run_ord", "record_id", "fetched_at", "id"]
-        pairs = scratch.stage(merge.revisions(merge.identity(history), scan[:2], scan[2:], ["ident"], "sha256", ["neutral_citation", "document_uuid", *scan]), "pairs")
+        pairs = scratch.stage(revision_pairs(history), "pairs")
         n_revisions, n_conflicts = pairs.count(), conflicts.count()
-        entries = [r.asDict() for r in revision_scan(pairs, scan, sample).drop("run_ord", "record_id", "id").collect()]
-        listed = [{"ident": r.ident, "sha256s": r.shas, "runs": r.runs} for r in conflicts.limit(sample).collect()]
+        entries = [r.asDict() for r in revision_entries(pairs, sample).collect()]
+        told = conflicts.select(F.col("ident").alias("document_uuid"), F.col("shas").alias("sha256s"), "runs")
+        json_document(told, f"{out}/data/conflicts.json")
+        listed = [r.asDict() for r in told.limit(sample).collect()]
         verdict = merge_verdict(runs.manifests(spark, root).where(F.col("run").isin(chosen)))
         by_run = {r.run: r.asDict() for r in runs.sources(spark, root, chosen).collect()}
         snapshot = {
             "created": _now(), "tool_version": schema.VERSION_OF_TOOL, "schema_version": schema.SCHEMA_VERSION, "derive_version": schema.DERIVE_VERSION, "source_runs": chosen, "listing": verdict | {"sources": by_run},
-            "record_count": winners.count(), "conflict_count": n_conflicts, "conflicts": listed, "conflicts_truncated": n_conflicts > sample,
+            "record_count": winners.count(), "conflict_count": n_conflicts, "conflicts": listed, "conflicts_truncated": n_conflicts > sample, "conflicts_file": "conflicts.json",
             "revisions": {"count": n_revisions, "truncated": n_revisions > len(entries), "entries": entries},
         }
         told = runs.manifests(spark, root).where(F.col("run").isin(chosen)).select(F.lit(0).alias("all"), "run", "manifest.base_url", "manifest.courts")
@@ -260,8 +283,8 @@ def corpus(spark: SparkSession, root: str, out: str, formats: list[str], explici
         courts = merge.first_seen_union(told.where("courts is not null"), ["all"], "courts", [F.col("run")]).first()
         package = winners.withColumn("filename", F.coalesce("bag_name", "filename"))
         result = write_package(package, f"{out}/data", formats, base_url=base and base.base_url, courts=courts.courts if courts else [], extra={"snapshot": snapshot})
-        missing = _copy_current(spark, root, out, winners, chosen)
-        unverified = _copy_superseded(spark, root, out, history, chosen)
+        missing = _copy_current(spark, root, out, winners, chosen, scratch)
+        unverified = _copy_superseded(spark, root, out, history, chosen, scratch)
         cover = merge.coverage(winners, "date_delivered").first()
         files.put_text(spark, f"{out}/data/snapshot.json", _json(snapshot))
         files.put_text(spark, f"{out}/data/dataset.jsonld", _json(dataset(cover, formats, base and base.base_url)))
@@ -281,8 +304,8 @@ def merge_verdict(manifests: DataFrame) -> dict:
 
 
 def _run_files(spark: SparkSession, root: str, chosen: list[str]) -> DataFrame:
-    """path, name, run, content of the document files of runs; old marks superseded ones."""
-    found = files.content(spark, [f"{root}/{r}" for r in chosen], "*.pdf")
+    """path, name, run of the document files of runs; old marks superseded ones. None is read."""
+    found = files.listing(spark, [f"{root}/{r}" for r in chosen], "*.pdf")
     where = F.regexp_extract("path", rf"/{re.escape(root.rstrip('/').rsplit('/', 1)[-1])}/([^/]+)/", 1)
     return found.withColumn("run", where).withColumn("old", F.element_at(F.split("path", "/"), -2) == "versions")
 
@@ -295,35 +318,31 @@ def wanted_files(winners: DataFrame, there: DataFrame) -> tuple[DataFrame, DataF
     return met.select("path", "bag_name"), lost
 
 
-def _copy_current(spark: SparkSession, root: str, out: str, winners: DataFrame, chosen: list[str]) -> list[str]:
+def _listed(scratch: Scratch, lost: DataFrame, path: str) -> int:
+    """Writes names as lines of a file, sorted, by a task; how many there are."""
+    kept = scratch.stage(lost, path.rsplit("/", 1)[-1])
+    files.put_lines(kept.orderBy("name").select(F.col("name").alias("value")), path)
+    return kept.count()
+
+
+def _copy_current(spark: SparkSession, root: str, out: str, winners: DataFrame, chosen: list[str], scratch: Scratch) -> int:
     """A winner's file comes from the run that won."""
     there = _run_files(spark, root, chosen).where("not old").select("run", "name", "path")
-    copied, lost = wanted_files(winners, there)
-    _copy_to(spark, f"{out}/data/files", copied)
-    return sorted(r.name for r in lost.collect())
+    found, lost = wanted_files(winners, there)
+    store.copy_files(spark, f"{out}/data/files", found.select(F.col("path").alias("source"), F.col("bag_name").alias("name")))
+    return _listed(scratch, lost, f"{out}/data/missing-files.txt")
 
 
-def _copy_superseded(spark: SparkSession, root: str, out: str, history: DataFrame, chosen: list[str]) -> list[str]:
-    there = _run_files(spark, root, chosen).where("old")
+def _copy_superseded(spark: SparkSession, root: str, out: str, history: DataFrame, chosen: list[str], scratch: Scratch) -> int:
     safe = is_safe_name(F.col("name"))
     names = versions.archived_names(history)
-    good, gaps = versions.verified_and_gaps(names.where(safe), there.select("name", "content"))
-    own = there.where(F.sha2("content", 256) == F.substring_index("name", ".", 1)).groupBy("name").agg(F.min("path").alias("path"))
-    _copy_to(spark, f"{out}/data/versions", good.join(own, "name").select("path", "name"))
-    return sorted(r.name for r in gaps.union(names.where(~safe)).collect())
-
-
-def _copy_to(spark: SparkSession, folder: str, pairs: DataFrame) -> None:
-    """pairs: path and name. Bytes go from store to store; of the table only names pass through the driver."""
-    fs, p = files.at(spark, folder)
-    fs.mkdirs(p)
-    batch = []
-    for row in pairs.toLocalIterator():
-        batch.append((row[0], f"{folder}/{row[1]}"))
-        if len(batch) == 1000:
-            files.copy(spark, batch)
-            batch = []
-    files.copy(spark, batch)
+    old = _run_files(spark, root, chosen).where("old").join(names, "name", "left_semi")
+    sums = files.digests(old).select("path", "sha256") if files.in_tasks(root) else files.content(spark, [f"{root}/{r}" for r in chosen], "*.pdf").select("path", F.sha2("content", 256).alias("sha256"))
+    there = scratch.stage(old.join(sums, "path").select("path", "name", "sha256"), "superseded")
+    good, gaps = versions.verified_and_gaps(names.where(safe), there.select("name", "sha256"))
+    own = there.where(F.col("sha256") == F.substring_index("name", ".", 1)).groupBy("name").agg(F.min("path").alias("path"))
+    store.copy_files(spark, f"{out}/data/versions", good.join(own, "name").select(F.col("path").alias("source"), "name"))
+    return _listed(scratch, gaps.union(names.where(~safe)), f"{out}/data/unverified-versions.txt")
 
 
 def dataset(cover, formats: list[str], base_url: str | None) -> dict:
@@ -336,7 +355,7 @@ def dataset(cover, formats: list[str], base_url: str | None) -> dict:
     }
 
 
-def datasheet(cover, chosen: list[str], n_conflicts: int, missing: list[str], unverified: list[str]) -> str:
+def datasheet(cover, chosen: list[str], n_conflicts: int, missing: int, unverified: int) -> str:
     span = f", delivered {cover.date_min} to {cover.date_max}" if cover.date_min else ""
     return f"""# Datasheet
 
@@ -346,9 +365,9 @@ Made by foliary {schema.VERSION_OF_TOOL} on {_now()}.
 
 - {cover.record_count} documents{span}, one row each; of several fetches the latest.
 - Runs: {', '.join(chosen)}.
-- Documents whose fetches differ in content: {n_conflicts} (listed in snapshot.json).
-- Files wanted but not there, or not safe to name: {len(missing)}.
-- Superseded files that are missing or differ from their digest: {len(unverified)}.
+- Documents whose fetches differ in content: {n_conflicts} (listed in conflicts.json).
+- Files wanted but not there, or not safe to name: {missing} (listed in missing-files.txt).
+- Superseded files that are missing or differ from their digest: {unverified} (listed in unverified-versions.txt).
 
 ## How it was made
 

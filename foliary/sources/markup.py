@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -108,16 +108,21 @@ def listing_of(html: str | None) -> dict:
     return {"rows": len(rows_of(root)), "text": root.text(), "pager": pager}
 
 
-def detail_of(html: str | None) -> dict:
-    """Labelled cells (a later one of the same label wins) and links into the document store, with their labels."""
+def detail_of(html: str | None, absolute: Callable[[str], str]) -> dict:
+    """Labelled cells (a later one of the same label wins) and links into the document store: whole addresses, once each, with their labels."""
     root = tree(html)
     fields = {}
     for title in root.walk("span", "cell-title"):
         label, whole = title.text(), title.parent.text()
         if label:
-            fields[label] = whole[len(label) :].strip(" :") if whole.startswith(label) else whole
-    found = [{"label": a.text(), "href": a.attrs["href"]} for a in root.walk("a") if "/acc/alfresco/" in a.attrs.get("href", "")]
-    return {"fields": fields, "links": found}
+            value = whole.removeprefix(label)
+            fields[label] = whole if value == whole else value.strip(": ")
+    found: dict[str, str] = {}  # the first link to each address
+    for a in root.walk("a"):
+        if "/acc/alfresco/" in a.attrs.get("href", ""):
+            url = absolute(a.attrs["href"])
+            found.setdefault(url, a.text() or "/".join(url.split("/")[-2:-1]))
+    return {"fields": fields, "supplementary": [{"label": label, "url": url} for url, label in found.items()]}
 
 
 def fields_of(html: str | None) -> dict:
@@ -130,7 +135,7 @@ def fields_of(html: str | None) -> dict:
 _STR = T.StringType()
 _ROW = T.StructType([T.StructField(n, _STR) for n in ("title", "court", "judge", "delivered", "uploaded", "view", "pdf")])
 _LISTING = T.StructType([T.StructField("rows", T.IntegerType()), T.StructField("text", _STR), T.StructField("pager", T.ArrayType(_STR))])
-_DETAIL = T.StructType([T.StructField("fields", T.MapType(_STR, _STR)), T.StructField("links", T.ArrayType(T.StructType([T.StructField("label", _STR), T.StructField("href", _STR)])))])
+_DETAIL = T.StructType([T.StructField("fields", T.MapType(_STR, _STR)), T.StructField("supplementary", T.ArrayType(T.StructType([T.StructField("label", _STR), T.StructField("url", _STR)])))])
 _FIELDS = T.StructType([T.StructField("title", _STR), T.StructField("h1", _STR), T.StructField("lang", _STR), T.StructField("links", T.ArrayType(_STR))])
 
 
@@ -167,15 +172,16 @@ def listing_summary(pages: DataFrame, html: str = "html", page: str = "page") ->
 
 def details(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
     """The pages with a struct `meta`: neutral_citation, fields, supplementary (first of each address)."""
-    parsed = pages.withColumn("_p", _parser(detail_of, _DETAIL)(html))
-    each = F.transform("_p.links", lambda x: F.struct(x["label"].alias("label"), x["href"].alias("href")))
-    out = parsed.withColumn("_hrefs", F.transform(each, lambda x: F.replace(F.substring_index(x["href"], "#", 1), F.lit(" "), F.lit("%20"))))
-    absolute = F.transform("_hrefs", lambda h: F.when(h.rlike("^https?://"), h).when(h.startswith("/"), F.concat(F.lit(re.match(r"https?://[^/]+", base).group(0)), h)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), h)))
-    first = F.filter(F.arrays_zip(absolute.alias("url"), each.alias("x")), lambda z: F.lit(True))
-    labelled = F.transform(first, lambda z: F.struct(F.coalesce(F.when(z["x"]["label"] != "", z["x"]["label"]), F.element_at(F.split(z["url"], "/"), -2)).alias("label"), z["url"].alias("url")))
-    distinct = F.filter(labelled, lambda z, i: F.array_position(F.transform(labelled, lambda y: y["url"]), z["url"]) == i + 1)
-    citation = F.get(F.map_values(F.map_filter("_p.fields", lambda k, v: (k == "Neutral Citation") & (v != ""))), F.lit(0))
-    return out.withColumn("meta", F.struct(citation.alias("neutral_citation"), F.col("_p.fields").alias("fields"), distinct.alias("supplementary"))).drop("_p", "_hrefs")
+    absolute = links.resolver(base)
+    kind = pa.struct([("fields", pa.map_(pa.string(), pa.string())), ("supplementary", pa.list_(pa.struct([("label", pa.string()), ("url", pa.string())])))])
+
+    def parse(texts: pa.Array) -> pa.Array:
+        found = [detail_of(t.as_py(), absolute) for t in texts]
+        return pa.array([{**x, "fields": list(x["fields"].items())} for x in found], kind)
+
+    parsed = pages.withColumn("_p", F.arrow_udf(parse, _DETAIL)(html))
+    citation = F.nullif(F.try_element_at("_p.fields", F.lit("Neutral Citation")), F.lit(""))
+    return parsed.withColumn("meta", F.struct(citation.alias("neutral_citation"), F.col("_p.fields").alias("fields"), F.col("_p.supplementary").alias("supplementary"))).drop("_p")
 
 
 def page_fields(pages: DataFrame, html: str = "html") -> Column:

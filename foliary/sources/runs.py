@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary import files, schema
@@ -64,12 +65,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _typed(ddl: str) -> str:
-    out, depth = [], 0
-    for part in ddl.split(", "):
-        name, _, kind = part.partition(" ")
-        out.append(f"{name}:{kind}")
-        depth += 1
-    return ",".join(out)
+    return ",".join(part.replace(" ", ":", 1) for part in ddl.split(", "))
 
 
 def run_config(spark: SparkSession, root: str, run: str) -> dict:
@@ -80,14 +76,28 @@ def run_config(spark: SparkSession, root: str, run: str) -> dict:
     return row.asDict(recursive=True)
 
 
+def readable(spark: SparkSession, root: str) -> list[str]:
+    """The runs whose files of records are whole: each ends as such a file must. Their few last bytes are read, no more."""
+
+    def whole(folder: str) -> bool:
+        parts = [n for n in files.names(spark, folder) if n.endswith(".parquet")]
+        try:
+            return bool(parts) and all(files.tail(spark, f"{folder}/{n}", 4) == b"PAR1" for n in parts)
+        except Py4JJavaError:  # its file system says that a file is damaged
+            return False
+
+    return [r for r in names(spark, root) if whole(f"{root}/{r}/records.parquet")]
+
+
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Runs with their counters, both notions of completeness, and what their manifests say."""
-    counts = ingest.complete(ingest.record_counts(records(spark, root), ["run"]))
+    """Runs with their counters, both notions of completeness, and what their manifests say; a run that cannot be read has no counts."""
+    good = readable(spark, root)
+    counts = ingest.complete(ingest.record_counts(records(spark, root, good), ["run"]))
     listing = "manifest.listing"
     told = manifests(spark, root).select("run", "manifest.created", "manifest.courts", f"{listing}.complete", f"{listing}.truncated", f"{listing}.pages_fetched", f"{listing}.pages_available")
     pages = F.when(F.col("pages_fetched").isNull(), "unverified").when(F.col("truncated"), F.concat("pages_fetched", F.lit(" of "), "pages_available", F.lit(" pages"))).otherwise(F.concat("pages_fetched", F.lit(" pages")))
     # a run whose table holds no rows is one, too
-    return told.join(counts, "run", "left").na.fill(0, [x for x in counts.columns if x != "run"]).na.fill(False, ["catalog_complete"]).withColumn("pages_text", pages).orderBy(F.desc("run"))
+    return told.join(counts, "run", "left").na.fill(0, [x for x in counts.columns if x != "run"]).na.fill(False, ["catalog_complete"]).withColumn("readable", F.col("run").isin(good) if good else F.lit(False)).withColumn("pages_text", pages).orderBy(F.desc("run"))
 
 
 def listing(runs: DataFrame, root: str) -> DataFrame:
@@ -95,7 +105,7 @@ def listing(runs: DataFrame, root: str) -> DataFrame:
     verified = F.coalesce(F.col("complete"), F.lit(False))
     return runs.select(
         F.col("run").alias("name"), F.coalesce("courts", F.array().cast("array<string>")).alias("courts"), "created", "total", F.col("download_done").alias("done"), F.col("errors").alias("error"),
-        F.lit(True).alias("readable"), F.col("catalog_complete").alias("complete"), verified.alias("listing_verified"), (verified & F.coalesce("truncated", F.lit(False))).alias("listing_truncated"),
+        "readable", F.col("catalog_complete").alias("complete"), verified.alias("listing_verified"), (verified & F.coalesce("truncated", F.lit(False))).alias("listing_truncated"),
         F.when(verified, F.col("pages_fetched")).alias("pages_fetched"), F.when(verified, F.col("pages_available")).alias("pages_available"), F.concat(F.lit(f"{root}/"), "run").alias("path"),
     ).orderBy(F.desc("name"))
 
@@ -104,7 +114,7 @@ def summaries(listed: DataFrame) -> DataFrame:
     """name and one line about each run of a listing."""
     span = F.when(F.col("pages_fetched").isNotNull() & F.col("pages_available").isNotNull(), F.format_string(" at %d of %d pages", "pages_fetched", "pages_available")).otherwise("")
     parts = F.array_compact(F.array(F.format_string("%d/%d downloaded", "done", "total"), F.when(F.col("error") > 0, F.format_string("%d error(s)", "error")), F.when(F.col("listing_truncated"), "listing truncated")))
-    said = F.when(F.col("complete") & F.col("listing_truncated"), F.concat(F.lit("downloads complete; listing truncated"), span)).when(F.col("complete"), F.format_string("complete, %d PDFs", "total")).otherwise(F.array_join(parts, ", "))
+    said = F.when(~F.col("readable"), "unreadable database").when(F.col("complete") & F.col("listing_truncated"), F.concat(F.lit("downloads complete; listing truncated"), span)).when(F.col("complete"), F.format_string("complete, %d PDFs", "total")).otherwise(F.array_join(parts, ", "))
     return listed.select("name", F.concat(F.col("name"), F.lit("  ("), said, F.lit(")")).alias("summary"))
 
 
@@ -138,17 +148,24 @@ def selected(spark: SparkSession, root: str, explicit: list[str] | None = None,
     return [r for r in there if r in set(want)]
 
 
-def fresh_requests(pages: int, results: int | None, first_rows: int, downloads: bool = True) -> int:
-    """Requests of a new crawl: each page of the listing, and for each result its page and its file."""
-    return pages + (2 * (first_rows if results is None else results) if downloads else 0)
+def fresh_requests(pages: Column, results: Column, first_rows: Column, downloads: bool = True) -> Column:
+    """Requests of a new crawl: each page of the listing, and for each result its page and its file. An unknown number of results counts as the first page's."""
+    return pages + 2 * F.coalesce(results, first_rows) if downloads else pages
 
 
 def resume_lines(runs: DataFrame) -> DataFrame:
-    """What going on with a run has before it, in words."""
+    """What going on with a run has before it: whether nothing is left, and the lines that say how far metadata and downloads are."""
     n = lambda c: F.format_number(F.col(c), 0)
-    todo = F.col("meta_pending") + F.col("download_pending") + F.col("download_error")
-    line = F.concat(n("download_done"), F.lit(" of "), n("total"), F.lit(" done, "), F.format_number(todo, 0), F.lit(" requests to go"))
-    return runs.select("run", todo.alias("requests"), line.alias("line"))
+    some = lambda c, words: F.when(F.col(c) > 0, F.concat(n(c), F.lit(words)))
+
+    def line(head: str, done: str, of: str, words: str, extras: list[Column]) -> Column:
+        told = F.array_join(F.array_compact(F.array(*extras)), ", ")
+        return F.concat(F.lit(head), n(done), F.lit("/"), n(of), F.lit(words), F.when(told != "", F.concat(F.lit(" ("), told, F.lit(")"))).otherwise(""), F.lit("."))
+
+    metadata = line("Metadata:  ", "meta_ok", "total", " resolved", [some("meta_pending", " to fetch"), some("meta_error", " skipped")])
+    downloads = line("Downloads: ", "download_done", "meta_ok", " PDFs done", [some("download_error", " to retry")])
+    nothing = (F.col("meta_pending") == 0) & (F.col("download_done") >= F.col("meta_ok"))
+    return runs.select("run", nothing.alias("complete"), F.when(nothing, F.array(F.lit("Nothing left to do: this run is complete."))).otherwise(F.array(metadata, downloads)).alias("lines"))
 
 
 def status(spark: SparkSession, root: str, run: str) -> dict:

@@ -35,8 +35,8 @@ def test_merge_equals_a_plain_restatement(spark):
 def test_revisions(spark):
     chain = [(0, 1, k, s) for k, s in enumerate("ABABC")] + [(1, 9, 0, "A"), (1, 9, 1, "B"), (1, 9, 2, "B")]
     rows = spark.createDataFrame([(o, r, f"t{k}", k, "i", s) for o, r, k, s in chain], "run_ord int, record_id int, fetched_at string, id int, ident string, sha256 string")
-    got = merge.revisions(rows, ["run_ord", "record_id"], ["fetched_at", "id"], ["ident"], "sha256", ["fetched_at"])
-    assert sorted((r.old_sha, r.new_sha, r.fetched_at) for r in got.collect()) == [("A", "B", "t1"), ("B", "A", "t2"), ("B", "B", "t2"), ("B", "C", "t4")]
+    got = merge.revisions(rows, ["run_ord", "record_id"], ["fetched_at", "id"], ["ident"], "sha256", ["fetched_at"], ["fetched_at"])
+    assert sorted((r.old_sha, r.new_sha, r.new_fetched_at) for r in got.collect()) == [("A", "B", "t1"), ("B", "A", "t2"), ("B", "B", "t2"), ("B", "C", "t4")]
 
 
 def plain_names(names):

@@ -75,7 +75,7 @@ def test_export(spark, root, tmp_path):
 def test_corpus(spark, root, tmp_path):
     out = f"{tmp_path}/bag"
     got = publish.corpus(spark, root, out, ["parquet"], archive_as=".TGZ")
-    assert (got["record_count"], got["run_count"], got["conflicts"], got["revisions"], got["missing_files"], got["unverified_versions"]) == (2, 2, 1, 1, [], [])
+    assert (got["record_count"], got["run_count"], got["conflicts"], got["revisions"], got["missing_files"], got["unverified_versions"]) == (2, 2, 1, 1, 0, 0)
     names = sorted(r.filename for r in spark.read.parquet(f"{out}/data/documents.parquet").collect())
     assert names == ["a.pdf", "a__2.pdf"]
     check = subprocess.run(["sha256sum", "-c", "manifest-sha256.txt"], cwd=out, capture_output=True, text=True)
@@ -92,7 +92,7 @@ def test_corpus(spark, root, tmp_path):
     with open(next(iter(__import__("glob").glob(f"{root}/20260201T000000Z__a/pdfs/versions/*.pdf"))), "wb") as f:
         f.write(b"damaged")
     again = publish.corpus(spark, root, out, ["csv"])
-    assert again["missing_files"] == ["a.pdf"] and len(again["unverified_versions"]) == 1 and not os.listdir(f"{out}/data/versions")
+    assert again["missing_files"] == 1 and open(f"{out}/data/missing-files.txt").read() == "a.pdf\n" and again["unverified_versions"] == 1 and not os.listdir(f"{out}/data/versions")
 
 
 def test_record_without_uuid_keeps_what_is_nested(spark):
