@@ -6,7 +6,7 @@ A document is the mean of its words' and pairs' vectors, a softmax layer over th
 are trained by stochastic gradient descent in numpy, on a bounded, class-balanced sample of labelled documents.
 Since the output is linear before the softmax, scoring needs a table of class logits for each bucket and no more.
 
-Null and empty texts have no words and get the score of the bias alone. Rows without a label take no part in
+Texts are scored whole, however long, a few at a time. Null and empty texts have no words and get the score of the bias alone. Rows without a label take no part in
 training; without two classes to learn from, every score is the share of label 1 (0.5 without any). Repeated rows
 are scored each for itself. Columns of the documents may have any names; one named as the result column is replaced by it.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliary.llm.common import fresh, portions, tidy
+from foliary.llm.common import Scratch, fresh, portions, tidy
 
 CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -155,13 +155,14 @@ class Scorer:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, keep, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, buckets: int = 1 << 17,
+    docs: DataFrame, labels: DataFrame, keep, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_bytes: int = 64 << 20, buckets: int = 1 << 17,
     dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Learns from about max_docs labelled rows of docs (half of each class where there are so many) that `keep` admits.
 
     The sample is drawn by a hash of the id, at a rate that the counts of the classes fix, so it is the same each time.
-    A document with several labels takes its largest. Sampled texts are learned from whole.
+    A document with several labels takes its largest. Sampled texts are learned from whole. As they meet on the driver, documents are taken
+    in the order of a digest while their texts have at most max_bytes in all, and those of more than a 64th of that are passed over.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.where(keep(F.col("_id")))
@@ -174,7 +175,16 @@ def fit(
     chosen = known.where(draw < share * 1_000_000)
     # what no class would draw is left out before the texts are moved
     drawn = docs.select(F.col(id_col).cast(known.schema["_id"].dataType).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(draw < max(rates.values(), default=0.0) * 1_000_000)
-    rows = drawn.join(F.broadcast(chosen), "_id").select("_id", "_y", "_t").collect()
+    text = F.coalesce("_t", F.lit(""))
+    sample = drawn.join(F.broadcast(chosen), "_id").select("_id", "_y", "_t", F.octet_length(text).alias("_n"), F.sha2(F.concat_ws(" ", F.lit(seed), "_id", text), 256).alias("_at"))
+    sample = Scratch(docs.sparkSession, "quality").stage(sample.where(F.col("_n") <= max_bytes // 64), "sample")
+    held, last = 0, ""
+    for r in sorted(sample.select("_at", "_n").collect()):  # a digest and a length of each document
+        held += r["_n"]
+        if held > max_bytes:
+            break
+        last = r["_at"]
+    rows = sample.where(F.col("_at") <= last).select("_id", "_y", "_t").collect()
     rows.sort(key=lambda r: (r["_id"], r["_t"] or ""))
     return train([(r["_t"], r["_y"]) for r in rows], buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed)
 

@@ -144,6 +144,18 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     assert [(words(t), y) for t, y in seen] == [(words(texts.get(i)), i % 2) for i in range(21)]
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 500 if i else "w " * 60_000) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda samples, **options: seen.append(samples))
+    for bound in (1 << 20, 63_999, 0):
+        quality.fit(docs, labels, lambda c: F.lit(True), max_bytes=bound)
+    quality.fit(docs, labels, lambda c: F.lit(True), max_bytes=64_000)
+    assert len(seen.pop()) == 39
+    assert [len(x) for x in seen] == [39, 0, 0]  # the first is over a 64th of any bound; the others have 1000 bytes, a 64th of 64,000
+
+
 def test_quality_query(spark):
     from foliary.llm import queries
 

@@ -91,3 +91,33 @@ def test_very_long_white_space(spark):
     want = len(Tokenizer.from_file(FILE).encode(" " * 1_000_000, add_special_tokens=False).ids) + 1
     got = packing.pack(frame, FILE, ranks_path=RANKS).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in got} == {1: want, 2: len(Tokenizer.from_file(FILE).encode("after").ids) + 1}
+
+
+def test_query_on_a_whole_table(spark):
+    """Each document's ids by the named tokenizer file lie in its pieces once; sequences hold at most 1024, without gaps."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from foliary.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = sorted(queries.op10_packing(spark, path).collect(), key=lambda r: (r.doc_id, r.start))
+    done, sequences = dict.fromkeys(ids, 0), {}
+    for r in rows:
+        assert r.start == done[r.doc_id] and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
+        done[r.doc_id] += r.length
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in piece))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert done == {d: len(x) for d, x in ids.items()}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= sum(map(len, ids.values())) / 1024 * 1.05 + 1
