@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliary import files, publish, schema, store
+from foliary import files, publish, schema, store, tables
 from foliary.functions import dates, links, names
 from foliary.operators import crawl, merge, progress, versions
 from foliary.plans.archive import SQL, query, read
@@ -410,6 +410,23 @@ def store_files(spark, d):
     return there.where("not old").join(kept, "sha256", "left").select(c("name").alias("filename"), "sha256", "length", F.coalesce("superseded", lit(False)).alias("superseded"))
 
 
+@query("""SELECT o_orderkey AS record_id, md5(o_orderpriority) AS sha256, '2024-01-01' AS fetched_at, CASE WHEN o_orderkey % 10 = 1 THEN '2024-02-01' END AS superseded_at FROM orders
+UNION ALL SELECT o_orderkey, 'a', '2024-02-01', CASE WHEN o_orderkey % 20 = 1 THEN '2024-03-01' END FROM orders WHERE o_orderkey % 10 = 1
+UNION ALL SELECT o_orderkey, 'b', '2024-03-01', NULL FROM orders WHERE o_orderkey % 20 = 1""")
+def version_log(spark, d):
+    """A log that stays: first versions of all orders, entered twice, and two rounds of changes."""
+    log = tables.version_log(spark, Scratch(spark, "log").path("versions"), 16)
+    orders = read(spark, d, "orders")
+    first = orders.select(c("o_orderkey").alias("id"), F.md5("o_orderpriority").alias("sha256"), lit("done").alias("download_status"), lit("2024-01-01").alias("pdf_retrieved_at"))
+    records = schema.conform(first, schema.RECORD)
+    tables.record_first(log, records)
+    tables.record_first(log, records)
+    changed = lambda rows, sha: rows.select(c("o_orderkey").alias("record_id"), lit(sha).alias("sha256"), lit(None).cast("string").alias("old_sha"))
+    tables.supersede(log, changed(orders.where("o_orderkey % 10 = 1"), "a"), lit("2024-02-01"))
+    tables.supersede(log, changed(orders.where("o_orderkey % 20 = 1"), "b"), lit("2024-03-01"))
+    return log.read().select("record_id", "sha256", "fetched_at", "superseded_at")
+
+
 _PENDING = "SELECT *, o_orderkey % 8 AS m FROM orders WHERE o_orderstatus = 'P'"
 
 

@@ -35,7 +35,7 @@ def records(spark: SparkSession, root: str, runs: list[str] | None = None) -> Da
     if missing := [p for p in paths if not files.exists(spark, p)]:
         raise FileNotFoundError(missing[0])
     if not paths:
-        return spark.createDataFrame([], schema.RECORD.add("run", "string").add("run_ord", "int"))
+        return spark.createDataFrame([], schema.RECORD).withColumns({"run": F.lit("").cast("string"), "run_ord": F.lit(0)})
     return _named(spark.read.schema(schema.RECORD).parquet(*paths), chosen)
 
 
