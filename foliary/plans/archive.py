@@ -127,7 +127,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY user_id, old_sha, new_sha ORDER
 
 
 def _revisions(spark, d):
-    return merge.revisions(read(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], ["user_id"], "event_type", ["event_id"])
+    return merge.revisions(read(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], ["user_id"], "event_type", [], ["event_id"]).withColumnRenamed("new_event_id", "event_id")
 
 
 @query(_REV + "SELECT user_id, old_sha, new_sha, event_id FROM f WHERE n = 1")
