@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliary.operators.scans import Running, running
+
 
 def first_of(rows: DataFrame, key: str, order: list) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -79,8 +81,7 @@ def complete(counts: DataFrame) -> DataFrame:
 
 def listing_verdicts(passes: DataFrame, run: str, order: str, covered: str, available: str) -> DataFrame:
     """Each pass's coverage so far, and whether it falls short of the number of pages known today."""
-    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = passes.withColumn("pages_covered", F.max(covered).over(so_far)).withColumn("pages_known", F.last(available, ignorenulls=True).over(so_far))
+    out = running(passes, [run], [order], {"pages_covered": Running("max", F.col(covered)), "pages_known": Running("last", F.col(available))})
     return out.withColumn("truncated", F.coalesce(F.col("pages_covered") < F.col("pages_known"), F.lit(False)))
 
 

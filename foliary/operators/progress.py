@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliary.operators.scans import Running, previous, running
+
 # What counts as an outage, the waits between probes, when to give up, when the observed pace counts.
 OUTAGE_AFTER, PROBE_WAITS, GIVE_UP_SECONDS, BLEND_AFTER, MILESTONE = 3, (60, 120, 300), 3600, 20, 500
 
 
-def outages(rows: DataFrame, by: list[str], order: list, failed: Column) -> DataFrame:
+def outages(rows: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
     """Runs of consecutive failures of at least OUTAGE_AFTER, and the pauses they lead to: the tally starts anew after each."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = rows.withColumn("_bad", failed).withColumn("island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
+    bad = F.coalesce(failed, F.lit(False))
+    marked = running(rows.withColumn("_bad", bad).select(*by, *order, "_bad"), by, order, {"island": Running("sum", F.when(F.col("_bad"), 0).otherwise(1))})
     runs = marked.where("_bad").groupBy(*by, "island").agg(F.count("*").alias("failures"))
     return runs.where(F.col("failures") >= OUTAGE_AFTER).withColumn("pauses", F.floor(F.col("failures") / OUTAGE_AFTER))
 
@@ -128,14 +130,13 @@ def fold(events: DataFrame, run: str, order: str) -> DataFrame:
 
 def spacing(requests: DataFrame, by: list[str], at: str, floor: float) -> DataFrame:
     """Requests that came sooner after the one before than a rate gate of `floor` seconds lets through; the first is free."""
-    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy(at))
-    return requests.withColumn("gap", gap).where(F.col("gap") < floor)
+    out = running(requests, by, [at], {"_before": previous(F.col(at))})
+    return out.withColumn("gap", F.col(at) - F.col("_before.value")).where(F.col("gap") < floor).drop("_before")
 
 
-def milestones(rows: DataFrame, by: list[str], order: list, counted: Column, every: int = MILESTONE) -> DataFrame:
+def milestones(rows: DataFrame, by: list[str], order: list[str], counted: Column, every: int = MILESTONE) -> DataFrame:
     """Rows at which the running count reaches another multiple of `every`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = rows.withColumn("_c", counted).withColumn("reached", F.sum(F.when(F.col("_c"), 1).otherwise(0)).over(w))
+    out = running(rows.withColumn("_c", counted), by, order, {"reached": Running("sum", F.when(F.col("_c"), 1).otherwise(0))})
     return out.where(F.col("_c") & (F.col("reached") % every == 0)).drop("_c")
 
 
@@ -166,13 +167,11 @@ def throttled(rows: DataFrame, by: list[str], order: str, seconds: str, every: i
 
 def order_faults(events: DataFrame, run: str, order: str) -> DataFrame:
     """Events that break the protocol: an item outside a phase, or a finish or request without its start."""
-    w = Window.partitionBy(run).orderBy(order)
     kind = F.col("event_type")
-    running = lambda up, down: F.sum(F.when(kind == up, 1).when(kind == down, -1).otherwise(0)).over(w)
-    open_phase = running("PhaseStarted", "PhaseFinished")
-    started = F.last(F.when(kind.isin("ItemStarted", "ItemFinished", "PhaseStarted"), kind), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    open_phases = F.when(kind == "PhaseStarted", 1).when(kind == "PhaseFinished", -1).otherwise(0)
     of_item = kind.isin("ItemStarted", "ItemFinished", "RequestStarted")
-    marked = events.withColumn("_p", open_phase).withColumn("_s", started)
+    opening = F.when(kind.isin("ItemStarted", "ItemFinished", "PhaseStarted"), kind)
+    marked = running(events, [run], [order], {"_p": Running("sum", open_phases), "_s": Running("last", opening, before=True)})
     fault = F.when(of_item & (F.col("_p") < 1), "outside a phase").when((kind == "ItemFinished") & (F.coalesce("_s", F.lit("")) != "ItemStarted"), "finish without start")
     return marked.withColumn("fault", fault).where("fault is not null").drop("_p", "_s")
 
@@ -217,6 +216,5 @@ def final_elapsed(event_seconds: Column, model_seconds: Column) -> Column:
 
 def done_at(rows: DataFrame, by: list[str], order: str, now: str, left: str, outage: str) -> DataFrame:
     """When the run will be done, frozen at its last value while an outage is on (paused or probing)."""
-    w = Window.partitionBy(*by).orderBy(order)
     fresh = F.when(~F.coalesce(F.col(outage), F.lit("")).isin("paused", "probing"), F.col(now) + F.col(left))
-    return rows.withColumn("done_at", F.last(fresh, ignorenulls=True).over(w))
+    return running(rows, by, [order], {"done_at": Running("last", fresh)})
