@@ -17,7 +17,7 @@ from foliary.operators import crawl, merge, progress, versions
 from foliary.plans.archive import SQL, query, read
 from foliary.sources import markup, runs
 from foliary.staging import Scratch
-from foliary.streaming import events
+from foliary.streaming import events, ordered
 
 c, lit = F.col, F.lit
 RUNS = ["20240101T000000Z__a", "20240201T000000Z__b", "20240301T000000Z__b-a"]
@@ -717,3 +717,46 @@ def stream_ingest(spark, d):
         events.ingest_available(spark.readStream.schema(rows.schema).parquet(scratch.path("in")), "o_custkey", scratch.path("out"), scratch.path("mark"))
     return spark.read.parquet(scratch.path("out")).select("o_custkey")
 
+
+def _shuffled(spark, scratch: Scratch, rows: DataFrame, late: Column, make) -> DataFrame:
+    """What a stream gives whose rows (with `at`) come in three batches, in no order of time, before one row that ends all waits."""
+    end = rows.limit(1).select(*[lit("end").alias(x) if x == "run" else lit("2100-01-01").cast("timestamp").alias(x) if x == "at" else x for x in rows.columns])
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n in range(4):
+            (rows.where(late == n) if n < 3 else end).write.mode("append").parquet(scratch.path(f"in/n={n}"))
+            live = make(spark.readStream.schema(rows.schema).parquet(scratch.path("in/*")))
+            live.writeStream.option("checkpointLocation", scratch.path("mark")).option("path", scratch.path("out")).format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(live.schema).parquet(scratch.path("out")).where(~c("run").eqNullSafe(lit("end")))
+
+
+def _of_users(spark, d, *more: str) -> DataFrame:
+    return read(spark, d, "events").selectExpr("CAST(user_id AS STRING) AS run", "CAST(ts AS TIMESTAMP) AS at", "event_id", *more)
+
+
+@query(_THROTTLE.replace("SELECT user_id, event_id FROM w", "SELECT CAST(user_id AS VARCHAR) AS run, event_id FROM w"))
+def stream_throttle(spark, d):
+    """throttle_lines of a stream whose batches overlap in time."""
+    rows = _of_users(spark, d, "event_id AS id")
+    return _shuffled(spark, Scratch(spark, "throttle"), rows, c("event_id") % 3, lambda s: ordered.throttled(s, "run", "at", "event_id", ["id"], 10, 86400.0, "1000 days")).select("run", c("id").alias("event_id"))
+
+
+@query(_FOLDED.replace(", CAST(max(seq) AS DOUBLE) AS elapsed", ", CAST(max(seq) AS BIGINT) AS seq"))
+def stream_states_shuffled(spark, d):
+    """stream_states of events that come out of order between batches."""
+    scratch, began = Scratch(spark, "shuffled"), F.timestamp_seconds(c("mono") + 1_000_000)
+    rows = scratch.stage(_event_rows(spark, d).withColumns({"at": began, "late": c("seq") * 7 % 3}), "events")
+    out = _shuffled(spark, scratch, rows, c("late"), lambda s: ordered.ordered_fold(s, "at", 5.0, 2.0, "1000 days"))
+    shown = [*_SHOWN, "seq"]
+    return out.groupBy("run").agg(F.max_by(F.struct(*shown), "seq").alias("s")).select("s.*")
+
+
+@query()
+def stream_breaker(spark, d):
+    """What a live breaker says of each user's events: errors are failures, views are items done, clicks find the site up, purchases down."""
+    rows = _of_users(spark, d, "coalesce(map('error', 'failed', 'view', 'ok', 'click', 'up', 'purchase', 'down')[event_type], 'other') AS outcome")
+    return _shuffled(spark, Scratch(spark, "breaker"), rows, c("event_id") % 3, lambda s: ordered.breaker(s, "run", "at", "event_id", "1000 days"))

@@ -146,7 +146,7 @@ class Breaker(Machine):
     """Pauses a run after OUTAGE_AFTER failures in a row, probes after each of PROBE_WAITS and gives up after GIVE_UP_SECONDS.
 
     Rows say what came of an item ("ok" or "failed") or what a look at the site found ("up" or "down"); others change nothing. A
-    probe finds what the last row since the pause said, and a site of which nothing is known is down. Told are: deferred (a failure that
+    probe finds what the last row since the probe before it said, and a site of which nothing is known is down. Told are: deferred (a failure that
     pauses nothing), paused, probing (seconds down and to the next probe), recovered and gave_up. A run that gave up says no more.
     """
 

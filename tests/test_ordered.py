@@ -80,3 +80,43 @@ def test_live_throttle_and_fold_equal_the_batch(rocks, tmp_path):
     last = through(rocks, tmp_path / "f", make, [mixed[:5], mixed[5:9], mixed[9:]], schema)[-1]
     want = progress.fold(rocks.createDataFrame(story, schema).withColumn("mono", F.col("secs").cast("double")), "run", "seq").first()
     assert {c: last[c] for c in want.asDict() if c in last} == {c: v for c, v in want.asDict().items() if c in last} and last.ok == 2 and last.outage_state == "paused"
+
+
+def told_plainly(rows):
+    """What the breaker must say of one run, read item by item with the site's answer looked up at each probe."""
+    out, k, failures, rows = [], 0, 0, sorted(rows)
+    while k < len(rows):
+        at, order, outcome = rows[k]
+        k += 1
+        failures = failures + 1 if outcome == "failed" else 0 if outcome == "ok" else failures
+        if outcome == "failed" and failures < 3:
+            out.append((at, "deferred", None))
+        if outcome != "failed" or failures < 3:
+            continue
+        out.append((at, "paused", 0))
+        waited, waits = 0, [60, 120] + [300] * 11 + [120]
+        for wait in waits:
+            out.append((at + waited, "probing", waited))
+            answers = [o for t, _, o in rows[k:] if t <= at + waited + wait and o != "other"]
+            k += len([1 for t, _, _ in rows[k:] if t <= at + waited + wait])
+            waited += wait
+            if answers and answers[-1] in ("ok", "up"):
+                out.append((at + waited, "recovered", waited))
+                failures = 0
+                break
+        else:
+            return [*out, (at + waited, "gave_up", waited)]
+    return out
+
+
+def test_breaker_query_equals_a_plain_reading(rocks):
+    from foliary.plans import archive, catalog
+
+    assert catalog
+    sf = "/root/testdata/sf0.001"
+    kinds, of = {"error": "failed", "view": "ok", "click": "up", "purchase": "down"}, {}
+    for r in rocks.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "event_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) AS us").collect():
+        of.setdefault(str(r.user_id), []).append((r.us / 1e6, r.event_id, kinds.get(r.event_type, "other")))
+    want = sorted((u, round(at, 3), said, down) for u, rows in of.items() for at, said, down in told_plainly(rows))
+    got = sorted((r.run, round(r.us / 1e6, 3), r.told, r.down_seconds) for r in archive.QUERIES["stream_breaker"](rocks, sf).withColumn("us", F.unix_micros("at")).collect())
+    assert got and list(map(str, got)) == list(map(str, want))
