@@ -1,10 +1,11 @@
 """Personal data and secrets, replaced by keyed surrogates of the same type (operator 4); DataFrame functions only.
 
 Patterns find e-mail and IPv4 addresses, phone and card numbers (with a valid check digit), social security numbers, access
-keys, assigned secrets and persons: by title, by a listed first name, or by words that announce a name, initials between
-first name and surname included. Each finding gets a surrogate from a keyed hash of its normal form:
+keys, assigned secrets and persons: by title, by a listed first name (or the first part of a hyphenated one), or by words that announce
+a name, initials and particles ("de la") between first name and surname included. Each finding gets a surrogate from a keyed hash of its normal form:
 
-- numbers keep their separators and length, phones their country code, cards their first digit and a valid check digit;
+- numbers keep their separators and length, phones their country code (with separators or without), cards their first digit and a
+  valid check digit;
 - addresses keep their layout and top-level domain; keys and secrets keep prefix, alphabet and case of each character;
 - persons' first names are drawn by gender and script, surnames are built in the script, with the gender's ending.
 
@@ -40,7 +41,10 @@ FIRST_NAMES = {
 }
 SYLLABLES = {"latin": "ba ber bor cal dan del fer gar hol kes lan len mar mon nor pas rin ros sal tor val ver win zan".split(), "cyrillic": "бар вол гор дан жел зав кор лев мор нов пет рог сав тор фед чер".split(), "greek": "βασ γαλ δημ καρ λαμ μαν νικ παπ ρηγ σαβ τσι χρι".split()}
 ENDINGS = {("latin", "f"): "", ("latin", "m"): "", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("greek", "f"): "ου", ("greek", "m"): "ος"}
-TITLES = {"m": "Mr Mister Herr Señor Monsieur Господин Κύριος".split(), "f": "Mrs Ms Miss Frau Señora Madame Госпожа Κυρία".split()}
+TITLES = {"m": "Mr Mister Herr Señor Monsieur Господин Κύριος".split(), "f": "Mrs Ms Miss Frau Señora Madame Госпожа Κυρία".split(), "any": "Dr Doctor Prof Professor Доктор Профессор Δρ".split()}
+PARTICLES = ["de la", "de", "del", "della", "da", "di", "du", "van der", "van den", "van", "von", "zu", "bin", "ibn", "al"]
+# The calling codes of one and two digits; all others have three.
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 # Words after which a name is no person, and words that announce one.
 PLACES = "Street St Avenue Ave Road Rd Boulevard Square Lane Platz Straße Strasse School University College Airport Station Park Hospital Foundation Award Prize Church Bridge County".split()
@@ -48,6 +52,7 @@ CUES = ["[Mm]y name is", "[Ss]igned by", "[Nn]ame:", "[Cc]ontact:"]
 
 _WORD = r"\p{Lu}(?:\p{L}|['’-]\p{L}{2})++"
 _INITIALS = r"(?:\p{Lu}\.? ){0,2}"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) )?"
 _LAST = rf"(?!(?:{'|'.join(PLACES)})\b){_WORD}(?! (?:{'|'.join(PLACES)})\b)"
 
 
@@ -60,22 +65,23 @@ def _one_of(words) -> str:
 
 
 _LISTED = [n for names in FIRST_NAMES.values() for n in names]
-_NAME, _TITLE = _one_of(_LISTED + [n.upper() for n in _LISTED]), _one_of(TITLES["m"] + TITLES["f"])
+_TITLES = [t for titles in TITLES.values() for t in titles]
+_NAME, _TITLE = _one_of(_LISTED + [n.upper() for n in _LISTED]) + r"(?:-\p{Lu}\p{L}++)*+", _one_of(_TITLES) + r"\b"
 _CUE = rf"(?=\p{{Lu}})(?<=\b(?:{'|'.join(CUES)}) )"
 _ASSIGNED = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}",
-    "key": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
+    "key": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-(?:proj-)?[A-Za-z0-9]{20,}\b",
     "secret": rf"\b(?=[pstaPSTA]){_ASSIGNED}\b\"?\s*[=:]\s*[\"']?[^\s\"']{{6,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?:{_TITLE}\.? (?:{_WORD} {_INITIALS})?{_LAST}|{_NAME} {_INITIALS}{_LAST}|{_CUE}{_WORD} {_INITIALS}{_LAST})",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\+\d{1,3}[ .-]\d(?:[ .-]\d{3,4}){2}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "person": rf"(?:{_TITLE}\.? (?:{_WORD} {_INITIALS})?{_PARTICLE}{_LAST}|{_NAME} {_INITIALS}{_PARTICLE}{_LAST}|{_CUE}{_WORD} {_INITIALS}{_PARTICLE}{_LAST})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LEAD = rf"^{_ASSIGNED}\"?\s*[=:]\s*[\"']?"
-_HEAD = _one_of(_LISTED + [n.upper() for n in _LISTED] + TITLES["m"] + TITLES["f"]) + r"\.? |(?:" + "|".join(CUES) + r") \p{Lu}"
+_HEAD = _one_of(_LISTED + [n.upper() for n in _LISTED] + _TITLES) + r"(?:\.? |-\p{Lu})|(?:" + "|".join(CUES) + r") \p{Lu}"
 
 
 def _quick(text: Column) -> Column:
@@ -110,22 +116,23 @@ def _one(lead: Column, body: Column, kind: Column, norm: Column) -> Column:
 
 
 def _person(raw: Column, key: str) -> Column:
-    """Array of the parts of a person's mention: first name, if there is one, and surname. Initials become others."""
+    """Array of the parts of a person's mention: first name, if there is one, and surname. Initials become others, particles stay."""
     title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.? ", 0)
     name = raw.substr(F.length(title) + 1, F.length(raw))
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    first = F.when(name.contains(" "), F.substring_index(name, " ", 1)).otherwise("")
+    particle = F.regexp_extract(name, f"^{_PARTICLE}", 0)
+    first = F.when(name.contains(" ") & (F.length(particle) == 0), F.substring_index(name, " ", 1)).otherwise("")
     last = F.substring_index(name, " ", -1)
     middle = F.filter(F.split(name.substr(F.length(first) + 1, F.length(name) - F.length(first) - F.length(last)), " "), lambda x: x != "")
     women = [n for (_, g), names in FIRST_NAMES.items() if g == "f" for n in names]
-    gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})"), "f").when(F.length(title) > 0, "m").when(F.initcap(first).isin(women), "f").otherwise("m")
+    gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})"), "f").when(title.rlike(rf"^(?:{'|'.join(TITLES['m'])})\b"), "m").when(F.initcap(F.substring_index(first, "-", 1)).isin(women), "f").otherwise("m")
     letter = lambda x: F.char(F.lit(65) + F.conv(F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("initial"), x, F.lower(last)), 256), 1, 2), 16, 10).cast("int") % 26)
-    initials = F.array_join(F.transform(middle, lambda x: F.concat(letter(x), F.substring(x, 2, 1), F.lit(" "))), "")
+    initials = F.array_join(F.transform(middle, lambda x: F.concat(F.when(x == F.lower(x), x).otherwise(F.concat(letter(x), F.substring(x, 2, 1))), F.lit(" "))), "")
     # a surname with the other gender's ending is the same family's
     bare = F.lower(F.when(script == "cyrillic", F.regexp_replace(last, "(?i)(ов|ова|ев|ева|ин|ина)$", "")).otherwise(last))
     surname = lambda lead: _one(lead, last, F.concat_ws(":", F.lit("last"), gender, script), bare)
     both = F.array(_one(title, first, F.concat_ws(":", F.lit("first"), gender, script), F.lower(first)), surname(F.concat(F.lit(" "), initials)))
-    return F.when(F.length(first) > 0, both).otherwise(F.array(surname(title)))
+    return F.when(F.length(first) > 0, both).otherwise(F.array(surname(F.concat(title, particle))))
 
 
 def _parts(raw: Column, kind: Column, names: Column, key: str) -> Column:
@@ -133,7 +140,9 @@ def _parts(raw: Column, kind: Column, names: Column, key: str) -> Column:
     none, null = F.lit(""), F.lit(None).cast("string")
     lead = F.regexp_extract(raw, _LEAD, 0)
     value = raw.substr(F.length(lead) + 1, F.length(raw))
-    code = F.length(F.regexp_extract(raw, r"^\+(\d{1,3})[ (.-]", 1))
+    # numbers without a code are found in the layouts of code 1 alone, and are the same numbers as with it
+    number = F.concat(F.when(raw.startswith("+"), "").otherwise("1"), _digits(raw))
+    code = F.length(F.regexp_extract(number, rf"^(?:{'|'.join(CALLING_CODES)}|\d{{3}})", 0))
     known = lambda word: F.filter(names, lambda n: F.lower(n["raw"]) == F.lower(word))
     again = F.transform(F.split(raw, " "), lambda word, i: _let(F.get(known(word), F.lit(0)), lambda n: _one(F.when(i > 0, " ").otherwise(""), word, n["kind"], n["norm"])))
     return (
@@ -141,7 +150,7 @@ def _parts(raw: Column, kind: Column, names: Column, key: str) -> Column:
         .when(kind == "mention", again)
         .when(kind == "secret", F.array(_one(lead, value, kind, value)))
         .when(kind == "email", F.array(_one(none, raw, kind, F.lower(raw))))
-        .when(kind == "phone", F.array(_one(none, raw, F.concat(F.lit("phone:"), code.cast("string")), _digits(raw))))
+        .when(kind == "phone", F.array(_one(none, raw, F.concat(F.lit("phone:"), code.cast("string")), number)))
         .when((kind == "card") & (_luhn(_digits(raw)) != 0), F.array(_one(raw, none, null, null)))
         .when(kind.isin("card", "ssn"), F.array(_one(none, raw, kind, _digits(raw))))
         .otherwise(F.array(_one(none, raw, kind, raw)))
@@ -205,7 +214,7 @@ def _pick(items: list[str], stream: Column, i: int) -> Column:
 def surrogate(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
     """The surrogate of a normal form, in normal form too (names in title case), from its stream s."""
     size = F.length(norm)
-    keep = F.when(kind.startswith("phone:"), F.substring_index(kind, ":", -1).cast("int")).when(kind == "card", 1).when((kind == "key") & norm.startswith("AKIA"), 4).when((kind == "key") & norm.startswith("gh"), 4).when(kind == "key", 3).otherwise(0)
+    keep = F.when(kind.startswith("phone:"), F.substring_index(kind, ":", -1).cast("int")).when(kind == "card", 1).when((kind == "key") & norm.startswith("AKIA"), 4).when((kind == "key") & norm.startswith("gh"), 4).when((kind == "key") & norm.startswith("sk-proj-"), 8).when(kind == "key", 3).otherwise(0)
     upto = F.when(kind == "email", size - F.length(F.substring_index(norm, ".", -1))).otherwise(size)
     longer = F.when(kind.isin("secret", "email") & (attempt > 3), F.lower(F.substring(F.reverse(s), F.lit(1), F.least(attempt - 3, F.lit(32))))).otherwise("")
     plain = F.concat(longer, _scrambled(norm, s, keep, upto))
@@ -214,7 +223,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
     ip = F.concat_ws(".", (F.pmod(_byte(s, 0), F.lit(223)) + 1).cast("string"), octet(1), octet(2), octet(3))
     names = {}
     for (script, gender), firsts in FIRST_NAMES.items():
-        f = F.concat_ws("-", *[F.when(attempt >= 2 * k, _pick(firsts, s, 2 * k)) for k in range(6)])
+        f = F.concat_ws("-", *[F.when((attempt >= 2 * k) | (F.lit(k == 1) & norm.contains("-")), _pick(firsts, s, 2 * k)) for k in range(6)])
         syllables = F.concat(*[_pick(SYLLABLES[script], s, 2 * k) for k in range(2)], *[F.when(attempt >= k - 1, _pick(SYLLABLES[script], s, 2 * k)).otherwise("") for k in range(2, 8)])
         names[f"first:{gender}:{script}"], names[f"last:{gender}:{script}"] = f, F.concat(F.initcap(syllables), F.lit(ENDINGS[script, gender]))
     out = F.when(kind == "card", card).when(kind == "ip", ip)
@@ -225,7 +234,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
 
 def rendered(raw: Column, kind: Column, sur: Column) -> Column:
     """The surrogate in the layout of one mention."""
-    digits = lambda i: F.length(_digits(raw.substr(F.lit(1), i)))
+    digits = lambda i: F.length(sur) - F.length(_digits(raw)) + F.length(_digits(raw.substr(F.lit(1), i)))
     number = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), sur.substr((digits(i) + 1).cast("int"), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(raw, ""), lambda c, i: _let(sur.substr((i + 1).cast("int"), F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
     shout = F.when(raw == F.upper(raw), F.upper(sur)).when(raw == F.lower(raw), F.lower(sur)).otherwise(sur)
@@ -240,27 +249,25 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch, attempts: int = 20
     group = F.when(F.col("kind").startswith("phone:"), "phone").when(F.col("kind").startswith("last:"), F.concat(F.lit("last:"), F.substring_index("kind", ":", -1))).otherwise(F.col("kind"))
 
     made = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("stream"))
-
-    def tried(rows: DataFrame, label: str) -> DataFrame:
-        rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-        return scratch.stage(rows.withColumn("sur", made).drop("stream"), label)
-
-    now = tried(values.select("kind", "norm", group.alias("grp"), F.lit(0).alias("attempt")), "try-0")
-    for k in range(1, attempts):
+    all_of = values.select("kind", "norm", group.alias("grp"))
+    settled, pending = None, all_of
+    for k in range(attempts):
+        now = pending.withColumn("attempt", F.lit(k)).withColumn("stream", _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        now = scratch.stage(now.withColumn("sur", made).select("kind", "norm", "grp", "sur"), f"try-{k}")
         shared = now.groupBy("grp", "sur").agg(F.min("norm").alias("first"), F.max("norm").alias("final")).where("first <> final").select("grp", "sur", "first")
-        found = now.select("grp", F.lower("norm").alias("low")).distinct()
-        taken = now.join(found, (now.grp == found.grp) & (F.lower("sur") == found.low), "left_semi").select("grp", "norm")
-        again = now.join(shared, ["grp", "sur"]).where("norm <> first").select("grp", "norm").union(taken).distinct().withColumn("again", F.lit(True))
-        again = scratch.stage(again, f"again-{k}")
-        if again.isEmpty():
-            break
-        # both forms of a surname try again together
-        rest = now.join(again, ["grp", "norm"], "left").select("kind", "norm", "grp", F.when(F.col("again"), k).otherwise(F.col("attempt")).alias("attempt"))
-        now = tried(rest, f"try-{k}")
-        scratch.drop(f"try-{k - 1}", f"again-{k}")
-    else:
-        raise RuntimeError(f"surrogates still collide after {attempts} tries")
-    return now.select("kind", "norm", "sur")
+        lost = now.join(shared, ["grp", "sur"]).where("norm <> first").select("grp", "norm")
+        found = all_of.select(F.col("grp").alias("g"), F.lower("norm").alias("low")).distinct()
+        lost = lost.union(now.join(found, (F.col("grp") == F.col("g")) & (F.lower("sur") == F.col("low"))).select("grp", "norm"))
+        if settled is not None:
+            lost = lost.union(now.join(settled.select("grp", "sur"), ["grp", "sur"]).select("grp", "norm"))
+        # both forms of a surname try again together; what is settled is not written again
+        lost = scratch.stage(lost.distinct(), f"lost-{k}")
+        kept = now.join(lost, ["grp", "norm"], "left_anti").select("kind", "norm", "grp", "sur")
+        settled = kept if settled is None else settled.unionByName(kept)
+        if lost.isEmpty():
+            return settled.select("kind", "norm", "sur")
+        pending = now.join(lost, ["grp", "norm"], "left_semi").select("kind", "norm", "grp")
+    raise RuntimeError(f"surrogates still collide after {attempts} tries")
 
 
 def pseudonymize(docs: DataFrame, key: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", n_col: str = "_n_found", kinds_col: str = "_kinds") -> DataFrame:

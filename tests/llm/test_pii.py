@@ -111,3 +111,30 @@ def test_query_on_a_whole_table(spark):
     for d, t in docs.items():
         found = brute_findings(t or "")
         assert (got[d].text == t) == (not found) and not any(x in got[d].text for x in found)
+
+
+def test_one_number_has_one_surrogate_in_all_layouts(spark):
+    texts = ["+1 415-555-2671, +14155552671, (415) 555-2671 and 415-555-2671", "+49 30 1234567 or +49301234567", "+353 1 234 5678, +35312345678", "sk-proj-abcdefghij0123456789ABCD and sk-abcdefghij0123456789"]
+    got = [x[0] for x in run(spark, texts)]
+    a, b, c, d = (re.sub(r"\D", "", x) for x in re.fullmatch(r"(\+1 \d{3}-\d{3}-\d{4}), (\+\d{11}), (\(\d{3}\) \d{3}-\d{4}) and (\d{3}-\d{3}-\d{4})", got[0]).groups())
+    assert a == b == "1" + c == "1" + d != "14155552671"
+    x, y = (re.sub(r"\D", "", z) for z in re.fullmatch(r"(\+49 \d\d \d{7}) or (\+49\d{9})", got[1]).groups())
+    assert x == y != "49301234567"
+    x, y = (re.sub(r"\D", "", z) for z in re.fullmatch(r"(\+353 \d \d{3} \d{4}), (\+353\d{8})", got[2]).groups())
+    assert x == y != "35312345678"
+    assert re.fullmatch(r"sk-proj-[a-z]{10}\d{10}[A-Z]{4} and sk-[a-z]{10}\d{10}", got[3]) and "abcdefghij" not in got[3]
+
+
+def test_titles_hyphens_and_particles(spark):
+    texts = ["Dr. Jane Miller wrote. Ms. Miller and Jane agreed.", "Jean-Pierre Dupont, then Jean-Pierre", "Mary-Jane O'Neil", "Anna de la Cruz met Mr van Dyke; de la Cruz left", "Prof Ada Lovelace", "Drake Miller and Profit Road"]
+    got = [x[0] for x in run(spark, texts)]
+    first, last, again, too = re.fullmatch(r"Dr\. (\S+) (\w+) wrote\. Ms\. (\w+) and (\S+) agreed\.", got[0]).groups()
+    assert last == again != "Miller" and first == too != "Jane"
+    first, last, again = re.fullmatch(r"(\w+-\w+) (\w+), then (\w+-\w+)", got[1]).groups()
+    assert first == again and "Jean" not in first and last != "Dupont"
+    first, last = re.fullmatch(r"(\w+-\w+) (\S+)", got[2]).groups()
+    assert first.split("-")[0] in pii.FIRST_NAMES["latin", "f"] and first != "Mary-Jane" and last != "O'Neil"
+    first, last, dyke, again = re.fullmatch(r"(\w+) de la (\w+) met Mr van (\w+); de la (\w+) left", got[3]).groups()
+    assert first != "Anna" and last == again != "Cruz" and dyke != "Dyke"
+    assert re.fullmatch(r"Prof (\S+) (\w+)", got[4]) and "Ada" not in got[4] and "Lovelace" not in got[4]
+    assert got[5] == texts[5]
