@@ -9,11 +9,14 @@ A document is the set of its distinct word shingles; two link when their Jaccard
    counted over all of them, and the most frequent `ranked` of them are broadcast; all others come first, by hash.
 3. Classes that share a signature form coarse components. Of a signature of few classes, pairs count only if the parity
    bitmaps of their sets differ in no more bits than their sizes let the sets differ (a bound that drops no link), so
-   passages that few documents share do not chain them; of one of many classes, all hang on its least.
+   passages that few documents share do not chain them. Signatures of more classes are compared within a task, which passes on
+   a spanning forest of what the bitmaps leave; of one of very many classes, all hang on its least. The latter are joined
+   up first: what they hold together needs no comparison, so a large group of near copies is not paired with itself.
 4. A coarse component is dealt to blocks of bounded size. A task indexes the shingles of its sets and runs DivideSkip for
    each of them: of the overlap T that a link needs, L = T / (mu * log2(longest list) + 1) longest lists are set aside. The
    others are merged by a heap for sets that occur T - L times, and lists skip over what cannot; the long lists are probed by
-   binary search, and sets that reach the overlap their sizes need are linked. What earlier links already join is passed over. First each block meets itself and
+   binary search, and sets that reach the overlap their sizes need are linked. What earlier links already join is passed over, and so is,
+   before any list is read, what the sets' parity bitmaps rule out. First each block meets itself and
    the first block. Then only sets outside the component's largest part so far can have links that are missing: these
    meet all blocks. So a group of near copies, which the first block joins up, costs tasks in proportion to its size.
 5. Links of components of several blocks are joined up by connected components.
@@ -103,9 +106,9 @@ class Order:
         return h[np.argsort(place, kind="stable")[:n]]
 
 
-def parity(h: np.ndarray) -> bytes:
+def parity(h: np.ndarray, size: int | None = None) -> bytes:
     """Bit b is the parity of the shingles that fall on b; two sets differ in at least as many shingles as bits."""
-    size = 1 << max(6, int(len(h) - 1).bit_length()) if len(h) else 64
+    size = size or (1 << max(6, int(len(h) - 1).bit_length()) if len(h) else 64)
     bits = np.bincount((_mix(h + _M1) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -227,22 +230,30 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num
     keys = np.repeat(np.arange(len(vocab)), counts) * n_sets + postings
     _, first, same = np.unique(label, return_index=True, return_inverse=True)
     root = first[same]
+    width = 1 << min(13, max(6, int(sizes[-1]).bit_length()))
+    bits = np.stack([np.frombuffer(parity(s, width), np.uint64) for s in sets])
     for q in range(n_sets):
         n = int(sizes[q])
         if not n:
             continue
         least = -(-num * n // den)
+        # sets that come before, reach the size, are not joined to this one yet and do not differ in too many bits
+        may = np.flatnonzero((root[:q] != root[q]) & (sizes[:q] >= least) & ((side[q] > 0) | (side[:q] > 0)))
+        may = may[np.bitwise_count(bits[may] ^ bits[q]).sum(axis=1, dtype=np.int64) <= (den - num) * (n + sizes[may]) // (den + num)]
+        if not len(may):
+            continue
+        asked = np.zeros(n_sets, dtype=bool)
+        asked[may] = True
         lists = np.searchsorted(vocab, sets[q])
         ranked = lists[np.argsort(counts[lists], kind="stable")]
         need = -(-num * (n + least) // (den + num))
         n_long = min(need - 1, int(need / (mu * np.log2(max(2, counts[ranked[-1]])) + 1)))
         short, long = ranked[: n - n_long], ranked[n - n_long :]
-        # what the short lists hold of sets that come before, reach the size and are not joined to this one yet
+        # what the short lists hold of those
         length = counts[short]
         of = np.repeat(np.arange(len(short)), length)
         run = postings[np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + starts[short][of]]
-        open_ = (run < q) & (root[run] != root[q]) & (sizes[run] >= least) & ((side[q] > 0) | (side[run] > 0))
-        of, run = of[open_], run[open_]
+        of, run = of[asked[run]], run[asked[run]]
         if len(run) < need - n_long:
             continue
         for d, overlap in merge_skip([x.tolist() for x in np.split(run, np.flatnonzero(np.diff(of)) + 1)], need - n_long):
@@ -277,6 +288,54 @@ def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def _forest(h1: np.ndarray, home: np.ndarray, n: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of sets of different homes whose bitmaps, folded to the shortest one's length, do not rule out a link; no more than join them up."""
+    width = min(map(len, bits))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
+    folded = np.ascontiguousarray(folded).view(np.uint64)
+    _, root = np.unique(home, return_inverse=True)
+    found = []
+    step = max(1, (1 << 20) // folded.size)
+    for low in range(0, len(h1), step):
+        i = np.arange(low, min(low + step, len(h1)))
+        apart = np.bitwise_count(folded[i][:, None] ^ folded[None]).sum(axis=2, dtype=np.int64)
+        near = (apart <= (den - num) * (n[i][:, None] + n[None]) // (den + num)) & (root[i][:, None] != root[None])
+        for a, b in zip(*np.nonzero(near), strict=True):
+            if root[i[a]] != root[b]:
+                found.append((int(h1[i[a]]), int(h1[b])))
+                root[root == root[b]] = root[i[a]]
+    return found
+
+
+def _compared(met: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) within signatures; met has sig, h1 and home. Rows of a signature follow each other in one task, which holds one signature at a time."""
+    several = met.groupBy("sig").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("sig")
+    met = met.join(several, "sig")
+    bitmaps = bit_filter(bitmaps, F.col("h1"), met, "h1").groupBy("h1", "n").agg(F.min("bits").alias("bits"))
+    rows = met.join(bitmaps, "h1").select("sig", "h1", "home", "n", "bits").repartition("sig").sortWithinPartitions("sig")
+
+    @tidy
+    def run(batches):
+        sig, held = None, {}
+
+        def out():
+            edges = []
+            if len(held) > 1:
+                h1, home, n, bits = zip(*held.values(), strict=True)
+                edges = _forest(np.array(h1), np.array(home), np.array(n), list(bits), num, den)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != sig:
+                    yield out()
+                    sig, held = s, {}
+                held[row[0], row[2]] = row
+        yield out()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _linked(source: DataFrame, dealt: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Runs the tasks (root, bi, bj) of dealt: r and the links (a, b), by h1, of a spanning forest of each task's sets."""
     schema = pa.schema([("r", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -306,7 +365,7 @@ def _linked(source: DataFrame, dealt: DataFrame, size: int, num: int, den: int)
 
 
 def link(
-    docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 500, often: int = 3, ranked: int = 200_000, few: int = 12,
+    docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_shingles: int = 1_500_000, block_docs: int = 500, often: int = 3, ranked: int = 200_000, few: int = 12, many: int = 1000,
 ) -> DataFrame:
     """One row per row of docs: id, th (a hash of the text), n (shingles), grp (which no other component has) and component (the least id that links reach, its own included)."""
     source, lit0 = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t")), F.lit(0).cast("long")
@@ -316,12 +375,16 @@ def link(
     shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high").select("sig", "low", "c")
     shared = scratch.stage(shared, "shared")
     met = bit_filter(signed, F.col("sig"), shared, "sig").join(shared, "sig")
-    groups = met.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set("h1")).alias("m")).select("m").distinct()
-    couples = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    hung = components(met.where((F.col("c") > many) & (F.col("h1") != F.col("low"))).select(F.col("low").alias("a"), F.col("h1").alias("b")), scratch, "hung")
+    homes = hung.select(F.col("node").alias("h1"), F.col("root").alias("home"))
+    homed = met.where(F.col("c") <= many).select("sig", "c", "h1").join(homes, "h1", "left").select("sig", "c", "h1", F.coalesce("home", "h1").alias("home"))
+    groups = homed.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("h1", "home"))).alias("m")).select("m").distinct()
+    apart = lambda x: F.filter(F.slice("m", x + 2, F.size("m")), lambda y: y["home"] != F.col("m")[x]["home"])
+    couples = F.flatten(F.transform("m", lambda x, i: F.transform(apart(i), lambda y: F.struct(x["h1"].alias("a"), y["h1"].alias("b")))))
     pairs = scratch.stage(groups.select(F.explode(couples).alias("p")).select("p.*").distinct(), "pairs")
-    near = _plausible(pairs, sets.where("bits is not null").select("h1", "n", "bits"), num, den)
-    edges = met.where((F.col("c") > few) & (F.col("h1") != F.col("low"))).select(F.col("low").alias("a"), F.col("h1").alias("b")).distinct().union(near)
-    coarse = components(edges, scratch, "coarse")
+    bitmaps = sets.where("bits is not null").select("h1", "n", "bits")
+    near = _plausible(pairs, bitmaps, num, den).union(_compared(homed.where(F.col("c") > few).select("sig", "h1", "home").distinct(), bitmaps, num, den))
+    coarse = components(hung.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near), scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
     placed = scratch.stage(member.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("r"))), "placed")

@@ -132,3 +132,14 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = queries.op2_ngram_jaccard_join(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, got.collect())) == brute(rows, 3, 90, 100)
+
+
+def test_passages_that_many_share_do_not_chain(spark, monkeypatch):
+    """Documents that have but some shingles in common, each of them in all documents, are in no component together."""
+    monkeypatch.setattr(Scratch, "drop", lambda *_: None)
+    rows = [(i, " ".join(f"{' '.join(f'u{i}x{k}x{j}' for j in range(4))} p{k} q{k} r{k}" for k in range(10))) for i in range(40)]
+    rows += [(100 + i, f"{rows[0][1]} z{i}") for i in range(20)]
+    scratch = Scratch(spark, "t")
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), scratch, often=10**9)
+    assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 3, 90, 100)
+    assert spark.read.parquet(scratch.path("members")).count() == 21
