@@ -31,3 +31,13 @@ def test_upserts_keep_what_is_known(spark, tmp_path):
     tables.upsert_records(table, rows((1, "a", "ok"), (2, "a", "late"), (3, "b", "ok")))
     tables.upsert_records(table, rows((9, "a", "pending"), (4, "c", "pending")))
     assert sorted((r.id, r.pdf_url, r.meta_status) for r in table.read().collect()) == [(1, "a", "ok"), (3, "b", "ok"), (4, "c", "pending")]
+
+
+def test_no_join_of_versions_goes_through_the_driver(spark):
+    """Tables of few columns look small to the planner; they are not broadcast all the same."""
+    from foliary.operators import versions
+
+    records = schema.conform(spark.range(9).select("id", F.lit("s").alias("sha256"), F.lit("done").alias("download_status")), schema.RECORD)
+    history = versions.backfill(records, spark.createDataFrame([(1,)], "record_id long"))
+    after = versions.superseded(history, spark.createDataFrame([(7, "n", None)], "record_id long, sha256 string, old_sha string"), F.lit("t"))
+    assert "Broadcast" not in after._jdf.queryExecution().executedPlan().toString() and after.count() == 9
