@@ -46,3 +46,11 @@ def test_stands_without_the_subpackage(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') for q in e.queries() if q[2:3].isdigit())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False).returncode == 0
+
+
+def test_listing_pages_do_not_grow_with_the_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, real = [], catalog.markup.listing_summary
+    monkeypatch.setattr(catalog.markup, "listing_summary", lambda pages: seen.append(pages.agg(F.max(F.length("html"))).first()[0]) or real(pages))
+    assert sum(r.rows for r in archive.QUERIES["listing_summary"](spark, DIR).collect()) == 1500 and seen[0] < 15_000
