@@ -21,7 +21,8 @@ def last_responses(responses: DataFrame) -> DataFrame:
 def list_pages(responses: DataFrame, base: str) -> DataFrame:
     """Rows of the listing pages that were answered, first of each document's address; `page` is the page's number."""
     pages = last_responses(responses).where("status = 200").select(F.coalesce(F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("bigint"), F.lit(0)).alias("page"), F.col("body").cast("string").alias("html"))
-    return ingest.first_of(markup.listing(pages, base), "pdf_url", ["page", "title"])
+    # other pages have no rows; an entity could spell the name of the table's class
+    return ingest.first_of(markup.listing(pages.where("contains(html, 'alfresco-table') or contains(html, '&')"), base), "pdf_url", ["page", "title"])
 
 
 def resolve_metadata(records: DataFrame, responses: DataFrame, base: str, scratch: Scratch | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def resolve_metadata(records: DataFrame, responses: DataFrame, base: str, scratc
     outcome = F.when(down, "deferred").when(F.col("status") >= 400, "error").when(citation.isNull(), "error").when(slug.isNull(), "error").otherwise("ok")
     reason = F.when(outcome != "error", F.lit(None).cast("string")).when(F.col("status") >= 400, F.concat(F.lit("status "), "status")).when(citation.isNull(), "no neutral citation").otherwise("unknown form of citation")
     judged = seen.select("id", outcome.alias("outcome"), reason.alias("error_reason"), citation.alias("neutral_citation"), F.to_json("meta").alias("meta_json"), F.when(outcome == "ok", names.file_stem(citation, F.col("judge"))).alias("stem"))
-    judged = scratch.stage(judged, "judged") if scratch else judged  # read in each pass over the names
+    judged = (scratch or Scratch(records.sparkSession, "metadata")).stage(judged, "judged")  # read in each pass over the names
     taken = records.where("filename is not null").select("filename")
     named = merge.file_names(judged.where("outcome = 'ok'"), F.col("stem"), ["id"], taken=taken).drop("stem")
     rest = judged.where("outcome <> 'ok'").drop("stem").withColumn("filename", F.lit(None).cast("string"))
@@ -113,6 +114,7 @@ def error_log(outcomes: DataFrame, phase: str, now: Column) -> DataFrame:
 def listed(records: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
     """The records with the new rows of listing pages, pending; what is known keeps its progress. New ids go on from the highest, by page and address."""
     fresh = ingest.new_rows(pages, records, "pdf_url", ["page", "title"]).drop("id")
+    fresh = Scratch(records.sparkSession, "fresh").stage(fresh, "fresh")  # read twice, and pages are parsed once
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     # rows are numbered within their page, and only the pages' counts in one sequence
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

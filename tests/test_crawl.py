@@ -101,3 +101,21 @@ def test_fetch_guards_and_update(spark):
     failed = make(spark, {"id": 1, "pdf_url": "p1", "meta_status": "error", "error_reason": "x"})
     told, state, _ = crawl.update(failed, spark.createDataFrame([], schema.VERSION), seen, "https://h", "t", run="r", retry_skipped=True)
     assert told["requeued"] == 1 and told["new"] == listed.count() and told["revisions"] == 0 and state.count() == 1 + listed.count()
+
+
+def test_pages_are_parsed_once(spark, monkeypatch):
+    """What later steps read of parsed pages is staged, and pages without a listing's table are not parsed for one."""
+    from foliary.plans import archive, catalog
+    from foliary.sources import markup
+
+    plans = {"details": [], "listing": []}
+    for name in plans:
+        real = getattr(markup, name)
+        monkeypatch.setattr(markup, name, lambda *a, real=real, name=name: plans[name].append(a[0]) or real(*a))
+    for query in ("crawl_requeued", "crawl_metadata", "crawl_errors", "crawl_after_metadata"):
+        plan = archive.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan, query
+    answers, known = catalog._visit(spark, "/root/testdata/sf0.001")
+    fresh = crawl.listed(known, crawl.list_pages(answers, "https://h.example"), F.lit("2024"))
+    assert "ArrowEvalPython" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plans["listing"][0].count() == 1500
