@@ -120,3 +120,13 @@ def test_archive_names():
     with pytest.raises(ValueError, match="unknown archive"):
         publish.archive_format("rar")
     assert len(schema.dictionary().splitlines()) == 36
+
+
+def test_large_json_is_a_folder_of_arrays(spark, tmp_path):
+    path = f"{tmp_path}/large.json"
+    publish.json_document(spark.range(0, 95, 1, 4).selectExpr("id", "cast(null as string) as x").orderBy("id"), path, most=50, each=10)
+    parts = [json.load(open(f"{path}/{n}")) for n in sorted(os.listdir(path)) if n.startswith("part-")]
+    assert all(len(p) <= 10 for p in parts) and [r["id"] for p in parts for r in p] == list(range(95)) and parts[0][0] == {"id": 0, "x": None}
+    assert spark.read.schema("id long").option("multiLine", "true").json(path).count() == 95
+    publish.json_document(spark.range(3).select("id"), path, most=50)
+    assert [r["id"] for r in json.load(open(path))] == [0, 1, 2]
