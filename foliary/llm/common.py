@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bit_filter(rows: DataFrame, key, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows whose key may be among wanted's, by a bitmap of 2**22 bits: at most 65,536 broadcast rows, whatever the tables hold."""
-    word = lambda h: F.pmod(h, F.lit(1 << 16))
+def bit_filter(rows: DataFrame, key, wanted: DataFrame, wanted_key: str, words: int = 1 << 16) -> DataFrame:
+    """Rows whose key may be among wanted's, by a bitmap of 2**22 bits: at most 65,536 broadcast rows (`words`, up to 2**20), whatever the tables hold."""
+    word = lambda h: F.pmod(h, F.lit(words))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
     h = F.xxhash64(F.col(wanted_key))
     bits = wanted.groupBy(word(h).alias("_word")).agg(F.bit_or(bit(h)).alias("_bits"))

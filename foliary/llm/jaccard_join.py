@@ -3,10 +3,15 @@
 A document is the set of its distinct word shingles; two link when their Jaccard similarity reaches num / den.
 
 1. Documents with equal sets are one class; its least id stands for it.
-2. Shingles have one order, the frequent ones last. Sets that link share a shingle among the first n - ceil(t * n) + 1 of each
-   (the prefix filter, exact under any order), and have sizes in a common or adjacent size range; such a shingle with
-   its range is a signature. The order needs the frequent shingles only: those met often within an input partition are
-   counted over all of them, and the most frequent `ranked` of them are broadcast; all others come first, by hash.
+2. Sets that link have sizes in a common or adjacent size range, which bounds the number d of shingles in which they
+   differ. From t = 8/9 on, a hash deals the shingles of a set to d + 1 parts, so two sets that link have equal parts; what a part
+   holds is a signature with its range. Unrelated sets seldom agree in the eight or so shingles of a part, so signatures that are shared by
+   chance do not grow with the square of the table. Two empty parts say nothing: a few more parts make up for them, and a set
+   with more empty ones than that is dealt again by another hash. Under lower t parts would hold few shingles. There the
+   shingles have one order, the frequent ones last, and sets that link share a shingle among the first n - ceil(t * n) + 1
+   of each (the prefix filter, exact under any order); such a shingle with its range is a signature. The order needs the
+   frequent shingles only: those met often within an input partition are counted over all of them, and the most frequent
+   `ranked` of them are broadcast; all others come first, by hash.
 3. Classes that share a signature form coarse components. Of a signature of few classes, pairs count only if the parity
    bitmaps of their sets differ in no more bits than their sizes let the sets differ (a bound that drops no link), so
    passages that few documents share do not chain them. Signatures of more classes are compared within a task, which passes on
@@ -32,6 +37,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +73,18 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 class Ranges:
     """Size ranges, the parts of each, and the signatures of a set."""
 
+    #: So often a set with many empty parts is dealt to parts; the last time, empty parts are signatures, too.
+    ROUNDS = 6
+
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
+        self.by_parts = 8 * (den - num) <= num
         self.starts = [1]
         while self.starts[-1] < 1 << 40:
             b = self.starts[-1]
             self.starts.append(max(b + 1, b * den**3 // num**3))
         self.starts_at = np.array(self.starts)
+        self.spare = [self._spare(k) for k in range(len(self.starts) - 1)]
 
     def differ(self, k: int) -> int:
         """The most shingles in which two linked sets may differ, the smaller of which has a size in range k."""
@@ -84,10 +95,36 @@ class Ranges:
         k = int(np.searchsorted(self.starts_at, n, side="right")) - 1
         return [k, k - 1] if k and self.num * n < self.den * self.starts[k] and -(-self.num * n // self.den) < self.starts[k] else [k]
 
-    def signatures(self, h: np.ndarray, order: Order) -> np.ndarray:
+    def _spare(self, k: int) -> int:
+        """Parts beyond differ(k) + 1: about as many as stay empty in a set of the range."""
+        empty = (self.differ(k) + 1) * math.exp(-self.starts[k] / (self.differ(k) + 1))
+        return int(empty + 3 * math.sqrt(empty))
+
+    def parts(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Signatures in range k; sets that link and differ in differ(k) shingles at most have one in common.
+
+        Of the parts, spare + 1 at least are equal in both. If either set has no more empty ones than spare, an equal one is
+        not empty; otherwise both are dealt again.
+        """
+        m, found = self.differ(k) + 1 + self.spare[k], []
+        for again in range(self.ROUNDS):
+            at = _mix(h + _mix(np.array([again], np.uint64) * _M3 + np.uint64(k))) % np.uint64(m)
+            sums = np.zeros(m, np.uint64)
+            np.add.at(sums, at, _mix(h + _M2))
+            full = np.bincount(at.astype(np.int64), minlength=m) > 0
+            sigs = _mix(sums + _mix(np.arange(m, dtype=np.uint64) + _mix(np.array([k * self.ROUNDS + again], np.uint64))))
+            enough = m - int(full.sum()) <= self.spare[k]
+            found.append(sigs[full] if enough or again < self.ROUNDS - 1 else sigs)
+            if enough:
+                break
+        return np.concatenate(found)
+
+    def signatures(self, h: np.ndarray, order: Order | None) -> np.ndarray:
         ks = [k for k in self.of(len(h)) if self.differ(k)] if len(h) else []
         if not ks:  # sets of these sizes link only if they are equal
             return np.zeros(0, np.int64)
+        if self.by_parts:
+            return np.concatenate([self.parts(h, k) for k in ks]).view(np.int64)
         first = order.first(h, len(h) + self.num * len(h) // -self.den + 1)
         return np.concatenate([_mix(first + _mix(np.array([k], np.uint64))) for k in ks]).view(np.int64)
 
@@ -162,14 +199,14 @@ def frequent(docs: DataFrame, size: int, often: int, ranked: int) -> Order:
     return Order(hashes[by], rank[by])
 
 
-def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> DataFrame:
+def describe(docs: DataFrame, size: int, ranges: Ranges, order: Order | None) -> DataFrame:
     """id, th, n, h1, h2 (the set's digest), sigs and parity bits; docs has id, t, th. A set's last two are given once for each input partition at least."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("bits", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = docs.sparkSession.sparkContext.broadcast((ranges, order))
 
     @tidy
     def run(batches):
-        ranges, seen = Ranges(num, den), set()
+        (ranges, order), seen = shared.value, set()
         for batch in batches:
             rows = []
             for i, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -178,7 +215,7 @@ def describe(docs: DataFrame, size: int, num: int, den: int, order: Order) -> Da
                 if len(seen) > 200_000:
                     seen.clear()
                 again = digest in seen
-                rows.append((i, th, len(h), *digest, None if again else ranges.signatures(h, shared.value), None if again else parity(h)))
+                rows.append((i, th, len(h), *digest, None if again else ranges.signatures(h, order), None if again else parity(h)))
                 seen.add(digest)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -369,21 +406,26 @@ def link(
 ) -> DataFrame:
     """One row per row of docs: id, th (a hash of the text), n (shingles), grp (which no other component has) and component (the least id that links reach, its own included)."""
     source, lit0 = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t")), F.lit(0).cast("long")
-    sets = scratch.stage(describe(source, size, num, den, frequent(source, size, often, ranked)), "sets")
+    ranges = Ranges(num, den)
+    sets = scratch.stage(describe(source, size, ranges, None if ranges.by_parts else frequent(source, size, often, ranked)), "sets")
     classes = scratch.stage(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     signed = sets.where("sigs is not null").select("h1", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("c")).where("low <> high").select("sig", "low", "c")
     shared = scratch.stage(shared, "shared")
-    met = bit_filter(signed, F.col("sig"), shared, "sig").join(shared, "sig")
-    hung = components(met.where((F.col("c") > many) & (F.col("h1") != F.col("low"))).select(F.col("low").alias("a"), F.col("h1").alias("b")), scratch, "hung")
+    hot, rare = shared.where(F.col("c") > many).select("sig", "low"), shared.where(F.col("c") <= many).select("sig", "c")
+    hangs = bit_filter(signed, F.col("sig"), hot, "sig").join(hot, "sig").where("h1 <> low")
+    hung = components(hangs.select(F.col("low").alias("a"), F.col("h1").alias("b")), scratch, "hung")
     homes = hung.select(F.col("node").alias("h1"), F.col("root").alias("home"))
-    homed = met.where(F.col("c") <= many).select("sig", "c", "h1").join(homes, "h1", "left").select("sig", "c", "h1", F.coalesce("home", "h1").alias("home"))
-    groups = homed.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("h1", "home"))).alias("m")).select("m").distinct()
+    # homes are joined to sets and not to signatures, and what meets is read once
+    homed = sets.where("sigs is not null").select("h1", "sigs").join(homes, "h1", "left").select("h1", F.coalesce("home", "h1").alias("home"), F.explode("sigs").alias("sig"))
+    words = 1 << min(18, max(16, (rare.count() // 2).bit_length()))  # 32 bits for a signature, up to 2**24
+    met = scratch.stage(bit_filter(homed, F.col("sig"), rare, "sig", words).join(rare, "sig").select("sig", "c", "h1", "home"), "met")
+    groups = met.where(F.col("c") <= few).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("h1", "home"))).alias("m")).select("m").distinct()
     apart = lambda x: F.filter(F.slice("m", x + 2, F.size("m")), lambda y: y["home"] != F.col("m")[x]["home"])
     couples = F.flatten(F.transform("m", lambda x, i: F.transform(apart(i), lambda y: F.struct(x["h1"].alias("a"), y["h1"].alias("b")))))
     pairs = scratch.stage(groups.select(F.explode(couples).alias("p")).select("p.*").distinct(), "pairs")
     bitmaps = sets.where("bits is not null").select("h1", "n", "bits")
-    near = _plausible(pairs, bitmaps, num, den).union(_compared(homed.where(F.col("c") > few).select("sig", "h1", "home").distinct(), bitmaps, num, den))
+    near = _plausible(pairs, bitmaps, num, den).union(_compared(met.where(F.col("c") > few).select("sig", "h1", "home").distinct(), bitmaps, num, den))
     coarse = components(hung.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near), scratch, "coarse")
     member = scratch.stage(classes.where("rep is not null").join(coarse, classes.h1 == coarse.node).select("rep", "n", "h1", "h2", "root"), "members")
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_docs)).alias("r"))
@@ -407,7 +449,7 @@ def link(
     lead = whole.union(split.select(F.col("node").alias("h1"), F.col("root").alias("lead")))
     grouped = scratch.stage(classes.join(lead, "h1", "left").select("h1", "h2", "rep", F.coalesce("lead", "h1").alias("grp")), "grouped")
     named = scratch.stage(grouped.join(grouped.groupBy("grp").agg(F.min("rep").alias("component")), "grp").select("h1", "h2", "grp", "component"), "named")
-    scratch.drop("classes", "shared", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest", "grouped")
+    scratch.drop("classes", "shared", "met", "pairs", "members", "placed", "dealt", "links", "labelled", "dealt-rest", "links-rest", "grouped")
     return sets.select("id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "th", "n", "grp", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 

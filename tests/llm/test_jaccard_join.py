@@ -143,3 +143,65 @@ def test_passages_that_many_share_do_not_chain(spark, monkeypatch):
     got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), scratch, often=10**9)
     assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 3, 90, 100)
     assert spark.read.parquet(scratch.path("members")).count() == 21
+
+
+def test_sets_that_link_have_a_part_in_common():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for num, spare, rounds in ((90, None, 6), (93, None, 6), (90, 0, 1), (90, 0, 2), (90, 0, 6)):
+        ranges, again = jaccard_join.Ranges(num, 100), 0
+        ranges.ROUNDS = rounds
+        if spare is not None:  # sets have more empty parts than that, so they are dealt again
+            ranges.spare = [spare] * len(ranges.spare)
+        for n in [*range(9, 60), *rng.integers(60, 6000, 60).tolist()]:
+            pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            lost = int(rng.integers(0, (100 - num) * n // 100 + 1))  # the smaller set has n - lost of the n shingles, or as many others
+            x, y = np.unique(pool[:n]), np.unique(pool[lost:n])
+            if rng.random() < 0.5:
+                lost = (100 - num) * n // (100 + num)
+                y = np.unique(np.concatenate([pool[lost:n], pool[n : n + lost]]))
+            same = len(np.intersect1d(x, y))
+            assert 100 * same >= num * (len(x) + len(y) - same)
+            if len(x) != same or len(y) != same:
+                a, b = (ranges.signatures(s, None) for s in (x, y))
+                assert len(np.intersect1d(a, b)), (num, spare, rounds, n, lost)
+                again += len(a) > sum(ranges.differ(k) + 1 + ranges.spare[k] for k in ranges.of(len(x)))
+        assert spare is None or rounds == 1 or again
+
+
+def test_what_is_shared_by_chance_makes_no_pairs(spark, monkeypatch):
+    """Texts of few words share shingles with many others; the pairs to compare stay as few as the near copies."""
+    monkeypatch.setattr(Scratch, "drop", lambda *_: None)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") + "x" for _ in range(rng.randint(40, 120)))) for i in range(400)]
+    rows += [(1000 + i, f"{rows[i][1]} z") for i in range(20)]
+    scratch = Scratch(spark, "t")
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), scratch, often=10**9, few=10**6)
+    assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 3, 90, 100)
+    assert 20 <= spark.read.parquet(scratch.path("pairs")).count() <= 60
+
+
+def test_homes_are_joined_to_sets_not_to_signatures(spark, monkeypatch):
+    """Where a signature is in more than `many` classes, no outer join has more rows than there are documents."""
+    monkeypatch.setattr(Scratch, "drop", lambda *_: None)
+    rng = random.Random(4)
+    rows = []
+    for group, copies in enumerate([60] + [6] * 8):
+        base = [f"w{group}x{k}" for k in range(300)]
+        for k in rng.choices(range(300), k=copies):
+            rows.append((len(rows), " ".join(base[:k] + [f"x{len(rows)}"] + base[k + 1 :])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left, real = [], type(frame).join
+
+    def join(self, other, on=None, how=None):
+        if how == "left":
+            left.append(self)
+        return real(self, other, on, how)
+
+    monkeypatch.setattr(type(frame), "join", join)
+    scratch = Scratch(spark, "t")
+    got = jaccard_join.link(frame, scratch, few=12, many=30)
+    assert sorted(map(tuple, got.drop("th", "grp").collect())) == brute(rows, 3, 90, 100)
+    assert spark.read.parquet(scratch.path("hung-roots")).count() > 1
+    assert max(x.count() for x in left) <= len(rows)
