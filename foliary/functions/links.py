@@ -55,6 +55,14 @@ def absolute(base: str, href: Column) -> Column:
     return F.when(bare.rlike("^https?://"), bare).otherwise(joined(bare))
 
 
+def plain_absolute(base: str, href: Column) -> Column:
+    """The same without Python: of whole addresses and of plain paths from the root; null for others."""
+    bare = F.substring_index(href, "#", 1)
+    rooted = bare.startswith("/") & ~bare.startswith("//") & ~bare.rlike(r"[?;\\\t\n\r]|/\.")
+    whole = F.when(bare.startswith("http://") | bare.startswith("https://"), bare).when(rooted, F.concat(F.lit(urljoin(base, "/x").removesuffix("/x")), bare))
+    return F.replace(whole, F.lit(" "), F.lit("%20"))
+
+
 def uuids_in_path(url: Column) -> tuple[Column, Column]:
     """The first and second id in the address's path, '' where there is none."""
     found = F.regexp_extract_all(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit(f"({UUID})"), F.lit(1))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary import schema
 from foliary.functions import names, transfer
 from foliary.operators import ingest, merge, versions
+from foliary.operators.scans import Running, running
 from foliary.sources import markup, runs
 from foliary.staging import Scratch
 
@@ -116,11 +117,8 @@ def listed(records: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
     fresh = ingest.new_rows(pages, records, "pdf_url", ["page", "title"]).drop("id")
     fresh = Scratch(records.sparkSession, "fresh").stage(fresh, "fresh")  # read twice, and pages are parsed once
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # rows are numbered within their page, and only the pages' counts in one sequence
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    first = fresh.groupBy(F.col("page").alias("_p")).count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_p", "_first")
-    place = F.row_number().over(Window.partitionBy("page").orderBy("pdf_url"))
-    numbered = fresh.withColumn("_place", place).join(first, F.col("page").eqNullSafe(F.col("_p"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_first") + F.col("_place"))
+    place = running(fresh, [], ["page", "pdf_url"], {"_place": Running("sum", F.lit(1))})  # however many pages there are, no task counts them all
+    numbered = place.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_place"))
     new = numbered.withColumn("meta_status", F.lit("pending")).withColumn("download_status", F.lit("pending")).withColumn("listed_at", now)
     return records.unionByName(schema.conform(new, schema.RECORD))
 

@@ -119,3 +119,12 @@ def test_pages_are_parsed_once(spark, monkeypatch):
     fresh = crawl.listed(known, crawl.list_pages(answers, "https://h.example"), F.lit("2024"))
     assert "ArrowEvalPython" not in fresh._jdf.queryExecution().optimizedPlan().toString()
     assert plans["listing"][0].count() == 1500
+
+
+def test_listed_rows_are_numbered_in_segments(spark):
+    """New ids go by page and address, and no task counts all pages."""
+    pages = spark.createDataFrame([(p, f"p{u}", f"t{u}") for p, u in [(3, 1), (None, 9), (3, 0), (1, 7), (2, 5), (1, 8), (2, 40)]], "page long, pdf_url string, title string")
+    out = crawl.listed(make(spark, {"id": 4, "pdf_url": "p40"}), pages, F.lit("t"))
+    assert [(r.id, r.pdf_url) for r in out.orderBy("id").collect()] == [(4, "p40"), (5, "p9"), (6, "p7"), (7, "p8"), (8, "p5"), (9, "p0"), (10, "p1")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_scan_segment" in plan and "Aggregate [page" not in plan

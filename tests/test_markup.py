@@ -64,3 +64,38 @@ def test_page_fields_of_cut_text(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(map(tuple, archive.QUERIES["page_fields"](spark, str(tmp_path)).collect()))
     assert got == [(1, "a & b &amp", "x's &lt", "en", 1), (2, "", "", "", 0), (3, None, None, None, None)]
+
+
+def test_flat_pages_are_read_without_python(spark, monkeypatch):
+    """Flat pages come to what the parser makes of them, and only others go through Python."""
+    row = "<tr class='r'><td>01/02/2024</td><td> <a title='t' href='/view/ {k}/a#x'> T <b>{k}</b>\n u </a></td><td><a href=''>-</a><a href='https://cdn/{k} J.pdf'>d</a></td><td>c<br>d</td><td></td><td>3 July 2026</td></tr>"
+    table = "<div><p>1 result<table class='alfresco-table'>\n<thead><tr><th>x</th></tr></thead><tbody>" + row.format(k=1) + row.format(k=2) + "</tbody></table><table class='alfresco-table'></table></body>"
+    few = "<table class='alfresco-table'><tr><td>1</td><td><a href='/v'>t</a></td></tr></table>"
+    cell = "<td id='q'> <span class='cell-title'> {0}: </span> : v <i>w</i><a href='/acc/alfresco/x/in'>in</a> </td>"
+    detail = "<html lang='en'><body><table><tr><td>" + cell.format("A") + cell.format("B").replace(" : v", "") + "<td>plain</td></tr></table><a href='/acc/alfresco/s/One J.pdf#p'>\t</a><a>none</a><a href='https://h/acc/alfresco/1'>x <em>y</em></a><a href='/other'>no</a>"
+    flat = [table, few, detail, "", "only text", "<td>x</td>"]
+    lists = [table.replace("href='/view/", "href='view/"), table.replace("/view/ ", "/view/../"), table.replace("<td>c", "<td>&amp;c"), table.replace("</td><td></td>", "<td></td>"), table.replace("<td>01", "<td><table><tr><td>1</table>01"), table.replace("</thead>", ""), "<table>" + table, table.replace("c<br>", "c\xa0"), table.replace("<div>", "<script>a</script>")]
+    details = [detail.replace("href='/acc", "href='acc"), detail.replace("B:", "A:"), detail.replace("<td id='q'>", "<td><b>"), detail.replace("'cell-title'", "'x cell-title'"), detail.replace("plain", " &lt;"), detail.replace("<i>", "<I>"), detail.replace("/s/", "/./"), detail.replace("<em>", "<span>")]
+    pages = [*flat, *lists, *details, None]
+    absolute = markup.links.resolver("https://h/a/b")
+    frame = spark.createDataFrame(list(enumerate(pages)), "page int, html string")
+
+    def check(kept):
+        some = frame.where(F.col("page").isin(kept))
+        want = {k: markup.detail_of(pages[k], absolute) for k in kept}
+        got = {r.page: (list(zip(r.k, r.v, strict=True)), [x.asDict() for x in r.s]) for r in markup.details(some, "https://h/a/b").select("page", F.map_keys("meta.fields").alias("k"), F.map_values("meta.fields").alias("v"), F.col("meta.supplementary").alias("s")).collect()}
+        assert got == {k: (list(x["fields"].items()), x["supplementary"]) for k, x in want.items()}
+        rows = sorted((k, r["title"], r["court"], r["judge"], absolute(r["view"]), absolute(r["pdf"])) for k in kept for r in markup.rows_of(markup.tree(pages[k])))
+        assert sorted(map(tuple, markup.listing(some, "https://h/a/b").select("page", "title", "court", "judge", "view_url", "pdf_url").collect())) == rows
+
+    check(list(range(len(pages))))
+    assert len(markup.rows_of(markup.tree(table))) == 2 and len(markup.detail_of(detail, absolute)["supplementary"]) == 3
+
+    def resolver(base):
+        def used(href):
+            raise ValueError(f"{href} was resolved by Python")
+
+        return used
+
+    monkeypatch.setattr(markup.links, "resolver", resolver)
+    check(list(range(len(flat))))
